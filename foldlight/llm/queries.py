@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, quality, simhash, urls
+from . import chat, decontaminate, langid, mixing, pivots, quality, simhash, tokens, urls
 
 #: Policy of the url query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -29,6 +29,18 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", mask)
 
 
+def op5_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.vector_components(table(spark, sf_dir, "embeddings"))
+
+
+def op6_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), decontaminate.questions(table(spark, sf_dir, "benchmark")))
+
+
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.training_order(table(spark, sf_dir, "documents"))
+
+
 def op8_language_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_url_aliases, op4_chat_rotation, op8_language_rank, op9_fair_mix, op10_simhash_bktree)}
+QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_url_aliases, op4_chat_rotation, op5_pivot_permutation, op6_bm25_wand, op7_training_order, op8_language_rank, op9_fair_mix, op10_simhash_bktree)}
 
 ORACLE: dict[str, str] = {}
 
@@ -83,6 +95,18 @@ SELECT conv_id, speaker, piece, CAST(count(*) AS INTEGER) AS n_turns,
 FROM e GROUP BY conv_id, speaker, piece
 """
 
+ORACLE["op5_pivot_permutation"] = r"""
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, d.vec_id) AS component_id, coalesce(coalesce(c.c, d.vec_id) = d.vec_id, false) AS kept
+FROM (SELECT DISTINCT vec_id FROM embeddings) d LEFT JOIN n ON n.a = d.vec_id LEFT JOIN c ON c.a = d.vec_id
+"""
+
 ORACLE["op9_fair_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS missing, coalesce(source, '') AS name, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
