@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, pivots, quality, simhash, tokens, urls
+from . import chat, decontaminate, langid, mixing, pivots, quality, repeats, simhash, tokens, urls
 
 #: Policy of the url query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -23,6 +23,11 @@ def op2_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_suffix_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
@@ -54,7 +59,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_url_aliases, op4_chat_rotation, op5_pivot_permutation, op6_bm25_wand, op7_training_order, op8_language_rank, op9_fair_mix, op10_simhash_bktree)}
+QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_url_aliases, op3_suffix_two_stage, op4_chat_rotation, op5_pivot_permutation, op6_bm25_wand, op7_training_order, op8_language_rank, op9_fair_mix, op10_simhash_bktree)}
 
 ORACLE: dict[str, str] = {}
 
