@@ -100,3 +100,12 @@ def weighted_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: f
             taken = taken & ((slot < cut["slot"]) | ((slot == cut["slot"]) & (place(c) <= end) if last["finish"] is not None else F.lit(False)))
         copies = copies + F.when(taken, 1).otherwise(0)
     return queued.select("doc_id", "source", "text_md5", "size", "source_size", "target", "finish", copies.alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 13) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it."""
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    taken = weighted_mix(docs, weights, share, repeats, seed).where(F.col("copies") > 0).select("doc_id", source_key(F.col("source")).alias("src"), "text_md5", "copies").distinct()
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_src"), digest.alias("_md5"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_src") == F.col("src")) & (F.col("_md5") == F.col("text_md5"))
+    return keyed.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -161,6 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: in
     return AttentionMIL(WIDTH).fit(x, bags, np.array([rows[k][0] for k, _ in got], np.float32))
 
 
+def score_texts(texts: list[str | None], model: AttentionMIL | float) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(texts), model)
+    return model.score(*encode([(t or "").encode("utf-8", "surrogatepass") for t in texts]))
+
+
 def score(docs: DataFrame, model: AttentionMIL | float) -> DataFrame:
     """(doc_id, score) for every document."""
     small_batches(docs.sparkSession)
@@ -168,14 +174,24 @@ def score(docs: DataFrame, model: AttentionMIL | float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_batches(batch, "text", SLICE) if batch.num_rows else ():
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                scores = np.full(len(texts), model) if isinstance(model, float) else model.score(*encode(texts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score_texts(part.column("text").to_pylist(), model), pa.float64())], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep_good(docs: DataFrame, model: AttentionMIL | float, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least the threshold."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_batches(batch, "text", SLICE) if batch.num_rows else ():
+                yield part.filter(pa.array(score_texts(part.column("text").to_pylist(), model) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted): learned from labelled documents that aren't held out."""
     model = fit(docs.where(~held_out()), labels)
