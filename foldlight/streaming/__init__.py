@@ -1,0 +1 @@
+"""Incremental forms for tables that grow."""
