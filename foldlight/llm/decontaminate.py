@@ -5,13 +5,13 @@ windows of twice the longest unit's words, half a window apart, so that each uni
 cut into units of at most UNIT words) lies whole in some window. A term's impact on a unit is its BM25
 weight divided by the unit's score for itself, so a window that holds all of a unit scores 1. Each window
 retrieves every unit that scores at least `threshold`, by WAND over posting lists in blocks that know
-their largest impact; windows whose terms' largest impacts don't add up to the threshold need no search.
+their largest impact; windows whose terms' largest impacts add up to the threshold in no block need no search.
 A retrieved unit is verified: at least `overlap` of the distinct five-word shingles of its question, and
 of its answer, occur in the window (a part of fewer words is one shingle). An item hits a document if all
 its units do.
 
-The index is built in shards of at most SHARD_WORDS words; each is sent to the tasks by itself, so what is
-sent has a bound, and documents are searched against one shard after another.
+The index is built in shards of at most SHARD_WORDS words, sent to the tasks at most SENT at a time, so what
+is sent has a bound; documents are searched against one lot of shards after another.
 
 Defined results: null and empty texts hit nothing; items without a word are never hit; an item without an
 answer (or question) is verified by the other part. Repeated item rows give repeated hits of one item_id,
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches
 
-UNIT, SHARD_WORDS, SHINGLE = 256, 400_000, 5
+UNIT, SHARD_WORDS, SENT, SHINGLE = 256, 20_000, 20, 5
 THRESHOLD, OVERLAP = 0.5, 0.8
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK = 4
+#: Terms of windows whose bounds are summed at once.
+PAIRS = 1 << 14
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -77,6 +80,10 @@ class Index:
         self.postings = [([u for u, _ in p], [x for _, x in p]) for p in lists]
         self.block_max = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for _, x in self.postings]
         self.most = np.array([max(b) for b in self.block_max])
+        #: Largest impact of each term in each block of BLOCK consecutive units, whatever its list.
+        self.bounds = np.zeros((len(self.term), -(-len(self.units) // BLOCK)), np.float32)
+        for term, (units, impacts) in enumerate(self.postings):
+            np.maximum.at(self.bounds[term], np.array(units) // BLOCK, impacts)
 
     def retrieve(self, terms: list[int], threshold: float) -> list[int]:
         """Units that score at least the threshold for these different terms (block-max WAND)."""
@@ -145,9 +152,8 @@ class Index:
         if not len(pairs):
             return []
         window, term = np.divmod(pairs, len(self.term))
-        bound = np.bincount(window, self.most[term])
         best: dict[int, tuple[float, ...]] = {}
-        for w in np.flatnonzero(bound >= threshold - 1e-9).tolist():
+        for w in self.promising(window, term, threshold):
             low, high = np.searchsorted(window, [w, w + 1])
             held = None
             for unit in self.retrieve(term[low:high].tolist(), threshold):
@@ -165,6 +171,16 @@ class Index:
                 del seen[item]
         return out
 
+    def promising(self, window: np.ndarray, term: np.ndarray, threshold: float) -> list[int]:
+        """Windows (ascending, with their terms) in which some block of units could reach the threshold."""
+        out: list[int] = []
+        for at in range(0, len(window), PAIRS):
+            low, high = np.searchsorted(window, window[at]), np.searchsorted(window, window[min(at + PAIRS, len(window)) - 1], "right")
+            starts = np.flatnonzero(np.diff(window[low:high], prepend=-1))
+            able = (np.add.reduceat(self.bounds[term[low:high]], starts, axis=0) >= threshold - 1e-4).any(axis=1)
+            out += window[low:high][starts[able]].tolist()
+        return sorted(set(out))
+
     @property
     def short(self) -> list[int]:
         """Sizes below SHINGLE of parts that are one short shingle."""
@@ -192,6 +208,12 @@ def index_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterat
         yield Index(items)
 
 
+def lots(shards: Iterator[Index]) -> Iterator[list[Index]]:
+    """Up to SENT shards at a time."""
+    while lot := list(islice(shards, SENT)):
+        yield lot
+
+
 def questions(benchmark: DataFrame) -> DataFrame:
     """(item_id, question, answer) from items that have one text: up to its first question mark and the rest;
     without one, the first two thirds of the words and the rest."""
@@ -215,18 +237,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
     def searcher(sent: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
             for batch in batches:
-                rows = [(i, *h) for i, t in enumerate(batch.column("text")) for h in index.hits(t.as_py(), threshold, overlap)]
+                rows = [(i, index.items[item], q, a) for index in sent.value for i, t in enumerate(batch.column("text")) for item, q, a in index.hits(t.as_py(), threshold, overlap)]
                 if rows:
                     where, items, q, a = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(where)), pa.array([index.items[i] for i in items], item_type), pa.array(q), pa.array(a)],
+                        [batch.column("doc_id").take(pa.array(where)), pa.array(items, item_type), pa.array(q), pa.array(a)],
                         ["doc_id", "item_id", "question_overlap", "answer_overlap"])
         return run
 
-    for index in index_shards(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for shards in lots(index_shards(benchmark)):
+        sent = docs.sparkSession.sparkContext.broadcast(shards)
         out = out.union(docs.select("doc_id", "text").mapInArrow(searcher(sent), schema))
     return out
 
@@ -238,9 +259,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     def keeper(sent: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not sent.value.hits(t.as_py(), threshold, overlap) for t in batch.column("text")], pa.bool_()))
+                yield batch.filter(pa.array([not any(index.hits(t.as_py(), threshold, overlap) for index in sent.value) for t in batch.column("text")], pa.bool_()))
         return run
 
-    for index in index_shards(benchmark):
-        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    for shards in lots(index_shards(benchmark)):
+        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(shards)), docs.schema)
     return docs
