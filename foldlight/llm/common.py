@@ -86,6 +86,11 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def hash_share(key: F.Column) -> F.Column:
+    """A number in [0, 1) from a hash of the key as text: the rows with the smallest make a repeatable sample."""
+    return F.shiftrightunsigned(F.xxhash64(key.cast("string")), 11).cast("double") / float(1 << 53)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of undirected edges (a, b) of any ordered type: rows (node, component), component the
     smallest node that can be reached. Nodes without an edge to another node don't appear; null ends are

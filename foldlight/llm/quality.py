@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, text_batches
+from .common import hash_share, held_out, small_batches, text_batches
 
 PASSAGE = 512
 TRIGRAMS = 256
@@ -134,10 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: in
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"))
-    order = F.xxhash64(F.col("doc_id").cast("string"))
+    place = hash_share(F.col("doc_id"))
     have = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("n"))
-    first = have.join(known, "doc_id").orderBy(order, "doc_id", "n").limit(max_docs)
-    running = Window.orderBy(order, "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)  # at most max_docs rows
+    share = 3.0 * max_docs / max(1, known.count())  # three times as many as needed leave the tasks that read
+    labelled = have.join(known.where(place < share), "doc_id").withColumn("place", place)
+    first = labelled.orderBy("place", "doc_id", "n").limit(max_docs)
+    running = Window.orderBy("place", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)  # at most max_docs rows
     chosen = first.withColumn("sum", F.sum("n").over(running)).where(F.col("sum") <= max_passages).groupBy("doc_id").agg(F.max("y").alias("y"), F.count("*").alias("copies"))
     rows = {r["doc_id"]: (r["y"], r["copies"]) for r in chosen.collect()}
     if len({y for y, _ in rows.values()}) < 2:
