@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import hash_share, held_out, small_batches
 
 SIZE = 300
 PER_LANG = 400
@@ -81,11 +81,14 @@ def fit_profiles(docs: DataFrame, size: int = SIZE, per_lang: int = PER_LANG) ->
                 total = np.bincount(where, np.concatenate([p[1] for p in parts]), len(values)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(total)], ["lang", "gram", "n"])
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
-    sample = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", "text", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_lang)
-    )
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    place, order = hash_share(F.col("doc_id")), Window.partitionBy("lang").orderBy("place", "doc_id", "text")
+    shares = usable.groupBy("lang").agg((F.lit(3.0 * per_lang) / F.count("*")).alias("share")).collect()  # one row a language
+    within = F.lit(False)
+    for row in shares:  # three times as many as needed leave the tasks that read
+        within = within | ((F.col("lang") == row["lang"]) & (F.col("place") < row["share"]))
+    near = usable.select("doc_id", "text", "lang", place.alias("place")).where(within)
+    sample = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_lang)
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("at", F.row_number().over(best)).where(F.col("at") <= size).select("lang", "gram", "at").collect()
