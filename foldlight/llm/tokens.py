@@ -7,19 +7,21 @@ shard holds `per_shard` consecutive slots. Shards are dealt out by slot and writ
 fixed size for each slot, so slot s is at a byte that a division gives: reading is sequential, and a run
 resumes at any slot.
 
-Tokens are written to the shared folder once, and numbered from there: bucket counts of a hash of the
-document give offsets, a window in each (even) bucket the rest. Tokenizing is per document, so no stream
-depends on how the input is split.
+Tokens are written to the shared folder once and numbered by their place there: rows counted before each
+file (one row a file), plus the row's place in its file. So tokens are shuffled once, by shard. The written
+table doesn't change, so a lost executor changes no number; the same input files, read in the same splits,
+give the same order.
 
-Defined results: null and empty texts are one sequence with the end token only. The numbering is by a
-hash of doc_id and text; rows that repeat entirely are numbered in any order, with equal sequences. A null
-doc_id is a document like any other. An empty table gives no sequence. Other columns are ignored.
+Defined results: null and empty texts are one sequence with the end token only. Repeated
+rows are sequences of their own. A null doc_id is a document like any other. An empty table gives no sequence. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,13 +37,29 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_TOKEN = 50256
 LENGTH, PER_SHARD, ROUNDS = 512, 4096, 6
-BUCKET_ROWS = 4096
 #: Pieces of text whose tokens a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: A blank before another white space.
+BESIDE = re.compile(r" \s")
+
+
+class Pieces(dict):
+    """Packed tokens of pieces of text that follow a blank, looked up or encoded once."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = array("H", self.encode(f" {piece}")).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(piece) < 32:
+            self[piece] = packed
+        return packed
 
 
 class Encoder:
-    """Tokens of a text as packed 16-bit integers; pieces between blanks are looked up once."""
+    """Tokens of a text as packed 16-bit integers."""
 
     def __init__(self, vocabulary: str, pattern: str) -> None:
         import tiktoken
@@ -51,31 +69,15 @@ class Encoder:
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def pack(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
+        self.pieces = Pieces(self.encoding.encode_ordinary)
 
     def encode(self, text: str) -> bytes:
-        """No pre-token crosses a blank between two other characters, so what lies between is encoded by itself."""
-        parts = text.split(" ")
-        if len(parts) > 1:
-            parts = [parts[0], *[f" {p}" for p in parts[1:]]]
-        known, out, i, n = self.known, [], 0, len(parts)
-        while i < n:
-            part = parts[i]
-            i += 1
-            while i < n and (len(parts[i]) < 2 or parts[i][1].isspace()):  # more blanks follow: not a safe cut
-                part += parts[i]
-                i += 1
-            if (got := known.get(part)) is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                got = self.pack(part)
-                if len(part) < 64:
-                    known[part] = got
-            out.append(got)
-        return b"".join(out)
+        """No pre-token crosses a blank between two other characters, so what lies between such blanks is encoded
+        by itself; a text with a blank beside another one, or at its end, is encoded whole."""
+        if not text or text[-1] == " " or BESIDE.search(text):
+            return array("H", self.encoding.encode_ordinary(text)).tobytes()
+        first, *rest = text.split(" ")
+        return array("H", self.encoding.encode_ordinary(first)).tobytes() + b"".join(map(self.pieces.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +86,7 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
-    """(doc_id, key, chunk, n_tokens, tokens): tokens are length little-endian 16-bit integers."""
+    """(doc_id, chunk, n_tokens, tokens): tokens are length little-endian 16-bit integers."""
     small_batches(docs.sparkSession)
     stride = 2 * length
 
@@ -101,10 +103,9 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULAR
                     sizes.append(len(part) // 2)
                     packed.append(part if len(part) == stride else part + mark * (length - len(part) // 2))
             at = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "key", "chunk", "n_tokens", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "chunk", "n_tokens", "tokens"])
 
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))
-    return docs.select("doc_id", "text", key.alias("key")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, chunk int, n_tokens int, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk int, n_tokens int, tokens binary")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -133,18 +134,17 @@ def feistel(index: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.
 def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens), sorted by slot inside each shard."""
     made = materialise(sequences(docs, length, vocabulary, pattern, end))
+    at = F.col("_metadata.file_name")
+    files = made.groupBy(at.alias("file")).agg(F.count("*").alias("n"))
+    before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     total = made.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    bucket = F.pmod(F.shiftrightunsigned("key", 1), F.lit(buckets))
-    before = made.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    by_bucket = Window.partitionBy("bucket").orderBy("key", "doc_id", "chunk", "n_tokens")
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), total, key))
 
-    numbered = made.withColumn("bucket", bucket).withColumn("inside", F.row_number().over(by_bucket)).join(before, "bucket")
-    placed = numbered.withColumn("slot", slot(F.col("before") + F.col("inside") - 1)).withColumn("shard", F.floor(F.col("slot") / per_shard))
+    numbered = made.select("*", at.alias("file"), F.col("_metadata.row_index").alias("inside")).join(before, "file")
+    placed = numbered.withColumn("slot", slot(F.col("before") + F.col("inside"))).withColumn("shard", F.floor(F.col("slot") / per_shard))
     return (
         placed.select("slot", "shard", ((F.col("slot") % per_shard) * (2 * length + 1)).alias("byte_offset"), "doc_id", "chunk", "n_tokens", "tokens")
         .repartition("shard").sortWithinPartitions("shard", "slot")
