@@ -39,6 +39,8 @@ END_TOKEN = 50256
 LENGTH, PER_SHARD, ROUNDS = 512, 4096, 6
 #: Pieces of text whose tokens a worker remembers.
 REMEMBERED = 500_000
+#: Rows of the table of files, about 100 bytes each, that are sent to all tasks; beyond, it is joined by a shuffle.
+SENT_FILES = 100_000
 #: A blank before another white space.
 BESIDE = re.compile(r" \s")
 
@@ -137,7 +139,10 @@ def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_S
     at = F.col("_metadata.file_name")
     files = made.groupBy(at.alias("file")).agg(F.count("*").alias("n"))
     before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    total = made.count()
+    facts = files.agg(F.count("*").alias("files"), F.sum("n").alias("rows")).first()
+    total = facts["rows"] or 0
+    if facts["files"] <= SENT_FILES:
+        before = F.broadcast(before)
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
