@@ -1,8 +1,9 @@
 """Linear models and selectors on moment matrices; tree models on rows through pyspark.ml.
 
 A model: (moments of the train rows, chosen positions) -> (intercept, coefficients of all features).
-A selector: (moments of the train rows, k, seed) -> chosen positions, ascending. Both are looked up by
-name, and users may add their own.
+A selector: (moments of the train rows, k, seed) -> chosen positions, ascending. The moments may be one
+matrix or a stack of matrices, one for each inner fold, which selectors that validate inside the train rows
+need. Both are looked up by name, and users may add their own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .moments import centred
+from .moments import centred, r2, test_errors
 
 Model = Callable[[np.ndarray, np.ndarray], tuple[float, np.ndarray]]
 Selector = Callable[[np.ndarray, int, int], np.ndarray]
@@ -27,6 +28,11 @@ def full(p: int, chosen: np.ndarray, coef: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole(m: np.ndarray) -> np.ndarray:
+    """One matrix for all rows of a matrix or a stack of inner folds."""
+    return m if m.ndim == 2 else m.sum(axis=0)
+
+
 def ridge(m: np.ndarray, chosen: np.ndarray, alpha: float = 1.0) -> tuple[float, np.ndarray]:
     sxx, sxy, _, mx, my, _ = centred(m)
     a = sxx[np.ix_(chosen, chosen)] + alpha * np.eye(len(chosen))
@@ -109,13 +115,14 @@ def top_k(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def select_correlation(m: np.ndarray, k: int = 20, seed: int = 42) -> np.ndarray:
-    sxx, sxy, syy, *_ = centred(m)
+    sxx, sxy, syy, *_ = centred(whole(m))
     norm = np.sqrt(np.maximum(np.diag(sxx), 0) * max(syy, 0))
     return top_k(np.abs(sxy / np.where(norm > 0, norm, 1.0)), k)
 
 
 def select_rfe(m: np.ndarray, k: int = 20, seed: int = 42) -> np.ndarray:
     """Ridge, dropping a tenth of the initial number of features each round, the smallest squared coefficients first."""
+    m = whole(m)
     left = np.arange(len(m) - 2)
     k, step = min(max(k, 1), len(left)), max(1, int(0.1 * len(left)))
     while len(left) > k:
@@ -125,40 +132,63 @@ def select_rfe(m: np.ndarray, k: int = 20, seed: int = 42) -> np.ndarray:
     return left
 
 
-def select_lasso(m: np.ndarray, k: int = 20, seed: int = 42, alphas: int = 30) -> np.ndarray:
-    """Standardised; the alpha of a path by an information criterion on the moments (BIC). Up to k non-zero
-    coefficients are all taken, k is a ceiling; more or none: the k largest."""
-    every = np.arange(len(m) - 2)
-    c, b, _ = scaled(m, every)
-    _, _, syy, _, _, n = centred(m)
-    most, w, best = np.abs(b).max(initial=0.0), None, (np.inf, np.zeros(len(b)))
-    for alpha in most * np.logspace(0, -3, alphas):
+def lasso_path(c: np.ndarray, b: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Coefficients for each alpha, from large to small, each started from the one before."""
+    w, out = None, []
+    for alpha in grid:
         w = coordinate_descent(c, b, alpha, 0.0, w, 200)
-        error = max(syy / n - 2 * b @ w + w @ c @ w, 1e-12)
-        best = min(best, (n * np.log(error) + np.log(n) * (w != 0).sum(), w), key=lambda x: x[0])
-    chosen = np.flatnonzero(best[1])
-    return chosen if 0 < len(chosen) <= k else top_k(np.abs(best[1]), k)
+        out.append(w)
+    return np.array(out)
 
 
-def subset_search(m_folds: np.ndarray, k: int = 20, seed: int = 42, population: int = 40, generations: int = 25, elite: int = 5) -> np.ndarray:
-    """Genetic search over feature masks on the moments of inner folds: fitness is the mean ridge R2 over
-    the folds, at least 0, and 0 below five features; tournaments of 3, uniform crossover, bit flips."""
-    from .moments import r2, test_errors
-
+def select_lasso(m: np.ndarray, k: int = 20, seed: int = 42, alphas: int = 30) -> np.ndarray:
+    """Standardised by all train rows; the alpha of a path with the least mean squared error over the inner folds
+    of a stack, or, for a single matrix, by an information criterion (BIC). Up to k non-zero coefficients are
+    all taken, k is a ceiling; more or none: the k largest."""
+    total = whole(m)
+    every = np.arange(len(total) - 2)
+    c, b, sd = scaled(total, every)
+    _, _, syy, _, _, n = centred(total)
+    grid = max(np.abs(b).max(initial=0.0), 1e-12) * np.logspace(0, -3, alphas)
+    path = lasso_path(c, b, grid)
+    if m.ndim == 3 and len(m) > 1:
+        loss = np.zeros(len(grid))
+        for inner in m:
+            sxx, sxy, _, mx, my, left = centred(total - inner)
+            for i, w in enumerate(lasso_path(sxx / np.outer(sd, sd) / left, sxy / sd / left, grid)):
+                sse, _, size = test_errors(inner, my - w / sd @ mx, w / sd)
+                loss[i] += sse / max(size, 1)
+    else:
+        error = np.maximum(syy / n - 2 * path @ b + np.einsum("ij,jk,ik->i", path, c, path), 1e-12)
+        loss = n * np.log(error) + np.log(n) * (path != 0).sum(axis=1)
+    best = path[int(np.argmin(loss))]
+    chosen = np.flatnonzero(best)
+    return chosen if 0 < len(chosen) <= k else top_k(np.abs(best), k)
+
+
+def searched_subsets(m_folds: np.ndarray, k: int = 20, seed: int = 42, population: int = 40, generations: int = 25, elite: int = 5, fit: Model = ridge) -> tuple[np.ndarray, list[tuple[int, float, float, int]]]:
+    """Genetic search over feature masks on the moments of inner folds: fitness is the mean R2 of `fit` over the
+    folds, at least 0, and 0 below five features or where it can't be fitted; tournaments of 3, uniform crossover,
+    bit flips, an elite that stays. Returns the best mask's positions and (generation, best, mean, size of best)."""
     rng, p, total = np.random.default_rng(seed), m_folds.shape[1] - 2, m_folds.sum(axis=0)
     known: dict[bytes, float] = {}
+    log = []
 
     def fitness(mask: np.ndarray) -> float:
         if (key := mask.tobytes()) not in known:
             chosen = np.flatnonzero(mask)
-            scores = [r2(*test_errors(m, *ridge(total - m, chosen))[:2]) for m in m_folds] if len(chosen) >= 5 else [0.0]
+            try:
+                scores = [r2(*test_errors(m, *fit(total - m, chosen))[:2]) for m in m_folds] if len(chosen) >= 5 else [0.0]
+            except np.linalg.LinAlgError:
+                scores = [0.0]
             known[key] = max(0.0, float(np.mean(scores)))
         return known[key]
 
     masks = rng.random((population, p)) < min(0.5, max(5, k) / p)
-    for _ in range(generations):
+    for generation in range(generations):
         scores = np.array([fitness(x) for x in masks])
         order = np.argsort(-scores, kind="stable")
+        log.append((generation, float(scores[order[0]]), float(scores.mean()), int(masks[order[0]].sum())))
         picks = rng.integers(0, population, (population, 3))
         parents = masks[picks[np.arange(population), scores[picks].argmax(axis=1)]]
         mates, swap = parents[rng.permutation(population)], rng.random((population, p)) < 0.5
@@ -166,17 +196,31 @@ def subset_search(m_folds: np.ndarray, k: int = 20, seed: int = 42, population:
         children ^= (rng.random((population, p)) < 1 / p) & (rng.random((population, 1)) < 0.3)
         children[:elite] = masks[order[:elite]]
         masks = children
-    return np.flatnonzero(max(masks, key=fitness))
+    return np.flatnonzero(max(masks, key=fitness)), log
+
+
+def subset_search(m_folds: np.ndarray, k: int = 20, seed: int = 42, population: int = 40, generations: int = 25, elite: int = 5, fit: Model = ridge) -> np.ndarray:
+    """Positions found by searched_subsets()."""
+    return searched_subsets(m_folds, k, seed, population, generations, elite, fit)[0]
 
 
 MODELS: dict[str, Model] = {"ridge": ridge, "pls": pls, "elastic_net": elastic_net, "ols": least_squares}
 SELECTORS: dict[str, Selector] = {"correlation": select_correlation, "rfe": select_rfe, "lasso": select_lasso}
 
+#: Selectors that fit models on the inner folds of a stack: they also take the model, as `fit`.
+SEARCHES: dict[str, Selector] = {"search": subset_search}
+
 
 def get_selector(name: str) -> Selector:
-    if name not in SELECTORS:
+    if name not in SELECTORS and name not in SEARCHES:
         raise ValueError(f"unknown selector {name}")
-    return SELECTORS[name]
+    return SELECTORS.get(name) or SEARCHES[name]
+
+
+def selector_family(name: str) -> str:
+    """`filter`, `embedded`, `wrapper` or `search`."""
+    get_selector(name)
+    return {"correlation": "filter", "lasso": "embedded", "rfe": "wrapper"}.get(name, "search" if name in SEARCHES else "user")
 
 
 def tree_predictions(df: DataFrame, features: str, target: str, fold: str, model: str = "random_forest", trees: int = 100, seed: int = 42) -> DataFrame:

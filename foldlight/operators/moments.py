@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Moments:
-    """by_fold: (folds, 1 + p + t, 1 + p + t)."""
+    """by_fold: (folds, 1 + p + t, 1 + p + t); shift: the means taken off features and targets."""
 
     by_fold: np.ndarray
     folds: list[int]
     p: int
+    shift: np.ndarray | None = None
 
     @property
     def total(self) -> np.ndarray:
@@ -32,9 +33,13 @@ class Moments:
     def train(self, k: int) -> np.ndarray:
         return self.total - self.by_fold[k]
 
+    def train_folds(self, k: int) -> np.ndarray:
+        """The inner folds of a training set: all folds but one."""
+        return np.delete(self.by_fold, k, axis=0)
+
     def for_target(self, t: int) -> Moments:
         keep = np.r_[np.arange(1 + self.p), 1 + self.p + t]
-        return Moments(self.by_fold[:, keep][:, :, keep], self.folds, self.p)
+        return Moments(self.by_fold[:, keep][:, :, keep], self.folds, self.p, None if self.shift is None else self.shift[keep[1:] - 1])
 
 
 def column_means(df: DataFrame, features: str, targets: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +82,7 @@ def fold_moments(df: DataFrame, features: str, targets: list[str], fold: str) ->
         one = rows[rows["fold"] == k].sort_values("cell")
         out[i][upper] = one["value"].to_numpy()
         out[i] = np.triu(out[i]) + np.triu(out[i], 1).T
-    return Moments(out, folds, len(mean_x))
+    return Moments(out, folds, len(mean_x), shift)
 
 
 def centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float, float]:
@@ -96,4 +101,4 @@ def test_errors(m: np.ndarray, intercept: float, coef: np.ndarray) -> tuple[floa
 
 def r2(sse: float, sst: float) -> float:
     """1 - sse / sst; without spread 1 for no error, else 0."""
-    return 1 - sse / sst if sst > 1e-12 else float(sse <= 1e-12)
+    return float(1 - sse / sst) if sst > 1e-12 else float(sse <= 1e-12)

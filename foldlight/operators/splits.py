@@ -119,6 +119,22 @@ def grouped_holdout(df: DataFrame, group: str, label: str, share: float = 0.2) -
     return folds.withColumn("is_test", F.col("fold") == best).drop("fold")
 
 
+def lock_holdout(df: DataFrame, key: str, share: float = 0.2, group: str | None = None, label: str | None = None, seeds: list[int] | None = None, seed: int = 42) -> DataFrame:
+    """Adds `is_test` by the first way that the given columns allow: the best of `seeds` (group and label), whole
+    stratified groups (group and label), whole groups, within classes (label), plain."""
+    if group and label and seeds:
+        found = split_search(df, group, label, seeds, share).orderBy("kl", "seed").first()["seed"]
+        return holdout(df, key, share, group=group, seed=found)
+    if group and label:
+        return grouped_holdout(df, group, label, share)
+    return holdout(df, key, share, group=group, label=label, seed=seed)
+
+
+def side_counts(df: DataFrame, label: str) -> DataFrame:
+    """(is_test, label, n): class counts of each side."""
+    return df.groupBy("is_test", label).agg(F.count("*").alias("n"))
+
+
 def split_search(df: DataFrame, group: str, label: str, seeds: list[int], share: float = 0.2) -> DataFrame:
     """(seed, kl, leaked): divergence of train from test class shares for each seed's group hold-out. Works on
     group x class counts, not rows; groups are whole, so none leaks."""

@@ -6,52 +6,71 @@ inside each training fold. bias = apparent - nested. Both arms are means over fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.models import MODELS, get_selector
-from ..operators.moments import Moments, r2, test_errors
+from ..operators.models import MODELS, SEARCHES, get_selector
+from ..operators.moments import Moments, centred, r2, test_errors
 
 
-def fold_scores(m: Moments, selector: str, model: str, k: int, seed: int = 42) -> list[dict[str, object]]:
-    """One row for each fold and arm: squared error, total squares, n, chosen positions."""
-    choose, fit, out = get_selector(selector), MODELS[model], []
-    outer = choose(m.total, k, seed)
+def choices(m: Moments, selector: str, model: str, k: int, seed: int = 42) -> list[np.ndarray]:
+    """Chosen positions: on all rows, then on each fold's train rows."""
+    choose, fit = get_selector(selector), {"fit": MODELS[model]} if selector in SEARCHES else {}
+    return [choose(m.by_fold, k, seed, **fit), *(choose(m.train_folds(i), k, seed, **fit) for i in range(len(m.folds)))]
+
+
+def fold_scores(m: Moments, selector: str, model: str, k: int, seed: int = 42, chosen_by: list[np.ndarray] | None = None) -> list[dict[str, object]]:
+    """One row for each fold and arm: squared error, total squares, n, mean of the (shifted) target, chosen positions."""
+    fit, out = MODELS[model], []
+    outer, *inner = choices(m, selector, model, k, seed) if chosen_by is None else chosen_by
     for i, fold in enumerate(m.folds):
-        train = m.train(i)
-        for arm, chosen in (("apparent", outer), ("nested", choose(train, k, seed))):
-            sse, sst, n = test_errors(m.by_fold[i], *fit(train, chosen))
-            out.append({"arm": arm, "fold": int(fold), "sse": sse, "sst": sst, "n": n, "r2": r2(sse, sst), "rmse": float(np.sqrt(max(sse, 0) / n)), "chosen": chosen.tolist()})
+        for arm, chosen in (("apparent", outer), ("nested", inner[i])):
+            sse, sst, n = test_errors(m.by_fold[i], *fit(m.train(i), chosen))
+            mean = float(m.by_fold[i][0, -1] / n)
+            out.append({"arm": arm, "fold": int(fold), "sse": sse, "sst": sst, "n": n, "mean_y": mean, "r2": r2(sse, sst), "rmse": float(np.sqrt(max(sse, 0) / n)), "chosen": chosen.tolist()})
     return out
 
 
-SCORES = "arm string, fold int, sse double, sst double, n double, r2 double, rmse double, chosen array<int>"
+SCORES = "arm string, fold int, sse double, sst double, n double, mean_y double, r2 double, rmse double, chosen array<int>"
 
 
 def evaluate_grid(combos: DataFrame, moments: dict[str, Moments]) -> DataFrame:
-    """fold_scores() for every row (dataset, selector, model, k, seed) of combos, spread over tasks. Moments
-    are sent whole: their size is folds x (features + 2)^2 for each dataset, whatever the rows were."""
+    """fold_scores() for every row (dataset, selector, model, k, seed) of combos, spread over tasks; models that
+    share a choice share its task, so that it is made once. Moments are sent whole: their size is
+    folds x (features + 2)^2 for each dataset, whatever the rows were."""
     sent = combos.sparkSession.sparkContext.broadcast(moments)
     names = ["dataset", "selector", "model", "k", "seed"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, list[np.ndarray]] = {}
         for part in parts:
             for row in part.itertuples():
-                scores = pd.DataFrame(fold_scores(sent.value[row.dataset], row.selector, row.model, int(row.k), int(row.seed)))
+                m, args = sent.value[row.dataset], (row.selector, row.model, int(row.k), int(row.seed))
+                key = (row.dataset, row.selector, row.model if row.selector in SEARCHES else None, *args[2:])
+                if key not in known:
+                    known[key] = choices(m, *args)
+                scores = pd.DataFrame(fold_scores(m, *args, chosen_by=known[key]))
                 yield scores.assign(**{n: getattr(row, n) for n in names})[[*names, *scores.columns]]
 
-    return combos.select(*names).repartition(*names).mapInPandas(run, f"dataset string, selector string, model string, k int, seed int, {SCORES}")
+    return combos.select(*names).repartition("dataset", "selector", "k", "seed").mapInPandas(run, f"dataset string, selector string, model string, k int, seed int, {SCORES}")
 
 
 KEYS = ["dataset", "selector", "model", "k", "seed"]
 
 
+def pooled(of: Callable[[str], Column]) -> Column:
+    """One R2 over all rows from per-fold sums: total squares are those inside folds and those between their means."""
+    between = F.sum(of("n") * of("mean_y") * of("mean_y")) - F.sum(of("n") * of("mean_y")) * F.sum(of("n") * of("mean_y")) / F.sum(of("n"))
+    return 1 - F.try_divide(F.sum(of("sse")), F.sum(of("sst")) + between)
+
+
 def bias_table(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Fold-mean and pooled scores of both arms and their differences, one row for each key."""
+    """Fold-mean and pooled scores of both arms and their differences, one row for each key. `_r2_pooled` is one
+    R2 over all out-of-fold rows; `_r2_within` takes each fold's own mean."""
     keys = keys or KEYS
 
     def of(arm: str, value: Column) -> Column:
@@ -60,8 +79,19 @@ def bias_table(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     arms = scores.groupBy(*keys).agg(
         *(f(of(a, F.col(c))).alias(f"{a}_{c}{s}") for a in ("apparent", "nested") for c in ("r2", "rmse") for f, s in ((F.avg, ""), (F.stddev_pop, "_std"))),
         *((1 - F.sum(of(a, F.col("sse"))) / F.sum(of(a, F.col("sst")))).alias(f"{a}_r2_within") for a in ("apparent", "nested")),
+        *(pooled(lambda c, a=a: of(a, F.col(c))).alias(f"{a}_r2_pooled") for a in ("apparent", "nested")),
     )
-    return arms.withColumns({"bias": F.col("apparent_r2") - F.col("nested_r2"), "bias_rmse": F.col("nested_rmse") - F.col("apparent_rmse")})
+    return arms.withColumns({
+        "bias": F.col("apparent_r2") - F.col("nested_r2"), "bias_rmse": F.col("nested_rmse") - F.col("apparent_rmse"),
+        "bias_pooled": F.col("apparent_r2_pooled") - F.col("nested_r2_pooled")})
+
+
+def summary_table(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """bias_table() with the nested fold scores as one text, in fold order, at four decimals."""
+    keys = keys or KEYS
+    nested = F.sort_array(F.collect_list(F.when(F.col("arm") == "nested", F.struct("fold", "r2"))))
+    texts = scores.groupBy(*keys).agg(F.array_join(F.transform(nested, lambda s: F.format_string("%.4f", s["r2"])), ";").alias("fold_scores"))  # one entry a fold
+    return bias_table(scores, keys).join(texts, keys)
 
 
 def score_predictions(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -94,6 +124,82 @@ def mask_overlap(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.avg(F.size("a")).alias("mean_apparent_k"), F.avg(F.size("b")).alias("mean_nested_k"))
 
 
+def pipelines_over_seeds(pipelines: DataFrame, keys: list[str]) -> DataFrame:
+    """three_pipelines() rows over seeds: n, mean and sample deviation (0 for one seed) of each pipeline and leak."""
+    values = ["p1", "p2", "p3", "group_leak", "sel_leak"]
+    return pipelines.groupBy(*keys).agg(F.count("*").alias("n"), *(f.alias(f"{c}_{n}") for c in values for n, f in (("mean", F.avg(c)), ("std", F.when(F.count(c) > 1, F.stddev_samp(c)).when(F.count(c) == 1, F.lit(0.0))))))
+
+
+def fold_models(spark: SparkSession, m: Moments, selector: str, model: str, k: int, seed: int = 42, arm: str = "nested") -> DataFrame:
+    """(fold, intercept, coef) for predict(): the model of each fold, on the features' own scale."""
+    outer, *inner = choices(m, selector, model, k, seed)
+    rows = []
+    for i, fold in enumerate(m.folds):
+        b0, coef = MODELS[model](m.train(i), inner[i] if arm == "nested" else outer)
+        rows.append((int(fold), float(b0 + m.shift[m.p] - coef @ m.shift[: m.p]), coef.tolist()))
+    return spark.createDataFrame(rows, "fold int, intercept double, coef array<double>")
+
+
+def model_comparison(spark: SparkSession, m: Moments, chosen: np.ndarray, models: list[str] | None = None) -> DataFrame:
+    """Every model on all features and on the chosen ones, cross-validated: R2, RMSE, RPD (deviation over RMSE), differences."""
+    _, _, syy, _, _, n = centred(m.total)
+    rows = []
+    for name in models or list(MODELS):
+        row: list[object] = [name]
+        for positions in (np.arange(m.p), chosen):
+            sse = sum(test_errors(m.by_fold[i], *MODELS[name](m.train(i), positions))[0] for i in range(len(m.folds)))
+            rmse = float(np.sqrt(max(sse, 0) / n))
+            row += [len(positions), r2(sse, syy), rmse, float(np.sqrt(syy / n)) / rmse if rmse > 0 else 0.0]
+        rows.append(tuple(row))
+    fields = ", ".join(f"n_features_{s} int, r2_{s} double, rmse_{s} double, rpd_{s} double" for s in ("full", "selected"))
+    out = spark.createDataFrame(rows, f"model string, {fields}")
+    return out.withColumns({f"delta_{c}": F.col(f"{c}_selected") - F.col(f"{c}_full") for c in ("r2", "rmse", "rpd")})
+
+
+def check_rebuilt(rebuilt: DataFrame, stored: DataFrame, keys: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
+    """(keys, rebuilt, stored): rows whose stored value isn't met within the tolerance, or is missing on one side."""
+    both = rebuilt.select(*keys, F.col(value).alias("rebuilt")).join(stored.select(*keys, F.col(value).alias("stored")), keys, "full")
+    return both.where(~F.coalesce(F.abs(F.col("rebuilt") - F.col("stored")) <= tolerance, F.col("rebuilt").isNull() & F.col("stored").isNull()))
+
+
+def compare_aggregations(pooled_rows: DataFrame, fold_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Means over seeds of pooled and fold-mean (apparent, nested) rows side by side, their differences, and
+    whether the sign of the bias differs. Keys without fold-mean rows stay, with nulls."""
+    bias = F.col("apparent") - F.col("nested")
+    left = pooled_rows.groupBy(*keys).agg(F.count("*").alias("n_seeds"), *(f(c).alias(f"{n}_pooled_{s}") for n, c in (("apparent", "apparent"), ("nested", "nested"), ("bias", bias)) for s, f in (("mean", F.avg), ("std", F.stddev_samp))))
+    right = fold_rows.groupBy(*keys).agg(F.avg("apparent").alias("apparent_foldmean_mean"), F.avg("nested").alias("nested_foldmean_mean"), F.avg(bias).alias("bias_foldmean_mean"))
+    return left.join(right, keys, "left").withColumns({
+        "bias_delta": F.col("bias_pooled_mean") - F.col("bias_foldmean_mean"), "apparent_delta": F.col("apparent_pooled_mean") - F.col("apparent_foldmean_mean"),
+        "sign_flips": F.signum("bias_pooled_mean") != F.signum("bias_foldmean_mean")})
+
+
+def comparison_row(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """The overall row of compare_aggregations(): counts, exact median, names of the flips in order."""
+    flips = F.sort_array(F.collect_list(F.when(F.col("sign_flips"), F.concat_ws("/", *keys))))  # one entry a combination that flips
+    return summary.agg(
+        F.count("*").alias("n_combos"), F.count_if(F.col("bias_pooled_mean") > 0).alias("n_positive_pooled"), F.count_if(F.col("bias_foldmean_mean") > 0).alias("n_positive_foldmean"),
+        F.count_if(F.col("apparent_delta") > 0).alias("n_apparent_pooled_exceeds"), F.median("apparent_delta").alias("median_apparent_delta"),
+        F.count_if("sign_flips").alias("n_sign_flips"), F.array_join(flips, "; ").alias("sign_flip_combos"))
+
+
+def sign_agreement(summary: DataFrame, first: str, second: str) -> DataFrame:
+    """Adds `agrees` (both differences have one sign) and `gap`; sort by abs(gap) for the largest."""
+    return summary.withColumns({"agrees": F.signum(first) == F.signum(second), "gap": F.col(first) - F.col(second)})
+
+
+def experiment_summary(results: DataFrame, keys: list[str]) -> DataFrame:
+    """Over repeats: n, mean, population deviation, least and largest of both arms, mean bias."""
+    return results.groupBy(*keys).agg(
+        F.count("*").alias("repeats"),
+        *(f(a).alias(f"{a}_{n}") for a in ("apparent", "nested") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))),
+        F.avg(F.col("apparent") - F.col("nested")).alias("bias_mean"))
+
+
+def headline_kinds(summary: DataFrame, headline: Column, bias: str = "bias_mean") -> DataFrame:
+    """Adds `kind`: headline, exception (the bias is negative) or normal."""
+    return summary.withColumn("kind", F.when(headline, "headline").when(F.col(bias) < 0, "exception").otherwise("normal"))
+
+
 def predict(df: DataFrame, features: str, coefficients: DataFrame, fold: str = "fold") -> DataFrame:
     """Adds `y_pred`: each row by the model not trained on its fold, from (fold, intercept, coef array)."""
     dot = F.aggregate(F.zip_with(features, "coef", lambda x, c: x * c), F.col("intercept"), lambda a, x: a + x)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.moments import Moments, fold_moments
@@ -57,9 +59,9 @@ def poisson_intervals(predictions: DataFrame, keys: list[str], row_key: str, n_b
     """Percentile intervals with Poisson(1) weights for each row and replicate, combined before the shuffle."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "b", F.col(row_key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     steps = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(9)]).tolist()  # Poisson(1)
-    weight = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= F.col("u")))
+    weight = reduce(add, ((F.col("u") >= s).cast("int") for s in steps))
     y, e2 = F.col("y_true"), (F.col("y_true") - F.col("y_pred")) ** 2
-    rows = predictions.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("u", u).withColumn("w", weight).where(F.col("w") > 0)
+    rows = predictions.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("u", u).withColumn("w", weight)
     sums = rows.groupBy(*keys, "b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * y).alias("s"), F.sum(F.col("w") * y * y).alias("ss"), F.sum(F.col("w") * e2).alias("sse"))
     score = 1 - F.try_divide(F.col("sse"), F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
     return sums.withColumn("r2", score).where(F.col("r2").isNotNull()).groupBy(*keys).agg(F.percentile("r2", F.lit(alpha / 2)).alias("low"), F.percentile("r2", F.lit(1 - alpha / 2)).alias("high"), F.count("*").alias("n_boot"))
@@ -117,6 +119,40 @@ def permutation_summary(tests: DataFrame) -> DataFrame:
         ((1 + F.count_if(F.col("apparent_r2") >= F.col("a"))) / (1 + F.count("*"))).alias("perm_p_value_apparent"))
 
 
+def permutation_grid(df: DataFrame, key: str, features: str, target: str, fold: str, combos: list[tuple[str, str, int]], n_perm: int = 50, seed: int = 42, done: DataFrame | None = None) -> DataFrame:
+    """permutation_summary() for each (selector, model, k), without those in `done` already: one moment pass for the
+    whole grid, one task row for each combination and shuffle."""
+    spark = df.sparkSession
+    grid = spark.createDataFrame(combos, "selector string, model string, k int")
+    if done is not None:
+        grid = grid.join(done, ["selector", "model", "k"], "left_anti")
+    wide, names = permuted_targets(df.select(key, features, target, fold), key, target, n_perm, seed)
+    sent = spark.sparkContext.broadcast(fold_moments(wide, features, names, fold))  # folds x (features + shuffles)^2 values
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                scores = pd.DataFrame(fold_scores(sent.value.for_target(int(r.perm)), r.selector, r.model, int(r.k), seed))
+                means = scores.groupby("arm")["r2"].mean()
+                rows.append((r.selector, r.model, int(r.k), int(r.perm), means["apparent"], means["nested"]))
+            yield pd.DataFrame(rows, columns=["selector", "model", "k", "perm", "apparent_r2", "nested_r2"])
+
+    tasks = grid.crossJoin(spark.range(len(names)).select(F.col("id").cast("int").alias("perm")))  # the caller's lists
+    tests = tasks.repartition("selector", "model", "k", "perm").mapInPandas(run, "selector string, model string, k int, perm int, apparent_r2 double, nested_r2 double")
+    keys = ["selector", "model", "k"]
+
+    def observed(arm: str) -> Column:
+        return F.max(F.when(F.col("perm") == 0, F.col(arm))).over(Window.partitionBy(*keys))
+
+    rest = tests.withColumns({"a": observed("apparent_r2"), "b": observed("nested_r2")}).where(F.col("perm") > 0)
+    return rest.groupBy(*keys).agg(
+        F.count("*").alias("n_perm"), F.max("a").alias("observed_apparent_r2"), F.max("b").alias("observed_nested_r2"),
+        F.avg("apparent_r2").alias("mean_perm_apparent_r2"), F.avg("nested_r2").alias("mean_perm_nested_r2"),
+        ((1 + F.count_if(F.col("nested_r2") >= F.col("b"))) / (1 + F.count("*"))).alias("perm_p_value"),
+        ((1 + F.count_if(F.col("apparent_r2") >= F.col("a"))) / (1 + F.count("*"))).alias("perm_p_value_apparent"))
+
+
 def noise_rows(spark, n: int, p: int, seed: int) -> DataFrame:
     """(id, features, y): independent standard normal numbers, every row its own group."""
     return spark.range(n).select("id", F.array(*(F.randn(seed * 100_003 + i) for i in range(p))).alias("features"), F.randn(seed * 100_003 + p).alias("y"), (F.col("id") % 5).cast("int").alias("fold"))

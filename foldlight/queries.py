@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import indices, labels, spectra
 from .operators import models, moments, pixels, splits, truth
-from .plans import evaluate, resample, stats
+from .plans import bands, evaluate, features, resample, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,6 +119,93 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.mutual_information(samples(spark, sf_dir), "x", "y"))
 
 
+MOMENTS_GRID = "dataset string, selector string, model string, k int, seed int"
+
+
+def seed_moments(spark: SparkSession, sf_dir: str, seeds: list[int]) -> dict[str, moments.Moments]:
+    """Moments of random folds for each seed; the dataset's name is the seed."""
+    df = samples(spark, sf_dir).drop("fold")
+    return {str(s): moments.fold_moments(splits.shuffled_folds(df, "vec_id", seed=s), "x", ["y"], "fold") for s in seeds}
+
+
+@query()
+def selection_bias_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genetic search as the selector: chosen on all rows, or on each fold's train rows."""
+    m = moments.fold_moments(splits.group_folds(samples(spark, sf_dir).drop("fold"), "grp"), "x", ["y"], "fold")
+    combos = spark.createDataFrame([("e", "search", f, 20, s) for f in ("ridge", "pls") for s in (1, 2)], MOMENTS_GRID)
+    return rounded(evaluate.summary_table(evaluate.evaluate_grid(combos, {"e": m})))
+
+
+@query()
+def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = moments.fold_moments(samples(spark, sf_dir), "x", ["y"], "fold")
+    _, log = models.searched_subsets(m.by_fold)
+    return rounded(spark.createDataFrame(log, "generation int, best double, mean double, n_features int"))
+
+
+@query()
+def pipelines_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random folds differ by seed, group folds don't."""
+    seeds, keys = [1, 2, 3], ["selector", "model", "k"]
+    by_seed, grouped = seed_moments(spark, sf_dir, seeds), moments.fold_moments(splits.group_folds(samples(spark, sf_dir).drop("fold"), "grp"), "x", ["y"], "fold")
+    combos = spark.createDataFrame([(str(x), s, "pls", 20, x) for s in models.SELECTORS for x in seeds], MOMENTS_GRID)
+    both = (evaluate.evaluate_grid(combos, m) for m in (by_seed, dict.fromkeys(by_seed, grouped)))
+    return rounded(evaluate.pipelines_over_seeds(evaluate.three_pipelines(*both), keys))
+
+
+@query()
+def null_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genetic search on noise targets: repeats summed up by arm."""
+    m = {str(i): resample.null_moments(samples(spark, sf_dir), "x", "fold", "vec_id", i) for i in range(3)}
+    combos = spark.createDataFrame([(d, "search", "ridge", 20, 42) for d in m], MOMENTS_GRID)
+    table_ = evaluate.bias_table(evaluate.evaluate_grid(combos, m)).select("selector", F.col("apparent_r2").alias("apparent"), F.col("nested_r2").alias("nested"))
+    return rounded(evaluate.experiment_summary(table_, ["selector"]))
+
+
+@query()
+def permutation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    combos = [(s, f, 20) for s in ("correlation", "rfe") for f in ("ridge", "pls")]
+    return rounded(resample.permutation_grid(samples(spark, sf_dir), "vec_id", "x", "y", "fold", combos, n_perm=10))
+
+
+@query()
+def full_against_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = moments.fold_moments(samples(spark, sf_dir), "x", ["y"], "fold")
+    return rounded(evaluate.model_comparison(spark, m, models.select_rfe(m.total, 20)))
+
+
+@query(f"""
+WITH {SAMPLES}, f AS (SELECT k.fold, regr_slope(y, x[7]) AS b, regr_intercept(y, x[7]) AS b0 FROM s JOIN (SELECT DISTINCT fold FROM s) k ON s.fold <> k.fold GROUP BY k.fold)
+SELECT vec_id, s.fold, round(y, 6) + 0.0 AS y, round(b0 + b * x[7], 6) + 0.0 AS y_pred FROM s JOIN f USING (fold)
+""")
+def out_of_fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row by the one-feature model that wasn't fitted on its fold (feature 6 of 0 .. 63 alone is offered)."""
+    df = samples(spark, sf_dir).withColumn("x", F.array(F.get("x", F.lit(6))))
+    m = moments.fold_moments(df, "x", ["y"], "fold")
+    coefficients = evaluate.fold_models(spark, m, "correlation", "ols", 1)
+    return rounded(evaluate.predict(df, "x", coefficients).select("vec_id", "fold", "y", "y_pred"))
+
+
+@query()
+def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = samples(spark, sf_dir).select("x", "y", "fold")
+    out = models.tree_predictions(df, "x", "y", "fold", trees=10).withColumn("y_true", F.col("y"))
+    return rounded(evaluate.score_predictions(out, ["fold"]))
+
+
+@query()
+def band_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bands.selection_frequency(grid_scores(spark, sf_dir, "group"), ["selector", "model", "k"], 64))
+
+
+@query()
+def chosen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the features each selector chose on all rows, with their kind and wavelength."""
+    scores = grid_scores(spark, sf_dir, "group").where((F.col("arm") == "apparent") & (F.col("model") == "pls"))
+    named = bands.chosen_names(scores, ["selector", "k"], [f"snv_R{round(w)}" for w in WAVES])
+    return bands.parsed(named.drop("arm", "fold").distinct())
+
+
 # --- folds and hold-outs -----------------------------------------------------------------------------------
 
 RANK = "row_number() OVER ({0}ORDER BY md5('42|' || CAST({1} AS VARCHAR))) - 1"
@@ -165,6 +252,35 @@ def split_seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(splits.split_search(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", [1, 2, 3, 4, 5]), 9)
 
 
+@query("""
+WITH g AS (SELECT DISTINCT o_custkey FROM orders), r AS (SELECT o_custkey, row_number() OVER (ORDER BY md5('42|' || CAST(o_custkey AS VARCHAR))) - 1 AS rank, count(*) OVER () AS n FROM g)
+SELECT rank < ceil(n * 0.2) AS is_test, o_orderpriority, count(*) AS n FROM orders JOIN r USING (o_custkey) GROUP BY ALL
+""")
+def holdout_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return splits.side_counts(splits.lock_holdout(orders, "o_orderkey", group="o_custkey"), "o_orderpriority")
+
+
+@query("""
+WITH g AS (SELECT o_orderkey % 97 AS g, count(DISTINCT o_orderkey % 2) AS sides FROM orders GROUP BY 1) SELECT count(*) FILTER (WHERE sides > 1) AS leaked FROM g
+""")
+def group_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that a split by row (even keys) puts on both sides."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("g"), (F.col("o_orderkey") % 2).alias("side"))
+    return splits.group_leakage(orders, "g", "side")
+
+
+@query("""
+WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders)
+SELECT CAST(least(4, floor((o_totalprice - low) * 5 / (high - low))) AS INTEGER) AS bin, count(*) AS n FROM orders, e GROUP BY 1
+""")
+def uniform_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five bins of equal width."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("double").alias("v"))
+    edges = orders.agg(labels.uniform_edges(F.col("v"), 5).alias("edges"))
+    return orders.crossJoin(F.broadcast(edges)).groupBy(labels.bin_index(F.col("v"), F.col("edges")).alias("bin")).agg(F.count("*").alias("n"))  # one row
+
+
 @query("""
 WITH e AS (SELECT list_sort(list_distinct(quantile_cont(o_totalprice, [0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges FROM orders)
 SELECT o_orderkey, CAST(len(list_filter(edges[2:len(edges) - 1], lambda q: q <= o_totalprice)) AS INTEGER) AS bin FROM orders, e
@@ -215,6 +331,41 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resample.bootstrap_intervals(predictions(spark, sf_dir), ["l_returnflag", "l_linestatus"], n_boot=100))
 
 
+@query(f"""
+WITH {PREDICTIONS}, f AS (SELECT l_returnflag, l_linestatus, fold, sum((y - q) ^ 2) AS sse FROM p GROUP BY ALL), w AS (SELECT l_returnflag, l_linestatus, var_pop(y) * count(*) AS sst FROM p GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, round(1 - sum(sse) / any_value(sst), 6) AS r2_pooled FROM f JOIN w USING (l_returnflag, l_linestatus) GROUP BY ALL
+""")
+def scores_pooled_from_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled R2 rebuilt from per-fold sums alone."""
+    error = F.col("y_true") - F.col("y_pred")
+    sums = predictions(spark, sf_dir).groupBy("l_returnflag", "l_linestatus", "fold").agg(F.count("*").alias("n"), F.avg("y_true").alias("mean_y"), F.sum(error * error).alias("sse"), (F.var_pop("y_true") * F.count("*")).alias("sst"))
+    return price_rounded(sums.groupBy("l_returnflag", "l_linestatus").agg(evaluate.pooled(F.col).alias("r2_pooled")))
+
+
+@query(f"WITH {PREDICTIONS}, a AS (SELECT l_returnflag, l_linestatus, 1 - sum((y - q) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM p GROUP BY ALL) SELECT l_returnflag, l_linestatus, r2 AS rebuilt, r2 AS stored FROM a WHERE r2 IS NULL")
+def rebuilt_scores_that_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled scores from rows against those from per-fold sums: none should differ."""
+    stored = scores_pooled_from_folds(spark, sf_dir).withColumnRenamed("r2_pooled", "r2")
+    rebuilt = evaluate.score_predictions(predictions(spark, sf_dir), ["l_returnflag", "l_linestatus"])
+    return evaluate.check_rebuilt(rebuilt, stored, ["l_returnflag", "l_linestatus"], "r2")
+
+
+POISSON = ", ".join(str(c) for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402))
+
+
+@query(f"""
+WITH p AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) * 1500 AS q, concat_ws('-', l_orderkey, l_linenumber) AS k FROM lineitem),
+b AS (SELECT *, CAST('0x' || substr(md5('42|' || b || '|' || k), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM p, (SELECT unnest(range(1, 11)) AS b)),
+w AS (SELECT *, len(list_filter([{POISSON}], lambda s: s <= u)) AS w FROM b),
+r AS (SELECT l_returnflag, b, 1 - sum(w * (y - q) ^ 2) / (sum(w * y * y) - sum(w * y) ^ 2 / sum(w)) AS r2 FROM w GROUP BY ALL)
+SELECT l_returnflag, round(quantile_cont(r2, 0.025), 4) AS low, round(quantile_cont(r2, 0.975), 4) AS high, count(*) AS n_boot FROM r GROUP BY l_returnflag
+""")
+def poisson_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), F.col("l_extendedprice").cast("double").alias("y_true"), (F.col("l_quantity").cast("double") * 1500).alias("y_pred"))
+    return rounded(resample.poisson_intervals(rows, ["l_returnflag"], "k", n_boot=10), 4)
+
+
 # --- seeds and significance --------------------------------------------------------------------------------
 
 RESULTS = "r AS (SELECT event_type, user_id, max(value) AS apparent, avg(value) AS nested FROM events GROUP BY ALL)"
@@ -267,6 +418,54 @@ def arm_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.arm_histogram(results(spark, sf_dir), ["event_type"])
 
 
+SIDES = """u AS (SELECT user_id, event_type, max(value) AS a, avg(value) AS b, median(value) AS c FROM events GROUP BY ALL),
+pl AS (SELECT event_type, user_id % 7 AS part, a AS apparent, b AS nested FROM u), fm AS (SELECT event_type, user_id % 7 AS part, c AS apparent, b AS nested FROM u),
+cm AS (SELECT event_type, part, count(*) AS n_seeds, avg(apparent) AS pa, stddev_samp(apparent) AS pas, avg(nested) AS pn, stddev_samp(nested) AS pns, avg(apparent - nested) AS pb, stddev_samp(apparent - nested) AS pbs FROM pl GROUP BY ALL),
+fo AS (SELECT event_type, part, avg(apparent) AS fa, avg(nested) AS fn, avg(apparent - nested) AS fb FROM fm GROUP BY ALL),
+bo AS (SELECT *, pb - fb AS bd, pa - fa AS ad, sign(pb) <> sign(fb) AS flips FROM cm LEFT JOIN fo USING (event_type, part))"""
+
+
+def aggregations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ways of summing up the same seeds, by event_type and a part of the users."""
+    u = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("a"), F.avg("value").alias("b"), F.median("value").alias("c"))
+    part = (F.col("user_id") % 7).alias("part")
+    first, second = (u.select("event_type", part, F.col(c).alias("apparent"), F.col("b").alias("nested")) for c in ("a", "c"))
+    return evaluate.compare_aggregations(first, second, ["event_type", "part"])
+
+
+@query(f"""
+WITH {SIDES} SELECT event_type, part, n_seeds, round(pa, 6) AS apparent_pooled_mean, round(pas, 6) AS apparent_pooled_std, round(pn, 6) AS nested_pooled_mean, round(pns, 6) AS nested_pooled_std, round(pb, 6) AS bias_pooled_mean, round(pbs, 6) AS bias_pooled_std,
+  round(fa, 6) AS apparent_foldmean_mean, round(fn, 6) AS nested_foldmean_mean, round(fb, 6) AS bias_foldmean_mean, round(bd, 6) AS bias_delta, round(ad, 6) AS apparent_delta, flips AS sign_flips FROM bo
+""")
+def aggregation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregations(spark, sf_dir))
+
+
+@query(f"""
+WITH {SIDES} SELECT count(*) AS n_combos, count(*) FILTER (WHERE pb > 0) AS n_positive_pooled, count(*) FILTER (WHERE fb > 0) AS n_positive_foldmean, count(*) FILTER (WHERE ad > 0) AS n_apparent_pooled_exceeds,
+  round(median(ad), 6) AS median_apparent_delta, count(*) FILTER (WHERE flips) AS n_sign_flips, coalesce(string_agg(event_type || '/' || part, '; ' ORDER BY event_type || '/' || part) FILTER (WHERE flips), '') AS sign_flip_combos FROM bo
+""")
+def aggregation_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.comparison_row(aggregations(spark, sf_dir), ["event_type", "part"]))
+
+
+@query(f"""
+WITH {SIDES} SELECT event_type, part, sign(pb) = sign(fb) AS agrees, round(pb - fb, 6) AS gap, CASE WHEN event_type = 'click' AND part = 0 THEN 'headline' WHEN pb < 0 THEN 'exception' ELSE 'normal' END AS kind FROM bo
+""")
+def sign_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.sign_agreement(aggregations(spark, sf_dir), "bias_pooled_mean", "bias_foldmean_mean")
+    out = evaluate.headline_kinds(out, (F.col("event_type") == "click") & (F.col("part") == 0), "bias_pooled_mean")
+    return rounded(out.select("event_type", "part", "agrees", "gap", "kind"))
+
+
+@query(f"""
+WITH {RESULTS} SELECT event_type, count(*) AS repeats, round(avg(apparent), 6) AS apparent_mean, round(stddev_pop(apparent), 6) AS apparent_std, round(min(apparent), 6) AS apparent_min, round(max(apparent), 6) AS apparent_max,
+  round(avg(nested), 6) AS nested_mean, round(stddev_pop(nested), 6) AS nested_std, round(min(nested), 6) AS nested_min, round(max(nested), 6) AS nested_max, round(avg(apparent - nested), 6) AS bias_mean FROM r GROUP BY event_type
+""")
+def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.experiment_summary(results(spark, sf_dir), ["event_type"]))
+
+
 # --- spectra and indices -----------------------------------------------------------------------------------
 
 
@@ -402,6 +601,96 @@ def rgb_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.rgb(pixel_table(spark, sf_dir), "image", {"r": "red", "g": "green"}).groupBy("image").agg(F.sum("r").alias("r"), F.sum("g").alias("g"))
 
 
+@query("SELECT l_suppkey AS image, " + ", ".join(f"round(avg(v) FILTER (WHERE b = {b}), 6) AS b{b}_mean, round(stddev_pop(v) FILTER (WHERE b = {b}), 6) AS b{b}_std, round(quantile_cont(v, 0.25) FILTER (WHERE b = {b}), 6) AS b{b}_p25, round(quantile_cont(v, 0.75) FILTER (WHERE b = {b}), 6) AS b{b}_p75" for b in range(1, 7)) + " FROM (SELECT l_suppkey, l_linenumber AS b, CAST(l_extendedprice AS DOUBLE) / 105000 AS v FROM lineitem WHERE l_linenumber BETWEEN 1 AND 6) GROUP BY l_suppkey")
+def band_image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), "l_linenumber", (F.col("l_extendedprice").cast("double") / 105000).alias("v"))
+    return rounded(features.band_image_statistics(li, "image", "l_linenumber", "v", [1, 2, 3, 4, 5, 6]))
+
+
+def spectral_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pixels of 25 images; those of label 0 are background."""
+    return samples(spark, sf_dir).select(F.col("grp").alias("image"), "vec_id", "x", F.coalesce(F.col("label") != 0, F.lit(False)).alias("in_mask"))
+
+
+@query()
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = features.build_dataset(spectral_pixels(spark, sf_dir), "image", "x", "in_mask", WAVES)
+    names = F.array(*map(F.lit, features.names(WAVES)))
+    return rounded(rows.select("image", F.posexplode(F.arrays_zip(names.alias("name"), "features"))).select("image", F.col("col.name").alias("name"), F.col("col.features").alias("value")), 4)
+
+
+@query("""
+SELECT vec_id % 25 AS image, CASE WHEN count(*) FILTER (WHERE label <> 0) = 0 THEN 'empty mask' END AS failure, count(*) FILTER (WHERE label <> 0) AS inside, CAST(64 AS INTEGER) AS bands FROM embeddings GROUP BY 1
+""")
+def usable_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.usable_images(spectral_pixels(spark, sf_dir), "image", "x", "in_mask").select("image", "failure", "inside", "bands")
+
+
+@query("""
+WITH e AS (SELECT vec_id % 25 AS image, label <> 0 AS m, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT image, CAST(pos AS INTEGER) AS pos, round(coalesce(avg(v) FILTER (WHERE m), avg(v)), 6) + 0.0 AS value, count(*) FILTER (WHERE m) AS n FROM e GROUP BY ALL
+""")
+def masked_mean_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pixels.mean_spectra(spectral_pixels(spark, sf_dir), "image", "x", "in_mask", fall_back=True))
+
+
+@query()
+def cluster_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of k-means and principal-score masks of the same images."""
+    px = spectral_pixels(spark, sf_dir).drop("in_mask").withColumn("score", F.get("x", F.lit(42)))
+    sizes = (pixels.cluster_mask(px, "image", "x", "score", m).groupBy("image").agg(F.count_if("in_mask").alias("inside")).withColumn("method", F.lit(m)) for m in ("kmeans", "pca"))
+    return next(sizes).unionByName(next(sizes))
+
+
+# --- chosen features ---------------------------------------------------------------------------------------
+
+PICKED = """m AS (SELECT label, pos, round(avg(v), 6) AS m FROM (SELECT label, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY ALL),
+k AS (SELECT label, pos, row_number() OVER (PARTITION BY label ORDER BY m DESC, pos) AS rk FROM m),
+sel AS (SELECT label AS model, CAST(round(400 + 600 * pos / 63) AS INTEGER) AS wavelength, ['snv', 'd1snv', 'fixed_band'][pos % 3 + 1] AS category,
+  CASE pos % 3 WHEN 0 THEN 'snv_R' || CAST(round(400 + 600 * pos / 63) AS INTEGER) WHEN 1 THEN 'd1snv_R' || CAST(round(400 + 600 * pos / 63) AS INTEGER) ELSE 'R' || CAST(round(400 + 600 * pos / 63) AS INTEGER) || '_mean' END AS feature FROM k WHERE rk <= 8)"""
+
+
+def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, feature): for each label, the eight features with the largest class mean."""
+    means = samples(spark, sf_dir).select("label", F.posexplode("x")).groupBy("label", "pos").agg(F.round(F.avg("col"), 6).alias("m"))
+    first = truth.first_rows(means, ["label"], [F.desc("m"), F.col("pos")], 8)
+    named = F.array(*(F.lit((f"snv_R{round(w)}", f"d1snv_R{round(w)}", f"R{round(w)}_mean")[i % 3]) for i, w in enumerate(WAVES)))
+    return first.select(F.col("label").alias("model"), F.get(named, F.col("pos")).alias("feature"))
+
+
+@query(f"""
+WITH {PICKED}, n AS (SELECT greatest(2, round_even(count(DISTINCT model) * 0.6, 0)) AS least FROM sel)
+SELECT wavelength, count(DISTINCT model) AS models, count(DISTINCT model) >= any_value(least) AS strong FROM sel, n GROUP BY wavelength ORDER BY models DESC, wavelength LIMIT 25
+""")
+def consensus_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 wavelengths that most labels chose (a top list)."""
+    return bands.top_bands(bands.consensus(picked(spark, sf_dir)))
+
+
+@query(f"WITH {PICKED} SELECT model, category, count(*) AS n, array_to_string(list_sort(list(DISTINCT wavelength)), ',') AS wavelengths FROM sel GROUP BY ALL")
+def chosen_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.by_category(picked(spark, sf_dir)).withColumn("wavelengths", F.array_join(F.col("wavelengths").cast("array<string>"), ","))
+
+
+@query(f"""
+WITH {PICKED}, h AS (SELECT category, CAST(least(wavelength // 10 * 10, 990) AS INTEGER) AS low_nm, count(*) AS n FROM sel GROUP BY ALL)
+SELECT *, CASE WHEN low_nm < 700 THEN 'VIS' WHEN low_nm < 740 THEN 'Red-Edge' ELSE 'NIR' END AS region FROM h
+""")
+def chosen_wavelength_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.wavelength_histogram(picked(spark, sf_dir))
+
+
+@query(f"WITH {PICKED} SELECT DISTINCT wavelength, feature, category FROM sel ORDER BY wavelength, feature LIMIT 30")
+def first_chosen_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 30 chosen bands by wavelength (a top list)."""
+    return bands.first_bands(picked(spark, sf_dir))
+
+
+@query("SELECT 'embeddings' AS dataset, count(*) AS n, max(len(embedding)) AS p, count(DISTINCT vec_id % 25) AS groups, count(*) AS n_y FROM embeddings")
+def dataset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.overview("embeddings", samples(spark, sf_dir), "x", ["y"], "grp")
+
+
 # --- profiles ----------------------------------------------------------------------------------------------
 
 
