@@ -342,7 +342,12 @@ def scores_pooled_from_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_rounded(sums.groupBy("l_returnflag", "l_linestatus").agg(evaluate.pooled(F.col).alias("r2_pooled")))
 
 
-@query(f"WITH {PREDICTIONS}, a AS (SELECT l_returnflag, l_linestatus, 1 - sum((y - q) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM p GROUP BY ALL) SELECT l_returnflag, l_linestatus, r2 AS rebuilt, r2 AS stored FROM a WHERE r2 IS NULL")
+@query(f"""
+WITH {PREDICTIONS}, a AS (SELECT l_returnflag, l_linestatus, 1 - sum((y - q) ^ 2) / (var_pop(y) * count(*)) AS rebuilt FROM p GROUP BY ALL),
+f AS (SELECT l_returnflag, l_linestatus, fold, count(*) AS n, avg(y) AS m, sum((y - q) ^ 2) AS sse, var_pop(y) * count(*) AS sst FROM p GROUP BY ALL),
+b AS (SELECT l_returnflag, l_linestatus, round(1 - sum(sse) / (sum(sst) + sum(n * m * m) - sum(n * m) ^ 2 / sum(n)), 6) AS stored FROM f GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, rebuilt, stored FROM a FULL JOIN b USING (l_returnflag, l_linestatus) WHERE NOT coalesce(abs(rebuilt - stored) <= 1e-6, rebuilt IS NULL AND stored IS NULL)
+""")
 def rebuilt_scores_that_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled scores from rows against those from per-fold sums: none should differ."""
     stored = scores_pooled_from_folds(spark, sf_dir).withColumnRenamed("r2_pooled", "r2")
