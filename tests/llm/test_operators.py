@@ -290,3 +290,25 @@ def test_near_duplicates(spark, rows):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert neardup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_common_passages(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    header, base = word(60), word(120)
+    rows = [(i, " ".join(header + word(60))) for i in range(40)]
+    for i in range(40, 80):
+        near = base.copy()
+        near[int(rng.integers(len(near)))] = f"edit{i}"
+        rows.append((i, " ".join(header + near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    for common, block in [(256, 4096), (4, 4096), (4, 7)]:
+        kept = neardup.near_duplicates(df, common=common, block=block).where("kept").collect()
+        assert len(kept) == len(set(group)) == 41
+        assert sorted(r["doc_id"] for r in kept) == list(range(41))
