@@ -6,9 +6,11 @@ cut into units of at most UNIT words) lies whole in some window. A term's impact
 weight divided by the unit's score for itself, so a window that holds all of a unit scores 1. Each window
 retrieves every unit that scores at least `threshold`, by WAND over posting lists in blocks that know
 their largest impact; windows whose terms' largest impacts add up to the threshold in no block need no search.
-A retrieved unit is verified: at least `overlap` of the distinct five-word shingles of its question, and
-of its answer, occur in the window (a part of fewer words is one shingle). An item hits a document if all
-its units do.
+Words are runs of letters and digits, so that punctuation beside a passage breaks none of its shingles.
+A retrieved unit is verified: at least `overlap` of its distinct five-word shingles, or of those of its
+question, occur in the window, and as many of its answer's (a part of fewer words is one shingle). Where
+nothing tells the answer from the question, the whole is enough, or the first two thirds and the rest. An
+item hits a document if all its units do.
 
 The index is built in shards of at most SHARD_WORDS words, sent to the tasks at most SENT at a time, so what
 is sent has a bound; documents are searched against one lot of shards after another.
@@ -21,6 +23,7 @@ Other columns are ignored by matches() and kept by clean_documents().
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -37,10 +40,15 @@ UNIT, SHARD_WORDS, SENT, SHINGLE = 256, 20_000, 20, 5
 THRESHOLD, OVERLAP = 0.5, 0.8
 K1, B = 1.2, 0.75
 BLOCK = 4
+WORD = re.compile(r"[^\W_]+")
 #: Terms of windows whose bounds are summed at once.
 PAIRS = 1 << 14
 
 
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
+
+
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
     n = min(SHINGLE, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -50,19 +58,22 @@ class Index:
     """Posting lists of units in blocks, with the largest impact of each block and list."""
 
     def __init__(self, items: list[tuple[object, str, str]]) -> None:
-        self.units: list[tuple[int, list[set[tuple[str, ...]]]]] = []
+        #: Item position, the shingles of the whole unit, of its question and of its answer, and whether the item tells them apart.
+        self.units: list[tuple[int, list[set[tuple[str, ...]]], bool]] = []
         self.items: list[object] = []
         self.n_units: list[int] = []
         bags: list[Counter[str]] = []
         for item_id, question, answer in items:
-            q, a = question.lower().split(), answer.lower().split()
-            words = q + a
+            q, a = words_of(question), words_of(answer)
+            told, words = bool(a), q + a
+            if not told:  # both parts of the usual size count as well as the whole
+                q, a = words[: -(-len(words) * 2 // 3)], words[-(-len(words) * 2 // 3) :]
             if not words:
                 continue
             starts = range(0, len(words), UNIT)
             for at in starts:
-                parts = [shingles(q[at : at + UNIT]), shingles(a[max(0, at - len(q)) : max(0, at + UNIT - len(q))])]
-                self.units.append((len(self.items), [p for p in parts if p]))
+                parts = [words[at : at + UNIT], q[at : at + UNIT], a[max(0, at - len(q)) : max(0, at + UNIT - len(q))]]
+                self.units.append((len(self.items), [shingles(p) for p in parts], told))
                 bags.append(Counter(words[at : at + UNIT]))
             self.items.append(item_id)
             self.n_units.append(len(starts))
@@ -139,7 +150,7 @@ class Index:
 
     def hits(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float]]:
         """(item position, question overlap, answer overlap) of the items that a text holds."""
-        words = text.lower().split() if text else []
+        words = words_of(text)
         if not words or not self.items:
             return []
         get = self.term.get
@@ -159,8 +170,10 @@ class Index:
             for unit in self.retrieve(term[low:high].tolist(), threshold):
                 if held is None:
                     held = shingles_of_all_sizes(words[w * half : w * half + self.window], self.short)
-                shares = tuple(len(p & held) / len(p) for p in self.units[unit][1])
-                if min(shares) >= overlap:
+                _, parts, told = self.units[unit]
+                whole, *shares = (len(p & held) / len(p) if p else None for p in parts)
+                question, answer = shares = tuple(whole if share is None else share for share in shares)
+                if min(shares) >= overlap or whole >= overlap and (answer >= overlap or not told):
                     best[unit] = max(best.get(unit, shares), shares)
         seen = Counter(self.units[u][0] for u in best)
         out = []
@@ -185,7 +198,7 @@ class Index:
     def short(self) -> list[int]:
         """Sizes below SHINGLE of parts that are one short shingle."""
         if not hasattr(self, "_short"):
-            self._short = sorted({len(s) for _, parts in self.units for p in parts for s in p} - {SHINGLE})
+            self._short = sorted({len(s) for _, parts, _ in self.units for p in parts for s in p} - {SHINGLE})
         return self._short
 
 
@@ -200,7 +213,7 @@ def index_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterat
     for row in benchmark.select("item_id", "question", "answer").orderBy("item_id", "question", "answer").toLocalIterator():
         item = (row["item_id"], row["question"] or "", row["answer"] or "")
         items.append(item)
-        words += len(item[1].split()) + len(item[2].split())
+        words += len(words_of(item[1])) + len(words_of(item[2]))
         if words >= shard_words:
             yield Index(items)
             items, words = [], 0
@@ -216,14 +229,14 @@ def lots(shards: Iterator[Index]) -> Iterator[list[Index]]:
 
 def questions(benchmark: DataFrame) -> DataFrame:
     """(item_id, question, answer) from items that have one text: up to its first question mark and the rest;
-    without one, the first two thirds of the words and the rest."""
-    text, words = F.coalesce("text", F.lit("")), F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    mark, cut = F.instr(text, "?"), F.ceil(F.size(words) * 2 / 3).cast("int")
+    without one, all of it is the question, as nothing tells where an answer would begin."""
+    text = F.coalesce("text", F.lit(""))
+    mark = F.instr(text, "?")
     asked = (mark > 0) & (mark < F.length(text))
     return benchmark.select(
         "item_id",
-        F.when(asked, F.substring(text, F.lit(1), mark)).otherwise(F.array_join(F.slice(words, F.lit(1), cut), " ")).alias("question"),
-        F.when(asked, F.substring(text, mark + 1, F.length(text))).otherwise(F.array_join(F.slice(words, cut + 1, F.size(words)), " ")).alias("answer"),
+        F.when(asked, F.substring(text, F.lit(1), mark)).otherwise(text).alias("question"),
+        F.when(asked, F.substring(text, mark + 1, F.length(text))).otherwise("").alias("answer"),
     )
 
 

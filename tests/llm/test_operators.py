@@ -182,6 +182,20 @@ def test_decontamination(spark, rows):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_beside_punctuation(spark):
+    rng = random.Random(10)
+    items = [(i, text(rng, 18)) for i in range(6)] + [(6, f"Which {text(rng, 14)}? {text(rng, 6)}"), (7, f"Which {text(rng, 12)}? {text(rng, 6)}")]
+    body = dict(items)
+    rows = [(i, f"{text(rng, 30)} ({body[i]}), {text(rng, 40)}") for i in range(7)]
+    # one of the last words is another: 80 % of the item occurs, not of its last third
+    rows += [(20, f"{text(rng, 30)} {' '.join(body[2].split()[:-2])} {text(rng, 40)}")]
+    # a question without its answer is no hit, where the item tells them apart
+    rows += [(21, f"{text(rng, 30)} {body[7].split('?')[0]}? {text(rng, 40)}")]
+    bench = decontaminate.questions(spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i) for i in range(7)} | {(20, 2)}
+
+
 def test_wand_finds_all_above():
     rng = random.Random(6)
     index = decontaminate.Index([(i, text(rng, 30), text(rng, 6)) for i in range(40)])
