@@ -326,3 +326,32 @@ def test_near_duplicates_of_common_passages(spark):
         kept = neardup.near_duplicates(df, common=common, block=block).where("kept").collect()
         assert len(kept) == len(set(group)) == 41
         assert sorted(r["doc_id"] for r in kept) == list(range(41))
+
+
+def near_pairs(rng, n, edits):
+    """Texts of n words and copies with as many scattered edits, whose shingles are told by brute force."""
+    out = []
+    for many in edits:
+        base = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+        near = base.copy()
+        for k in rng.choice(n, many, replace=False):
+            near[k] = f"edit{k}"
+        out += [" ".join(base), " ".join(near)]
+    return out
+
+
+def brute_kept(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in texts for w in [t.split()]]
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return sorted(set(components(range(len(texts)), links).values())), len(links)
+
+
+def kept_of(spark, texts, **how):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in neardup.near_duplicates(df, **how).where("kept").collect())
+
+
+def test_near_duplicates_of_long_texts(spark):
+    texts = near_pairs(np.random.default_rng(11), 700, list(range(13, 21)) * 5)
+    want, links = brute_kept(texts)
+    assert 10 < links < 35 and kept_of(spark, texts) == want
