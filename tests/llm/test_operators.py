@@ -355,3 +355,14 @@ def test_near_duplicates_of_long_texts(spark):
     texts = near_pairs(np.random.default_rng(11), 700, list(range(13, 21)) * 5)
     want, links = brute_kept(texts)
     assert 10 < links < 35 and kept_of(spark, texts) == want
+
+
+def test_near_duplicates_of_contained_texts_of_a_common_passage(spark):
+    rng = np.random.default_rng(12)
+    header = " ".join(f"h{x}" for x in range(40))
+    texts = []
+    for _ in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 1210)]
+        texts += [f"{header} {' '.join(base)}", f"{header} {' '.join(base[: int(rng.integers(955, 968))])}"]
+    want, links = brute_kept(texts)
+    assert 50 < links < 150 and kept_of(spark, texts, common=4, block=64) == want
