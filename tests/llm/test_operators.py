@@ -366,3 +366,13 @@ def test_near_duplicates_of_contained_texts_of_a_common_passage(spark):
         texts += [f"{header} {' '.join(base)}", f"{header} {' '.join(base[: int(rng.integers(955, 968))])}"]
     want, links = brute_kept(texts)
     assert 50 < links < 150 and kept_of(spark, texts, common=4, block=64) == want
+
+
+def test_near_duplicates_of_repetitive_texts(spark):
+    rng = np.random.default_rng(13)
+    texts = []
+    for _ in range(40):
+        body, line = ([f"w{x}" for x in rng.integers(0, 10**6, n)] for n in (200, 12))
+        texts += [" ".join(body + line * 40), " ".join(body + line * 2)]
+    want, links = brute_kept(texts)
+    assert links == 40 and kept_of(spark, texts) == want
