@@ -91,14 +91,24 @@ def hash_share(key: F.Column) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(key.cast("string")), 11).cast("double") / float(1 << 53)
 
 
+def hub_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """An equi-join whose hot keys AQE can split, also where one side has just been aggregated by the key.
+
+    Joined by the key and a hash of it, neither side is already dealt out as the join needs it, so both get an
+    exchange of the join's own, and only such exchanges are split.
+    """
+    hashed = F.xxhash64(key)
+    return left.withColumn("_hub", hashed).join(right.withColumn("_hub", hashed), [key, "_hub"], how).drop("_hub")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of undirected edges (a, b) of any ordered type: rows (node, component), component the
     smallest node that can be reached. Nodes without an edge to another node don't appear; null ends are
     ignored.
 
     Alternating large-star and small-star rounds: in each, nodes pass the smallest neighbour on by an
-    aggregation (combined before the shuffle) and an equi-join (which AQE splits for hubs), so no
-    neighbour list is ever gathered. Every round is written to the shared folder. Rounds grow with the
+    aggregation (combined before the shuffle) and a join whose hubs AQE splits, so no neighbour list is
+    ever gathered. Every round is written to the shared folder. Rounds grow with the
     logarithm of the longest path.
     """
     now = materialise(
@@ -117,10 +127,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")),
                                             F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("s")).select("s.*")
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = hub_join(both.where(F.col("v") > F.col("u")), least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
-            large.join(least, "hi")
+            hub_join(large, least, "hi")
             .select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), "hi"))).alias("s"))
             .select("s.*").where(F.col("lo") != F.col("hi")).distinct()
         )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, sorted_groups
+from .common import discard, hub_join, materialise, small_batches, sorted_groups
 from .suffixes import anchored_windows, repeated_starts
 
 LENGTH, CROWD = 400, 2048
@@ -128,7 +128,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     """(doc_id, digest, spans): runs of starts of repeated strings, for documents (doc_id, text, digest) that have any."""
     found = materialise(windows_of(docs, length))
     shared = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") < F.max("content")).alias("mixed")).where(F.col("n") > 1).drop("n")
-    met = materialise(found.join(shared, "anchor"))
+    met = materialise(hub_join(found, shared, "anchor"))
+    discard(found)
     contents = materialise(met.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("doc_id", "digest", "first", "last", "place")).alias("one")))
     mixed = contents.where("mixed")
     crowded = mixed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor", F.lit(True).alias("crowded"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, small_batches, sorted_groups
+from .common import connected_components, hub_join, materialise, small_batches, sorted_groups
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -148,6 +148,6 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, block
     members = materialise(connected_components(fingerprint_links(prints, radius, blocks)))
     named = members.join(classes, members["node"] == classes["fp"])
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    linked = members.join(least, "component").select(F.col("node").alias("fp"), "component_id")
+    linked = hub_join(members, least, "component").select(F.col("node").alias("fp"), "component_id")
     of = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return hub_join(prints, of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

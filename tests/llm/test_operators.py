@@ -56,6 +56,25 @@ def test_connected_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_hub_joins_are_split(spark):
+    """A hot key meets its own aggregate; with small thresholds the plan that ran must have split it."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+             "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 60_000, 1, 8).selectExpr("if(id % 3 = 0, 0, id) as u", "id as v")
+        joined = common.hub_join(rows, rows.groupBy("u").agg({"v": "min"}), "u")
+        assert joined.count() == 60_000 and joined.columns == ["u", "v", "min(v)"]
+        joined.write.format("noop").mode("overwrite").save()
+        listed = joined.collect()
+        assert len(listed) == 60_000 and "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_quality(spark, rows):
     rng = random.Random(2)
     good = [(i, text(rng, 80), "en", "a") for i in range(150)]
@@ -322,7 +341,7 @@ def test_near_duplicates_of_common_passages(spark):
         for b in range(a):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 group = [group[b] if g == group[a] else g for g in group]
-    for common, block in [(256, 4096), (4, 4096), (4, 7)]:
+    for common, block in [(256, 4096), (4, 4096), (4, 7), (4, 2)]:
         kept = neardup.near_duplicates(df, common=common, block=block).where("kept").collect()
         assert len(kept) == len(set(group)) == 41
         assert sorted(r["doc_id"] for r in kept) == list(range(41))
