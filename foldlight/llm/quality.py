@@ -6,7 +6,8 @@ softmax over a document's passages of w . (tanh(V h) * sigmoid(U h)), weighs the
 layer scores the weighted sum. Encoder, attention and scorer are learned together from document labels.
 
 Fitting uses a bounded sample: labelled documents in the order of a hash of doc_id, at most `max_docs`
-of them and `max_passages` passages together. Scoring reads every whole text; weights have a fixed size.
+of them and `max_passages` passages together; texts of more than `max_bag` passages don't train, so that
+no text, however long, takes the place of the others. Scoring reads every whole text; weights have a fixed size.
 
 Defined results: null and empty texts are a bag of one empty passage. Where no label or only one label
 value is known, every score is the share of label 1 (0.5 without labels). Several labels of one document
@@ -28,6 +29,7 @@ PASSAGE = 512
 TRIGRAMS = 256
 MAX_DOCS = 3000
 MAX_PASSAGES = 24_000
+MAX_BAG = 400
 THRESHOLD = 0.3
 #: Bytes encoded at once.
 SLICE = 1 << 20
@@ -129,13 +131,13 @@ class AttentionMIL:
         return self.forward(np.clip((x - self.mean) * self.scale, -8, 8), bags)["score"].astype(float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES) -> AttentionMIL | float:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES, max_bag: int = MAX_BAG) -> AttentionMIL | float:
     """Learn from documents (doc_id, text) that have a 0/1 label; the share of 1 if there is nothing to tell apart."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"))
     place = hash_share(F.col("doc_id"))
-    have = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("n"))
+    have = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).where(F.col("n") <= max_bag)
     share = 3.0 * max_docs / max(1, known.count())  # three times as many as needed leave the tasks that read
     labelled = have.join(known.where(place < share), "doc_id").withColumn("place", place)
     first = labelled.orderBy("place", "doc_id", "n").limit(max_docs)
@@ -156,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: in
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "bag"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most max_docs ids
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bag * PASSAGE)
+    sample = short.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most max_docs ids
     got = sorted((r["doc_id"], bytes(r["bag"])) for r in sample.mapInArrow(run, f"doc_id {kind}, bag binary").toLocalIterator())
     x = np.concatenate([np.frombuffer(bag, np.float16).reshape(-1, WIDTH) for _, bag in got]).astype(np.float32)
     bags = np.array([len(bag) // (2 * WIDTH) for _, bag in got])
