@@ -12,8 +12,9 @@ question, occur in the window, and as many of its answer's (a part of fewer word
 nothing tells the answer from the question, the whole is enough, or the first two thirds and the rest. An
 item hits a document if all its units do.
 
-The index is built in shards of at most SHARD_WORDS words, sent to the tasks at most SENT at a time, so what
-is sent has a bound; documents are searched against one lot of shards after another.
+The index is built in shards of at most SHARD_WORDS words and SHARD_ITEMS items, so a shard's matrix of block
+maxima has at most some 30 MB, and sent to the tasks at most SENT shards and SENT_BYTES of matrices at a time;
+documents are searched against one lot of shards after another.
 
 Defined results: null and empty texts hit nothing; items without a word are never hit; an item without an
 answer (or question) is verified by the other part. Repeated item rows give repeated hits of one item_id,
@@ -26,7 +27,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches
 
-UNIT, SHARD_WORDS, SENT, SHINGLE = 256, 20_000, 20, 5
+UNIT, SHARD_WORDS, SHARD_ITEMS, SENT, SHINGLE = 256, 20_000, 1024, 20, 5
 THRESHOLD, OVERLAP = 0.5, 0.8
 K1, B = 1.2, 0.75
 BLOCK = 4
+SENT_BYTES = 100_000_000
 WORD = re.compile(r"[^\W_]+")
 #: Terms of windows whose bounds are summed at once.
 PAIRS = 1 << 14
@@ -206,15 +207,15 @@ def shingles_of_all_sizes(words: list[str], short: list[int]) -> set[tuple[str,
     return {tuple(words[i : i + n]) for n in [SHINGLE, *short] for i in range(len(words) - n + 1)}
 
 
-def index_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[Index]:
-    """Indexes of the items (item_id, question, answer), each of at most shard_words words and one item more."""
+def index_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS, shard_items: int = SHARD_ITEMS) -> Iterator[Index]:
+    """Indexes of the items (item_id, question, answer), each of at most shard_items items, and shard_words words and one item more."""
     items: list[tuple[object, str, str]] = []
     words = 0
     for row in benchmark.select("item_id", "question", "answer").orderBy("item_id", "question", "answer").toLocalIterator():
         item = (row["item_id"], row["question"] or "", row["answer"] or "")
         items.append(item)
         words += len(words_of(item[1])) + len(words_of(item[2]))
-        if words >= shard_words:
+        if words >= shard_words or len(items) >= shard_items:
             yield Index(items)
             items, words = [], 0
     if items:
@@ -222,8 +223,14 @@ def index_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterat
 
 
 def lots(shards: Iterator[Index]) -> Iterator[list[Index]]:
-    """Up to SENT shards at a time."""
-    while lot := list(islice(shards, SENT)):
+    """Up to SENT shards, and SENT_BYTES of matrices and one shard more, at a time."""
+    lot: list[Index] = []
+    for shard in shards:
+        lot.append(shard)
+        if len(lot) == SENT or sum(s.bounds.nbytes for s in lot) >= SENT_BYTES:
+            yield lot
+            lot = []
+    if lot:
         yield lot
 
 
