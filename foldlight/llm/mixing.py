@@ -17,13 +17,15 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 #: Documents of the largest source in a bucket of the shuffled order, and entries in one of the global order, on average.
 BUCKET_ROWS = 4096
+#: Slots of the global order whose totals are summed in one window.
+GROUP_SLOTS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -54,6 +56,12 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (3, 1, 2), shar
     return line.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("line") * F.col("weight"), F.col("cap")))).drop("weight", "cap", "level", "at", "line")
 
 
+def first_over(sums: DataFrame, key: str, before: int, budget: float) -> Row | None:
+    """(key, before) of the first row of (key, words) by key at which the words add up to more than the budget."""
+    running = sums.withColumn("upto", F.sum("words").over(Window.orderBy(key)) + before)
+    return running.where(F.col("upto") > budget).orderBy(key).select(key, (F.col("upto") - F.col("words")).alias("before")).first()
+
+
 def weighted_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 13) -> DataFrame:
     """(doc_id, source, text_md5, size, source_size, target, finish, copies) for each document.
 
@@ -86,16 +94,20 @@ def weighted_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: f
         return F.struct(((F.col("done") + F.col("source_size") * copy) / F.col("target")).alias("finish"), F.col("src"), F.col("key"))
 
     entries = queued.where(F.col("target") > 0).select(F.explode(F.array(*(place(c) for c in range(repeats)))).alias("place"), "size").withColumn("slot", F.floor(F.col("place.finish") * slots))
-    sums = entries.groupBy("slot").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.orderBy("slot")))
-    cut = sums.where(F.col("upto") > budget).agg(F.min_by(F.struct("slot", (F.col("upto") - F.col("words")).alias("before")), "slot").alias("s")).select("s.*").first()
+    # the slot in which the budget ends: first among groups of slots, then inside one group
+    sums = materialise(entries.groupBy("slot").agg(F.sum("size").alias("words")))
+    groups = sums.groupBy(F.floor(F.col("slot") / GROUP_SLOTS).alias("at")).agg(F.sum("words").alias("words"))
+    part, cut = first_over(groups, "at", 0, budget), None
+    if part is not None:
+        cut = first_over(sums.where(F.floor(F.col("slot") / GROUP_SLOTS) == part["at"]), "slot", part["before"], budget)
     copies = F.lit(0)
-    if cut is not None and cut["slot"] is not None:
+    if cut is not None:
         within = entries.where(F.col("slot") == cut["slot"]).withColumn("upto", F.sum("size").over(Window.orderBy("place")) + cut["before"])
         last = within.where(F.col("upto") <= budget).agg(F.max("place").alias("p")).select("p.finish", "p.src.missing", "p.src.name", "p.key").first()
         end = F.struct(F.lit(last["finish"]).cast("double"), F.struct(F.lit(last["missing"]).cast("boolean"), F.lit(last["name"]).cast("string")), F.lit(last["key"]).cast("string"))
     for c in range(repeats):
         taken = F.col("target") > 0
-        if cut is not None and cut["slot"] is not None:
+        if cut is not None:
             slot = F.floor(place(c)["finish"] * slots)
             taken = taken & ((slot < cut["slot"]) | ((slot == cut["slot"]) & (place(c) <= end) if last["finish"] is not None else F.lit(False)))
         copies = copies + F.when(taken, 1).otherwise(0)
