@@ -7,13 +7,14 @@ shard holds `per_shard` consecutive slots. Shards are dealt out by slot and writ
 fixed size for each slot, so slot s is at a byte that a division gives: reading is sequential, and a run
 resumes at any slot.
 
-Tokens are written to the shared folder once and numbered by their place there: rows counted before each
-file (one row a file), plus the row's place in its file. So tokens are shuffled once, by shard. The written
-table doesn't change, so a lost executor changes no number; the same input files, read in the same splits,
-give the same order.
-
-Defined results: null and empty texts are one sequence with the end token only. Repeated
-rows are sequences of their own. A null doc_id is a document like any other. An empty table gives no sequence. Other columns are ignored.
+Documents are first dealt out in ranges of a key (md5 of doc_id and text) and sorted by it, so a sequence's
+index, and with it its slot, depends on the table's rows alone, not on files or splits. Tokens are written to
+the shared folder once, a file for each range, and numbered by their place there: rows counted before each
+file (one row a file), plus the row's place in its file. So tokens are shuffled once, into ranges of shards.
+
+Defined results: null and empty texts are one sequence with the end token only. Repeated rows are sequences of
+their own, one after the other before the permutation. A null doc_id is a document like any other. An empty
+table gives no sequence. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -39,8 +40,8 @@ END_TOKEN = 50256
 LENGTH, PER_SHARD, ROUNDS = 512, 4096, 6
 #: Pieces of text whose tokens a worker remembers.
 REMEMBERED = 500_000
-#: Rows of the table of files, about 100 bytes each, that are sent to all tasks; beyond, it is joined by a shuffle.
-SENT_FILES = 100_000
+#: Bytes of text in a range of keys, and the most ranges (also of shards).
+RANGE_BYTES, RANGES = 16 << 20, 20_000
 #: A blank before another white space.
 BESIDE = re.compile(r" \s")
 
@@ -133,42 +134,62 @@ def feistel(index: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.
     return out.astype(np.int64)
 
 
+def in_key_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), a partition for each range of keys, sorted by key."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    ranges = max(1, min(RANGES, -(-size // RANGE_BYTES)))
+    key = F.md5(F.concat(F.col("doc_id").isNull().cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))).cast("binary"))
+    at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges).cast("int")
+    return docs.select("doc_id", "text", key.alias("key")).repartitionById(ranges, at).sortWithinPartitions("key").select("doc_id", "text")
+
+
 def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens), sorted by slot inside each shard."""
-    made = materialise(sequences(docs, length, vocabulary, pattern, end))
+    """(slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens), in ranges of shards, sorted by slot inside each."""
+    made = materialise(sequences(in_key_order(docs), length, vocabulary, pattern, end))
     at = F.col("_metadata.file_name")
     files = made.groupBy(at.alias("file")).agg(F.count("*").alias("n"))
-    before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    facts = files.agg(F.count("*").alias("files"), F.sum("n").alias("rows")).first()
-    total = facts["rows"] or 0
-    if facts["files"] <= SENT_FILES:
-        before = F.broadcast(before)
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = files.agg(F.sum("n").alias("rows")).first()["rows"] or 0
+    shards = max(1, -(-total // per_shard))
+    parts = min(shards, RANGES)
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), total, key))
 
-    numbered = made.select("*", at.alias("file"), F.col("_metadata.row_index").alias("inside")).join(before, "file")
+    numbered = made.select("*", at.alias("file"), F.col("_metadata.row_index").alias("inside")).join(F.broadcast(before), "file")  # at most RANGES rows
     placed = numbered.withColumn("slot", slot(F.col("before") + F.col("inside"))).withColumn("shard", F.floor(F.col("slot") / per_shard))
     return (
         placed.select("slot", "shard", ((F.col("slot") % per_shard) * (2 * length + 1)).alias("byte_offset"), "doc_id", "chunk", "n_tokens", "tokens")
-        .repartition("shard").sortWithinPartitions("shard", "slot")
+        .repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
     )
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """One file in path/shard=N for each shard: for each slot its tokens' bytes and a line feed, nothing else.
+def write_shards(ordered: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """One file in path/shards/shard=N for each shard: for each slot its tokens' bytes and a line feed, nothing
+    else. path/manifest, returned, has a row for each: (shard, first_slot, records, stride, file).
 
     The text writer copies bytes as they are, so the files go to any store that Spark writes to.
     """
-    ordered.select("shard", F.col("tokens").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
+    ordered.select("shard", F.col("tokens").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(f"{path}/shards")
+    spark, stride = ordered.sparkSession, 2 * length + 1
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(f"{path}/shards").select("path", "length")  # no content is read
+    shard = F.regexp_extract("path", r"shard=(\d+)/[^/]*$", 1).cast("long")
+    table = files.select(shard.alias("shard"), (shard * per_shard).alias("first_slot"), F.expr(f"length div {stride}").alias("records"), F.lit(stride).alias("stride"), F.regexp_extract("path", r"(shard=\d+/[^/]*)$", 1).alias("file"))
+    table.write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
 
 
-def read_slots(spark: object, path: str, first: int, last: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+def read_slots(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
     """(slot, tokens) of the slots from first up to last: only the shards that hold them are opened."""
-    stride = 2 * length + 1
-    shards = [f"{path}/shard={s}" for s in range(first // per_shard, -(-last // per_shard))]
-    files = spark.read.format("binaryFile").load(shards).select(F.regexp_extract("path", r"shard=(\d+)/[^/]*$", 1).cast("long").alias("shard"), "content")
-    at = F.explode(F.sequence(F.lit(0), (F.length("content") / stride).cast("int") - 1))
-    rows = files.select("shard", "content", at.alias("at"))
-    return rows.select((F.col("shard") * per_shard + F.col("at")).alias("slot"), F.substring("content", F.col("at") * stride + 1, F.lit(2 * length)).alias("tokens")).where(F.col("slot").between(first, last - 1))
+    manifest = spark.read.parquet(f"{path}/manifest").where((F.col("first_slot") < last) & (F.col("first_slot") + F.col("records") > first))
+    wanted = manifest.select("first_slot", "stride", "file").collect()  # one row for each shard asked for
+    if not wanted:
+        return spark.createDataFrame([], "slot long, tokens binary")
+    stride = wanted[0]["stride"]
+    starts = spark.createDataFrame([(r["file"], r["first_slot"]) for r in wanted], "file string, first_slot long")
+    files = spark.read.format("binaryFile").load([f"{path}/shards/{r['file']}" for r in wanted]).select(F.regexp_extract("path", r"(shard=\d+/[^/]*)$", 1).alias("file"), "content").join(F.broadcast(starts), "file")
+    rows = files.select("first_slot", "content", F.explode(F.sequence(F.lit(0), (F.length("content") / stride).cast("int") - 1)).alias("at"))
+    return rows.select((F.col("first_slot") + F.col("at")).alias("slot"), F.substring("content", F.col("at") * stride + 1, F.lit(stride - 1)).alias("tokens")).where(F.col("slot").between(first, last - 1))
