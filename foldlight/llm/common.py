@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,13 +17,21 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+@cache
+def local_dir() -> str:
+    """A temporary folder of this process, for sessions whose executors are threads of the driver."""
+    return tempfile.mkdtemp(prefix="spark-foldlight-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The shared folder of spark.checkpoint.dir. Only a local session may do without; elsewhere executors
+    couldn't read each other's files, so an error is raised."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-foldlight-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return local_dir()
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 def materialise(df: DataFrame) -> DataFrame:
