@@ -25,7 +25,7 @@ def op2_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"))
 
 
 def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,19 +85,24 @@ FROM named n LEFT JOIN judged j ON j.url = n.url LEFT JOIN spread s ON s.url = n
 """
 
 ORACLE["op4_chat_rotation"] = r"""
-WITH t AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS said, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS piece FROM conversations),
+WITH r AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS said, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS piece FROM conversations),
+h AS (SELECT *, md5(coalesce(role, '') || '|' || CAST(role IS NULL AS INTEGER) || '|' || said) AS h FROM r),
+c AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS rows, row_number() OVER (PARTITION BY conv_id, turn, h) - 1 AS copy FROM h),
+t AS (
+  SELECT *, CASE WHEN rows > 64 THEN turn END AS split_turn, CASE WHEN rows > 64 THEN CAST(floor(CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * ceil(rows / 64)) AS BIGINT) ELSE -1 END AS bucket,
+         CASE WHEN rows > 64 THEN copy // 64 ELSE -1 END AS chunk FROM c),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 p AS (
-  SELECT t.conv_id, s.speaker, t.piece, t.turn, t.role, t.said,
+  SELECT t.conv_id, s.speaker, t.piece, t.split_turn, t.bucket, t.chunk, t.turn, t.h, t.copy,
          CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10) WHEN t.role = 'system' THEN '<|system|>' || chr(10)
               ELSE '<|user name=' || regexp_replace(coalesce(t.role, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') || '|>' || chr(10) END AS head,
          t.said || '<|end|>' || chr(10) AS body, coalesce(t.role = s.speaker, false) AS own
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-e AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, piece ORDER BY turn NULLS FIRST, role NULLS FIRST, said ROWS UNBOUNDED PRECEDING) AS upto FROM p)
-SELECT conv_id, speaker, piece, CAST(count(*) AS INTEGER) AS n_turns,
-       string_agg(head || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, said) AS rendered,
+e AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, piece, split_turn, bucket, chunk ORDER BY turn NULLS FIRST, h, copy ROWS UNBOUNDED PRECEDING) AS upto FROM p)
+SELECT conv_id, speaker, piece, CAST(split_turn AS BIGINT) AS split_turn, bucket, chunk, CAST(count(*) AS INTEGER) AS n_turns,
+       string_agg(head || body, '' ORDER BY turn NULLS FIRST, h, copy) AS rendered,
        coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ',' ORDER BY upto) FILTER (WHERE own), '') AS mask
-FROM e GROUP BY conv_id, speaker, piece
+FROM e GROUP BY conv_id, speaker, piece, split_turn, bucket, chunk
 """
 
 ORACLE["op5_pivot_permutation"] = r"""
