@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from foldlight.llm import chat, common, decontaminate, langid, mixing, neardup, pivots, quality, repeats, simhash, suffixes, tokens, urls
 
 DOCS = "doc_id long, text string, lang string, source string, fp string, size string, key string, digest string, score string"
@@ -91,6 +93,50 @@ def test_quality(spark, rows):
     assert quality.classify_quality(df.limit(0), labels).count() == 0
 
 
+def test_quality_sample_survives_long_texts(spark, monkeypatch):
+    """Very long labelled texts, first by hash or anywhere, neither train nor drive out the others."""
+    rng = random.Random(4)
+    data = [(i, text(rng, 40) if i % 2 else text(rng, 40).upper()) for i in range(60)]
+    long = [(i, "spam " * 700_000) for i in (7, 8)]
+    df = spark.createDataFrame([(i, t) for i, t in data if i not in (7, 8)] + long, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id long, quality int")
+    for shift in (0.0, 1.0):  # in the order of the hash, then these texts first
+        monkeypatch.setattr(quality, "hash_share", lambda key, s=shift: common.hash_share(key) - s * key.isin(7, 8).cast("double"))
+        model = quality.fit(df, labels, max_docs=40, max_passages=200, max_bag=50)
+        assert isinstance(model, quality.AttentionMIL)
+        got = quality.score_texts([t for _, t in data], model)
+        assert np.mean([(s > 0.5) == bool(i % 2) for (i, _), s in zip(data, got, strict=True)]) > 0.9
+
+
+def plain_score(text, model):
+    """A document's score by the definition, passage by passage."""
+    data, rows = (text or "").encode(), []
+    for at in range(0, max(1, len(data)), quality.PASSAGE):
+        part, row = data[at : at + quality.PASSAGE], np.zeros(quality.WIDTH)
+        after = data[at + quality.PASSAGE : at + quality.PASSAGE + 2]
+        if len(data) > 2:
+            n = len(part)
+            whole = part + after
+            for i in range(n):
+                if i + 1 < len(whole):
+                    row[quality.KIND[whole[i]] * quality.KINDS + quality.KIND[whole[i + 1]]] += 100 / n
+                if i + 2 < len(whole):
+                    row[quality.KINDS**2 + ((whole[i] * 961 + whole[i + 1] * 31 + whole[i + 2]) * 40503 >> 7) % quality.TRIGRAMS] += 100 / n
+        rows.append(np.clip((np.log1p(row) - model.mean) * model.scale, -8, 8))
+    p, gate = model.p, lambda x: 1 / (1 + np.exp(-x))
+    h = [np.tanh(x @ p["E"] + p["e"]) for x in rows]
+    weight = np.array([np.exp((np.tanh(x @ p["V"]) * gate(x @ p["U"])) @ p["w"]) for x in h])
+    return float(gate(sum(w * x for w, x in zip(weight / weight.sum(), h, strict=True)) @ p["c"] + p["b"][0]))
+
+
+def test_quality_scores_by_definition(spark, rows):
+    model = quality.AttentionMIL(quality.WIDTH, seed=3)
+    model.p["c"] = model.p["c"] * 5
+    got = sorted((r["doc_id"] or -1, round(r["score"], 4)) for r in quality.score(docs(spark, rows), model).collect())
+    want = sorted((r[0] or -1, plain_score(r[1], model)) for r in rows)
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-3 for a, b in zip(got, want, strict=True))
+
+
 def test_quality_gradient():
     rng = np.random.default_rng(0)
     x, bags, y = rng.standard_normal((9, 5)).astype(np.float32), np.array([2, 3, 4]), np.array([0, 1, 1], np.float32)
@@ -163,6 +209,7 @@ def test_repeats(spark, rows, crowd):
 def test_chat(spark):
     turns = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob b", "yo"), (1, 70, "ann", None), (1, None, None, "?"), (2, 0, "system", "x"), (None, 1, "ann", "a"), (1, 2, "bob b", "yo")]
     out = chat.rotate(spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, speaker string")).collect()
+    assert all(r["split_turn"] is None and r["bucket"] == r["chunk"] == -1 for r in out)
     by = {(r["conv_id"], r["speaker"], r["piece"]): r for r in out}
     assert set(by) == {(1, s, p) for s in ("ann", "bob b") for p in (-1, 0, 1)} | {(None, "ann", 0)}
     r = by[1, "ann", 0]
@@ -170,6 +217,26 @@ def test_chat(spark):
     assert [r["rendered"][s["start"] : s["end"]] for s in r["mask"]] == ["hi < |end|><|end|>\n"]
 
 
+def test_chat_of_many_turns_with_one_number(spark):
+    """Turns without a number, with the same one, and copies of one turn: rows stay small and hold every turn once."""
+    rng = random.Random(12)
+    turns = [(None, t, rng.choice(["ann", "bob", None, "system"]), text(rng, 3)) for t in [None] * 300 + [7] * 200 + [8] * 5]
+    turns += [(None, 9, "ann", "same")] * 150 + [(3, 9, "cy", "x")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat.rotate(frame, piece=8).collect()
+    md5 = lambda role, said: hashlib.md5(f"{role or ''}|{int(role is None)}|{said}".encode()).hexdigest()
+    for speaker in ("ann", "bob"):
+        mine = sorted((r for r in out if r["conv_id"] is None and r["speaker"] == speaker), key=lambda r: (r["piece"], -1 if r["split_turn"] is None else r["split_turn"], r["bucket"], r["chunk"]))
+        assert sum(r["n_turns"] for r in mine) == 655 and max(r["n_turns"] for r in mine) <= 64
+        seen = [x for r in mine for x in r["rendered"].split("<|end|>\n")[:-1]]
+        head = lambda role: "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={role or 'unknown'}|>\n"  # noqa: B023, E731
+        want = [head(r) + t for _, n, r, t in sorted(turns, key=lambda x: (-1 if x[1] is None else x[1], md5(x[2], x[3]))) if _ is None]
+        assert sorted(seen) == sorted(want) and seen[:300] == want[:300]
+        for r in mine:
+            assert [r["rendered"][s["start"] : s["end"]] for s in r["mask"]] == [x + "<|end|>\n" for x in r["rendered"].replace("<|assistant|>\n", "\0").split("<|end|>\n") for x in [x.partition("\0")[2]] if x]
+    assert chat.rotate(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block", [2048, 5])
 def test_vectors(spark, block):
     rng = np.random.default_rng(4)
@@ -242,10 +309,22 @@ def test_tokens(spark, rows, tmp_path):
         parts = sorted(streams[doc[0]], key=lambda r: r["chunk"])
         ids = np.concatenate([np.frombuffer(r["tokens"], np.uint16)[: r["n_tokens"]] for r in parts]).tolist()
         assert ids == encode.encoding.encode_ordinary(doc[1] or "") + [tokens.END_TOKEN]
-    path = f"{tmp_path}/shards"
-    tokens.write_shards(tokens.training_order(df, length=64, per_shard=16), path)
-    again = {r["slot"]: bytes(r["tokens"]) for r in tokens.read_slots(spark, path, 10, 40, length=64, per_shard=16).collect()}
+    # the same rows in other splits and another order have the same slots
+    again = tokens.training_order(df.orderBy(F.rand(5)).repartition(7), length=64, per_shard=16).collect()
+    place = lambda r: (r["slot"], r["shard"], r["byte_offset"], r["doc_id"], r["chunk"], bytes(r["tokens"]))
+    assert sorted(map(place, again), key=lambda x: x[0]) == sorted(map(place, out), key=lambda x: x[0])
+    # slots by the rule: documents by key, their sequences in order, each index through the permutation
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    key = lambda d: md5(f"{str(d[0] is None).lower()}{'' if d[0] is None else d[0]}|{'' if d[1] is None else md5(d[1])}")
+    listed = [(d[0], c) for d in sorted(rows, key=key) for c in range(-(-(len(encode.encoding.encode_ordinary(d[1] or "")) + 1) // 64))]
+    assert {r["slot"]: (r["doc_id"], r["chunk"]) for r in out} == dict(zip(tokens.feistel(np.arange(len(listed)), len(listed), 2024).tolist(), listed, strict=True))
+    assert all(r["shard"] == r["slot"] // 16 and r["byte_offset"] == r["slot"] % 16 * 129 for r in out)
+    path = f"{tmp_path}/order"
+    manifest = tokens.write_shards(tokens.training_order(df, length=64, per_shard=16), path, length=64, per_shard=16).collect()
+    assert sorted((r["shard"], r["first_slot"]) for r in manifest) == [(s, 16 * s) for s in range(-(-len(out) // 16))] and sum(r["records"] for r in manifest) == len(out)
+    again = {r["slot"]: bytes(r["tokens"]) for r in tokens.read_slots(spark, path, 10, 40).collect()}
     assert again == {r["slot"]: bytes(r["tokens"]) for r in out if 10 <= r["slot"] < 40}
+    assert tokens.read_slots(spark, path, 10**6, 10**6 + 5).count() == 0
     assert tokens.training_order(df.limit(0)).count() == 0
 
 
@@ -269,7 +348,42 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.predict(docs(spark, data), {}).collect()} == {"und"}
 
 
+def test_languages_by_definition(spark, rows):
+    """Profiles and distances recomputed character by character; ties, repeated rows, odd ids and an empty table."""
+    from collections import Counter
+
+    def grams(t):
+        low = "".join(c if c.isalpha() else " " for c in (t or "").lower())
+        if not low.strip():
+            return Counter()
+        low = " " + " ".join(low.split()) + " "
+        return Counter(low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1) if not (n == 1 and low[i] == " ") and not (n == 3 and low[i + 1] == " "))
+
+    def code(g):
+        c = [0 if x == " " else ord(x) for x in g]
+        return c[0] if len(c) == 1 else (c[0] << 21 | c[1]) + (1 << 62) if len(c) == 2 else c[0] << 42 | c[1] << 21 | c[2]
+
+    def ranks(counter, size=40):
+        return [g for g, _ in sorted(counter.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+    odd = [(800, "Straße ÉÈ 12 straße", "de", "a"), (801, "a", "en", "a"), (None, "hallo welt", "de", "a"), (None, None, None, None)]
+    data = rows + odd
+    learn = [r for r in data if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 and r[1] is not None and r[2] is not None]
+    profiles = {lang: ranks(sum((grams(r[1]) for r in learn if r[2] == lang), Counter())) for lang in ("de", "en")}
+    want = []
+    for r in data:
+        own = ranks(grams(r[1]))
+        far = {lang: sum(abs(p.index(g) - i) if g in p else 40 for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want.append((-1 if r[0] is None else r[0], *((best, round(1 - far[best] / (40 * len(own)), 9)) if own else ("und", 0.0))))
+    frame = docs(spark, data)
+    got = langid.identify_languages(frame, size=40).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got) == sorted(want)
+    assert langid.identify_languages(frame.limit(0)).count() == 0
+
+
 def test_mix(spark, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SLOTS", 3)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
     df = docs(spark, rows)
     out = mixing.weighted_mix(df).collect()
