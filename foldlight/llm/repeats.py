@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     mixed = contents.where("mixed")
     crowded = mixed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor", F.lit(True).alias("crowded"))
     fetched = materialise(fetch(docs, mixed.select("one.*", "anchor", "content"), length))
-    by_size = fetched.join(crowded, "anchor", "left")
+    by_size = hub_join(fetched, crowded, "anchor", "left")
     whole = contents.where(F.col("n") > 1).select("anchor", "content", F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("one.last") - F.col("one.first")).alias("high"))).alias("runs"))
     some = sorted_windows(by_size.where(F.col("crowded").isNull()).drop("crowded"), length).unionByName(crowded_windows(by_size.where("crowded").drop("crowded"), length))
     marked = whole.unionByName(some)
