@@ -49,11 +49,6 @@ def bin_index(value: Column, edges: Column) -> Column:
     return F.when(value.isNull() | F.isnan(value), -1).when(F.size(edges) < 3, 0).otherwise(F.size(F.filter(inner, lambda e: e <= value)))
 
 
-def quantile_edges(value: Column, bins: int) -> Column:
-    """Aggregate: the distinct quantiles from 0 to 1."""
-    return F.array_sort(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1))))))
-
-
 def uniform_edges(value: Column, bins: int) -> Column:
     low, high = F.min(value), F.max(value)
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: low + (high - low) * i / bins))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .moments import centred, r2, test_errors
+from .quantiles import exact_quantiles
 
 Model = Callable[[np.ndarray, np.ndarray], tuple[float, np.ndarray]]
 Selector = Callable[[np.ndarray, int, int], np.ndarray]
@@ -240,9 +241,9 @@ def tree_predictions(df: DataFrame, features: str, target: str, fold: str, model
 def mutual_information(df: DataFrame, features: str, target: str, bins: int = 8) -> DataFrame:
     """(pos, mi): each feature's mutual information with the target over quantile bins of the given rows (the
     train rows: edges from elsewhere would leak). Counts are combined before the shuffle."""
-    grid = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+    grid = [i / bins for i in range(1, bins)]
     long = df.select(F.col(target).alias("y"), F.posexplode(features).alias("pos", "x"))
-    edges = long.groupBy("pos").agg(F.percentile("x", grid).alias("ex"), F.percentile("y", grid).alias("ey"))
+    edges = exact_quantiles(long, ["pos"], "x", grid).withColumnRenamed("quantiles", "ex").crossJoin(F.broadcast(exact_quantiles(df, [], target, grid).withColumnRenamed("quantiles", "ey")))  # one row
     cells = long.join(F.broadcast(edges), "pos").select("pos", F.size(F.filter("ex", lambda e: e <= F.col("x"))).alias("bx"), F.size(F.filter("ey", lambda e: e <= F.col("y"))).alias("by"))  # one row a feature
     joint = cells.groupBy("pos", "bx", "by").agg(F.count("*").alias("n"))
     x = joint.groupBy("pos", "bx").agg(F.sum("n").alias("nx"))

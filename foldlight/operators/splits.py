@@ -5,12 +5,13 @@ Exact ranks over all rows come from hash buckets and offsets (see ranked()), nev
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from .quantiles import quantile_edges
+
+#: Rows of a bucket of ranked(), on average, and buckets that are summed up in one window.
+BUCKET_ROWS, SPAN = 4096, 1024
 
 
 def shuffle_key(key: Column, seed: int) -> Column:
@@ -18,13 +19,29 @@ def shuffle_key(key: Column, seed: int) -> Column:
 
 
 def ranked(df: DataFrame, order: Column, by: list[str] | None = None) -> DataFrame:
-    """Adds `rank` (from 0) in the order of an md5 text, inside each combination of `by` if given."""
+    """Adds `rank` (from 0) in the order of an md5 text, inside each combination of `by` if given.
+
+    Rows are dealt to even buckets of the order, as many as the table needs; rows before a bucket come from two
+    levels of bucket counts. So no window holds more than about a bucket or SPAN buckets' counts.
+    """
     by = by or []
-    dealt = df.withColumn("_order", order).withColumn("_bucket", F.conv(F.substring("_order", 1, 2), 16, 10).cast("int"))
-    counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    at = F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets)
+    dealt = df.withColumn("_order", order).withColumn("_bucket", at)
+    counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+    sums = counts.groupBy(*by, "_span").agg(F.sum("_n").alias("_n"))
+    upto = lambda order_, *of: F.coalesce(F.sum("_n").over(Window.partitionBy(*by, *of).orderBy(order_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.withColumn("_far", upto("_span")).drop("_n")
+
+    def met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        same = F.lit(True)
+        for c in (*by, *on):
+            same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        return left.alias("l").join(right.alias("r"), same).select("l.*", *(F.col(f"r.{c}") for c in right.columns if c not in (*by, *on)))
+
+    before = met(counts.withColumn("_near", upto("_bucket", "_span")), spans, "_span").select(*by, "_bucket", (F.col("_far") + F.col("_near")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_order")) - 1
-    return dealt.withColumn("_inside", inside).join(before, [*by, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_inside")).drop("_order", "_bucket", "_inside", "_before")
+    return met(dealt.withColumn("_inside", inside), before, "_bucket").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_order", "_bucket", "_inside", "_before")
 
 
 def shuffled_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -37,48 +54,82 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed:
     return ranked(df, shuffle_key(F.col(key), seed), [label]).withColumn("fold", (F.col("rank") % folds).cast("int")).drop("rank")
 
 
-def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """Adds `fold`: groups stay whole, by size descending (then name), each to the lightest fold (then the
-    lowest). Only the table of group sizes is packed in order; it is joined back."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group)
-    load, placed = [(0, k) for k in range(folds)], []
-    for row in sizes.toLocalIterator():  # one row a group, streamed in order
-        n, k = heapq.heappop(load)
-        placed.append((row[group], k))
-        heapq.heappush(load, (n + row["n"], k))
-    table = df.sparkSession.createDataFrame(placed, f"`{group}` {dict(df.dtypes)[group]}, fold int")
-    return df.join(table, group)
-
-
-def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
-    """Adds `fold`: groups stay whole; each goes where it leaves the class counts of folds most even."""
-    counts = df.groupBy(group, label).agg(F.count("*").alias("n")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("string"), "n"))).alias("c"), F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), group).collect()  # one row a group
-    labels = sorted({x for r in rows for x in r["c"]})
-    total = {x: sum(r["c"].get(x, 0) for r in rows) for x in labels}
+def dealt_sizes(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """How groups go to the lightest fold (then the lowest), largest first: for (size, how many groups), descending,
+    rows (size, first, end, turn): groups number first .. end - 1 of that size take the folds of `turn` in turn."""
+    load, out = [0] * folds, []
+    for size, many in sizes:
+        at = 0
+        while at < many:
+            low = min(load)
+            turn = sorted((k for k in range(folds) if load[k] < low + size), key=lambda k: (load[k], k))
+            rest = [x for x in load if x >= low + size]
+            cycles = min((min(rest) - low) // size if rest else many, -(-(many - at) // len(turn)))  # until another fold is light enough too
+            n = min(many - at, cycles * len(turn))
+            out.append((size, at, at + n, turn))
+            for i, k in enumerate(turn):
+                load[k] += size * (n // len(turn) + (i < n % len(turn)))
+            at += n
+    return out
+
+
+def group_folds(df: DataFrame, group: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds `fold`: groups stay whole, by size descending (then shuffled), each to the lightest fold (then the
+    lowest). The driver deals out counts of groups by size alone (N rows have at most sqrt(2 N) different
+    sizes); groups take their fold by their rank among those of their size."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
+    counts = sizes.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()
+    plan = df.sparkSession.createDataFrame(dealt_sizes([(r["_size"], r["n"]) for r in counts], folds), "_size long, _first long, _end long, _turn array<int>")
+    groups = ranked(sizes, shuffle_key(F.col(group), seed), ["_size"])
+    mine = groups.join(plan, "_size").where((F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_end")))
+    table = mine.select(F.col(group).alias("_g"), F.get("_turn", ((F.col("rank") - F.col("_first")) % F.size("_turn")).cast("int")).alias("fold"))
+    return df.join(table, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds `fold`: groups stay whole; each goes where it leaves the class counts of folds most even, largest first.
+
+    Groups with the same class counts are one kind: as many as make whole rounds go to all folds alike, the rest
+    one by one. The driver holds one row for each kind, groups take their fold by their rank in it."""
+    counts = df.groupBy(group, label).agg(F.count("*").alias("n")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(label).cast("string").alias("c"), "n"))).alias("c"), F.sum("n").alias("n"))
+    groups = counts.withColumn("_kind", F.to_json("c"))
+    rows = groups.groupBy("_kind").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.count("*").alias("many")).orderBy(F.desc("n"), "_kind").collect()
+    labels = sorted({x["c"] for r in rows for x in r["c"]}, key=str)
+    total = {x: sum(y["n"] * r["many"] for r in rows for y in r["c"] if y["c"] == x) for x in labels}
     have, placed = [dict.fromkeys(labels, 0) for _ in range(folds)], []
     for r in rows:
-        def uneven(k: int, r: object = r) -> tuple[float, int, int]:
-            spread = 0.0
-            for x in labels:
-                shares = [(have[j][x] + (r["c"].get(x, 0) if j == k else 0)) / total[x] for j in range(folds)]
-                mean = sum(shares) / folds
-                spread += sum((s - mean) ** 2 for s in shares)
-            return round(spread, 12), sum(have[k].values()), k
-
-        k = min(range(folds), key=uneven)
-        placed.append((r[group], k))
-        for x, n in r["c"].items():
-            have[k][x] += n
-    return df.join(df.sparkSession.createDataFrame(placed, f"`{group}` {dict(df.dtypes)[group]}, fold int"), group)
+        own, even = {x["c"]: x["n"] for x in r["c"]}, r["many"] // folds
+        for k in range(folds):
+            for x, n in own.items():
+                have[k][x] += n * even
+        rest = []
+        for _ in range(r["many"] % folds):
+
+            def uneven(k: int, own: dict[str, int] = own) -> tuple[float, int, int]:
+                spread = 0.0
+                for x in labels:
+                    shares = [(have[j][x] + (own.get(x, 0) if j == k else 0)) / total[x] for j in range(folds)]
+                    mean = sum(shares) / folds
+                    spread += sum((s - mean) ** 2 for s in shares)
+                return round(spread, 12), sum(have[k].values()), k
+
+            k = min(range(folds), key=uneven)
+            rest.append(k)
+            for x, n in own.items():
+                have[k][x] += n
+        placed.append((r["_kind"], even * folds, rest))
+    plan = df.sparkSession.createDataFrame(placed, "_kind string, _even long, _rest array<int>")
+    places = ranked(groups.select(F.col(group).alias("_g"), "_kind"), shuffle_key(F.col("_g"), seed), ["_kind"]).join(plan, "_kind")
+    fold = F.when(F.col("rank") < F.col("_even"), (F.col("rank") % folds).cast("int")).otherwise(F.get("_rest", (F.col("rank") - F.col("_even")).cast("int")))
+    return df.join(places.select("_g", fold.alias("fold")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def regression_strata(df: DataFrame, target: str, folds: int = 5, bins: int = 5) -> DataFrame:
     """Adds `stratum`: quantile bins, fewer until each has a row for every fold; 0 throughout if two bins are too many."""
-    from ..functions.labels import bin_index, quantile_edges
+    from ..functions.labels import bin_index
 
     for n in range(bins, 1, -1):
-        edges = df.agg(quantile_edges(F.col(target), n).alias("edges"))
+        edges = quantile_edges(df, target, n)
         out = df.crossJoin(F.broadcast(edges)).withColumn("stratum", bin_index(F.col(target), F.col("edges"))).drop("edges")  # one row
         least = out.groupBy("stratum").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.count("*").alias("bins")).first()
         if least["bins"] >= 2 and least["least"] >= folds:

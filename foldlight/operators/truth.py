@@ -9,11 +9,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
+
+#: Characters of the pieces by which names that contain each other are found.
+GRAM = 3
+
+
+def pieces(text: str, size: int) -> Column:
+    """All substrings of one size."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.when(F.length(text) >= size, F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def holding(inner: DataFrame, outer: DataFrame, row: str) -> DataFrame:
+    """Pairs (_in, _out, row) where a text of outer (_out, row) contains one of inner (_in).
+
+    A text is looked up by its rarest piece of GRAM characters, which all texts that contain it hold (shorter
+    texts by themselves), so only such candidates are compared.
+    """
+    held = F.array_distinct(F.flatten(F.array_compact(F.array(*(pieces("_out", n) for n in range(1, GRAM + 1))))))
+    listed = outer.select("_out", row, F.explode(held).alias("_piece"))
+    counts = listed.groupBy("_piece").agg(F.count("*").alias("_n"))
+    own = inner.select("_in", F.explode(F.array_distinct(F.coalesce(pieces("_in", GRAM), F.array("_in")))).alias("_piece"))
+    rarest = own.join(counts, "_piece").groupBy("_in").agg(F.min(F.struct("_n", "_piece")).alias("_p"))
+    return listed.join(rarest.select("_in", F.col("_p._piece").alias("_piece")), "_piece").where(F.contains("_out", "_in")).select("_in", "_out", row)
+
 
 def match_by_name(samples: DataFrame, truth: DataFrame, name: str, truth_name: str, order: str, last: bool = False, both_ways: bool = False) -> DataFrame:
     """Each sample with the truth row of its name (trimmed, lower case; the first by `order`, or the last); left
     over samples by a truth name that contains theirs (or, both_ways, either way). Adds `matched` (exact,
-    contains or null). Only samples without an exact match meet the truth table in a theta join."""
+    contains or null). Only samples without an exact match look for texts that contain each other."""
     pick = F.max_by if last else F.min_by
     keyed = truth.withColumn("_t", F.lower(F.trim(truth_name))).where(F.col("_t").isNotNull() & (F.col("_t") != ""))
     fields = [c for c in truth.columns]
@@ -22,15 +48,29 @@ def match_by_name(samples: DataFrame, truth: DataFrame, name: str, truth_name: s
     exact = rows.join(unique, rows["_n"] == unique["_t"], "left")
     done = exact.where(F.col("_row").isNotNull()).select(*samples.columns, "_row", F.lit("exact").alias("matched"))
     open_ = exact.where(F.col("_row").isNull()).select(*samples.columns, "_n")
-    holds = F.contains(F.col("_t"), F.col("_n"))
-    if both_ways:
-        holds = holds | F.contains(F.col("_n"), F.col("_t"))
     names = open_.select("_n").where(F.col("_n").isNotNull() & (F.col("_n") != "")).distinct()
-    near = names.join(unique, holds).groupBy("_n").agg(pick("_row", F.col("_order")).alias("_row"))
+    texts = unique.select(F.col("_t").alias("_out"), F.struct("_row", "_order").alias("_of"))
+    pairs = holding(names.select(F.col("_n").alias("_in")), texts, "_of").select(F.col("_in").alias("_n"), "_of")
+    if both_ways:
+        around = holding(unique.select(F.col("_t").alias("_in")), names.select(F.col("_n").alias("_out"), F.col("_n").alias("_name")), "_name")
+        pairs = pairs.unionByName(around.join(texts.withColumnRenamed("_out", "_text"), F.col("_in") == F.col("_text")).select(F.col("_name").alias("_n"), "_of"))
+    near = pairs.groupBy("_n").agg(pick("_of._row", F.col("_of._order")).alias("_row"))
     rest = open_.join(near, "_n", "left").select(*samples.columns, "_row", F.when(F.col("_row").isNotNull(), "contains").alias("matched"))
     return done.unionByName(rest).select(*samples.columns, *(F.col(f"_row.{c}").alias(c) for c in fields if c not in samples.columns), "matched")
 
 
+def class_of(samples: DataFrame, truth: DataFrame, name: str, truth_name: str, label: str, order: str, value: str | None = None) -> DataFrame:
+    """Adds `class`: the last truth row of the sample's name, exact, or containing either way, gives the class of
+    its text `label`; without such a row or text, the class of its measured flavonols `value`; then 3."""
+    from ..functions.labels import flavonol_class, normalise, symptom_class
+
+    keep = [c for c in samples.columns]
+    found = match_by_name(samples, truth.select(truth_name, order, label, *([value] if value else [])), name, truth_name, order, last=True, both_ways=True)
+    text = F.when(F.trim(F.col(label)) != "", symptom_class(normalise(F.col(label))))
+    measured = flavonol_class(F.col(value).cast("double")) if value else F.lit(3)
+    return found.select(*keep, F.coalesce(text, measured).alias("class"), "matched")
+
+
 def group_key(*parts: Column) -> Column:
     """Parts joined by a bar; a blank result is `unknown`."""
     joined = F.concat_ws("|", *(F.trim(p.cast("string")) for p in parts))
@@ -56,12 +96,13 @@ def task_grid(targets: DataFrame, selectors: list[str], models: list[str], seeds
 
 def iqr_bounds(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """One row with low and high bounds of each column, of its non-null and non-NaN values."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("s")).select("s.*")
+    quartiles = exact_quantiles(long, ["name"], "v", [0.25, 0.75])
     aggs = []
     for c in columns:
-        v = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        q1, q3 = F.percentile(v, F.lit(0.25)), F.percentile(v, F.lit(0.75))
+        q1, q3 = (F.max(F.when(F.col("name") == c, F.get("quantiles", F.lit(i)))) for i in (0, 1))
         aggs += [(q1 - factor * (q3 - q1)).alias(f"{c}_low"), (q3 + factor * (q3 - q1)).alias(f"{c}_high")]
-    return df.agg(*aggs)
+    return quartiles.agg(*aggs)
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
@@ -118,10 +159,23 @@ def isolation_scores(df: DataFrame, features: str, key: str, trees: int = 200, s
 def isolation_outliers(df: DataFrame, features: str, key: str, contamination: float = 0.05, **options: int) -> DataFrame:
     """Adds `outlier_isolation`: the score is above the quantile that leaves `contamination`."""
     scored = isolation_scores(df, features, key, **options)
-    cut = scored.agg(F.percentile("isolation", F.lit(1 - contamination)).alias("_cut"))
+    cut = exact_quantiles(scored, [], "isolation", [1 - contamination]).select(F.get("quantiles", F.lit(0)).alias("_cut"))
     return scored.crossJoin(F.broadcast(cut)).withColumn("outlier_isolation", F.col("isolation") > F.col("_cut")).drop("_cut")  # one row
 
 
+def outlier_report(df: DataFrame, columns: list[str], features: str | None = None, key: str | None = None, contamination: float = 0.05, factor: float = 1.5, **options: int) -> DataFrame:
+    """iqr_outliers() and, if features are given, isolation_outliers(): adds `outlier`, true if any of them says
+    so, and all reasons, `isolation` last. Rows without features can only be outliers by their columns."""
+    out = iqr_outliers(df, columns, factor)
+    by_column = F.greatest(*(F.col(f"outlier_{c}") for c in columns), F.lit(False))
+    if features is None:
+        return out.withColumn("outlier", by_column)
+    scored = isolation_outliers(out, features, key, contamination, **options).unionByName(out.where(F.col(features).isNull()), allowMissingColumns=True)
+    far = F.coalesce("outlier_isolation", F.lit(False))
+    reasons = F.concat_ws(",", F.when(F.col("reasons") != "", F.col("reasons")), F.when(far, F.lit("isolation")))
+    return scored.withColumns({"outlier_isolation": far, "reasons": reasons, "outlier": by_column | far})
+
+
 def act_on_outliers(df: DataFrame, flags: list[str], action: str = "warn") -> DataFrame:
     """`none` and `warn` pass all rows (warn keeps the flags), `drop` leaves those without a flag."""
     if action not in ("none", "warn", "drop"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 from statistics import NormalDist
@@ -11,48 +12,96 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.permute import feistel, mix64
 from ..operators.moments import Moments, fold_moments
+from ..operators.splits import ranked, shuffle_key, shuffled_folds
 from .evaluate import fold_scores
 
 
-def bca_interval(y: np.ndarray, pred: np.ndarray, n_boot: int = 1000, seed: int = 42, alpha: float = 0.05) -> dict[str, object]:
-    """R2 with a bias-corrected accelerated interval from paired resamples; `degenerate` for a constant truth,
-    the percentile form where the correction fails."""
-    n = len(y)
-    z = np.stack((np.ones(n), y, y * y, (y - pred) ** 2), axis=1)
-
-    def r2(s: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return 1 - s[..., 3] / (s[..., 2] - s[..., 1] ** 2 / s[..., 0])
-
-    if n < 2 or np.ptp(y) == 0:
-        return {"r2": None, "low": None, "high": None, "method": "degenerate", "n_boot": 0}
-    z[:, 1] -= y.mean()
-    z[:, 2] = z[:, 1] ** 2
-    point, rng = float(r2(z.sum(0))), np.random.default_rng(seed)
-    draws = r2(np.stack([z[rng.integers(0, n, n)].sum(0) for _ in range(n_boot)]))
-    draws = draws[np.isfinite(draws)]
-    left_out = r2(z.sum(0) - z)
-    away = left_out.mean() - left_out
-    spread, share = (away**2).sum(), (draws < point).mean()
-    normal, method, at = NormalDist(), "percentile", [alpha / 2, 1 - alpha / 2]
-    if 0 < share < 1 and spread > 0:
-        z0, a = normal.inv_cdf(share), (away**3).sum() / (6 * spread**1.5)
+def bca_interval(point: float, draws: np.ndarray, squares: float, cubes: float, alpha: float = 0.05) -> tuple[float, float, str]:
+    """(low, high, method): bias-corrected accelerated from the resamples and from the sums of squares and cubes of
+    how far each left-out score is below the mean of all; the percentile form where the correction fails."""
+    share, normal, method, at = (draws < point).mean(), NormalDist(), "percentile", [alpha / 2, 1 - alpha / 2]
+    if 0 < share < 1 and squares > 0:
+        z0, a = normal.inv_cdf(share), cubes / (6 * squares**1.5)
         at = [normal.cdf(z0 + (z0 + q) / (1 - a * (z0 + q))) for q in map(normal.inv_cdf, at)]
         method = "BCa"
     low, high = np.quantile(draws, at)
-    return {"r2": point, "low": float(low), "high": float(high), "method": method, "n_boot": len(draws)}
+    return float(low), float(high), method
 
 
-def bootstrap_intervals(predictions: DataFrame, keys: list[str], n_boot: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """BCa intervals for each key of (keys, y_true, y_pred). A key's pairs meet in one task: for keys with very
-    many rows take poisson_intervals()."""
-    kinds = ", ".join(f"{k} {dict(predictions.dtypes)[k]}" for k in keys)
+#: Chances of at most 0, 1, .. of a Poisson(1) number.
+POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(16)])
+#: Weights drawn at once.
+DRAWN = 1 << 21
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([dict(zip(keys, key, strict=True)) | bca_interval(part["y_true"].to_numpy(float), part["y_pred"].to_numpy(float), n_boot, seed, alpha)])
 
-    return predictions.select(*keys, "y_true", "y_pred").groupBy(*keys).applyInPandas(one, f"{kinds}, r2 double, low double, high double, method string, n_boot int")
+def resampled_sums(rows: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
+    """(keys, b, n, s, ss, sse) over Poisson(1) weights, which a hash of the row's `id` and the replicate b gives;
+    each batch is summed up before the shuffle. rows: (keys, id, y, e2)."""
+    kinds = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        replicate = mix64(np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        for part in parts:
+            for key, some in part.groupby(keys, dropna=False):
+                sums = np.zeros((n_boot, 4))
+                y, e2, ids = some["y"].to_numpy(float), some["e2"].to_numpy(float), mix64(some["id"].to_numpy(np.int64).view(np.uint64))
+                z = np.stack((np.ones(len(y)), y, y * y, e2), axis=1)
+                step = max(1, DRAWN // n_boot)
+                for at in range(0, len(y), step):
+                    u = (mix64(ids[at : at + step, None] ^ replicate[None, :]) >> np.uint64(11)).astype(float) / float(1 << 53)
+                    sums += np.searchsorted(POISSON, u, side="right").T.astype(float) @ z[at : at + step]
+                yield pd.DataFrame({k: [None if pd.isna(v) else v] * n_boot for k, v in zip(keys, key, strict=True)} | {"b": np.arange(1, n_boot + 1)} | dict(zip(("n", "s", "ss", "sse"), sums.T, strict=True)))
+
+    each = rows.select(*keys, "id", "y", "e2").mapInPandas(run, f"{kinds}, b int, n double, s double, ss double, sse double")
+    return each.groupBy(*keys, "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss", "sse")))
+
+
+def bootstrap_intervals(predictions: DataFrame, keys: list[str], row_key: list[str], n_boot: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """(keys, r2, low, high, method, n_boot): R2 with BCa intervals for each key of (keys, row_key, y_true, y_pred).
+
+    Resamples are Poisson weights summed up in the tasks, left-out scores come from each row and the key's sums, so
+    no key's rows meet in one task. `degenerate` for a constant truth or fewer than two rows.
+    """
+    kinds = ", ".join(f"`{k}` {dict(predictions.dtypes)[k]}" for k in keys)
+    rows = predictions.select(*keys, F.xxhash64(*row_key).alias("id"), F.col("y_true").cast("double").alias("y"), ((F.col("y_true") - F.col("y_pred")) ** 2).alias("e2"))
+    facts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.sum("e2").alias("sse"), (F.var_pop("y") * F.count("*")).alias("sst"), (F.min("y") == F.max("y")).alias("flat"))
+    facts = facts.withColumn("point", 1 - F.try_divide("sse", "sst"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}"))
+    near = rows.alias("r").join(facts.alias("f"), same).select(*(F.col(f"r.{k}").alias(k) for k in keys), "e2", "n", "sse", "sst", "point", "flat", (F.col("y") - F.col("mean")).alias("y"))
+    rest = F.col("sst") - F.col("y") ** 2 * F.col("n") / (F.col("n") - 1)  # squares about the mean of the others
+    off = 1 - F.try_divide(F.col("sse") - F.col("e2"), rest) - F.col("point")
+    d = [F.sum(F.col("off") ** k) for k in (1, 2, 3)]
+    left = near.where(~F.col("flat") & (F.col("n") > 1)).withColumn("off", off).groupBy(*keys).agg(F.count("off").alias("m"), *(x.alias(f"d{k}") for k, x in enumerate(d, 1)))
+    mean = F.col("d1") / F.col("m")
+    left = left.select(*keys, (F.col("d2") - F.col("m") * mean * mean).alias("squares"), (-(F.col("d3") - 3 * mean * F.col("d2") + 2 * F.col("m") * mean**3)).alias("cubes"))
+    centred = rows.alias("r").join(facts.alias("f"), same).select(*(F.col(f"r.{k}").alias(k) for k in keys), "id", (F.col("y") - F.col("mean")).alias("y"), "e2")
+    sums = resampled_sums(centred, keys, n_boot, seed)
+    draw = 1 - F.try_divide(F.col("sse"), F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
+    draws = sums.where(F.col("n") > 0).withColumn("r2", draw).where(F.col("r2").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list("r2")).alias("draws"))  # n_boot values a key
+
+    def both(a: DataFrame, b: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        return a.alias("a").join(b.alias("b"), on, "left").select("a.*", *(F.col(f"b.{c}") for c in b.columns if c not in keys))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                if r.flat or r.n < 2 or r.draws is None or pd.isna(r.point):
+                    out.append((None, None, None, "degenerate", 0))
+                else:
+                    found = np.asarray(r.draws, float)
+                    out.append((r.point, *bca_interval(r.point, found, r.squares, r.cubes, alpha), len(found)))
+            yield part[keys].assign(**{c: [o[i] for o in out] for i, c in enumerate(("r2", "low", "high", "method", "n_boot"))})
+
+    table = both(both(facts.select(*keys, "n", "flat", "point"), left), draws)
+    return table.mapInPandas(run, f"{kinds}, r2 double, low double, high double, method string, n_boot int")
 
 
 def poisson_intervals(predictions: DataFrame, keys: list[str], row_key: str, n_boot: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
@@ -68,25 +117,23 @@ def poisson_intervals(predictions: DataFrame, keys: list[str], row_key: str, n_b
 
 
 def permuted_targets(df: DataFrame, key: str, target: str, n_perm: int, seed: int = 42) -> tuple[DataFrame, list[str]]:
-    """Adds y_0 (observed) and y_1 .. y_n_perm (shuffled): one narrow table of ranks for the rows and one for the
-    values, joined by rank; features are never moved more than once."""
-    from ..operators.splits import ranked, shuffle_key
-
-    slim = df.select(key, target)
-    out, names = df.withColumn("y_0", F.col(target)), ["y_0"]
-    rows = ranked(slim, shuffle_key(F.col(key), seed)).select(key, F.col("rank"))
-    n = slim.count()
-    values = ranked(slim, shuffle_key(F.col(key), seed)).select(F.col("rank").alias("at"), F.col(target).alias("value"))
-    shifts = rows.select(key, "rank", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
-    # a keyed affine walk of the ranks: the multiplier is coprime to n, so it is a permutation
-    multipliers = [m for m in range(2, 50 * n_perm + n) if np.gcd(m, n) == 1][:: 2][:n_perm] or [1]
-    multiplier = F.element_at(F.array(*(F.lit(int(m)) for m in multipliers)), ((F.col("perm") - 1) % len(multipliers) + 1).cast("int"))
-    moved = shifts.withColumn("at", F.pmod(F.col("rank") * multiplier + F.col("perm") * 7919, F.lit(n))).join(values, "at")
-    wide = moved.groupBy(key).pivot("perm", list(range(1, n_perm + 1))).agg(F.first("value"))
-    for i in range(1, n_perm + 1):
-        wide = wide.withColumnRenamed(str(i), f"y_{i}")
-        names.append(f"y_{i}")
-    return out.join(wide, key), names
+    """Adds y_0 (observed) and y_1 .. y_n_perm (shuffled): each shuffle is a keyed permutation of the rows' ranks,
+    which any task computes by itself. Only ranks and values meet, one row for each row and shuffle; features
+    are never moved more than once."""
+    slim = ranked(df.select(key, target), shuffle_key(F.col(key), seed))
+    n = df.count()
+
+    @F.pandas_udf("array<long>")
+    def places(rank: pd.Series) -> pd.Series:
+        index = rank.to_numpy(np.int64)
+        return pd.Series(list(np.stack([feistel(index, n, (seed << 20) + p) for p in range(1, n_perm + 1)], axis=1)))
+
+    values = slim.select(F.col("rank").alias("at"), F.col(target).alias("value"))
+    moved = slim.select(key, F.posexplode(places("rank")).alias("perm", "at")).join(values, "at")
+    drawn = moved.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("perm", "value"))).alias("drawn"))  # n_perm values a row
+    names = [f"y_{i}" for i in range(n_perm + 1)]
+    wide = df.withColumn("y_0", F.col(target)).join(drawn, key)
+    return wide.withColumns({f"y_{i}": F.get("drawn", F.lit(i - 1))["value"] for i in range(1, n_perm + 1)}).drop("drawn"), names
 
 
 def permutation_test(df: DataFrame, key: str, features: str, target: str, fold: str, selector: str = "correlation", model: str = "ridge", k: int = 20, n_perm: int = 50, seed: int = 42) -> DataFrame:
@@ -153,12 +200,23 @@ def permutation_grid(df: DataFrame, key: str, features: str, target: str, fold:
         ((1 + F.count_if(F.col("apparent_r2") >= F.col("a"))) / (1 + F.count("*"))).alias("perm_p_value_apparent"))
 
 
-def noise_rows(spark, n: int, p: int, seed: int) -> DataFrame:
-    """(id, features, y): independent standard normal numbers, every row its own group."""
-    return spark.range(n).select("id", F.array(*(F.randn(seed * 100_003 + i) for i in range(p))).alias("features"), F.randn(seed * 100_003 + p).alias("y"), (F.col("id") % 5).cast("int").alias("fold"))
+def normal_numbers(n: int, *of: Column) -> Column:
+    """n independent standard normal numbers from hashes of the given columns (Box and Muller)."""
+
+    def unit(i: Column, part: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(*of, i, F.lit(part)), 11) + 1).cast("double") / float(1 << 53)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(-2 * F.ln(unit(i, 0))) * F.cos(2 * np.pi * unit(i, 1)))
+
+
+def noise_rows(df: DataFrame, key: str, p: int, seed: int) -> DataFrame:
+    """(key, features, y, fold): for every row of df, independent standard normal features and target drawn from its
+    key; every row is its own group, folds are random."""
+    drawn = df.select(key, normal_numbers(p + 1, F.lit(seed), F.col(key).cast("string")).alias("_d"))
+    rows = drawn.select(key, F.slice("_d", 1, p).alias("features"), F.get("_d", F.lit(p)).alias("y"))
+    return shuffled_folds(rows, key, seed=seed)
 
 
-def null_moments(df: DataFrame, features: str, fold: str, key: str, seed: int) -> Moments:
-    """Moments of real features with a noise target drawn by md5 of seed and key."""
-    y = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("noise"), F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return fold_moments(df.withColumn("_noise", y), features, ["_noise"], fold)
+def null_moments(df: DataFrame, key: str, p: int, seed: int) -> Moments:
+    """Moments of noise_rows()."""
+    return fold_moments(noise_rows(df, key, p, seed), "features", ["y"], "fold")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import indices, labels, spectra
-from .operators import models, moments, pixels, splits, truth
+from .operators import models, moments, pixels, quantiles, splits, truth
 from .plans import bands, evaluate, features, resample, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,12 +98,13 @@ def mask_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.permutation_summary(resample.permutation_test(samples(spark, sf_dir), "vec_id", "x", "y", "fold", n_perm=30)))
+    return rounded(resample.permutation_summary(resample.permutation_test(samples(spark, sf_dir), "vec_id", "x", "y", "fold", n_perm=50)))
 
 
 @query()
 def null_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = {str(i): resample.null_moments(samples(spark, sf_dir), "x", "fold", "vec_id", i) for i in range(3)}
+    """Normal noise for every vector: what nested and apparent scores are when there is nothing to find."""
+    m = {str(i): resample.null_moments(table(spark, sf_dir, "embeddings"), "vec_id", 64, i) for i in range(3)}
     combos = spark.createDataFrame([(d, "correlation", "ridge", 20, 42) for d in m], "dataset string, selector string, model string, k int, seed int")
     return rounded(evaluate.bias_table(evaluate.evaluate_grid(combos, m)))
 
@@ -155,8 +156,8 @@ def pipelines_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def null_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The genetic search on noise targets: repeats summed up by arm."""
-    m = {str(i): resample.null_moments(samples(spark, sf_dir), "x", "fold", "vec_id", i) for i in range(3)}
+    """The genetic search on normal noise: repeats summed up by arm."""
+    m = {str(i): resample.null_moments(table(spark, sf_dir, "embeddings"), "vec_id", 64, i) for i in range(3)}
     combos = spark.createDataFrame([(d, "search", "ridge", 20, 42) for d in m], MOMENTS_GRID)
     table_ = evaluate.bias_table(evaluate.evaluate_grid(combos, m)).select("selector", F.col("apparent_r2").alias("apparent"), F.col("nested_r2").alias("nested"))
     return rounded(evaluate.experiment_summary(table_, ["selector"]))
@@ -165,7 +166,7 @@ def null_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permutation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     combos = [(s, f, 20) for s in ("correlation", "rfe") for f in ("ridge", "pls")]
-    return rounded(resample.permutation_grid(samples(spark, sf_dir), "vec_id", "x", "y", "fold", combos, n_perm=10))
+    return rounded(resample.permutation_grid(samples(spark, sf_dir), "vec_id", "x", "y", "fold", combos, n_perm=50))
 
 
 @query()
@@ -287,7 +288,7 @@ SELECT o_orderkey, CAST(len(list_filter(edges[2:len(edges) - 1], lambda q: q <=
 """)
 def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    edges = orders.agg(labels.quantile_edges(F.col("o_totalprice"), 5).alias("edges"))
+    edges = quantiles.quantile_edges(orders, "o_totalprice", 5)
     return orders.crossJoin(F.broadcast(edges)).select("o_orderkey", labels.bin_index(F.col("o_totalprice"), F.col("edges")).alias("bin"))  # one row
 
 
@@ -328,7 +329,9 @@ def scores_fold_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.bootstrap_intervals(predictions(spark, sf_dir), ["l_returnflag", "l_linestatus"], n_boot=100))
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("double").alias("y_true"), (F.col("l_quantity").cast("double") * 1500).alias("y_pred"))
+    return rounded(resample.bootstrap_intervals(rows, ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
 
 
 @query(f"""
@@ -606,15 +609,15 @@ def rgb_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.rgb(pixel_table(spark, sf_dir), "image", {"r": "red", "g": "green"}).groupBy("image").agg(F.sum("r").alias("r"), F.sum("g").alias("g"))
 
 
-@query("SELECT l_suppkey AS image, " + ", ".join(f"round(avg(v) FILTER (WHERE b = {b}), 6) AS b{b}_mean, round(stddev_pop(v) FILTER (WHERE b = {b}), 6) AS b{b}_std, round(quantile_cont(v, 0.25) FILTER (WHERE b = {b}), 6) AS b{b}_p25, round(quantile_cont(v, 0.75) FILTER (WHERE b = {b}), 6) AS b{b}_p75" for b in range(1, 7)) + " FROM (SELECT l_suppkey, l_linenumber AS b, CAST(l_extendedprice AS DOUBLE) / 105000 AS v FROM lineitem WHERE l_linenumber BETWEEN 1 AND 6) GROUP BY l_suppkey")
+@query("SELECT l_suppkey AS image, " + ", ".join(f"round(avg(v) FILTER (WHERE b = {b}), 6) AS b{b}_mean, round(stddev_pop(v) FILTER (WHERE b = {b}), 6) AS b{b}_std, round(quantile_cont(v, 0.25) FILTER (WHERE b = {b}), 6) AS b{b}_p25, round(quantile_cont(v, 0.75) FILTER (WHERE b = {b}), 6) AS b{b}_p75" for b in range(1, 8)) + " FROM (SELECT l_suppkey, l_linenumber AS b, CAST(l_extendedprice AS DOUBLE) / 105000 AS v FROM lineitem) GROUP BY l_suppkey")
 def band_image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), "l_linenumber", (F.col("l_extendedprice").cast("double") / 105000).alias("v"))
-    return rounded(features.band_image_statistics(li, "image", "l_linenumber", "v", [1, 2, 3, 4, 5, 6]))
+    return rounded(features.band_image_statistics(li, "image", "l_linenumber", "v", [1, 2, 3, 4, 5, 6, 7]))
 
 
 def spectral_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as pixels of 25 images; those of label 0 are background."""
-    return samples(spark, sf_dir).select(F.col("grp").alias("image"), "vec_id", "x", F.coalesce(F.col("label") != 0, F.lit(False)).alias("in_mask"))
+    """Vectors as pixels of images of 20; those of label 0 are background."""
+    return samples(spark, sf_dir).select(F.floor(F.col("vec_id") / 20).alias("image"), "vec_id", "x", F.coalesce(F.col("label") != 0, F.lit(False)).alias("in_mask"))
 
 
 @query()
@@ -625,14 +628,14 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id % 25 AS image, CASE WHEN count(*) FILTER (WHERE label <> 0) = 0 THEN 'empty mask' END AS failure, count(*) FILTER (WHERE label <> 0) AS inside, CAST(64 AS INTEGER) AS bands FROM embeddings GROUP BY 1
+SELECT vec_id // 20 AS image, CASE WHEN count(*) FILTER (WHERE label <> 0) = 0 THEN 'empty mask' END AS failure, count(*) FILTER (WHERE label <> 0) AS inside, CAST(64 AS INTEGER) AS bands FROM embeddings GROUP BY 1
 """)
 def usable_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.usable_images(spectral_pixels(spark, sf_dir), "image", "x", "in_mask").select("image", "failure", "inside", "bands")
 
 
 @query("""
-WITH e AS (SELECT vec_id % 25 AS image, label <> 0 AS m, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+WITH e AS (SELECT vec_id // 20 AS image, label <> 0 AS m, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
 SELECT image, CAST(pos AS INTEGER) AS pos, round(coalesce(avg(v) FILTER (WHERE m), avg(v)), 6) + 0.0 AS value, count(*) FILTER (WHERE m) AS n FROM e GROUP BY ALL
 """)
 def masked_mean_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -748,10 +751,17 @@ def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def isolation_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = truth.isolation_outliers(samples(spark, sf_dir).select("vec_id", "x"), "x", "vec_id", trees=50)
+    out = truth.isolation_outliers(samples(spark, sf_dir).select("vec_id", "x"), "x", "vec_id")
     return rounded(out.select("vec_id", "isolation", "outlier_isolation"))
 
 
+@query()
+def outlier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are far off by their target or their features, with all reasons."""
+    out = truth.outlier_report(samples(spark, sf_dir).select("vec_id", "x", "y"), ["y"], "x", "vec_id")
+    return out.select("vec_id", "outlier", "reasons")
+
+
 @query("""
 WITH n AS (SELECT n_nationkey, n_name, lower(trim(n_name)) AS t FROM nation), s AS (SELECT r_regionkey, lower(trim(r_name)) AS k FROM region)
 SELECT s.r_regionkey, n.n_name, CASE WHEN n.t = s.k THEN 'exact' WHEN n.t IS NOT NULL THEN 'contains' END AS matched

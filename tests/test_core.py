@@ -1,9 +1,11 @@
 """The library against plain numpy on small data."""
 
+import hashlib
+
 import numpy as np
 import pytest
-from foldlight.functions import indices, labels, spectra
-from foldlight.operators import models, moments, pixels, splits, truth
+from foldlight.functions import indices, labels, permute, spectra
+from foldlight.operators import models, moments, pixels, quantiles, splits, truth
 from foldlight.plans import evaluate, resample, stats
 from foldlight.sources import cubes, tables
 from pyspark.sql import functions as F
@@ -111,13 +113,115 @@ def test_statistics(spark):
     assert fdr[0] == pytest.approx(0.00055803571) and fdr[7] == pytest.approx(0.00537109375) and fdr[8] is None
 
 
-def test_bootstrap():
+def test_bootstrap(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal(200)
     y = 3 * x + 0.5 * rng.standard_normal(200)
-    out = resample.bca_interval(y, 3 * x, 300)
-    assert out["method"] == "BCa" and 0.5 < out["low"] <= out["r2"] <= out["high"] and out == resample.bca_interval(y, 3 * x, 300)
-    assert resample.bca_interval(np.full(9, 5.0), x[:9])["method"] == "degenerate"
+    rows = [("a", i, float(y[i]), float(3 * x[i])) for i in range(200)] + [("flat", i, 5.0, float(x[i])) for i in range(9)] + [(None, i, float(y[i]), float(3 * x[i])) for i in range(50)] + [("one", 1, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, id long, y_true double, y_pred double")
+    found = resample.bootstrap_intervals(df, ["k"], ["id"], 400).collect()
+    out = {r["k"]: r for r in found}
+    assert len(found) == 4 and out["flat"]["method"] == out["one"]["method"] == "degenerate"
+    a = out["a"]
+    assert a["method"] == "BCa" and a["n_boot"] == 400 and 0.5 < a["low"] <= a["r2"] <= a["high"] <= 1
+    again = {r["k"]: r for r in resample.bootstrap_intervals(df.repartition(5), ["k"], ["id"], 400).collect()}
+    assert all(again[None][c] == pytest.approx(out[None][c], abs=1e-12) for c in ("r2", "low", "high"))
+    # the same weights and left-out scores, row by row
+    score = lambda t, p, w: 1 - (w * (t - p) ** 2).sum() / ((w * t * t).sum() - (w * t).sum() ** 2 / w.sum())
+    t, p = y - y.mean(), 3 * x - y.mean()
+    point = score(t, p, np.ones(200))
+    left = np.array([score(np.delete(t, i), np.delete(p, i), np.ones(199)) for i in range(200)])
+    ids = permute.mix64(np.array([r["h"] for r in df.where("k = 'a'").orderBy("id").select(F.xxhash64("id").alias("h")).collect()], np.int64).view(np.uint64))
+    keys = permute.mix64(np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(42))
+    weights = np.searchsorted(resample.POISSON, (permute.mix64(ids[:, None] ^ keys) >> np.uint64(11)).astype(float) / 2**53, side="right").astype(float)
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
+    draws = np.array([score(t, p, w) for w in weights.T])
+    away = left.mean() - left
+    low, high, method = resample.bca_interval(point, draws, (away**2).sum(), (away**3).sum())
+    assert (a["r2"], a["low"], a["high"]) == pytest.approx((point, low, high), abs=1e-9) and method == "BCa"
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.standard_normal(30_000), "b": np.repeat([1.0, 2.0], [5000, 4000]), "c": np.array([3.0]), "d": rng.random(500), None: rng.random(7)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    at = [0.0, 0.013, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r["g"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ["g"], "v", at).collect() if r["g"] is not None}
+    assert set(got) == {"a", "b", "c", "d"}
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile(groups[g], at).tolist(), abs=1e-12)
+    every = np.concatenate(list(groups.values()))
+    assert quantiles.exact_quantiles(df, [], "v", at).first()["quantiles"] == pytest.approx(np.quantile(every, at).tolist(), abs=1e-12)
+
+
+def test_groups_go_to_the_lightest_fold(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        sizes = np.sort(rng.integers(1, rng.choice([3, 20, 400]), rng.integers(1, 60)))[::-1]
+        folds, load, want = int(rng.integers(2, 6)), [0] * 6, []
+        load = load[:folds]
+        for n in sizes.tolist():
+            k = min(range(folds), key=lambda i: (load[i], i))  # noqa: B023
+            want.append((n, k))
+            load[k] += n
+        values, counts = np.unique(sizes, return_counts=True)
+        got = [(n, turn[i % len(turn)]) for n, first, end, turn in splits.dealt_sizes([(int(v), int(c)) for v, c in zip(values[::-1], counts[::-1], strict=True)], folds) for i in range(end - first)]
+        assert got == want
+    many = splits.dealt_sizes([(10**6, 3), (1, 10**12)], 5)
+    assert len(many) < 20 and many[-1][2] == 10**12
+    rows = spark.createDataFrame([(g if g else None, i) for g in range(30) for i in range(1 + g % 4)], "g long, i long")
+    out = splits.group_folds(rows, "g", 3)
+    assert out.count() == rows.count() and sorted(r["count"] for r in out.groupBy("fold").count().collect()) == [24, 24, 25]
+
+
+def test_ranks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(splits, "SPAN", 3)
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("by"))
+    got = splits.ranked(df, splits.shuffle_key(F.col("id"), 1)).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(range(300), key=lambda i: hashlib.md5(f"1|{i}".encode()).hexdigest())
+    inside = splits.ranked(df, splits.shuffle_key(F.col("id"), 1), ["by"]).collect()
+    assert sorted((r["by"] or 0, r["rank"]) for r in inside) == [(b, i) for b in range(3) for i in range(100)]
+
+
+def test_names_that_contain_each_other(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abc"), n))
+    names, texts = [word(int(rng.integers(1, 7))) for _ in range(60)] + ["é", "", None], [word(int(rng.integers(1, 9))) for _ in range(50)] + ["xéx"]
+    samples = spark.createDataFrame(list(enumerate(names)), "i long, name string")
+    table = spark.createDataFrame(list(enumerate(texts)), "o long, text string")
+    for both_ways in (False, True):
+        for last in (False, True):
+            pick = max if last else min
+            out = {r["i"]: (r["o"], r["matched"]) for r in truth.match_by_name(samples, table, "name", "text", "o", last, both_ways).collect()}
+            for i, n in enumerate(names):
+                same = [o for o, t in enumerate(texts) if n and t == n]
+                near = [pick(o for o, u in enumerate(texts) if u == t) for t in texts if n and (n in t or both_ways and t in n)]
+                assert out[i] == ((pick(same), "exact") if same else (pick(near), "contains") if near else (None, None))
+    truth_rows = spark.createDataFrame([("leaf 1", 1, None, 2.6), ("leaf 1", 2, " ", 1.6), ("leaf 22", 3, "nothing known", 2.6)], "name string, o long, label string, flav double")
+    asked = spark.createDataFrame([("Leaf 1",), ("leaf 22 b",), ("other",)], "sample string")
+    assert {r["sample"]: r["class"] for r in truth.class_of(asked, truth_rows, "sample", "name", "label", "o", "flav").collect()} == {"Leaf 1": 2, "leaf 22 b": 3, "other": 3}
+
+
+def test_outlier_report(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(4).tolist(), float(rng.standard_normal())) for i in range(300)] + [(900, [30.0] * 4, 0.0), (901, [0.0] * 4, 99.0), (902, None, -99.0), (903, None, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double")
+    out = {r["id"]: r for r in truth.outlier_report(df, ["y"], "x", "id", 0.02, trees=50).collect()}
+    assert len(out) == 304 and out[900]["reasons"] == "isolation" and "iqr_y" in out[901]["reasons"] and out[902]["reasons"] == "iqr_y" and not out[903]["outlier"]
+    assert all(r["outlier"] == (r["reasons"] != "") for r in out.values())
+    flagged = truth.outlier_report(df, ["y"])
+    n = flagged.where("outlier").count()
+    assert truth.act_on_outliers(flagged, ["outlier"], "drop").count() == 304 - n and truth.act_on_outliers(flagged, ["outlier"], "warn").columns == flagged.columns
+
+
+def test_noise(spark):
+    df = spark.range(3000)
+    rows = np.array([[*r["features"], r["y"]] for r in resample.noise_rows(df, "id", 6, 3).collect()])
+    assert abs(rows.mean(0)).max() < 0.08 and abs(rows.std(0) - 1).max() < 0.05 and abs(np.corrcoef(rows.T) - np.eye(7)).max() < 0.08
+    one, two = (resample.null_moments(df.repartition(n), "id", 6, 3).by_fold for n in (2, 5))
+    assert np.allclose(one, two) and len(one) == 5
 
 
 def test_spectra(spark):
@@ -137,20 +241,79 @@ def test_spectra(spark):
     assert ndvi == pytest.approx(0.6)
 
 
+def plain_raster(mask, steps):
+    """Raster steps cell by cell."""
+    h, w = mask.shape
+    near = lambda m, i, j: [m[a, b] if 0 <= a < h and 0 <= b < w else False for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1)]
+
+    def flood(m, seeds):
+        seen, todo = set(), [s for s in seeds if m[s]]
+        while todo:
+            i, j = todo.pop()
+            if (i, j) not in seen:
+                seen.add((i, j))
+                todo += [(a, b) for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if 0 <= a < h and 0 <= b < w and m[a, b]]
+        return seen
+
+    cells = [(i, j) for i in range(h) for j in range(w)]
+    for step in steps:
+        if step in ("dilate", "erode"):
+            mask = np.array([(any if step == "dilate" else all)(near(mask, *c)) for c in cells]).reshape(h, w)
+        elif step == "fill_holes":
+            out = flood(~mask, [c for c in cells if c[0] in (0, h - 1) or c[1] in (0, w - 1)])
+            mask = np.array([c not in out for c in cells]).reshape(h, w)
+        else:
+            mask = np.array([bool(mask[c]) and len(flood(mask, [c])) >= 0.005 * mask.size for c in cells]).reshape(h, w)
+    return mask
+
+
+CLEAN = ["dilate", "dilate", "erode", "erode", "fill_holes", "erode", "dilate"]
+
+
 def test_rasters(spark):
+    rng = np.random.default_rng(9)
     mask = np.zeros((12, 12), bool)
     mask[2:9, 2:9] = True
     mask[5, 5] = False
     mask[10, 10] = True
     clean = pixels.clean_up(mask)
-    assert clean[5, 5] and not clean[10, 10] and clean[3:8, 3:8].all()
+    assert clean[5, 5] and clean[3:8, 3:8].all()
     assert pixels.components(mask)[1] == 2 and not pixels.without_small(mask, 0.02)[10, 10]
+    apart = np.zeros((9, 16), bool)
+    apart[2:7, 2:6] = apart[2:7, 9:13] = True  # three pixels between them
+    assert pixels.clean_up(apart)[3:6, 6:9].all()
+    for share in (0.2, 0.45, 0.6, 0.8):
+        some = rng.random((17, 23)) < share
+        assert (pixels.clean_up(some) == plain_raster(some, CLEAN)).all()
+        assert (pixels.white_disk(some) == plain_raster(some, ["dilate", "erode", "fill_holes", "dilate", "dilate"])).all()
+        assert (pixels.without_small(some) == plain_raster(some, ["small"])).all()
     rows = spark.createDataFrame([("a", int(i), int(j), bool(mask[i, j])) for i in range(12) for j in range(12)], "image string, row int, col int, in_mask boolean")
     out = pixels.raster_step(rows, "image", ["clean_up"])
     assert out.where("in_mask").count() == clean.sum()
     assert pixels.best_mask(rows.withColumn("in_mask", F.lit(False)), out, "image").where("in_mask").count() == clean.sum()
 
 
+def test_masks_by_name(spark):
+    """A leaf, a white disk and a dark background in each image; the last image has neither."""
+    rng, waves = np.random.default_rng(10), [450.0, 550.0, 670.0, 750.0, 800.0]
+    leaf, white, dark = [0.05, 0.12, 0.06, 0.5, 0.55], [0.8, 0.82, 0.81, 0.8, 0.82], [0.02] * 5
+    rows = []
+    for image in ("a", "b", "bare"):
+        for i in range(20):
+            for j in range(20):
+                kind = dark if image == "bare" else leaf if 3 <= i < 12 and 3 <= j < 12 else white if 15 <= i < 18 and 14 <= j < 18 else dark
+                rows.append((image, i, j, [float(v) for v in np.array(kind) * (1 + (image != "bare") * 0.02 * rng.standard_normal(5))]))
+    px = spark.createDataFrame(rows, "image string, row int, col int, s array<double>")
+    for method in ("hybrid", "ndvi", "kmeans", "pca"):
+        got = pixels.segment(px.where("image <> 'bare'"), "image", "s", waves, method).where("in_mask").groupBy("image").agg(F.count("*").alias("n"), F.max("row").alias("low")).collect()
+        # principal scores keep all but the darkest cluster: the disk too
+        assert {r["image"]: (r["n"], r["low"]) for r in got} == dict.fromkeys("ab", (93, 17) if method == "pca" else (81, 11)), method
+    best = pixels.leaf_masks(px, "image", "s", waves)
+    assert {r["image"]: r["n"] for r in best.groupBy("image").agg(F.count_if("in_mask").alias("n")).collect()} == {"a": 81, "b": 81}
+    with pytest.raises(ValueError):
+        pixels.segment(px, "image", "s", waves, "nothing")
+
+
 def test_cubes(spark):
     cube = np.arange(3 * 4 * 5, dtype=np.float32).reshape(3, 4, 5)
     forms = {"bil": cube.transpose(0, 2, 1), "bsq": cube.transpose(2, 0, 1), "bip": cube}
