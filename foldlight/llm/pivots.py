@@ -1,7 +1,9 @@
 """Operator 5: near-duplicate vectors through a pivot-permutation index.
 
 Each vector is described by its `nearest` closest pivots, in order. Pivots are a bounded sample: the
-`pivots` usable vectors with the smallest hash of vec_id; every vector is indexed. Pivots are ranked by
+`pivots` usable vectors with the smallest hash of vec_id; every vector is indexed. Unless told otherwise, pivots
+double with every fourfold of the vectors (PIVOTS up to PIVOT_ROWS of them, MOST_PIVOTS at most), so lists grow with
+about the square root of the table, and the nearest are two more for each doubling, which keeps the recall. Pivots are ranked by
 how often they are used, rarest first, and each vector enters the inverted lists of the first
 nearest - shared + 1 of its own: two vectors with `shared` pivots in common meet in the list of the
 rarest of them, and there alone they are compared. In a list, vectors with at least `shared` common pivots
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise, sorted_groups
 
 PIVOTS, NEAREST, SHARED, BLOCK = 256, 8, 3, 2048
+PIVOT_ROWS, MOST_PIVOTS = 1 << 16, 4096
 #: Rows of a cell that are compared with the others at once.
 STRIPE = 256
 
@@ -41,6 +44,13 @@ def usable(vectors: DataFrame) -> DataFrame:
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(~bad & some).distinct()
 
 
+def labels_of(of: pa.Array) -> np.ndarray:
+    """Integers in the order of the values, any type."""
+    values = of.to_pylist()
+    place = {v: i for i, v in enumerate(sorted(set(values)))}
+    return np.array([place[v] for v in values], np.int64)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # no overflow in the squares
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
@@ -50,6 +60,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
+def index_size(rows: int) -> tuple[int, int]:
+    """(pivots, nearest) for so many vectors."""
+    doublings = 0
+    while PIVOT_ROWS << 2 * doublings < rows and PIVOTS << doublings < MOST_PIVOTS:
+        doublings += 1
+    return PIVOTS << doublings, NEAREST + 2 * doublings
+
+
 def nearest_pivots(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
     """Adds pivot_ids, the positions of the nearest pivots in order."""
     size = pivots.shape[1]
@@ -111,7 +129,7 @@ def search(indexed: DataFrame, n_pivots: int, nearest: int, shared: int, cosine:
     def links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         label = batch.column("label").dictionary_encode().indices.to_numpy()
         own, low, high, block_of = (batch.column(c).to_numpy() for c in ("own", "low", "high", "block"))
-        ids, out = batch.column("vec_id").to_numpy(), []
+        names, out = labels_of(batch.column("vec_id")), []
         keys = np.stack((label, own, low, high), axis=1)
         edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
         for s, e in zip([0, *edges], [*edges, len(keys)], strict=True):
@@ -127,27 +145,31 @@ def search(indexed: DataFrame, n_pivots: int, nearest: int, shared: int, cosine:
                 n = found.sum(axis=1)
                 if not n.any():
                     continue
-                ours = ids[s:e][at]
                 inside = np.flatnonzero(n)
-                found, root = found[np.ix_(inside, inside)], ours[inside].copy()
+                found, root = found[np.ix_(inside, inside)], names[s:e][at][inside]
                 while True:
-                    least = np.minimum(root, np.where(found, root[None, :], np.iinfo(root.dtype).max).min(axis=1))
+                    least = np.minimum(root, np.where(found, root[None, :], np.iinfo(np.int64).max).min(axis=1))
                     if (least == root).all():
                         break
                     root = least
-                out.append((ours[inside], n[inside], root))
+                out.append((s + at[inside], n[inside], root))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["vec_id", "n", "root"])
+            where, n, root = (np.concatenate(c) for c in zip(*out, strict=True))
+            first = np.zeros(int(names.max()) + 1, np.int64)
+            first[names] = np.arange(len(names))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(where)), pa.array(n), batch.column("vec_id").take(pa.array(first[root]))], ["vec_id", "n", "root"])
 
     kind = dict(indexed.dtypes)["vec_id"]
     return dealt.repartition("cell").sortWithinPartitions("cell", "label", "own", "low", "high", "vec_id").mapInArrow(
         lambda batches: sorted_groups(batches, links, "cell"), f"vec_id {kind}, n long, root {kind}")
 
 
-def vector_components(vectors: DataFrame, cosine: float = 0.93, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def vector_components(vectors: DataFrame, cosine: float = 0.93, pivots: int | None = None, nearest: int | None = None, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vec_id."""
     spark, ids = vectors.sparkSession, vectors.select("vec_id").distinct()
     rows = usable(vectors)
+    usual = index_size(rows.count())
+    pivots, nearest = pivots or usual[0], nearest or usual[1]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "label", "embedding").limit(pivots).select("embedding").collect()
     if not sample:
         none = spark.createDataFrame([], f"vec_id {dict(vectors.dtypes)['vec_id']}, n long, root {dict(vectors.dtypes)['vec_id']}")

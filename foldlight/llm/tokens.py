@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.permute import feistel
 from .common import materialise, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern and end token that belong to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_TOKEN = 50256
-LENGTH, PER_SHARD, ROUNDS = 512, 4096, 6
+LENGTH, PER_SHARD = 512, 4096
 #: Pieces of text whose tokens a worker remembers.
 REMEMBERED = 500_000
 #: Bytes of text in a range of keys, and the most ranges (also of shards).
@@ -111,29 +112,6 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULAR
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk int, n_tokens int, tokens binary")
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective mixer of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def feistel(index: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
-    """A permutation of 0 .. size - 1: Feistel rounds over the next even number of bits, walked until inside."""
-    half = max(1, -(-max(1, size - 1).bit_length() // 2))
-    mask, bits = np.uint64((1 << half) - 1), np.uint64(half)
-    keys = mix64(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & (2**64 - 1)))
-    out = index.astype(np.uint64)
-    todo = np.arange(len(out))
-    while len(todo):
-        left, right = out[todo] >> bits, out[todo] & mask
-        for k in keys:
-            left, right = right, left ^ (mix64(right + k) & mask)
-        out[todo] = (left << bits) | right
-        todo = todo[out[todo] >= size]
-    return out.astype(np.int64)
-
-
 def in_key_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text), a partition for each range of keys, sorted by key."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0

@@ -253,6 +253,89 @@ def test_vectors(spark, block):
     assert pivots.vector_components(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_vectors_at_the_usual_settings(spark, kind):
+    """Many links, the pivots and shared pivots that the query uses, against brute force; ids of any type."""
+    rng = np.random.default_rng(14)
+    centres = rng.standard_normal((150, 64))
+    data = [(i if kind == "long" else f"v{i:04d}", (centres[i % 150] + 0.25 * rng.random() * rng.standard_normal(64)).tolist(), i % 3) for i in range(1200)]
+    out = {r["vec_id"]: r for r in pivots.vector_components(spark.createDataFrame(data, f"vec_id {kind}, embedding array<double>, label int")).collect()}
+    ids, unit = [d[0] for d in data], pivots.unit(np.array([d[1] for d in data]))
+    near = (unit @ unit.T >= 0.93) & (np.array([d[2] for d in data])[:, None] == np.array([d[2] for d in data])) & ~np.eye(1200, dtype=bool)
+    links = [(ids[a], ids[b]) for a, b in np.argwhere(np.triu(near))]
+    assert len(links) > 1000 and all(out[i]["n_links"] <= n for i, n in zip(ids, near.sum(1), strict=True))
+    assert sum(r["n_links"] for r in out.values()) >= 0.97 * 2 * len(links)
+    want = components(ids, links)
+    assert np.mean([out[i]["component_id"] == want[i] for i in ids]) > 0.97 and all(r["kept"] == (r["component_id"] == r["vec_id"]) for r in out.values())
+
+
+def test_index_size():
+    assert [pivots.index_size(n) for n in (0, 1 << 16, (1 << 16) + 1, 1 << 18, 1 << 20, 1 << 60)] == [(256, 8), (256, 8), (512, 10), (512, 10), (1024, 12), (4096, 16)]
+
+
+def test_aliases_of_random_links(spark):
+    """Rules and components over random redirect and canonical graphs, judged by a plain search."""
+    rng = random.Random(15)
+    hosts = ["a.com", "b.org", "x.net", "example.net", "www.example.com", "c.de"]
+    paths = ["/", "/en/1", "/de/2", "/fr/3", "/q"]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    nodes = [f"{h}{p}?n={i % 7}" for i, (h, p) in enumerate((rng.choice(hosts), rng.choice(paths)) for _ in range(300))]
+    links = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(130)]
+    pages = [(i, f"{rng.choice(['http', 'https'])}://{n}#f", "".join(f"<link rel=canonical href='http://{b}'>" for a, b in links[:90] if a == n)) for i, n in enumerate(nodes)]
+    redirects = spark.createDataFrame([(f"http://{a}", f"https://{b}") for a, b in links[90:]], "from_url string, to_url string")
+
+    def ruled(node):
+        host, _, rest = node.partition("/")
+        path = "/" + rest.partition("?")[0]
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else None
+
+    of = components(sorted(set(nodes)), links)
+    group = defaultdict(set)
+    for n in set(nodes):
+        if of[n] in {of[x] for x in [a for a, b in links if a != b]}:
+            group[of[n]].add(ruled(n) and ruled(n)[1])
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, redirects).collect()}
+    for i, n in enumerate(nodes):
+        by = ruled(n)
+        spread = "block" if "block" in group[of[n]] and "allow" not in group[of[n]] else "allow"
+        assert out[i] == ((by[0], by[1]) if by else (None, spread)), n
+    assert {"block", "allow"} == {v for r, v in out.values() if r is None}
+
+
+def test_windows_by_definition(spark):
+    """Windows, scores, overlaps and hits of whole documents recomputed unit by unit."""
+    rng = random.Random(16)
+    items = [(i, f"Which {text(rng, rng.randint(4, 20))}? {text(rng, rng.randint(1, 8))}" if i % 2 else text(rng, rng.randint(2, 30))) for i in range(15)] + [(90, text(rng, 400))]
+    bench = decontaminate.questions(spark.createDataFrame(items, "item_id long, text string"))
+    parts = [(r["item_id"], r["question"], r["answer"]) for r in bench.orderBy("item_id").collect()]
+    index = decontaminate.Index(parts)
+
+    def mangled(t, share):
+        return " ".join(w if rng.random() > share else "zzz" for w in t.split())
+
+    rows = [(i, f"{text(rng, rng.randint(0, 150))} {mangled(rng.choice(items)[1], rng.choice([0, 0, 0.02, 0.1]))} {text(rng, rng.randint(0, 300))}") for i in range(120)] + [(500, None), (501, "")]
+    size = {u: sum(index.postings[t][1][k] for t in range(len(index.postings)) for k in range(len(index.postings[t][0])) if index.postings[t][0][k] == u) for u in range(len(index.units))}
+    assert all(abs(x - 1) < 1e-9 for x in size.values())
+    want = set()
+    for doc, body in rows:
+        words, half, held = decontaminate.words_of(body), index.window // 2, defaultdict(set)
+        for at in range(0, max(1, len(words)), half):
+            window = words[at : at + index.window]
+            seen = {tuple(window[i : i + n]) for n in range(1, 6) for i in range(len(window) - n + 1)}
+            for u, (item, of, told) in enumerate(index.units):
+                score = sum(x for w in set(window) if w in index.term for v, x in zip(*index.postings[index.term[w]], strict=True) if v == u)
+                whole, q, a = (len(p & seen) / len(p) if p else None for p in of)
+                q, a = (whole if x is None else x for x in (q, a))
+                if score >= 0.5 - 1e-9 and (min(q, a) >= 0.8 or whole >= 0.8 and (a >= 0.8 or not told)):
+                    held[item].add(u)
+        want |= {(doc, index.items[item]) for item, units in held.items() if len(units) == index.n_units[item]}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == want and len(want) > 40
+    small = list(decontaminate.index_shards(bench, shard_items=4))
+    assert len(small) == 4 and sum(len(s.items) for s in small) == 16
+
+
 def test_decontamination(spark, rows):
     rng = random.Random(9)
     items = [(i, f"Which {text(rng, 20)}? {text(rng, 8)}") for i in range(12)] + [(50, text(rng, 600)), (51, None), (52, ""), (53, "one two")]
