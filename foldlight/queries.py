@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import indices, labels, spectra
@@ -73,6 +73,85 @@ def inflation_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.select("arm", "fold", F.get("chosen", F.lit(0)).alias("pos"), "r2"))
 
 
+ONE = """pr AS (SELECT DISTINCT fold AS k FROM s), lg AS (SELECT vec_id, fold, y, unnest(range(64)) AS pos, unnest(x) AS v FROM s),
+st AS (SELECT k, pos, count(*) AS n, avg(v) AS mx, avg(y) AS my, regr_sxx(y, v) AS sxx, regr_sxy(y, v) AS sxy, abs(corr(v, y)) AS c FROM lg JOIN pr ON lg.fold <> k GROUP BY ALL),
+al AS (SELECT arg_max(pos, (round(c, 9), -pos)) AS pos FROM (SELECT pos, abs(corr(v, y)) AS c FROM lg GROUP BY pos)),
+ch AS (SELECT k, 'nested' AS arm, arg_max(pos, (round(c, 9), -pos)) AS pos FROM st GROUP BY k UNION ALL SELECT k, 'apparent', al.pos FROM pr, al),
+md AS (SELECT k, arm, pos, mx, my, unnest([{'m': 'ols', 'b': sxy / sxx}, {'m': 'pls', 'b': sxy / sxx}, {'m': 'ridge', 'b': sxy / (sxx + 1)},
+  {'m': 'elastic_net', 'b': sign(sxy) * greatest(abs(sxy / sqrt(sxx / n) / n) - 0.05, 0) / 1.05 / sqrt(sxx / n)}]) AS f FROM ch JOIN st USING (k, pos)),
+fs AS (SELECT f.m AS model, arm, k, count(*) AS n, avg(y) AS m, sum((y - my - f.b * (v - mx)) ^ 2) AS sse, var_pop(y) * count(*) AS sst FROM md JOIN lg ON lg.pos = md.pos AND lg.fold = k GROUP BY ALL),
+sc AS (SELECT *, 1 - sse / sst AS r2, sqrt(sse / n) AS rmse FROM fs)"""
+ARM = ", ".join(f"round(avg({c}) FILTER (WHERE arm = '{a}'), 6) AS {a}_{c}, round(stddev_pop({c}) FILTER (WHERE arm = '{a}'), 6) AS {a}_{c}_std" for a in ("apparent", "nested") for c in ("r2", "rmse"))
+POOLED = {a: f"(1 - sum(sse) FILTER (WHERE arm = '{a}') / (sum(sst) FILTER (WHERE arm = '{a}') + sum(n * m * m) FILTER (WHERE arm = '{a}') - (sum(n * m) FILTER (WHERE arm = '{a}')) ^ 2 / sum(n) FILTER (WHERE arm = '{a}')))" for a in ("apparent", "nested")}
+WITHIN = {a: f"(1 - sum(sse) FILTER (WHERE arm = '{a}') / sum(sst) FILTER (WHERE arm = '{a}'))" for a in ("apparent", "nested")}
+
+
+def chosen_by_correlation(spark: SparkSession, df: DataFrame, fits: list[str], k: int) -> DataFrame:
+    m = moments.fold_moments(df, "x", ["y"], "fold")
+    return evaluate.evaluate_grid(spark.createDataFrame([("e", "correlation", f, k, 42) for f in fits], "dataset string, selector string, model string, k int, seed int"), {"e": m})
+
+
+@query(f"""
+WITH {SAMPLES}, {ONE}
+SELECT model, {ARM}, round({WITHIN["apparent"]}, 6) AS apparent_r2_within, round({WITHIN["nested"]}, 6) AS nested_r2_within, round({POOLED["apparent"]}, 6) AS apparent_r2_pooled, round({POOLED["nested"]}, 6) AS nested_r2_pooled,
+  round(avg(r2) FILTER (WHERE arm = 'apparent') - avg(r2) FILTER (WHERE arm = 'nested'), 6) + 0.0 AS bias, round(avg(rmse) FILTER (WHERE arm = 'nested') - avg(rmse) FILTER (WHERE arm = 'apparent'), 6) + 0.0 AS bias_rmse, round({POOLED["apparent"]} - {POOLED["nested"]}, 6) + 0.0 AS bias_pooled
+FROM sc GROUP BY model
+""")
+def bias_of_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every linear model on the one feature that correlates best, chosen on all rows or inside each fold's train rows."""
+    scores = chosen_by_correlation(spark, samples(spark, sf_dir), ["ols", "pls", "ridge", "elastic_net"], 1)
+    return rounded(evaluate.bias_table(scores, ["model"]))
+
+
+@query(f"""
+WITH {SAMPLES}, {ONE} SELECT model, string_agg(printf('%.4f', r2), ';' ORDER BY k) AS fold_scores FROM sc WHERE arm = 'nested' GROUP BY model
+""")
+def fold_scores_of_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = chosen_by_correlation(spark, samples(spark, sf_dir), ["ols", "pls", "ridge", "elastic_net"], 1)
+    return evaluate.summary_table(scores, ["model"]).select("model", "fold_scores")
+
+
+FIVE = """pr AS (SELECT DISTINCT fold AS k FROM s), lg AS (SELECT vec_id, fold, y, unnest(range(64)) AS pos, unnest(x) AS v FROM s),
+nc AS (SELECT k, pos FROM (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY abs(corr(v, y)) DESC, pos) AS rk FROM lg JOIN pr ON lg.fold <> k GROUP BY k, pos) WHERE rk <= 5),
+ac AS (SELECT pos FROM (SELECT pos, row_number() OVER (ORDER BY abs(corr(v, y)) DESC, pos) AS rk FROM lg GROUP BY pos) WHERE rk <= 5)"""
+
+
+@query(f"WITH {SAMPLES}, {FIVE} SELECT CAST(p.pos AS INTEGER) AS pos, count(nc.k) / (SELECT count(*) FROM pr) AS frequency FROM (SELECT unnest(range(64)) AS pos) p LEFT JOIN nc USING (pos) GROUP BY p.pos")
+def frequency_of_correlated_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = chosen_by_correlation(spark, samples(spark, sf_dir), ["ols"], 5)
+    return rounded(bands.selection_frequency(scores, ["model"], 64).drop("model"))
+
+
+@query(f"""
+WITH {SAMPLES}, {FIVE}, o AS (SELECT k, count(ac.pos) AS common FROM nc LEFT JOIN ac USING (pos) GROUP BY k)
+SELECT 'ols' AS model, round(avg(common / 5), 6) AS mean_overlap_frac, round(avg(common / (10 - common)), 6) AS mean_jaccard, 5.0::DOUBLE AS mean_apparent_k, 5.0::DOUBLE AS mean_nested_k FROM o
+""")
+def overlap_of_correlated_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.mask_overlap(chosen_by_correlation(spark, samples(spark, sf_dir), ["ols"], 5), ["model"]))
+
+
+def one_by_split(name: str, fold: str) -> str:
+    """Fold-mean R2 of both arms of the best correlated feature for one way of making folds."""
+    return f"""{name}s AS (SELECT vec_id, y, x, {fold} AS fold FROM s), {name}g AS (SELECT fold, y, unnest(range(64)) AS pos, unnest(x) AS v FROM {name}s),
+{name}t AS (SELECT k, pos, regr_slope(y, v) AS b, regr_intercept(y, v) AS b0, abs(corr(v, y)) AS c FROM {name}g JOIN (SELECT DISTINCT fold AS k FROM {name}s) ON fold <> k GROUP BY ALL),
+{name}c AS (SELECT k, 'nested' AS arm, arg_max(pos, (round(c, 9), -pos)) AS pos FROM {name}t GROUP BY k UNION ALL SELECT DISTINCT k, 'apparent', (SELECT arg_max(pos, (round(c, 9), -pos)) FROM (SELECT pos, abs(corr(v, y)) AS c FROM {name}g GROUP BY pos)) FROM {name}t),
+{name}r AS (SELECT arm, avg(r2) AS r2 FROM (SELECT arm, k, 1 - sum((y - b0 - b * v) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM {name}c JOIN {name}t USING (k, pos) JOIN {name}g ON {name}g.pos = {name}c.pos AND {name}g.fold = k GROUP BY ALL) GROUP BY arm)"""
+
+
+@query(f"""
+WITH {SAMPLES}, gr AS (SELECT grp, (row_number() OVER (ORDER BY md5('42|' || grp)) - 1) % 5 AS gf FROM (SELECT DISTINCT grp FROM s)),
+{one_by_split("pa", "(row_number() OVER (ORDER BY md5('42|' || vec_id)) - 1) % 5")},
+{one_by_split("pb", "(SELECT gf FROM gr WHERE gr.grp = s.grp)")},
+p AS (SELECT (SELECT r2 FROM par WHERE arm = 'apparent') AS p1, (SELECT r2 FROM pbr WHERE arm = 'apparent') AS p2, (SELECT r2 FROM pbr WHERE arm = 'nested') AS p3)
+SELECT 'ols' AS model, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p1 - p2, 6) + 0.0 AS group_leak, round(p2 - p3, 6) + 0.0 AS sel_leak FROM p
+""")
+def three_pipelines_of_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random folds against whole groups (all of one size here), apparent against nested choice."""
+    df = samples(spark, sf_dir).drop("fold")
+    random, grouped = (chosen_by_correlation(spark, f, ["ols"], 1) for f in (splits.shuffled_folds(df, "vec_id"), splits.group_folds(df, "grp")))
+    return rounded(evaluate.three_pipelines(random, grouped, ["model"]))
+
+
 def grid_scores(spark: SparkSession, sf_dir: str, fold: str | None = None) -> DataFrame:
     df = samples(spark, sf_dir)
     df = splits.group_folds(df.drop("fold"), "grp") if fold == "group" else splits.shuffled_folds(df.drop("fold"), "vec_id") if fold == "random" else df
@@ -222,7 +301,16 @@ def folds_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified_folds(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
 
 
-@query()
+@query("""
+WITH RECURSIVE g AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)),
+w(i, load, groups) AS (
+  SELECT CAST(0 AS BIGINT), [0::BIGINT, 0, 0, 0, 0], [0::BIGINT, 0, 0, 0, 0]
+  UNION ALL
+  SELECT w.i + 1, list_transform(load, lambda x, k: x + CASE WHEN k = list_position(load, list_min(load)) THEN g.n ELSE 0 END),
+         list_transform(groups, lambda x, k: x + CASE WHEN k = list_position(load, list_min(load)) THEN 1 ELSE 0 END)
+  FROM w JOIN g ON g.i = w.i + 1)
+SELECT CAST(unnest(range(5)) AS INTEGER) AS fold, unnest(load) AS n, unnest(groups) AS groups FROM (SELECT * FROM w ORDER BY i DESC LIMIT 1)
+""")
 def folds_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.group_folds(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("groups"))
 
@@ -233,6 +321,17 @@ def folds_stratified_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified_group_folds(df, "grp", "label").groupBy("fold", "label").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH t AS (SELECT label, grp, count(*) AS n FROM (SELECT label, vec_id % 25 AS grp FROM embeddings) GROUP BY ALL)
+SELECT label, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY label
+""")
+def classes_over_grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified group folds lose no row and split no group: rows by class of groups that lie in one fold."""
+    df = splits.stratified_group_folds(samples(spark, sf_dir).select("vec_id", "grp", "label"), "grp", "label")
+    whole = df.groupBy("grp").agg(F.count_distinct("fold").alias("folds")).where(F.col("folds") == 1)
+    return df.join(whole, "grp", "left_semi").groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("""
 WITH g AS (SELECT DISTINCT o_custkey FROM orders), r AS (SELECT o_custkey, row_number() OVER (ORDER BY md5('42|' || CAST(o_custkey AS VARCHAR))) - 1 AS rank, count(*) OVER () AS n FROM g)
 SELECT o_orderkey, rank < ceil(n * 0.2) AS is_test FROM orders JOIN r USING (o_custkey)
@@ -363,7 +462,7 @@ POISSON = ", ".join(str(c) for c in (0.36787944117144233, 0.7357588823428847, 0.
 
 @query(f"""
 WITH p AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) * 1500 AS q, concat_ws('-', l_orderkey, l_linenumber) AS k FROM lineitem),
-b AS (SELECT *, CAST('0x' || substr(md5('42|' || b || '|' || k), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM p, (SELECT unnest(range(1, 11)) AS b)),
+b AS (SELECT *, CAST('0x' || substr(md5('42|' || b || '|' || k), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM p, (SELECT unnest(range(1, 201)) AS b)),
 w AS (SELECT *, len(list_filter([{POISSON}], lambda s: s <= u)) AS w FROM b),
 r AS (SELECT l_returnflag, b, 1 - sum(w * (y - q) ^ 2) / (sum(w * y * y) - sum(w * y) ^ 2 / sum(w)) AS r2 FROM w GROUP BY ALL)
 SELECT l_returnflag, round(quantile_cont(r2, 0.025), 4) AS low, round(quantile_cont(r2, 0.975), 4) AS high, count(*) AS n_boot FROM r GROUP BY l_returnflag
@@ -371,7 +470,7 @@ SELECT l_returnflag, round(quantile_cont(r2, 0.025), 4) AS low, round(quantile_c
 def poisson_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     rows = li.select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), F.col("l_extendedprice").cast("double").alias("y_true"), (F.col("l_quantity").cast("double") * 1500).alias("y_pred"))
-    return rounded(resample.poisson_intervals(rows, ["l_returnflag"], "k", n_boot=10), 4)
+    return rounded(resample.poisson_intervals(rows, ["l_returnflag"], "k"), 4)
 
 
 # --- seeds and significance --------------------------------------------------------------------------------
@@ -407,6 +506,19 @@ def paired_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("event_type", "n", "mean_bias", "wilcoxon_stat", "cliffs_delta", "cohens_d", "cliffs_interpretation"))
 
 
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN pow(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE, 4) END AS p FROM part),
+r AS (SELECT p_partkey, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, p_partkey) AS q FROM p WHERE p IS NOT NULL),
+f AS (SELECT p_partkey, least(1.0, min(q) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM r)
+SELECT p.p_partkey, round(fdr, 9) AS p_value_fdr, coalesce(fdr < 0.05, false) AS significant_fdr FROM p LEFT JOIN f USING (p_partkey)
+""")
+def false_discovery_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benjamini and Hochberg over a p value for each part, some of them missing."""
+    p = F.when(F.col("p_partkey") % 10 != 0, F.pow(unit_number(F.col("p_partkey").cast("string")), F.lit(4.0)))
+    out = stats.false_discovery(table(spark, sf_dir, "part").select("p_partkey", p.alias("p_value")))
+    return rounded(out.drop("p_value"), 9)
+
+
 @query()
 def significance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.false_discovery(stats.paired_tests(results(spark, sf_dir), ["event_type"])), 9)
@@ -513,7 +625,23 @@ def vegetation_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", *(relative(c.cast("double")).alias(n) for n, c in indices.all_indices(F.col("x"), WAVES).items()))
 
 
-@query()
+def zero_divide_sql(a: str, b: str) -> str:
+    return f"(CASE WHEN abs({b}) >= 1e-10 THEN ({a}) / ({b}) ELSE 0 END)"
+
+
+def log_sql(x: str) -> str:
+    return f"(CASE WHEN abs({x}) > 1e-10 THEN ln(abs({x}) + 1e-10) ELSE 0 END)"
+
+
+FRI, NDRE = f"({inv_sql(R[410])} - {inv_sql(R[460])})", zero_divide_sql(f"{R[800]} - {R[700]}", f"{R[800]} + {R[700]}")
+NBI = zero_divide_sql(NDRE, FRI)
+LAYER_SQL = {f"R{nm}": R[nm] for nm in (410, 460, 670, 700, 800)} | {
+    "FRI": FRI, "NDRE": NDRE, "NBI": NBI, "logR460_R410": log_sql(zero_divide_sql(R[460], R[410])), "R670_R460": zero_divide_sql(R[670], R[460]), "R800_R460": zero_divide_sql(R[800], R[460]),
+    "FRI_x_NDRE": f"{FRI} * {NDRE}", "logNBI": f"ln(greatest({NBI}, 0) + 1)",
+}
+
+
+@query("SELECT vec_id, " + ", ".join(f"round({sql}, 4) + 0.0 AS \"{n}\"" for n, sql in LAYER_SQL.items()) + " FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
 def derived_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select("vec_id", *(relative(c).alias(n) for n, c in indices.fixed_layers(F.col("x"), WAVES).items()))
 
@@ -535,7 +663,28 @@ def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(samples(spark, sf_dir).select("vec_id", F.posexplode(spectra.first_difference(F.col("x"))).alias("pos", "d")))
 
 
-@query()
+def smoothing_sql(bands: int = 64, window: int = 11) -> str:
+    """(pos, j, w): weights of least-squares parabolas through each window, by their normal equations."""
+    rows = []
+    for i in range(bands):
+        first = min(max(i - window // 2, 0), bands - window)
+        t = [first + j - i for j in range(window)]
+        s = [sum(x**k for x in t) for k in range(5)]
+        # value at 0 of the parabola: Cramer's rule for the first coefficient
+        det = s[0] * (s[2] * s[4] - s[3] ** 2) - s[1] * (s[1] * s[4] - s[3] * s[2]) + s[2] * (s[1] * s[3] - s[2] ** 2)
+        rows += [f"({i}, {first + j}, {((s[2] * s[4] - s[3] ** 2) - x * (s[1] * s[4] - s[3] * s[2]) + x * x * (s[1] * s[3] - s[2] ** 2)) / det!r})" for j, x in enumerate(t)]
+    return "(VALUES " + ", ".join(rows) + ") w(pos, j, w)"
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+sg AS (SELECT vec_id, pos, sum(v * CAST(w AS DOUBLE)) AS v FROM e JOIN {smoothing_sql()} USING (j) GROUP BY ALL),
+rf AS (SELECT pos, avg(v) AS r FROM sg GROUP BY pos),
+ab AS (SELECT vec_id, regr_slope(v, r) AS b, regr_intercept(v, r) AS a FROM sg JOIN rf USING (pos) GROUP BY vec_id),
+ms AS (SELECT vec_id, pos, CASE WHEN abs(b) < 1e-10 THEN v ELSE (v - a) / b END AS v FROM sg JOIN ab USING (vec_id)),
+sn AS (SELECT vec_id, pos, (v - avg(v) OVER p) / CASE WHEN stddev_pop(v) OVER p = 0 THEN 1 ELSE stddev_pop(v) OVER p END AS v FROM ms WINDOW p AS (PARTITION BY vec_id))
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(d, 6) + 0.0 AS v FROM (SELECT vec_id, pos, lead(v) OVER (PARTITION BY vec_id ORDER BY pos) - v AS d FROM sn) WHERE d IS NOT NULL
+""")
 def preprocessing_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spectra.preprocess(samples(spark, sf_dir).select("vec_id", "x"), "x", ["sg", "msc", "snv", "d1"])
     return rounded(out.select("vec_id", F.posexplode("x").alias("pos", "v")))
@@ -615,6 +764,87 @@ def band_image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.band_image_statistics(li, "image", "l_linenumber", "v", [1, 2, 3, 4, 5, 6, 7]))
 
 
+# Rasters of 25 columns: pixels of an image in the order of near infrared with noise, so that its mask has a ragged
+# edge. The SQL repeats the steps by windows over dense grids and by flooding from the border.
+
+RASTER = """px AS (SELECT image, nir, red, green, blue, (row_number() OVER (PARTITION BY image ORDER BY nir + 0.5 * u, k) - 1) // 25 AS r, (row_number() OVER (PARTITION BY image ORDER BY nir + 0.5 * u, k) - 1) % 25 AS c
+  FROM (SELECT l_suppkey AS image, CAST(l_quantity AS DOUBLE) / 50 AS nir, CAST(l_extendedprice AS DOUBLE) / 105000 AS red, abs(CAST(l_discount AS DOUBLE)) * 10 AS green, abs(CAST(l_tax AS DOUBLE)) * 12.5 AS blue,
+    concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS k, CAST('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM lineitem)),
+ext AS MATERIALIZED (SELECT image, max(r) AS mr FROM px GROUP BY image), cel AS MATERIALIZED (SELECT image, mr, unnest(range(mr + 1)) AS r FROM ext), grd AS MATERIALIZED (SELECT image, mr, r, unnest(range(25)) AS c FROM cel)"""
+
+
+def grid_sql(name: str, marked: str) -> str:
+    """A dense grid (image, mr, r, c, v) of a 0/1 value of marked (image, r, c, v)."""
+    return f"{name} AS MATERIALIZED (SELECT g.image, g.mr, g.r, g.c, coalesce(m.v, 0) AS v FROM grd g LEFT JOIN {marked} m USING (image, r, c))"
+
+
+def moved_sql(name: str, source: str, erode: bool) -> str:
+    """3 x 3 dilation or erosion; nothing lies outside of the image."""
+    v = "CASE WHEN count(*) OVER w = 3 THEN min(v) OVER w ELSE 0 END" if erode else "max(v) OVER w"
+    return (f"{name}_ AS MATERIALIZED (SELECT image, mr, r, c, {v} AS v FROM {source} WINDOW w AS (PARTITION BY image, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)), "
+            f"{name} AS MATERIALIZED (SELECT image, mr, r, c, {v} AS v FROM {name}_ WINDOW w AS (PARTITION BY image, c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))")
+
+
+def filled_sql(name: str, source: str) -> str:
+    return (f"{name}_o(image, r, c) AS (SELECT image, r, c FROM {source} WHERE v = 0 AND (r = 0 OR c = 0 OR r = mr OR c = 24) UNION SELECT s.image, s.r, s.c FROM {name}_o o, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc), {source} s WHERE s.image = o.image AND s.r = o.r + dr AND s.c = o.c + dc AND s.v = 0), "
+            f"{name} AS MATERIALIZED (SELECT s.image, s.mr, s.r, s.c, CASE WHEN o.image IS NULL THEN 1 ELSE 0 END AS v FROM {source} s LEFT JOIN {name}_o o USING (image, r, c))")
+
+
+def cleaned_sql(name: str, source: str) -> str:
+    """Closing by two, filled, opening by one; the last step has the given name."""
+    steps = [moved_sql(f"{name}1", source, False), moved_sql(f"{name}2", f"{name}1", False), moved_sql(f"{name}3", f"{name}2", True), moved_sql(f"{name}4", f"{name}3", True), filled_sql(f"{name}5", f"{name}4"), moved_sql(f"{name}6", f"{name}5", True), moved_sql(name, f"{name}6", False)]
+    return ", ".join(steps)
+
+
+def large_sql(name: str, source: str) -> str:
+    """Pixels of regions that reach 0.5 % of the image; seven steps suffice for images of up to 1,600 pixels."""
+    reach = f"{name}_r(image, r0, c0, r, c, d) AS (SELECT image, r, c, r, c, 0 FROM {source} WHERE v = 1 UNION SELECT o.image, r0, c0, s.r, s.c, d + 1 FROM {name}_r o, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) e(dr, dc), {source} s WHERE d < 7 AND s.image = o.image AND s.r = o.r + dr AND s.c = o.c + dc AND s.v = 1)"
+    return f"{reach}, {name}_n AS (SELECT image, r0 AS r, c0 AS c, count(DISTINCT r * 25 + c) AS n FROM {name}_r GROUP BY ALL), {name} AS MATERIALIZED (SELECT s.image, s.mr, s.r, s.c, CASE WHEN n >= 0.005 * (s.mr + 1) * 25 THEN 1 ELSE 0 END AS v FROM {source} s LEFT JOIN {name}_n USING (image, r, c))"
+
+
+def raster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, row, col, s): s is blue, green, red and near infrared."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    li = table(spark, sf_dir, "lineitem")
+    nir = F.col("l_quantity").cast("double") / 50
+    bands_ = F.array(F.abs(F.col("l_tax").cast("double")) * 12.5, F.abs(F.col("l_discount").cast("double")) * 10, F.col("l_extendedprice").cast("double") / 105000, nir)
+    rank = F.row_number().over(Window.partitionBy("image").orderBy("at", "k")) - 1  # an image's pixels
+    rows = li.select(F.col("l_suppkey").alias("image"), bands_.alias("s"), key.alias("k"), (nir + 0.5 * unit_number(key)).alias("at"))
+    return rows.withColumn("i", rank).select("image", F.floor(F.col("i") / 25).cast("int").alias("row"), (F.col("i") % 25).cast("int").alias("col"), "s")
+
+
+def mask_facts(masks: DataFrame) -> DataFrame:
+    inside = F.when(F.col("in_mask"), F.col("row") * 25 + F.col("col") + 1).otherwise(0)
+    return masks.groupBy("image").agg(F.count_if("in_mask").alias("inside"), F.sum(inside).cast("long").alias("places"))
+
+
+@query(f"""
+WITH RECURSIVE {RASTER}, v AS (SELECT image, nir AS v FROM px), {OTSU},
+mk AS MATERIALIZED (SELECT image, r, c, CASE WHEN nir > greatest(0.05, least(0.30, threshold)) THEN 1 ELSE 0 END AS v FROM px JOIN ot USING (image)),
+wh AS MATERIALIZED (SELECT image, r, c, CASE WHEN (nir + red + green + blue) / 4 > 0.6 AND CASE WHEN nir + red > 0.01 THEN (nir - red) / (nir + red) ELSE 0 END < 0.4
+  AND sqrt(((nir - (nir + red + green + blue) / 4) ^ 2 + (red - (nir + red + green + blue) / 4) ^ 2 + (green - (nir + red + green + blue) / 4) ^ 2 + (blue - (nir + red + green + blue) / 4) ^ 2) / 4) / ((nir + red + green + blue) / 4) < 0.2 THEN 1 ELSE 0 END AS v FROM px),
+{grid_sql("w0", "wh")}, {moved_sql("w1", "w0", False)}, {moved_sql("w2", "w1", True)}, {filled_sql("w3", "w2")}, {moved_sql("w4", "w3", False)}, {moved_sql("w5", "w4", False)},
+{grid_sql("m0", "mk")}, m1 AS MATERIALIZED (SELECT m0.image, m0.mr, m0.r, m0.c, CASE WHEN w5.v = 1 THEN 0 ELSE m0.v END AS v FROM m0 JOIN w5 USING (image, r, c)),
+{cleaned_sql("m2", "m1")}, {large_sql("m3", "m2")}, {filled_sql("m4", "m3")}
+SELECT image, count(*) FILTER (WHERE m4.v = 1) AS inside, CAST(coalesce(sum(r * 25 + c + 1) FILTER (WHERE m4.v = 1), 0) AS BIGINT) AS places FROM px JOIN m4 USING (image, r, c) GROUP BY image
+""")
+def hybrid_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near infrared above its threshold without the white reference, cleaned up, small regions out, holes filled."""
+    return mask_facts(pixels.segment(raster_table(spark, sf_dir), "image", "s", [450, 550, 670, 800], "hybrid"))
+
+
+@query(f"""
+WITH RECURSIVE {RASTER}, v AS (SELECT image, CASE WHEN nir + red > 0.02 THEN (nir - red) / (nir + red) ELSE 0 END AS v FROM px), {OTSU},
+mk AS MATERIALIZED (SELECT image, r, c, CASE WHEN (CASE WHEN nir + red > 0.02 THEN (nir - red) / (nir + red) ELSE 0 END) > greatest(threshold, 0.15) THEN 1 ELSE 0 END AS v FROM px JOIN ot USING (image)),
+{grid_sql("m0", "mk")}, {cleaned_sql("m2", "m0")}
+SELECT image, count(*) FILTER (WHERE m2.v = 1) AS inside, CAST(coalesce(sum(r * 25 + c + 1) FILTER (WHERE m2.v = 1), 0) AS BIGINT) AS places FROM px JOIN m2 USING (image, r, c) GROUP BY image
+HAVING count(*) FILTER (WHERE m2.v = 1) > 0
+""")
+def leaf_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDVI masks, cleaned up, of the images that have any."""
+    return mask_facts(pixels.leaf_masks(raster_table(spark, sf_dir), "image", "s", [450, 550, 670, 800], "ndvi"))
+
+
 def spectral_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as pixels of images of 20; those of label 0 are background."""
     return samples(spark, sf_dir).select(F.floor(F.col("vec_id") / 20).alias("image"), "vec_id", "x", F.coalesce(F.col("label") != 0, F.lit(False)).alias("in_mask"))
