@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .moments import centred, r2, test_errors
@@ -238,16 +238,17 @@ def tree_predictions(df: DataFrame, features: str, target: str, fold: str, model
     return out
 
 
-def mutual_information(df: DataFrame, features: str, target: str, bins: int = 8) -> DataFrame:
-    """(pos, mi): each feature's mutual information with the target over quantile bins of the given rows (the
+def mutual_information(df: DataFrame, features: str, target: str, bins: int = 8, by: list[str] | None = None) -> DataFrame:
+    """(by, pos, mi): each feature's mutual information with the target over quantile bins of the given rows (the
     train rows: edges from elsewhere would leak). Counts are combined before the shuffle."""
+    by = by or []
     grid = [i / bins for i in range(1, bins)]
-    long = df.select(F.col(target).alias("y"), F.posexplode(features).alias("pos", "x"))
-    edges = exact_quantiles(long, ["pos"], "x", grid).withColumnRenamed("quantiles", "ex").crossJoin(F.broadcast(exact_quantiles(df, [], target, grid).withColumnRenamed("quantiles", "ey")))  # one row
-    cells = long.join(F.broadcast(edges), "pos").select("pos", F.size(F.filter("ex", lambda e: e <= F.col("x"))).alias("bx"), F.size(F.filter("ey", lambda e: e <= F.col("y"))).alias("by"))  # one row a feature
-    joint = cells.groupBy("pos", "bx", "by").agg(F.count("*").alias("n"))
-    x = joint.groupBy("pos", "bx").agg(F.sum("n").alias("nx"))
-    y = joint.groupBy("pos", "by").agg(F.sum("n").alias("ny"))
-    whole = joint.groupBy("pos").agg(F.sum("n").alias("total"))
-    each = joint.join(x, ["pos", "bx"]).join(y, ["pos", "by"]).join(whole, "pos")
-    return each.groupBy("pos").agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi"))
+    long = df.select(*by, F.col(target).alias("y"), F.posexplode(features).alias("pos", "x"))
+    ex = exact_quantiles(long, [*by, "pos"], "x", grid).withColumnRenamed("quantiles", "ex")
+    ey = exact_quantiles(df.select(*by, target), by, target, grid).withColumnRenamed("quantiles", "ey")
+    edges = ex.join(ey, by) if by else ex.crossJoin(F.broadcast(ey))  # one row
+    cells = long.join(F.broadcast(edges), [*by, "pos"]).select(*by, "pos", F.size(F.filter("ex", lambda e: e <= F.col("x"))).alias("bx"), F.size(F.filter("ey", lambda e: e <= F.col("y"))).alias("by_"))  # one row a feature
+    joint = cells.groupBy(*by, "pos", "bx", "by_").agg(F.count("*").alias("n"))
+    one = Window.partitionBy(*by, "pos")  # at most bins x bins rows
+    each = joint.withColumns({"nx": F.sum("n").over(Window.partitionBy(*by, "pos", "bx")), "ny": F.sum("n").over(Window.partitionBy(*by, "pos", "by_")), "total": F.sum("n").over(one)})
+    return each.groupBy(*by, "pos").agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi"))

@@ -5,6 +5,8 @@ Exact ranks over all rows come from hash buckets and offsets (see ranked()), nev
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,18 +189,21 @@ def side_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def split_search(df: DataFrame, group: str, label: str, seeds: list[int], share: float = 0.2) -> DataFrame:
-    """(seed, kl, leaked): divergence of train from test class shares for each seed's group hold-out. Works on
-    group x class counts, not rows; groups are whole, so none leaks."""
+    """(seed, kl, leaked): divergence of train from test class shares for each seed's group hold-out, and its groups
+    on both sides. Works on group x class counts, not rows."""
     spark = df.sparkSession
     counts = df.groupBy(F.col(group).alias("g"), F.col(label).alias("c")).agg(F.count("*").alias("n"))
-    tries = counts.select("g").distinct().crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in seeds], "seed int")))  # the caller's seeds
+    groups = counts.select("g").distinct()
+    tries = groups.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in seeds], "seed int")))  # the caller's seeds
     key = F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.col("g").cast("string")))
-    sides = tries.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(key))).withColumn("size", F.count("*").over(Window.partitionBy("seed"))).select("seed", "g", (F.col("rank") <= F.ceil(F.col("size") * share)).alias("is_test"))
+    first = math.ceil(groups.count() * share)
+    sides = ranked(tries, key, ["seed"]).select("seed", "g", (F.col("rank") < first).alias("is_test"))
     shares = sides.join(counts, "g").groupBy("seed", "c").agg(F.sum(F.when(F.col("is_test"), F.col("n")).otherwise(0)).alias("test"), F.sum(F.when(~F.col("is_test"), F.col("n")).otherwise(0)).alias("train"))
     whole = Window.partitionBy("seed")
     p = F.col("train") / F.sum("train").over(whole) + 1e-9
     q = F.col("test") / F.sum("test").over(whole) + 1e-9
-    return shares.withColumn("part", p * F.ln(p / q)).groupBy("seed").agg(F.sum("part").alias("kl")).withColumn("leaked", F.lit(0))
+    both = sides.groupBy("seed", "g").agg(F.count_distinct("is_test").alias("sides")).groupBy("seed").agg(F.count_if(F.col("sides") > 1).alias("leaked"))
+    return shares.withColumn("part", p * F.ln(p / q)).groupBy("seed").agg(F.sum("part").alias("kl")).join(both, "seed")
 
 
 def group_leakage(df: DataFrame, group: str, side: str) -> DataFrame:

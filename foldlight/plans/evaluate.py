@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.models import MODELS, SEARCHES, get_selector
+from ..operators.models import MODELS, SEARCHES, get_selector, mutual_information, top_k
 from ..operators.moments import Moments, centred, r2, test_errors
 
 
@@ -62,6 +62,24 @@ def evaluate_grid(combos: DataFrame, moments: dict[str, Moments]) -> DataFrame:
 KEYS = ["dataset", "selector", "model", "k", "seed"]
 
 
+def informative_choices(df: DataFrame, features: str, target: str, fold: str, k: int, bins: int = 8) -> list[np.ndarray]:
+    """The k features with the most mutual information: on all rows, then on each fold's train rows. Needs rows,
+    which moments don't have; what comes back is one number a feature."""
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # one row a fold
+    # the set of all rows and each fold's train rows, by number
+    member = F.array_compact(F.array(F.lit(0), *(F.when(F.col(fold) != f, F.lit(i)) for i, f in enumerate(folds, 1))))
+    found: dict[int, dict[int, float]] = {}
+    for r in mutual_information(df.withColumn("_set", F.explode(member)), features, target, bins, ["_set"]).collect():
+        found.setdefault(r["_set"], {})[r["pos"]] = round(r["mi"], 9)
+    return [top_k(np.array([found[i][j] for j in range(len(found[i]))]), k) for i in sorted(found)]
+
+
+def score_choices(spark: SparkSession, dataset: str, m: Moments, selector: str, chosen_by: list[np.ndarray], models: list[str], seed: int = 42) -> DataFrame:
+    """fold_scores() of each model for choices made elsewhere, in the form of evaluate_grid()."""
+    rows = [{"dataset": dataset, "selector": selector, "model": f, "k": len(chosen_by[0]), "seed": seed, **s} for f in models for s in fold_scores(m, selector, f, len(chosen_by[0]), seed, chosen_by)]
+    return spark.createDataFrame(rows, f"dataset string, selector string, model string, k int, seed int, {SCORES}")
+
+
 def pooled(of: Callable[[str], Column]) -> Column:
     """One R2 over all rows from per-fold sums: total squares are those inside folds and those between their means."""
     between = F.sum(of("n") * of("mean_y") * of("mean_y")) - F.sum(of("n") * of("mean_y")) * F.sum(of("n") * of("mean_y")) / F.sum(of("n"))

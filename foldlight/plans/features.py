@@ -89,3 +89,31 @@ def overview(name: str, df: DataFrame, features: str, targets: list[str], group:
     """One row: name, samples, features, groups, and finite values of each target."""
     counts = (F.count(F.when(~F.isnan(F.col(t).cast("double")), F.col(t))).alias(f"n_{t}") for t in targets)
     return df.agg(F.lit(name).alias("dataset"), F.count("*").alias("n"), F.max(F.size(features)).alias("p"), F.count_distinct(group).alias("groups"), *counts)
+
+
+def class_profile(df: DataFrame, features: str, label: str) -> DataFrame:
+    """(pos, label, mean, n): each band's mean in each class."""
+    return df.select(label, F.posexplode(features)).groupBy("pos", label).agg(F.avg("col").alias("mean"), F.count("*").alias("n"))
+
+
+def feature_profile(df: DataFrame, features: str) -> DataFrame:
+    """(pos, mean, std): over all rows, population deviation."""
+    return df.select(F.posexplode(features)).groupBy("pos").agg(F.avg("col").alias("mean"), F.stddev_pop("col").alias("std"))
+
+
+def image_profile(pixels: DataFrame, image: str, spectrum: str, mask: str) -> DataFrame:
+    """(image, pos, mean, std, n): each band over the mask's pixels, population deviation."""
+    return pixels.where(F.col(mask)).select(image, F.posexplode(spectrum)).groupBy(image, "pos").agg(F.avg("col").alias("mean"), F.stddev_pop("col").alias("std"), F.count("*").alias("n"))
+
+
+def group_structure(df: DataFrame, group: str) -> DataFrame:
+    """(grp, n): rows of each group."""
+    return df.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("n"))
+
+
+def target_histogram(df: DataFrame, target: str) -> DataFrame:
+    """(bin, n, mean): as many bins of equal width as a fifth of the rows, 5 to 30."""
+    y = F.col(target)
+    e = df.agg(F.min(y).alias("_low"), F.max(y).alias("_high"), F.least(F.lit(30), F.greatest(F.lit(5), F.floor(F.count("*") / 5))).alias("_bins"))
+    at = F.least(F.col("_bins") - 1, F.floor((y - F.col("_low")) * F.col("_bins") / (F.col("_high") - F.col("_low")))).cast("int")
+    return df.crossJoin(F.broadcast(e)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(y).alias("mean"))  # one row

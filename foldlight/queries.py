@@ -111,6 +111,25 @@ def fold_scores_of_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary_table(scores, ["model"]).select("model", "fold_scores")
 
 
+@query(f"""
+WITH {SAMPLES}, lg AS (SELECT vec_id, fold, y, unnest(range(64)) AS pos, unnest(x) AS v FROM s), pr AS (SELECT DISTINCT fold AS k FROM s UNION ALL SELECT -1),
+tr AS (SELECT k, lg.* FROM lg JOIN pr ON lg.fold <> k),
+ed AS (SELECT k, pos, quantile_cont(v, [1/8, 2/8, 3/8, 4/8, 5/8, 6/8, 7/8]) AS ex, quantile_cont(y, [1/8, 2/8, 3/8, 4/8, 5/8, 6/8, 7/8]) AS ey FROM tr GROUP BY ALL),
+jt AS (SELECT k, pos, len(list_filter(ex, lambda q: q <= v)) AS bx, len(list_filter(ey, lambda q: q <= y)) AS by_, count(*) AS n FROM tr JOIN ed USING (k, pos) GROUP BY ALL),
+mi AS (SELECT k, pos, sum(n / t * ln(n * t / (nx * ny))) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY k, pos, bx) AS nx, sum(n) OVER (PARTITION BY k, pos, by_) AS ny, sum(n) OVER (PARTITION BY k, pos) AS t FROM jt) GROUP BY ALL),
+bs AS (SELECT k, arg_max(pos, (round(mi, 9), -pos)) AS pos FROM mi GROUP BY k),
+ch AS (SELECT k, 'nested' AS arm, pos FROM bs WHERE k >= 0 UNION ALL SELECT k, 'apparent', (SELECT pos FROM bs WHERE k = -1) FROM bs WHERE k >= 0),
+ft AS (SELECT ch.*, regr_slope(y, v) AS b, regr_intercept(y, v) AS b0 FROM ch JOIN lg ON lg.pos = ch.pos AND lg.fold <> k GROUP BY ALL)
+SELECT ft.arm, CAST(ft.k AS INTEGER) AS fold, CAST(ft.pos AS INTEGER) AS pos, round(1 - sum((y - b0 - b * v) ^ 2) / (var_pop(y) * count(*)), 6) AS r2 FROM ft JOIN lg ON lg.pos = ft.pos AND lg.fold = ft.k GROUP BY ALL
+""")
+def inflation_by_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inflation_one_feature with the feature of the most mutual information."""
+    df = samples(spark, sf_dir)
+    m, chosen = moments.fold_moments(df, "x", ["y"], "fold"), evaluate.informative_choices(df, "x", "y", "fold", 1)
+    scores = evaluate.score_choices(spark, "e", m, "mutual_info", chosen, ["ols"])
+    return rounded(scores.select("arm", "fold", F.get("chosen", F.lit(0)).alias("pos"), "r2"))
+
+
 FIVE = """pr AS (SELECT DISTINCT fold AS k FROM s), lg AS (SELECT vec_id, fold, y, unnest(range(64)) AS pos, unnest(x) AS v FROM s),
 nc AS (SELECT k, pos FROM (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY abs(corr(v, y)) DESC, pos) AS rk FROM lg JOIN pr ON lg.fold <> k GROUP BY k, pos) WHERE rk <= 5),
 ac AS (SELECT pos FROM (SELECT pos, row_number() OVER (ORDER BY abs(corr(v, y)) DESC, pos) AS rk FROM lg GROUP BY pos) WHERE rk <= 5)"""
@@ -346,7 +365,7 @@ t AS (SELECT g, seed FROM (SELECT DISTINCT g FROM c), (VALUES (1), (2), (3), (4)
 r AS (SELECT seed, g, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || '|' || CAST(g AS VARCHAR))) <= ceil(count(*) OVER (PARTITION BY seed) * 0.2) AS is_test FROM t),
 s AS (SELECT seed, c, coalesce(sum(n) FILTER (WHERE is_test), 0) AS test, coalesce(sum(n) FILTER (WHERE NOT is_test), 0) AS train FROM r JOIN c USING (g) GROUP BY ALL),
 p AS (SELECT seed, train / sum(train) OVER (PARTITION BY seed) + 1e-9 AS p, test / sum(test) OVER (PARTITION BY seed) + 1e-9 AS q FROM s)
-SELECT seed, round(sum(p * ln(p / q)), 9) AS kl, 0 AS leaked FROM p GROUP BY seed
+SELECT p.seed, round(sum(p * ln(p / q)), 9) AS kl, (SELECT count(*) FROM (SELECT g FROM r WHERE r.seed = p.seed GROUP BY g HAVING count(DISTINCT is_test) > 1)) AS leaked FROM p GROUP BY p.seed
 """)
 def split_seed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(splits.split_search(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", [1, 2, 3, 4, 5]), 9)
@@ -934,17 +953,25 @@ def dataset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(pos AS INTEGER) AS pos, label, round(avg(v), 6) AS mean, count(*) AS n FROM (SELECT label, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY ALL")
 def class_mean_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(samples(spark, sf_dir).select("label", F.posexplode("x")).groupBy("pos", "label").agg(F.avg("col").alias("mean"), F.count("*").alias("n")))
+    return rounded(features.class_profile(samples(spark, sf_dir), "x", "label"))
 
 
 @query("SELECT CAST(pos AS INTEGER) AS pos, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM (SELECT unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY pos")
 def feature_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(samples(spark, sf_dir).select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("mean"), F.stddev_pop("col").alias("std")))
+    return rounded(features.feature_profile(samples(spark, sf_dir), "x"))
+
+
+@query("""
+WITH e AS (SELECT vec_id // 20 AS image, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE label <> 0)
+SELECT image, CAST(pos AS INTEGER) AS pos, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n FROM e GROUP BY ALL
+""")
+def image_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.image_profile(spectral_pixels(spark, sf_dir), "image", "x", "in_mask"))
 
 
 @query("SELECT o_custkey AS grp, count(*) AS n FROM orders GROUP BY 1")
 def group_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("grp")).agg(F.count("*").alias("n"))
+    return features.group_structure(table(spark, sf_dir, "orders"), "o_custkey")
 
 
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")
@@ -957,10 +984,7 @@ WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high, least(30,
 SELECT CAST(least(bins - 1, floor((o_totalprice - low) * bins / (high - low))) AS INTEGER) AS bin, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders, e GROUP BY 1
 """)
 def target_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_totalprice")
-    e = orders.agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.least(F.lit(30), F.greatest(F.lit(5), F.floor(F.count("*") / 5))).alias("bins"))
-    at = F.least(F.col("bins") - 1, F.floor((F.col("o_totalprice") - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low")))).cast("int")
-    return orders.crossJoin(F.broadcast(e)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))  # one row
+    return rounded(features.target_histogram(table(spark, sf_dir, "orders").select("o_totalprice"), "o_totalprice"), 4)
 
 
 # --- ground truth and outliers -----------------------------------------------------------------------------

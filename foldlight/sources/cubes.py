@@ -50,31 +50,42 @@ def size_is_valid(length: Column, bands: int = 204, lines: int = 512, samples: i
     return (length == lines * samples * bands * item) | ((length > 0) & (length % (bands * item) == 0))
 
 
-def decode_cube(data: bytes, dtype: str, interleave: str, lines: int, samples: int, bands: int) -> np.ndarray:
-    """(lines, samples, bands) as float32."""
+def cube_view(data: bytes, dtype: str, interleave: str, lines: int, samples: int, bands: int) -> np.ndarray:
+    """(lines, samples, bands) over the file's own bytes; nothing is copied."""
     flat = np.frombuffer(data, dtype)
     if interleave == "bsq":
-        return flat.reshape(bands, lines, samples).transpose(1, 2, 0).astype(np.float32)
+        return flat.reshape(bands, lines, samples).transpose(1, 2, 0)
     if interleave == "bip":
-        return flat.reshape(lines, samples, bands).astype(np.float32)
-    return flat.reshape(lines, bands, samples).transpose(0, 2, 1).astype(np.float32)
+        return flat.reshape(lines, samples, bands)
+    return flat.reshape(lines, bands, samples).transpose(0, 2, 1)
 
 
 PIXELS = "image string, row int, col int, spectrum array<float>"
+#: Pixels that leave a task at once.
+PIXEL_ROWS = 4096
+
+
+def pixel_blocks(image: str, cube: np.ndarray, mask: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Pixel rows of a cube, some lines at a time."""
+    step = max(1, PIXEL_ROWS // max(1, cube.shape[1]))
+    for at in range(0, cube.shape[0], step):
+        part = cube[at : at + step].astype(np.float32)
+        rows, cols = np.divmod(np.arange(part.shape[0] * part.shape[1]), part.shape[1])
+        out = pd.DataFrame({"image": image, "row": (rows + at).astype(np.int32), "col": cols.astype(np.int32), "spectrum": list(part.reshape(len(rows), -1))})
+        yield out if mask is None else out.assign(in_mask=mask[at : at + step].ravel())
 
 
 def read_pixels(cubes: DataFrame) -> DataFrame:
-    """Pixel rows of (image, content, dtype, interleave, lines, samples, bands); one image in memory at a time.
-    Sizes that don't fit are repaired by repaired_shape(); cubes that can't be are left out."""
+    """Pixel rows of (image, content, dtype, interleave, lines, samples, bands); one image's bytes and a block of
+    its pixels in memory at a time. Sizes that don't fit are repaired by repaired_shape(); cubes that can't be are
+    left out."""
     item = F.when(F.col("dtype") == "uint8", 1).when(F.col("dtype").isin("int16", "uint16"), 2).when(F.col("dtype") == "float64", 8).otherwise(4)
     shaped = cubes.withColumn("shape", repaired_shape(F.floor(F.length("content") / item), F.col("bands"), F.col("lines"), F.col("samples"))).where(F.col("shape").isNotNull())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for r in part.itertuples():
-                cube = decode_cube(r.content, r.dtype, r.interleave, int(r.lines_), int(r.samples_), int(r.bands))
-                rows, cols = np.divmod(np.arange(cube.shape[0] * cube.shape[1]), cube.shape[1])
-                yield pd.DataFrame({"image": r.image, "row": rows.astype(np.int32), "col": cols.astype(np.int32), "spectrum": list(cube.reshape(len(rows), -1))})
+                yield from pixel_blocks(r.image, cube_view(r.content, r.dtype, r.interleave, int(r.lines_), int(r.samples_), int(r.bands)))
 
     return shaped.select("image", "content", "dtype", "interleave", "bands", F.col("shape.lines").alias("lines_"), F.col("shape.samples").alias("samples_")).mapInPandas(run, PIXELS)
 
@@ -87,9 +98,7 @@ def read_npz(files: DataFrame) -> DataFrame:
             for r in part.itertuples():
                 with np.load(io.BytesIO(r.content)) as z:
                     data, mask = z["data"], z["mask"].astype(bool)
-                mask = mask if mask.ndim == 2 else mask.any(axis=0)
-                rows, cols = np.divmod(np.arange(mask.size), mask.shape[1])
-                yield pd.DataFrame({"image": r.path, "row": rows.astype(np.int32), "col": cols.astype(np.int32), "spectrum": list(data.reshape(len(data), -1).T.astype(np.float32)), "in_mask": mask.ravel()})
+                yield from pixel_blocks(r.path, data.transpose(1, 2, 0), mask if mask.ndim == 2 else mask.any(axis=0))
 
     return files.select("path", "content").mapInPandas(run, f"{PIXELS}, in_mask boolean")
 

@@ -82,6 +82,21 @@ def to_array(df: DataFrame, names: list[str], features: str = "features") -> Dat
     return df.withColumn(features, F.array(*(F.col(n).cast("double") for n in names))).drop(*names)
 
 
+def write_dataset(df: DataFrame, features: str, names: list[str], path: str) -> None:
+    """A feature dataset: keys and targets first, then a column for each feature, as Parquet."""
+    to_wide(df, features, names).write.mode("overwrite").parquet(path)
+
+
+def read_dataset(spark: SparkSession, path: str, keys: list[str], features: str = "features") -> tuple[DataFrame, list[str]]:
+    """(keys and an array of all other columns, their names); columns that are missing among the keys are an error."""
+    wide = spark.read.parquet(path)
+    missing = set(keys) - set(wide.columns)
+    if missing:
+        raise ValueError(f"no columns {sorted(missing)}")
+    names = [c for c in wide.columns if c not in keys]
+    return to_array(wide, names, features), names
+
+
 def write_results(df: DataFrame, path: str, tag: str) -> None:
     """Append under the settings' tag; the writer's commit makes a batch visible as a whole."""
     df.withColumn("cfg_tag", F.lit(tag)).write.mode("append").partitionBy("cfg_tag").parquet(path)

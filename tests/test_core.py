@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from foldlight.functions import indices, labels, permute, spectra
 from foldlight.operators import models, moments, pixels, quantiles, splits, truth
-from foldlight.plans import evaluate, resample, stats
+from foldlight.plans import evaluate, features, resample, stats
 from foldlight.sources import cubes, tables
 from pyspark.sql import functions as F
 
@@ -346,3 +346,109 @@ def test_resume(spark, tmp_path):
     tables.write_results(grid.limit(3), f"{tmp_path}/r", "k20")
     keys = ["dataset", "target", "selector", "model", "seed"]
     assert tables.remaining(grid, tables.read_results(spark, f"{tmp_path}/r", "k20"), keys).count() == 1
+
+
+def png(rows):
+    """A grey PNG file of 8-bit rows."""
+    import struct
+    import zlib
+
+    def part(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + part(b"IEND", b"")
+
+
+def test_files(spark, tmp_path):
+    """Headers, masked cubes, band images, annotations and measurements as files."""
+    import io
+
+    for leaf, names in (("x/leaf1", ["b.hdr", "a.hdr", "c.txt"]), ("x/y/leaf2", ["z.hdr"])):
+        (tmp_path / leaf / "results").mkdir(parents=True)
+        for n in names:
+            (tmp_path / leaf / "results" / n).write_text("ENVI")
+    (tmp_path / "x" / "stray.hdr").write_text("ENVI")
+    found = {r["leaf_dir"].rsplit("/", 1)[1]: r["path"].rsplit("/", 1)[1] for r in cubes.find_headers(spark, str(tmp_path / "x")).collect()}
+    assert found == {"leaf1": "a.hdr", "leaf2": "z.hdr"}
+    sizes = spark.createDataFrame([(512 * 512 * 204 * 4,), (204 * 4 * 7,), (204 * 4 * 7 + 1,), (0,)], "n long").select(cubes.size_is_valid(F.col("n")).alias("ok")).collect()
+    assert [r["ok"] for r in sizes] == [True, True, False, False]
+
+    data, mask = np.random.default_rng(1).random((3, 90, 70)), np.random.default_rng(2).random((90, 70)) < 0.5
+    packed = io.BytesIO()
+    np.savez(packed, data=data, mask=np.stack([mask, mask, mask & False]))
+    rows = cubes.read_npz(spark.createDataFrame([("p", bytearray(packed.getvalue()))], "path string, content binary")).collect()
+    assert len(rows) == 6300 and all(r["in_mask"] == mask[r["row"], r["col"]] and r["spectrum"] == data[:, r["row"], r["col"]].astype(np.float32).tolist() for r in rows)
+
+    for image, n in (("1", 6), ("2", 5)):
+        for b in range(1, n + 1):
+            (tmp_path / "set7").mkdir(exist_ok=True)
+            (tmp_path / "set7" / f"IMG_{image}_{b}.png").write_bytes(png([[10 * b, 20 * b], [0, 5]]))
+    images = cubes.read_band_images(spark, str(tmp_path / "set7"))
+    assert {(r["set"], r["image"], r["band"]) for r in images.collect()} == {("set7", "1", b) for b in range(1, 7)}
+    grey = images.select("image", "band", F.explode(F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("double"))).alias("v"))
+    stats = features.band_image_statistics(grey, "image", "band", "v", [1, 2, 3, 4, 5, 6]).first()
+    assert stats["b3_mean"] == pytest.approx(np.mean([30, 60, 0, 5])) and stats["b6_std"] == pytest.approx(np.std([60, 120, 0, 5]))
+
+    notes = '{"a": {"type": "leaf", "FD": true}, "b": {"type": "calibration_panel"}, "c": null, "d": {"FD": false, "ESCA": true}}'
+    got = {r["image"]: (r["type"], r["FD"], r["ESCA"]) for r in tables.read_annotations(spark.createDataFrame([(bytearray(notes.encode()),)], "content binary")).collect()}
+    assert got == {"a": ("leaf", 1.0, 0.0), "d": (None, 0.0, 1.0)}
+    (tmp_path / "m.csv").write_text("Sample_Index,Field,SPAD,RWC\n1,1,40.5,x\n2,1,41,0.5\n9,1,1,1\n")
+    measured = tables.read_measurements(spark, str(tmp_path / "m.csv"), spark.createDataFrame([(1,), (2,), (2,), (3,)], "Sample_Index int")).orderBy("Sample_Index").collect()
+    assert [(r["Sample_Index"], r["chlorophyll"], r["rwc"]) for r in measured] == [(1, 40.5, None), (2, 41.0, 0.5)]
+
+
+def test_datasets(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0, [1.0, 2.0]), ("b", None, [3.0, 4.0])], "filename string, y double, features array<double>")
+    tables.write_dataset(df, "features", ["f1", "f2"], f"{tmp_path}/d")
+    back, names = tables.read_dataset(spark, f"{tmp_path}/d", ["filename", "y"])
+    assert names == ["f1", "f2"] and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        tables.read_dataset(spark, f"{tmp_path}/d", ["other"])
+    checks = tables.dataset_checks(df, keys=["y"]).first()
+    assert (checks["n"], checks["least_features"], checks["most_features"], checks["null_y"]) == (2, 2, 2, 1)
+    tables.LOADERS["mine"] = lambda s: df
+    assert tables.load(spark, "mine") is df
+    with pytest.raises(ValueError):
+        tables.load(spark, "yours")
+    assert tables.normalise_names(spark.createDataFrame([(1, "x")], "imageID int, directoryName string")).columns == ["imageID", "filename"]
+    assert tables.normalise_names(spark.createDataFrame([(1, "x")], "q int, z string")).columns == ["filename", "z"]
+    tables.write_summary(df.select("filename", "y"), df.agg(F.count("*").alias("n")), f"{tmp_path}/s")
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/s/overall").first()["n"] == "2"
+
+
+def test_dataset_preprocessing(spark):
+    rows = np.random.default_rng(3).random((5, 20))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id int, x array<double>")
+    for window in (11, 10, 51):
+        odd = window + (window % 2 == 0)
+        smooth = rows @ spectra.savgol_matrix(20, odd).T if odd <= 20 else rows
+        want = (smooth - smooth.mean(1, keepdims=True)) / smooth.std(1, keepdims=True)
+        got = np.array([r["x"] for r in spectra.preprocess_dataset(df, "x", 20, window).orderBy("id").collect()])
+        assert np.allclose(got, want)
+    line = np.array([r["x"] for r in spectra.preprocess(df, "x", ["continuum_line"]).orderBy("id").collect()])
+    assert np.allclose(line, rows / np.linspace(rows[:, 0], rows[:, -1], 20, axis=1))
+
+
+def test_splitter_by_task(data):
+    df = data[2].drop("fold").withColumn("c", F.col("id") % 3)
+    plain = splits.make_folds(df, "id")
+    assert sorted(r["count"] for r in plain.groupBy("fold").count().collect()) == [24] * 5
+    by_class = splits.make_folds(df, "id", task="classification", label="c").groupBy("fold", "c").count().collect()
+    assert {r["count"] for r in by_class} == {8}
+    assert splits.make_folds(df, "id", target="y", stratify=True).groupBy("fold", "stratum").count().agg(F.min("count")).first()[0] >= 4
+    for grouped in (splits.make_folds(df, "id", group="grp"), splits.make_folds(df, "id", task="classification", group="grp", label="c")):
+        assert grouped.groupBy("grp").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+
+
+def test_more_models_against_rows(data):
+    """Elastic net by its optimality conditions; boosted trees predict every row out of fold."""
+    x, y, df = data
+    m = moments.fold_moments(df, "x", ["y"], "fold").total
+    _, coef = models.elastic_net(m, np.arange(12))
+    z = (x - x.mean(0)) / x.std(0)
+    w = coef * x.std(0)
+    slope = z.T @ (y - y.mean() - z @ w) / 120 - 0.05 * w
+    assert np.allclose(slope[w != 0], 0.05 * np.sign(w[w != 0]), atol=1e-5) and (np.abs(slope[w == 0]) <= 0.05 + 1e-5).all()
+    out = models.tree_predictions(df, "x", "y", "fold", "boosted_trees", trees=3)
+    assert out.count() == 120 and out.where(F.col("y_pred").isNull()).count() == 0
