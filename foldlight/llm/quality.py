@@ -31,8 +31,8 @@ MAX_DOCS = 3000
 MAX_PASSAGES = 24_000
 MAX_BAG = 400
 THRESHOLD = 0.3
-#: Bytes encoded at once.
-SLICE = 1 << 20
+#: Bytes encoded at once, and passages whose deviations are summed at once.
+SLICE, ROWS = 1 << 20, 1 << 10
 #: Kinds of bytes: each of these by itself, then the ranges below.
 SINGLE = b" \n.,!?*#%&$|-;:/@'\""
 KINDS = len(SINGLE) + 7
@@ -109,8 +109,12 @@ class AttentionMIL:
         return {"E": f["x"].T @ of_h, "e": of_h.sum(0), "V": f["h"].T @ of_t, "U": f["h"].T @ of_g, "w": (f["t"] * f["g"]).T @ of_logit, "c": f["z"].T @ err, "b": err.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.004, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> AttentionMIL:
-        self.mean, self.scale = x.mean(0), 1 / (x.std(0) + 0.05)
-        x = np.clip((x - self.mean) * self.scale, -8, 8)
+        """x is scaled in place: no second matrix of its size is made."""
+        self.mean = x.mean(0)
+        self.scale = (1 / (np.sqrt(sum(((x[i : i + ROWS] - self.mean) ** 2).sum(0, dtype=float) for i in range(0, len(x), ROWS)) / len(x)) + 0.05)).astype(np.float32)
+        x -= self.mean
+        x *= self.scale
+        np.clip(x, -8, 8, out=x)
         start = np.concatenate(([0], np.cumsum(bags)))
         rng, m, v, step = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for _ in range(epochs):
@@ -161,9 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: in
     short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bag * PASSAGE)
     sample = short.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most max_docs ids
     got = sorted((r["doc_id"], bytes(r["bag"])) for r in sample.mapInArrow(run, f"doc_id {kind}, bag binary").toLocalIterator())
-    x = np.concatenate([np.frombuffer(bag, np.float16).reshape(-1, WIDTH) for _, bag in got]).astype(np.float32)
-    bags = np.array([len(bag) // (2 * WIDTH) for _, bag in got])
-    return AttentionMIL(WIDTH).fit(x, bags, np.array([rows[k][0] for k, _ in got], np.float32))
+    y, bags = np.array([rows[k][0] for k, _ in got], np.float32), np.array([len(bag) // (2 * WIDTH) for _, bag in got])
+    x = np.empty((int(bags.sum()), WIDTH), np.float32)
+    for at in np.cumsum(bags)[::-1]:
+        part = np.frombuffer(got.pop()[1], np.float16).reshape(-1, WIDTH)
+        x[at - len(part) : at] = part
+    return AttentionMIL(WIDTH).fit(x, bags, y)
 
 
 def score_texts(texts: list[str | None], model: AttentionMIL | float) -> np.ndarray:
