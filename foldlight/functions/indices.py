@@ -21,7 +21,7 @@ def positive(a: Column, b: Column) -> Column:
     return F.when(b > 1e-10, F.try_divide(a, b)).otherwise(F.lit(0.0))
 
 
-#: Each index as a function of "reflectance at nm"; users may add their own.
+#: Formulas, wavelengths and guards of the indices, each a function of "reflectance at nm"; users may add their own.
 INDICES: dict[str, Callable[[Band], Column]] = {
     "NDVI": lambda r: ratio(r(800), r(670)),
     "GNDVI": lambda r: ratio(r(800), r(550)),
@@ -49,7 +49,7 @@ def all_indices(spectrum: Column, wavelengths: list[float], enabled: list[str] |
 
 
 def fixed_layers(spectrum: Column, wavelengths: list[float]) -> dict[str, Column]:
-    """Five bands, FRI, NDRE and NBI, and the layers derived from them."""
+    """Five bands, FRI, NDRE and NBI, and the layers derived from them (fixed values: wavelengths and formulas)."""
     r = {nm: band(spectrum, wavelengths, nm) for nm in (410, 460, 670, 700, 800)}
     fri = safe_inverse(r[410]) - safe_inverse(r[460])
     ndre = zero_divide(r[800] - r[700], r[800] + r[700])
