@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -380,6 +381,18 @@ def holdout_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.side_counts(splits.lock_holdout(orders, "o_orderkey", group="o_custkey"), "o_orderpriority")
 
 
+@query(f"""
+WITH r AS (SELECT o_orderkey, {RANK.format('PARTITION BY o_orderpriority ', 'o_orderkey')} AS rank, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, rank < round(n * 0.2) AS is_test FROM r
+""")
+def holdout_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.lock_holdout(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", label="o_orderpriority").select("o_orderkey", "is_test")
+
+
+@query(f"WITH r AS (SELECT o_orderkey, {RANK.format('', 'o_orderkey')} AS rank, count(*) OVER () AS n FROM orders) SELECT o_orderkey, rank < round(n * 0.2) AS is_test FROM r")
+def holdout_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.lock_holdout(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "is_test")
+
+
 @query("""
 WITH g AS (SELECT o_orderkey % 97 AS g, count(DISTINCT o_orderkey % 2) AS sides FROM orders GROUP BY 1) SELECT count(*) FILTER (WHERE sides > 1) AS leaked FROM g
 """)
@@ -719,6 +732,10 @@ def continuum_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("vec_id", F.posexplode("x").alias("pos", "v")), 4)
 
 
+def absorption_pair(rows: np.ndarray) -> np.ndarray:
+    return np.stack(spectra.band_absorption(rows, WAVES), axis=1)
+
+
 @query("""
 WITH e AS (SELECT vec_id, unnest(range(63)) AS pos, unnest(list_zip(CAST(embedding[2:64] AS DOUBLE[]), CAST(embedding[1:63] AS DOUBLE[]))) AS z FROM embeddings),
 d AS (SELECT vec_id, pos, 400 + 600 * pos / 63 AS wl, z[1] - z[2] AS v FROM e),
@@ -732,6 +749,20 @@ def derivative_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("vec_id", F.explode(peaks).alias("s")).select("vec_id", "s.name", F.col("s.p.wavelength").alias("wl"), F.col("s.p.value").alias("value")))
 
 
+@query("""
+WITH b AS (SELECT vec_id, unnest(range(2, 12)) AS i, CAST(unnest(embedding[3:12]) AS DOUBLE) AS v FROM embeddings),
+p AS (SELECT vec_id, i, 400 + 600 * i / 63 AS x, v FROM b),
+n AS (SELECT vec_id, CASE WHEN arg_min(v, i) > 0 THEN arg_min(v, i) ELSE 1e-9 END AS a, CASE WHEN arg_max(v, i) > 0 THEN arg_max(v, i) ELSE 1e-9 END AS z, min(x) AS x0, max(x) AS x1 FROM p GROUP BY 1),
+r AS (SELECT p.vec_id, i, x, v / (a + (z - a) * (x - x0) / (x1 - x0)) AS r FROM p JOIN n USING (vec_id)),
+t AS (SELECT *, lag(x) OVER w AS px, lag(r) OVER w AS pr FROM r WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, round(1 - min(r), 2) + 0.0 AS depth, round(coalesce(sum((greatest(1 - r, 0) + greatest(1 - pr, 0)) / 2 * (x - px)), 0), 2) + 0.0 AS area FROM t GROUP BY vec_id
+""")
+def blue_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and area below the straight line from 410 to 510 nm."""
+    both = spectra.map_spectra(samples(spark, sf_dir).select("vec_id", "x"), "x", absorption_pair)
+    return rounded(both.select("vec_id", F.get("x", F.lit(0)).alias("depth"), F.get("x", F.lit(1)).alias("area")), 2)
+
+
 # --- pixels ------------------------------------------------------------------------------------------------
 
 PIXELS = "px AS (SELECT l_suppkey AS image, CAST(l_quantity AS DOUBLE) / 50 AS nir, CAST(l_extendedprice AS DOUBLE) / 105000 AS red, abs(CAST(l_discount AS DOUBLE)) * 10 AS green, abs(CAST(l_tax AS DOUBLE)) * 12.5 AS blue FROM lineitem)"
@@ -869,6 +900,20 @@ def spectral_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select(F.floor(F.col("vec_id") / 20).alias("image"), "vec_id", "x", F.coalesce(F.col("label") != 0, F.lit(False)).alias("in_mask"))
 
 
+STATISTICS = {"mean": "avg(v)", "std": "stddev_pop(v)", "p25": "quantile_cont(v, 0.25)", "p75": "quantile_cont(v, 0.75)"}
+
+
+@query("WITH i AS (SELECT image, unnest([" + ", ".join(f"{{'n': '{n}', 'v': CAST({sql} AS DOUBLE)}}" for n, sql in (INDEX_SQL | LAYER_SQL).items()) + "], recursive := true) FROM (SELECT vec_id // 20 AS image, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label <> 0))\n"
+       + " UNION ALL ".join(f"SELECT image, n || '_{s}' AS name, round({f}, 3) + 0.0 AS value FROM i GROUP BY image, n" for s, f in STATISTICS.items()))
+def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of feature_vectors that holds statistics of indices and layers over each image's mask."""
+    wanted = [f"{n}_{s}" for n in INDEX_SQL | LAYER_SQL for s in STATISTICS]
+    rows, _ = features.build_dataset(spectral_pixels(spark, sf_dir), "image", "x", "in_mask", WAVES)
+    names = F.array(*map(F.lit, features.names(WAVES)))
+    long = rows.select("image", F.posexplode(F.arrays_zip(names.alias("name"), "features"))).select("image", F.col("col.name").alias("name"), F.col("col.features").alias("value"))
+    return rounded(long.where(F.col("name").isin(wanted)), 3)
+
+
 @query()
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = features.build_dataset(spectral_pixels(spark, sf_dir), "image", "x", "in_mask", WAVES)
@@ -1003,6 +1048,16 @@ def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.iqr_outliers(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"]).drop("o_totalprice")
 
 
+@query("""
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders)
+SELECT o_orderkey FROM orders, q WHERE NOT coalesce(o_totalprice < a - 0.1 * (b - a) OR o_totalprice > b + 0.1 * (b - a), false)
+""")
+def orders_without_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outliers by a narrow bound, dropped."""
+    flagged = truth.outlier_report(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], factor=0.1)
+    return truth.act_on_outliers(flagged, ["outlier"], "drop").select("o_orderkey")
+
+
 @query()
 def isolation_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = truth.isolation_outliers(samples(spark, sf_dir).select("vec_id", "x"), "x", "vec_id")
