@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -34,11 +35,29 @@ def scratch_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_dir(spark)}/foldlight-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes inside drop their shuffle files as soon as they are done, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/foldlight-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = scratch_path(spark)
+    with tidy_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, mixing, pivots, quality, repeats, simhash, tokens, urls
+from .common import scratch_path
 
 #: Policy of the url query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -43,7 +44,7 @@ def op6_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.training_order(table(spark, sf_dir, "documents"))
+    return tokens.write_order(table(spark, sf_dir, "documents"), scratch_path(spark))
 
 
 def op8_language_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ Documents are first dealt out in ranges of a key (md5 of doc_id and text) and so
 index, and with it its slot, depends on the table's rows alone, not on files or splits. Tokens are written to
 the shared folder once, a file for each range, and numbered by their place there: rows counted before each
 file (one row a file), plus the row's place in its file. So tokens are shuffled once, into ranges of shards.
+An index beside the shards says which document and chunk a slot holds, with a digest of its tokens.
 
 Defined results: null and empty texts are one sequence with the end token only. Repeated rows are sequences of
 their own, one after the other before the permutation. A null doc_id is a document like any other. An empty
@@ -32,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.permute import feistel
-from .common import materialise, small_batches
+from .common import discard, materialise, small_batches, tidy_shuffles
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern and end token that belong to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_TOKEN = 50256
-LENGTH, PER_SHARD = 512, 4096
+LENGTH, PER_SHARD, WAVES = 512, 4096, 2
 #: Pieces of text whose tokens a worker remembers.
 REMEMBERED = 500_000
 #: Bytes of text in a range of keys, and the most ranges (also of shards).
@@ -121,37 +122,47 @@ def in_key_order(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", key.alias("key")).repartitionById(ranges, at).sortWithinPartitions("key").select("doc_id", "text")
 
 
-def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens), in ranges of shards, sorted by slot inside each."""
-    made = materialise(sequences(in_key_order(docs), length, vocabulary, pattern, end))
+def slotted(made: DataFrame, per_shard: int, key: int, stride: int) -> tuple[DataFrame, int]:
+    """The sequences, which stand in the shared folder, with slot, shard and byte_offset, and the number of shards."""
     at = F.col("_metadata.file_name")
     files = made.groupBy(at.alias("file")).agg(F.count("*").alias("n"))
     number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
     before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     total = files.agg(F.sum("n").alias("rows")).first()["rows"] or 0
-    shards = max(1, -(-total // per_shard))
-    parts = min(shards, RANGES)
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), total, key))
 
     numbered = made.select("*", at.alias("file"), F.col("_metadata.row_index").alias("inside")).join(F.broadcast(before), "file")  # at most RANGES rows
-    placed = numbered.withColumn("slot", slot(F.col("before") + F.col("inside"))).withColumn("shard", F.floor(F.col("slot") / per_shard))
-    return (
-        placed.select("slot", "shard", ((F.col("slot") % per_shard) * (2 * length + 1)).alias("byte_offset"), "doc_id", "chunk", "n_tokens", "tokens")
-        .repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
-    )
+    rows = numbered.withColumn("slot", slot(F.col("before") + F.col("inside"))).withColumn("shard", F.floor(F.col("slot") / per_shard))
+    offset = ((F.col("slot") % per_shard) * stride).alias("byte_offset")
+    return rows.select("slot", "shard", offset, "doc_id", "chunk", "n_tokens", "tokens"), max(1, -(-total // per_shard))
 
 
-def write_shards(ordered: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """One file in path/shards/shard=N for each shard: for each slot its tokens' bytes and a line feed, nothing
-    else. path/manifest, returned, has a row for each: (shard, first_slot, records, stride, file).
+def in_ranges(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """The rows of the shards from first up to last, dealt out in ranges of shards, sorted by slot inside each."""
+    parts = max(1, min(last - first, RANGES))
+    at = F.floor((F.col("shard") - first) * parts / max(1, last - first)).cast("int")
+    return rows.where((F.col("shard") >= first) & (F.col("shard") < last)).repartitionById(parts, at).sortWithinPartitions("shard", "slot")
 
-    The text writer copies bytes as they are, so the files go to any store that Spark writes to.
-    """
-    ordered.select("shard", F.col("tokens").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(f"{path}/shards")
-    spark, stride = ordered.sparkSession, 2 * length + 1
+
+def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens), in ranges of shards, sorted by slot inside each."""
+    rows, shards = slotted(materialise(sequences(in_key_order(docs), length, vocabulary, pattern, end)), per_shard, key, 2 * length + 1)
+    return in_ranges(rows, 0, shards)
+
+
+def append_shards(ordered: DataFrame, path: str) -> None:
+    """Adds one file in path/shards/shard=N for each shard. The text writer copies bytes as they are, so the
+    files go to any store that Spark writes to."""
+    values = ordered.select("shard", F.col("tokens").cast("string").alias("value"))
+    values.write.mode("append").partitionBy("shard").option("compression", "none").text(f"{path}/shards")
+
+
+def write_manifest(spark: SparkSession, path: str, length: int, per_shard: int) -> DataFrame:
+    """Writes and returns path/manifest with a row for each shard: (shard, first_slot, records, stride, file)."""
+    stride = 2 * length + 1
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(f"{path}/shards").select("path", "length")  # no content is read
     shard = F.regexp_extract("path", r"shard=(\d+)/[^/]*$", 1).cast("long")
@@ -160,6 +171,34 @@ def write_shards(ordered: DataFrame, path: str, length: int = LENGTH, per_shard:
     return spark.read.parquet(f"{path}/manifest")
 
 
+def write_shards(ordered: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """Writes what training_order() returned to path and returns the manifest. A shard's file holds for each
+    slot its tokens' bytes and a line feed, nothing else."""
+    append_shards(ordered, path)
+    return write_manifest(ordered.sparkSession, path, length, per_shard)
+
+
+def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, waves: int = WAVES, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
+    """Writes shards, manifest and index of docs to path, a folder that all executors share, and returns the
+    index, read back: (slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens_md5), one row for each sequence.
+
+    Shards are written in waves of consecutive shards, so that only one wave's shuffled tokens are on disk at a
+    time; each wave reads the tokens again.
+    """
+    spark, made = docs.sparkSession, materialise(sequences(in_key_order(docs), length, vocabulary, pattern, end))
+    rows, shards = slotted(made, per_shard, key, 2 * length + 1)
+    index = rows.select("slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", F.md5("tokens").alias("tokens_md5"))
+    with tidy_shuffles(spark):
+        in_ranges(index, 0, shards).write.parquet(f"{path}/index")
+        for wave in range(waves):
+            first, last = wave * shards // waves, (wave + 1) * shards // waves
+            if first < last:
+                append_shards(in_ranges(rows, first, last), path)
+        write_manifest(spark, path, length, per_shard)
+    discard(made)
+    return spark.read.schema(index.schema).parquet(f"{path}/index")
+
+
 def read_slots(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
     """(slot, tokens) of the slots from first up to last: only the shards that hold them are opened."""
     manifest = spark.read.parquet(f"{path}/manifest").where((F.col("first_slot") < last) & (F.col("first_slot") + F.col("records") > first))

@@ -409,6 +409,30 @@ def test_tokens(spark, rows, tmp_path):
     assert again == {r["slot"]: bytes(r["tokens"]) for r in out if 10 <= r["slot"] < 40}
     assert tokens.read_slots(spark, path, 10**6, 10**6 + 5).count() == 0
     assert tokens.training_order(df.limit(0)).count() == 0
+    # written in waves, every record stands where the index says
+    for waves in (1, 3, 100):
+        path = f"{tmp_path}/waves{waves}"
+        index = tokens.write_order(df, path, length=64, per_shard=16, waves=waves).collect()
+        assert sorted((r["slot"], r["shard"], r["byte_offset"], r["doc_id"] or -1, r["chunk"], r["n_tokens"]) for r in index) == sorted((r["slot"], r["shard"], r["byte_offset"], r["doc_id"] or -1, r["chunk"], r["n_tokens"]) for r in out)
+        held = {r["shard"]: (tmp_path / f"waves{waves}" / "shards" / r["file"]).read_bytes() for r in spark.read.parquet(f"{path}/manifest").collect()}
+        assert sum(map(len, held.values())) == 129 * len(out)
+        want = {r["slot"]: bytes(r["tokens"]) for r in out}
+        for r in index:
+            record = held[r["shard"]][r["byte_offset"] : r["byte_offset"] + 129]
+            assert record == want[r["slot"]] + b"\n" and hashlib.md5(record[:-1]).hexdigest() == r["tokens_md5"]
+    assert tokens.write_order(df.limit(0), f"{tmp_path}/none").count() == 0
+
+
+def test_tidy_shuffles(spark):
+    """A finished write leaves no shuffle file; the setting is as before afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(1 for f in manager.getAllFiles().mkString(chr(10)).split(chr(10)) if "shuffle_" in f)
+    had = shuffled()
+    assert common.materialise(spark.range(5000).repartition(4, "id").groupBy((F.col("id") % 700).alias("k")).count()).count() == 700
+    assert shuffled() <= had + 2  # the count's own
+    assert spark.conf.get(name, None) == before
 
 
 @pytest.mark.parametrize("case", ["a  b", " a", "a \nb", "\n\n a\t b", "it's  the 12 3", "é  ü x y", "", "   "])
