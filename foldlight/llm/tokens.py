@@ -39,7 +39,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern and end token that belong to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_TOKEN = 50256
-LENGTH, PER_SHARD, WAVES = 512, 4096, 2
+LENGTH, PER_SHARD, WAVES = 512, 4096, 4
 #: Pieces of text whose tokens a worker remembers.
 REMEMBERED = 500_000
 #: Bytes of text in a range of keys, and the most ranges (also of shards).
@@ -196,7 +196,9 @@ def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int
                 append_shards(in_ranges(rows, first, last), path)
         write_manifest(spark, path, length, per_shard)
     discard(made)
-    return spark.read.schema(index.schema).parquet(f"{path}/index")
+    out = spark.read.schema(index.schema).parquet(f"{path}/index")
+    out._scratch_path = path
+    return out
 
 
 def read_slots(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:

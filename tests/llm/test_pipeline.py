@@ -104,5 +104,9 @@ def test_whole_run_by_definition(spark):
         ids = [*encode(r["text"] or ""), tokens.END_TOKEN]
         listed += [(r["doc_id"], at // 512, (ids[at : at + 512] + [tokens.END_TOKEN] * 512)[:512]) for at in range(0, len(ids), 512)]
     want = dict(zip(tokens.feistel(np.arange(len(listed)), len(listed), 2024).tolist(), listed, strict=True))
-    got = {r["slot"]: (r["doc_id"], r["chunk"], np.frombuffer(r["tokens"], np.uint16).tolist()) for r in corpus_pipeline.run(spark, SF).collect()}
+    out = corpus_pipeline.run(spark, SF)
+    written = {r["slot"]: bytes(r["tokens"]) for r in tokens.read_slots(spark, out._scratch_path, 0, 10**9).collect()}  # from the shards
+    index = out.collect()
+    assert all(r["tokens_md5"] == hashlib.md5(written[r["slot"]]).hexdigest() for r in index) and len(index) == len(written)
+    got = {r["slot"]: (r["doc_id"], r["chunk"], np.frombuffer(written[r["slot"]], np.uint16).tolist()) for r in index}
     assert len(got) == len(want) > 100 and got == want
