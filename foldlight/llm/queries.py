@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, pivots, quality, repeats, simhash, tokens, urls
+from . import audit, chat, decontaminate, langid, mixing, pivots, quality, repeats, resample, simhash, tokens, topk, urls
 from .common import scratch_path
 
 #: Policy of the url query: host, path, verdict.
@@ -60,7 +60,19 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_url_aliases, op3_suffix_two_stage, op4_chat_rotation, op5_pivot_permutation, op6_bm25_wand, op7_training_order, op8_language_rank, op9_fair_mix, op10_simhash_bktree)}
+def op11_exhaustive_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_scores(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_url_aliases, op3_suffix_two_stage, op4_chat_rotation, op5_pivot_permutation, op6_bm25_wand, op7_training_order, op8_language_rank, op9_fair_mix, op10_simhash_bktree, op11_exhaustive_topk, op12_importance_resampling, op13_filter_audit)}
 
 ORACLE: dict[str, str] = {}
 
@@ -136,3 +148,62 @@ k AS (SELECT key, count(DISTINCT copy) AS n FROM f WHERE upto <= (SELECT sum(siz
 SELECT q.doc_id, q.size, CAST(q.source_size AS BIGINT) AS source_size, round(q.target, 6) AS target, CAST(q.size * coalesce(k.n, 0) AS BIGINT) AS taken
 FROM q LEFT JOIN k USING (key)
 """
+
+ORACLE["op11_exhaustive_topk"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w, row_number() OVER () AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, CAST(list_inner_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE["op12_importance_resampling"] = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+texts AS (SELECT 'd' AS side, row_number() OVER () AS n, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+p AS (SELECT side, n, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+byte AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT)) AS b FROM (SELECT DISTINCT w FROM p)),
+q AS (SELECT p.side, p.n, p.i, b AS b1, list_prepend(32, lead(b, 1) OVER s) AS b2, list_prepend(32, lead(b, 2) OVER s) AS b3, lead(b, 1) OVER s IS NOT NULL AS two, lead(b, 2) OVER s IS NOT NULL AS three
+      FROM p JOIN byte USING (w) WINDOW s AS (PARTITION BY p.side, p.n ORDER BY p.i)),
+c1 AS (SELECT q.*, list_reduce(b1, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295) AS c1 FROM q, crc),
+c2 AS (SELECT c1.*, list_reduce(b2, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), c1) AS c2 FROM c1, crc WHERE two),
+c3 AS (SELECT c2.*, list_reduce(b3, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), c2) AS c3 FROM c2, crc WHERE three),
+f AS (SELECT side, n, xor(c, 4294967295) % 10000 AS bucket FROM (SELECT side, n, c1 AS c FROM c1 UNION ALL SELECT side, n, c2 FROM c2 UNION ALL SELECT side, n, c3 FROM c3)),
+k AS (SELECT count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM f),
+g AS (SELECT bucket, floor(1000 * ln(((count(*) FILTER (WHERE side = 'b') + 1)::DOUBLE * (k.s + 10000)::DOUBLE) / ((count(*) FILTER (WHERE side = 'd') + 1)::DOUBLE * (k.t + 10000)::DOUBLE)))::BIGINT AS gain FROM f, k GROUP BY bucket, k.s, k.t),
+e AS (SELECT n, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN g USING (bucket) WHERE side = 'd' GROUP BY n),
+o AS (SELECT w.n, w.doc_id, len(w.w) AS n_words, coalesce(e.n_features, 0) AS n_features, coalesce(e.weight, 0) AS weight FROM w LEFT JOIN e USING (n) WHERE w.side = 'd'),
+h AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM o),
+r AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight, n_words) AS rank FROM h WHERE n_words >= 20),
+cut AS (SELECT 5 * count(*) // 100 AS m FROM r)
+SELECT h.doc_id, h.n_features, h.weight, h.score, CASE WHEN r.rank <= cut.m THEN r.rank END AS rank FROM h CROSS JOIN cut LEFT JOIN r ON r.n = h.n
+"""
+
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(first < w.doc_id, false)} AS x
+  FROM w LEFT JOIN l USING (doc_id)),
+u AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: CASE k WHEN 'A' THEN x.A WHEN 'B' THEN x.B WHEN 'C' THEN x.C WHEN 'D' THEN x.D ELSE x.E END) AS fails FROM f),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM u GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT ks, i AS step, ks[i] AS k, ks[:i - 1] AS earlier FROM o, range(1, 6) r(i)),
+t AS (
+  SELECT c.part, array_to_string(s.ks, '') AS filter_order, CAST(s.step AS INTEGER) AS step, s.k,
+         sum(CASE WHEN NOT list_has_any(c.fails, s.earlier) AND NOT list_contains(c.fails, s.k) THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN NOT list_has_any(c.fails, s.earlier) AND list_contains(c.fails, s.k) THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN list_has_any(c.fails, s.earlier) AND list_contains(c.fails, s.k) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN c.fails = [s.k] THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT list_has_any(c.fails, s.earlier) AND list_contains(c.fails, s.k) THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT list_has_any(c.fails, s.earlier) AND list_contains(c.fails, s.k) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY c.part, s.ks, s.step, s.k)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+FROM t
+"""
