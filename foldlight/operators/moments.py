@@ -1,9 +1,10 @@
 """Per-fold moment matrices: all that linear selectors and models need to know of the rows.
 
 z = [1, features - shift, targets - shift]; M_k = sum of z z' over the rows of fold k. Train moments of a
-fold are the sum of all others; test errors follow from M_k. One pass over the rows, one shuffle of
-partitions x folds x width^2 values at most (combined before it). The shift, a global mean, is required:
-without it ill-conditioned spectra lose all digits.
+fold are the sum of all others; test errors follow from M_k. One pass over the rows: each task sends one array for
+a fold, with products of features, products of features with targets and squares of targets (a model knows one
+target, so products of two targets aren't needed), and a few tasks add the arrays up as they stream by. The shift, a
+global mean, is required: without it ill-conditioned spectra lose all digits.
 """
 
 from __future__ import annotations
@@ -13,13 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks that add up the arrays of all others.
+ADDERS = 8
+
 
 @dataclass
 class Moments:
-    """by_fold: (folds, 1 + p + t, 1 + p + t); shift: the means taken off features and targets."""
+    """by_fold: (folds, 1 + p + t, 1 + p + t), 0 for products of two targets; shift: the means taken off features and
+    targets."""
 
     by_fold: np.ndarray
     folds: list[int]
@@ -52,37 +58,50 @@ def column_means(df: DataFrame, features: str, targets: list[str]) -> tuple[np.n
 def fold_moments(df: DataFrame, features: str, targets: list[str], fold: str) -> Moments:
     """Moments of an array<double> column and target columns by an integer fold column; rows with a null or
     non-finite value don't count."""
-    usable = df.where(F.col(fold).isNotNull())
+    usable = df.where(F.col(fold).isNotNull() & F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     for t in targets:
-        usable = usable.where(F.col(t).isNotNull() & ~F.isnan(t))
+        usable = usable.where(F.col(t).isNotNull() & ~F.isnan(t) & (F.abs(F.col(t)) != float("inf")))
     mean_x, mean_y = column_means(usable, features, targets)
-    shift, width = np.concatenate((mean_x, mean_y)), 1 + len(mean_x) + len(mean_y)
-    upper = np.triu_indices(width)
+    shift, width, p = np.concatenate((mean_x, mean_y)), 1 + len(mean_x) + len(mean_y), len(mean_x)
+    upper = np.triu_indices(1 + p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
-            y = np.stack([np.asarray(batch.column(1 + i), float) for i in range(len(targets))], axis=1)
-            z = np.concatenate((np.ones((len(x), 1)), np.concatenate((x, y), axis=1) - shift), axis=1)
-            z, of = z[np.isfinite(z).all(axis=1)], np.asarray(batch.column(1 + len(targets)))[np.isfinite(z).all(axis=1)]
+            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1) - shift[:p]
+            y = np.stack([np.asarray(batch.column(1 + i), float) for i in range(len(targets))], axis=1) - shift[p:]
+            z, of = np.concatenate((np.ones((len(x), 1)), x), axis=1), np.asarray(batch.column(1 + len(targets)))
             for k in np.unique(of):
-                part = z[of == k]
-                sums[int(k)] = sums.get(int(k), 0) + part.T @ part
-        for k, m in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(upper[0]), k)), pa.array(np.arange(len(upper[0]))), pa.array(m[upper])], ["fold", "cell", "value"])
-
-    cells = usable.select(features, *targets, F.col(fold).cast("long")).mapInArrow(run, "fold long, cell long, value double")
-    rows = cells.groupBy("fold", "cell").agg(F.sum("value").alias("value")).toPandas()  # folds x width^2 / 2 values
-    folds = sorted(rows["fold"].unique().tolist())
+                a, b = z[of == k], y[of == k]
+                sums[int(k)] = sums.get(int(k), 0) + np.concatenate(((a.T @ a)[upper], (a.T @ b).ravel(), (b * b).sum(axis=0)))
+        if sums:
+            yield packed(sums, TaskContext.get().partitionId() % ADDERS)
+
+    def packed(sums: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([part] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["fold", "part", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column("fold").to_pylist(), batch.column("sums"), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(v.as_py())
+        if sums:
+            yield packed(sums, 0)
+
+    schema = "fold long, part long, sums binary"
+    each = usable.select(features, *targets, F.col(fold).cast("long")).mapInArrow(run, schema)
+    rows = each.repartition(ADDERS, "part").sortWithinPartitions("fold", "part", "sums").mapInArrow(added, schema).collect()  # folds x ADDERS arrays
+    folds, (n, m) = sorted({r["fold"] for r in rows}), (len(upper[0]), (1 + p) * len(targets))
     out = np.zeros((len(folds), width, width))
     for i, k in enumerate(folds):
-        one = rows[rows["fold"] == k].sort_values("cell")
-        out[i][upper] = one["value"].to_numpy()
+        total = sum(np.frombuffer(v) for v in sorted(bytes(r["sums"]) for r in rows if r["fold"] == k))
+        out[i][upper] = total[:n]
+        out[i][: 1 + p, 1 + p :] = total[n : n + m].reshape(1 + p, -1)
         out[i] = np.triu(out[i]) + np.triu(out[i], 1).T
-    return Moments(out, folds, len(mean_x), shift)
+        out[i][np.arange(1 + p, width), np.arange(1 + p, width)] = total[n + m :]
+    return Moments(out, folds, p, shift)
 
 
 def centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float, float]:

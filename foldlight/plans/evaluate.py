@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import trees
 from ..operators.models import MODELS, SEARCHES, get_selector, mutual_information, top_k
 from ..operators.moments import Moments, centred, r2, test_errors
 
@@ -60,6 +61,7 @@ def evaluate_grid(combos: DataFrame, moments: dict[str, Moments]) -> DataFrame:
 
 
 KEYS = ["dataset", "selector", "model", "k", "seed"]
+MOMENTS_KEYS = "dataset string, selector string, model string, k int, seed int"
 
 
 def informative_choices(df: DataFrame, features: str, target: str, fold: str, k: int, bins: int = 8) -> list[np.ndarray]:
@@ -80,6 +82,42 @@ def score_choices(spark: SparkSession, dataset: str, m: Moments, selector: str,
     return spark.createDataFrame(rows, f"dataset string, selector string, model string, k int, seed int, {SCORES}")
 
 
+def grid_choices(combos: DataFrame, moments: dict[str, Moments]) -> DataFrame:
+    """(dataset, selector, model, k, seed, arm, fold, chosen) for every row of combos: the features on which models
+    that need rows are then fitted. Searches score their masks by ridge."""
+    sent = combos.sparkSession.sparkContext.broadcast(moments)  # folds x (features + 2)^2 values a dataset
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for row in part.itertuples():
+                m = sent.value[row.dataset]
+                outer, *inner = choices(m, row.selector, "ridge", int(row.k), int(row.seed))
+                for fold, own in zip(m.folds, inner, strict=True):
+                    rows += [(row.dataset, row.selector, row.model, row.k, row.seed, arm, fold, chosen.tolist()) for arm, chosen in (("apparent", outer), ("nested", own))]
+            yield pd.DataFrame(rows, columns=[*KEYS, "arm", "fold", "chosen"])
+
+    return combos.select(*KEYS).repartition(*KEYS).mapInPandas(run, f"{MOMENTS_KEYS}, arm string, fold int, chosen array<int>")
+
+
+def tree_grid(df: DataFrame, key: str, features: str, target: str, fold: str, choices_: DataFrame, small: int = trees.SMALL) -> DataFrame:
+    """The rows of evaluate_grid() for tree models: each model of the choices (trees.TREES by name) is fitted on the
+    chosen features of each fold's train rows, all folds, arms and combinations at once, and scored on the fold."""
+    spark, out = df.sparkSession, None
+    rows = [r.asDict() for r in choices_.collect()]  # combinations x folds x arms, each with its k positions
+    for name in sorted({r["model"] for r in rows}):
+        mine = [r for r in rows if r["model"] == name]
+        # arms that chose the same are one fit
+        same = {x: i for i, x in enumerate(dict.fromkeys((r["fold"], tuple(r["chosen"]), r["seed"]) for r in mine))}
+        sums = trees.tree_sums(df, key, features, target, fold, [trees.Fit(i, f, c, s) for (f, c, s), i in same.items()], trees.TREES[name], small)
+        named = spark.createDataFrame([(*(r[k] for k in KEYS), r["arm"], r["fold"], same[r["fold"], tuple(r["chosen"]), r["seed"]], r["chosen"]) for r in mine], f"{MOMENTS_KEYS}, arm string, fold int, fit int, chosen array<int>")
+        part = named.join(sums, "fit")
+        out = part if out is None else out.union(part)
+    sst = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
+    score = F.when(sst > 1e-12, 1 - F.col("sse") / sst).otherwise((F.col("sse") <= 1e-12).cast("double"))
+    return out.select(*KEYS, "arm", "fold", "sse", sst.alias("sst"), "n", (F.col("s") / F.col("n")).alias("mean_y"), score.alias("r2"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "chosen")
+
+
 def pooled(of: Callable[[str], Column]) -> Column:
     """One R2 over all rows from per-fold sums: total squares are those inside folds and those between their means."""
     between = F.sum(of("n") * of("mean_y") * of("mean_y")) - F.sum(of("n") * of("mean_y")) * F.sum(of("n") * of("mean_y")) / F.sum(of("n"))
