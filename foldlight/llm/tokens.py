@@ -3,7 +3,8 @@
 Every document's whole text becomes tokens of a public tokenizer and an end token, cut into sequences of
 `length` tokens, the last padded with the end token. All sequences get an index without gaps; a keyed
 Feistel permutation with cycle-walking maps the index to the sequence's slot in the training order. A
-shard holds `per_shard` consecutive slots. Shards are dealt out by slot and written with one record of
+shard holds `per_shard` consecutive slots; unless told otherwise their number grows with the table, from PER_SHARD
+four times as many at a time whenever there would be over SHARDS shards, up to MOST_PER_SHARD (256 MB). Shards are dealt out by slot and written with one record of
 fixed size for each slot, so slot s is at a byte that a division gives: reading is sequential, and a run
 resumes at any slot.
 
@@ -11,7 +12,8 @@ Documents are first dealt out in ranges of a key (md5 of doc_id and text) and so
 index, and with it its slot, depends on the table's rows alone, not on files or splits. Tokens are written to
 the shared folder once, a file for each range, and numbered by their place there: rows counted before each
 file (one row a file), plus the row's place in its file. So tokens are shuffled once, into ranges of shards.
-An index beside the shards says which document and chunk a slot holds, with a digest of its tokens.
+An index beside the shards says which document and chunk a slot holds, with a digest of its tokens, which is kept
+beside the tokens when they are made, so that the index reads small columns only.
 
 Defined results: null and empty texts are one sequence with the end token only. Repeated rows are sequences of
 their own, one after the other before the permutation. A null doc_id is a document like any other. An empty
@@ -25,6 +27,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -39,11 +42,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern and end token that belong to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_TOKEN = 50256
-LENGTH, PER_SHARD, WAVES = 512, 4096, 4
+LENGTH, PER_SHARD, WAVES = 512, 4096, 3
+SHARDS, MOST_PER_SHARD = 4096, 1 << 18
 #: Pieces of text whose tokens a worker remembers.
 REMEMBERED = 500_000
 #: Bytes of text in a range of keys, and the most ranges (also of shards).
-RANGE_BYTES, RANGES = 16 << 20, 20_000
+RANGE_BYTES, RANGES = 16 << 20, 100_000
 #: A blank before another white space.
 BESIDE = re.compile(r" \s")
 
@@ -91,7 +95,7 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
-    """(doc_id, chunk, n_tokens, tokens): tokens are length little-endian 16-bit integers."""
+    """(doc_id, chunk, n_tokens, tokens, digest): tokens are length little-endian 16-bit integers, digest is their md5."""
     small_batches(docs.sparkSession)
     stride = 2 * length
 
@@ -108,9 +112,9 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULAR
                     sizes.append(len(part) // 2)
                     packed.append(part if len(part) == stride else part + mark * (length - len(part) // 2))
             at = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "chunk", "n_tokens", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.array([md5(p).digest() for p in packed], pa.binary())], ["doc_id", "chunk", "n_tokens", "tokens", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk int, n_tokens int, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk int, n_tokens int, tokens binary, digest binary")
 
 
 def in_key_order(docs: DataFrame) -> DataFrame:
@@ -122,13 +126,23 @@ def in_key_order(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", key.alias("key")).repartitionById(ranges, at).sortWithinPartitions("key").select("doc_id", "text")
 
 
-def slotted(made: DataFrame, per_shard: int, key: int, stride: int) -> tuple[DataFrame, int]:
-    """The sequences, which stand in the shared folder, with slot, shard and byte_offset, and the number of shards."""
+def shard_size(total: int) -> int:
+    """Slots of a shard for so many sequences."""
+    size = PER_SHARD
+    while total > size * SHARDS and size < MOST_PER_SHARD:
+        size *= 4
+    return min(size, MOST_PER_SHARD)
+
+
+def slotted(made: DataFrame, per_shard: int | None, key: int, stride: int) -> tuple[DataFrame, int, int]:
+    """The sequences, which stand in the shared folder, with slot, shard and byte_offset, the number of shards, and
+    of slots in one."""
     at = F.col("_metadata.file_name")
     files = made.groupBy(at.alias("file")).agg(F.count("*").alias("n"))
     number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
     before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     total = files.agg(F.sum("n").alias("rows")).first()["rows"] or 0
+    per_shard = per_shard or shard_size(total)
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
@@ -137,7 +151,7 @@ def slotted(made: DataFrame, per_shard: int, key: int, stride: int) -> tuple[Dat
     numbered = made.select("*", at.alias("file"), F.col("_metadata.row_index").alias("inside")).join(F.broadcast(before), "file")  # at most RANGES rows
     rows = numbered.withColumn("slot", slot(F.col("before") + F.col("inside"))).withColumn("shard", F.floor(F.col("slot") / per_shard))
     offset = ((F.col("slot") % per_shard) * stride).alias("byte_offset")
-    return rows.select("slot", "shard", offset, "doc_id", "chunk", "n_tokens", "tokens"), max(1, -(-total // per_shard))
+    return rows.select("slot", "shard", offset, "doc_id", "chunk", "n_tokens", "tokens", "digest"), max(1, -(-total // per_shard)), per_shard
 
 
 def in_ranges(rows: DataFrame, first: int, last: int) -> DataFrame:
@@ -147,10 +161,10 @@ def in_ranges(rows: DataFrame, first: int, last: int) -> DataFrame:
     return rows.where((F.col("shard") >= first) & (F.col("shard") < last)).repartitionById(parts, at).sortWithinPartitions("shard", "slot")
 
 
-def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
+def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int | None = None, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens), in ranges of shards, sorted by slot inside each."""
-    rows, shards = slotted(materialise(sequences(in_key_order(docs), length, vocabulary, pattern, end)), per_shard, key, 2 * length + 1)
-    return in_ranges(rows, 0, shards)
+    rows, shards, _ = slotted(materialise(sequences(in_key_order(docs), length, vocabulary, pattern, end)), per_shard, key, 2 * length + 1)
+    return in_ranges(rows.drop("digest"), 0, shards)
 
 
 def append_shards(ordered: DataFrame, path: str) -> None:
@@ -172,13 +186,13 @@ def write_manifest(spark: SparkSession, path: str, length: int, per_shard: int)
 
 
 def write_shards(ordered: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """Writes what training_order() returned to path and returns the manifest. A shard's file holds for each
+    """Writes what training_order() with the same per_shard returned to path and returns the manifest. A shard's file holds for each
     slot its tokens' bytes and a line feed, nothing else."""
     append_shards(ordered, path)
     return write_manifest(ordered.sparkSession, path, length, per_shard)
 
 
-def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, waves: int = WAVES, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
+def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int | None = None, waves: int = WAVES, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
     """Writes shards, manifest and index of docs to path, a folder that all executors share, and returns the
     index, read back: (slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens_md5), one row for each sequence.
 
@@ -186,8 +200,8 @@ def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int
     time; each wave reads the tokens again.
     """
     spark, made = docs.sparkSession, materialise(sequences(in_key_order(docs), length, vocabulary, pattern, end))
-    rows, shards = slotted(made, per_shard, key, 2 * length + 1)
-    index = rows.select("slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", F.md5("tokens").alias("tokens_md5"))
+    rows, shards, per_shard = slotted(made, per_shard, key, 2 * length + 1)
+    index = rows.select("slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", F.lower(F.hex("digest")).alias("tokens_md5"))
     with tidy_shuffles(spark):
         in_ranges(index, 0, shards).write.parquet(f"{path}/index")
         for wave in range(waves):

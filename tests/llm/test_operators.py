@@ -423,6 +423,13 @@ def test_tokens(spark, rows, tmp_path):
     assert tokens.write_order(df.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_shards_grow():
+    """4 MB shards for small tables, 256 MB ones at most; no table in between has over four times SHARDS shards."""
+    sizes = [(n, tokens.shard_size(n)) for n in (0, 1, 4096 * 4096, 4096 * 4096 + 1, 10**9, 2 * 10**11)]
+    assert [s for _, s in sizes] == [4096, 4096, 4096, 16384, 262144, 262144]
+    assert all(n / s <= tokens.SHARDS for n, s in sizes if s < tokens.MOST_PER_SHARD)
+
+
 def test_tidy_shuffles(spark):
     """A finished write leaves no shuffle file; the setting is as before afterwards."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
