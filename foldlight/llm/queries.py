@@ -78,8 +78,11 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["op2_url_aliases"] = r"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>')) AS tag FROM pages),
-links AS (SELECT url AS a, CASE WHEN tag ILIKE '<link%' THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS b FROM tags),
+shown AS (SELECT url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<textarea\b.*?(?:</textarea\s*>|\z)|<title\b.*?(?:</title\s*>|\z)', ' ', 'g') AS html FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)[\s/][^>]*>')) AS tag FROM shown),
+attrs AS (SELECT url, lower(tag[2:5]) AS kind, row_number() OVER () AS n, list_transform(regexp_extract_all(regexp_replace(tag, '^<[A-Za-z]+', ''), '[^\s"''>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?'), lambda a: {'k': lower(regexp_extract(a, '^[^\s=]+')), 'v': regexp_replace(regexp_extract(a, '(?s)^[^\s=]+\s*=\s*(.*)$', 1), '^["'']|["'']$', '', 'g')}) AS a FROM tags),
+vals AS (SELECT url, kind, list_filter(a, lambda x: x.k = 'rel')[1].v AS rel, list_filter(a, lambda x: x.k = 'href')[1].v AS href, list_filter(a, lambda x: x.k = 'http-equiv')[1].v AS equiv, list_filter(a, lambda x: x.k = 'content')[1].v AS content FROM attrs),
+links AS (SELECT * FROM (SELECT url AS a, trim(CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN replace(href, '&amp;', '&') WHEN kind = 'meta' AND lower(trim(equiv)) = 'refresh' THEN regexp_extract(replace(content, '&amp;', '&'), '(?is)^\s*[0-9.]+\s*[;,\s]\s*url\s*=\s*["'']?\s*([^"''\s]+)', 1) END) AS b FROM vals) WHERE b LIKE '%://%'),
 named AS (
   SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
