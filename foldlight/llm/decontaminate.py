@@ -6,7 +6,8 @@ cut into units of at most UNIT words) lies whole in some window. A term's impact
 weight divided by the unit's score for itself, so a window that holds all of a unit scores 1. Each window
 retrieves every unit that scores at least `threshold`, by WAND over posting lists in blocks that know
 their largest impact; windows whose terms' largest impacts add up to the threshold in no block need no search.
-Words are runs of letters and digits, so that punctuation beside a passage breaks none of its shingles.
+Words are runs of letters and digits, so that punctuation beside a passage breaks none of its shingles; in scripts
+that don't part words (see UNPARTED) each character is one, so that an item is found inside a longer run.
 A retrieved unit is verified: at least `overlap` of its distinct five-word shingles, or of those of its
 question, occur in the window, and as many of its answer's (a part of fewer words is one shingle). Where
 nothing tells the answer from the question, the whole is enough, or the first two thirds and the rest. An
@@ -16,7 +17,7 @@ The index is built in shards of at most SHARD_WORDS words and SHARD_ITEMS items,
 maxima has at most some 30 MB, and sent to the tasks at most SENT shards and SENT_BYTES of matrices at a time;
 documents are searched against one lot of shards after another.
 
-Defined results: null and empty texts hit nothing; items without a word are never hit; an item without an
+Defined results: an empty table of documents or items has no hits, and nothing is cleaned away; null and empty texts hit nothing; items without a word are never hit; an item without an
 answer (or question) is verified by the other part. Repeated item rows give repeated hits of one item_id,
 of which one is kept; documents are judged row by row. Ties don't matter: all above the threshold count.
 Other columns are ignored by matches() and kept by clean_documents().
@@ -41,7 +42,9 @@ THRESHOLD, OVERLAP = 0.5, 0.8
 K1, B = 1.2, 0.75
 BLOCK = 4
 SENT_BYTES = 100_000_000
-WORD = re.compile(r"[^\W_]+")
+#: Scripts that don't part words: kana and ideographs, Thai and Lao, Myanmar, Khmer.
+UNPARTED = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\U00020000-\\U0003ffff\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff"
+WORD = re.compile(rf"[^\W_{UNPARTED}]+|[{UNPARTED}]")
 #: Terms of windows whose bounds are summed at once.
 PAIRS = 1 << 14
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -174,6 +176,77 @@ def test_urls(spark):
     assert urls.judge_urls(df.limit(0), rules).count() == 0
 
 
+class Links(HTMLParser):
+    """Canonical links and refresh redirects as the standard library's parser sees them."""
+
+    def __init__(self, url):
+        super().__init__(convert_charrefs=False)
+        self.url, self.found, self.title = url, [], False
+
+    def handle_endtag(self, tag):
+        self.title = self.title and tag != "title"
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "title" or self.title:  # browsers read no tags in titles
+            self.title = True
+            return
+        held = {}
+        for k, v in attrs:
+            held.setdefault(k, v or "")
+        target = None
+        if tag == "link" and "canonical" in held.get("rel", "").lower().split():
+            target = held.get("href")
+        if tag == "meta" and held.get("http-equiv", "").strip().lower() == "refresh":
+            head, _, rest = held.get("content", "").partition("=")
+            if head.strip().lower().endswith("url"):
+                target = rest.strip().strip("'\"")
+        if target and target.strip():
+            to = urljoin(self.url, target.strip())
+            if "://" in to:
+                self.found.append(to)
+
+    handle_startendtag = handle_starttag
+
+
+def test_links_of_every_form(spark):
+    """Tags with any order, case, quotes, line feeds and references; tags that look like links and are none."""
+    rng = random.Random(31)
+    targets = ["http://x.net/1", "//x.net/2", "/en/3", "sub/4", "../up/5", "./6?q=1", "?only=7", "http://x.net/8?a=1&amp;b=2", "http://x.net/&#112;ath&#x2F;9", " http://x.net/10 ", "mailto:a@x.net", "javascript:go()", "", "#top", "https://X.NET/11#f", "a/../../12"]
+    noise = ["<p>rel=canonical</p>", "<link rel='stylesheet' href='http://cdn.net/canonical/x.css'>", "<link rel=next title=\"refresh\" href=http://x.net/no1>", "<!-- <link rel=canonical href=http://x.net/no2> -->", "<script>'<link rel=canonical href=http://x.net/no3>'</script>",
+             "<meta name=refresh content='0; url=http://x.net/no4'>", "<link title='a rel=canonical b' rel=icon href=http://x.net/no5>", "<linked rel=canonical href=http://x.net/no6>", "<meta http-equiv=refresh content=30>", "<title><link rel=canonical href=http://x.net/no7></title>", "<link rel=canonical>", "<link data-rel=canonical href=http://x.net/no8>", "<LINK REL=alternate\nHREF='http://x.net/no9'>"]
+    quote = lambda v: rng.choice([f'"{v}"', f"'{v}'", v if v and not set(v) & set(" \"'") else f'"{v}"'])
+    gap = lambda: rng.choice([" ", "\n", "\r\n\t", "  "])
+    case = lambda s: rng.choice([s, s.upper(), s.title()])
+
+    def tag():
+        if rng.random() < 0.6:
+            parts = [f"{case('rel')}{rng.choice(['=', ' = ', '=' + chr(10)])}{quote(rng.choice(['canonical', 'CANONICAL', 'nofollow canonical', 'canonicals', 'icon']))}", f"{case('href')}={quote(rng.choice(targets))}", "crossorigin", f"title={quote('rel canonical')}"]
+            name = case("link")
+        else:
+            parts = [f"{case('http-equiv')}={quote(rng.choice(['refresh', 'Refresh', 'refreshing']))}", f"{case('content')}=\"{rng.choice(['0', '5', '0.5'])}{rng.choice(['; ', ';', ', '])}{rng.choice(['url', 'URL', 'Url'])}={rng.choice(targets).strip()}\""]
+            name = case("meta")
+        rng.shuffle(parts)
+        return f"<{name}{gap()}{gap().join(parts)}{rng.choice(['', ' ', ' /', chr(10)])}>"
+
+    pages = []
+    for i in range(250):
+        parts = [tag() for _ in range(rng.randint(0, 3))] + rng.choices(noise, k=rng.randint(0, 4))
+        rng.shuffle(parts)
+        pages.append((f"http://a{i}.com/{rng.choice(['', 'p', 'p/q/r', 'p/?x=1'])}", f"<html>{chr(10).join(parts)}</html>" + rng.choice(["", "<!-- open", "<script>x"])))
+    pages += [("http://b.com/1", None), ("http://b.com/2", "<link rel=canonical href=http://x.net/long>" + "<b>x" * 300_000), ("http://b.com/3", "<link " + "a='' " * 20_000 + "rel=canonical href=http://x.net/wide>")]
+    want = set()
+    for url, html in pages:
+        parser = Links(url)
+        parser.feed(html or "")
+        want |= {(url, to) for to in parser.found}
+    frame = spark.createDataFrame(pages, "url string, html string")
+    node = lambda c: urls.url_node(F.col(c))
+    ends = lambda links: {tuple(r) for r in links.select(node("from_url").alias("a"), node("to_url").alias("b")).where("a <> b").collect()}
+    got = ends(urls.html_links(frame))
+    assert got == ends(spark.createDataFrame(sorted(want), "from_url string, to_url string")) and len(got) > 120
+    assert not any("no" in b for _, b in got)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(5)
     for _ in range(40):
@@ -269,6 +342,31 @@ def test_vectors_at_the_usual_settings(spark, kind):
     assert np.mean([out[i]["component_id"] == want[i] for i in ids]) > 0.97 and all(r["kept"] == (r["component_id"] == r["vec_id"]) for r in out.values())
 
 
+def test_copies_of_vectors(spark):
+    """Thousands of copies beside near pairs: every copy counts, classes are linked once."""
+    rng = np.random.default_rng(15)
+    centres = rng.standard_normal((40, 32))
+    near = [(c + 0.2 * rng.random() * rng.standard_normal(32)).tolist() for c in centres for _ in range(6)]
+    data = [(i, v, i % 2) for i, v in enumerate(near)] + [(10_000 + i, near[i % 3], i % 2) for i in range(9000)] + [(20_000, near[0], None), (3, near[3], 1)]
+    out = {r["vec_id"]: r for r in pivots.vector_components(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    rows = {(d[0], d[2], tuple(d[1])) for d in data if d[2] is not None}
+    unit = pivots.unit(np.array([r[2] for r in sorted(rows)]))
+    ids, label = np.array([r[0] for r in sorted(rows)]), np.array([r[1] for r in sorted(rows)])
+    links = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(links, False)
+    want = links.sum(1)
+    got = np.array([out[i]["n_links"] for i in ids.tolist()])
+    assert (got <= want).all() and got.sum() >= 0.95 * want.sum() and want.max() > 1400 and out[20_000]["n_links"] == 0
+    root = ids.copy()
+    while True:
+        least = np.array([root[near_ | (np.arange(len(ids)) == i)].min() for i, near_ in enumerate(links)])
+        if (least == root).all():
+            break
+        root = least
+    assert np.mean([out[i]["component_id"] == r for i, r in zip(ids.tolist(), root.tolist(), strict=True)]) > 0.97
+    assert len(out) == len({d[0] for d in data})
+
+
 def test_index_size():
     assert [pivots.index_size(n) for n in (0, 1 << 16, (1 << 16) + 1, 1 << 18, 1 << 20, 1 << 60)] == [(256, 8), (256, 8), (512, 10), (512, 10), (1024, 12), (4096, 16)]
 
@@ -351,6 +449,21 @@ def test_decontamination(spark, rows):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_without_blanks(spark):
+    """Items in scripts that don't part words stand inside longer texts of theirs; half an item is no hit."""
+    rng = random.Random(11)
+    kana, thai = [chr(c) for c in [*range(0x3042, 0x3090), *range(0x4E00, 0x4F00)]], [chr(c) for c in range(0x0E01, 0x0E2F)] + ["\u0e34", "\u0e48"]
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(0, run(kana, 40)), (1, run(thai, 60)), (2, f"{run(kana, 30)}?{run(kana, 12)}"), (3, text(rng, 20)), (4, f"GPT4{run(kana, 20)}")]
+    body = dict(items)
+    rows = [(i, f"{run(kana if i != 1 else thai, 300)}{body[i]}{run(kana if i != 1 else thai, 80)}") for i in (0, 1, 2, 4)]
+    rows += [(3, f"{run(thai, 50)} {body[3]} {run(kana, 50)}"), (10, run(kana, 500)), (11, run(thai, 500)), (12, run(kana, 100) + body[0][:20] + run(kana, 100)), (13, body[2].split("?")[0] + run(kana, 60))]
+    bench = decontaminate.questions(spark.createDataFrame(items, "item_id long, text string"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame, bench).collect()} == {(i, i) for i in range(5)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean_documents(frame, bench).collect()) == [10, 11, 12, 13]
+
+
 def test_decontamination_beside_punctuation(spark):
     rng = random.Random(10)
     items = [(i, text(rng, 18)) for i in range(6)] + [(6, f"Which {text(rng, 14)}? {text(rng, 6)}"), (7, f"Which {text(rng, 12)}? {text(rng, 6)}")]
