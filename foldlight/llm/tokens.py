@@ -23,9 +23,8 @@ table gives no sequence. Other columns are ignored.
 from __future__ import annotations
 
 import base64
-import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import md5
 
@@ -42,29 +41,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern and end token that belong to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_TOKEN = 50256
-LENGTH, PER_SHARD, WAVES = 512, 4096, 3
+LENGTH, PER_SHARD = 512, 4096
+#: Shares of the shards that are written at a time: the last wave is small, as all others' shards are on disk by then.
+WAVES = (0.7, 0.3)
 SHARDS, MOST_PER_SHARD = 4096, 1 << 18
-#: Pieces of text whose tokens a worker remembers.
-REMEMBERED = 500_000
 #: Bytes of text in a range of keys, and the most ranges (also of shards).
 RANGE_BYTES, RANGES = 16 << 20, 100_000
-#: A blank before another white space.
-BESIDE = re.compile(r" \s")
-
-
-class Pieces(dict):
-    """Packed tokens of pieces of text that follow a blank, looked up or encoded once."""
-
-    def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = array("H", self.encode(f" {piece}")).tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(piece) < 32:
-            self[piece] = packed
-        return packed
 
 
 class Encoder:
@@ -78,15 +60,9 @@ class Encoder:
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = Pieces(self.encoding.encode_ordinary)
 
     def encode(self, text: str) -> bytes:
-        """No pre-token crosses a blank between two other characters, so what lies between such blanks is encoded
-        by itself; a text with a blank beside another one, or at its end, is encoded whole."""
-        if not text or text[-1] == " " or BESIDE.search(text):
-            return array("H", self.encoding.encode_ordinary(text)).tobytes()
-        first, *rest = text.split(" ")
-        return array("H", self.encoding.encode_ordinary(first)).tobytes() + b"".join(map(self.pieces.__getitem__, rest))
+        return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -192,7 +168,7 @@ def write_shards(ordered: DataFrame, path: str, length: int = LENGTH, per_shard:
     return write_manifest(ordered.sparkSession, path, length, per_shard)
 
 
-def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int | None = None, waves: int = WAVES, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
+def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int | None = None, waves: tuple[float, ...] = WAVES, key: int = 2024, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END_TOKEN) -> DataFrame:
     """Writes shards, manifest and index of docs to path, a folder that all executors share, and returns the
     index, read back: (slot, shard, byte_offset, doc_id, chunk, n_tokens, tokens_md5), one row for each sequence.
 
@@ -204,8 +180,8 @@ def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int
     index = rows.select("slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", F.lower(F.hex("digest")).alias("tokens_md5"))
     with tidy_shuffles(spark):
         in_ranges(index, 0, shards).write.parquet(f"{path}/index")
-        for wave in range(waves):
-            first, last = wave * shards // waves, (wave + 1) * shards // waves
+        ends = [round(shards * sum(waves[: i + 1]) / sum(waves)) for i in range(len(waves))]
+        for first, last in zip([0, *ends], ends, strict=False):
             if first < last:
                 append_shards(in_ranges(rows, first, last), path)
         write_manifest(spark, path, length, per_shard)
