@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.permute import feistel
-from .common import discard, materialise, small_batches, tidy_shuffles
+from .common import discard, large_batches, materialise, small_batches, tidy_shuffles
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern and end token that belong to the vocabulary file.
@@ -178,7 +178,7 @@ def write_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int
     spark, made = docs.sparkSession, materialise(sequences(in_key_order(docs), length, vocabulary, pattern, end))
     rows, shards, per_shard = slotted(made, per_shard, key, 2 * length + 1)
     index = rows.select("slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", F.lower(F.hex("digest")).alias("tokens_md5"))
-    with tidy_shuffles(spark):
+    with tidy_shuffles(spark), large_batches(spark):
         in_ranges(index, 0, shards).write.parquet(f"{path}/index")
         ends = [round(shards * sum(waves[: i + 1]) / sum(waves)) for i in range(len(waves))]
         for first, last in zip([0, *ends], ends, strict=False):
