@@ -1,4 +1,12 @@
-"""A training corpus in five stages: each works on all that the one before it kept."""
+"""A training corpus in five stages: each works on all that the one before it kept.
+
+Defined results: a null text is an empty one to every stage; the classifier scores it like any other, of all empty
+texts one document stays, it holds no benchmark item, has no words to mix and, if taken, is one sequence with the end
+token. A null doc_id never trains and is a document like any other. An empty table of documents gives no sequences;
+without labels every score is 0.5, so all stay; without benchmark items all are clean. Rows that repeat doc_id and text
+are one after the near-duplicate stage. Columns beside doc_id, text and source are carried along, whatever their names,
+up to the last stage.
+"""
 
 from __future__ import annotations
 

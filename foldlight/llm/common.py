@@ -52,6 +52,10 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Scratch tables that this process has made and not discarded.
+MADE: set[str] = set()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
@@ -60,16 +64,31 @@ def materialise(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    MADE.add(path)
     return out
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    MADE.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a frame that materialise() returned and that nothing will read again."""
-    path, spark = getattr(df, "_scratch_path", None), df.sparkSession
+    path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        deleted(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the scratch tables that this process has made, but for those that the given frames still read. For use
+    after results are written; files that operators are asked to write, as shards, are no scratch tables."""
+    read = [f for df in keep for f in df.inputFiles()]
+    for path in list(MADE):
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in read):
+            deleted(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -6,8 +6,9 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
-from foldlight.llm import decontaminate, quality, tokens
+from foldlight.llm import common, decontaminate, quality, tokens
 from foldlight.llm.common import held_out
+from pyspark.sql import functions as F
 
 from .test_operators import components, plain_score
 
@@ -30,6 +31,35 @@ def test_stages(spark):
     assert slots == list(range(len(slots)))
 
 
+def test_odd_tables(spark, tmp_path):
+    """Null texts and ids, repeated rows, columns whose names the stages use themselves; then tables without rows."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    some = base.orderBy("doc_id").limit(60)
+    clash = {c: F.lit(i) for i, c in enumerate(("key", "size", "score", "slot", "tokens", "copies", "component", "hash", "label", "data", "shard", "_row", "src", "text_md5", "finish"))}
+    odd = spark.createDataFrame([(900001, None, "en", None, 0), (900002, "", "en", "src1", 0), (900003, None, None, None, 0), (None, "a short text of some words", "en", "src1", 0), (900004, "words " * 40_000, "en", "src2", 0)], base.schema)
+    docs = some.union(some.limit(5)).union(odd).withColumns(clash)
+    for name, rows, tables in (("odd", docs, {}), ("none", docs.limit(0), {}), ("bare", docs, {"labels", "benchmark"})):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            table = spark.read.parquet(f"{SF}/{t}.parquet")
+            (table.limit(0) if t in tables else table).write.parquet(f"{folder}/{t}.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:4]:
+            now = corpus_pipeline.materialise(stage(spark, now, folder))
+            assert now.columns == docs.columns, (name, stage_name)
+            if stage_name == "simhash near-dedup":
+                kept = now.collect()
+                assert len({(r["doc_id"], r["text"]) for r in kept}) == len(kept) and sum(not r["text"] for r in kept) <= 1
+        out = corpus_pipeline.run(spark, folder)
+        slots = sorted(r["slot"] for r in out.collect())
+        assert slots == list(range(len(slots))) and bool(slots) == (name != "none")
+    made = len(common.MADE)
+    common.cleanup(spark, now)
+    assert now.count() >= 0 and len(common.MADE) == 1 < made
+    assert len(out.collect()) == len(slots)  # shards and their index are no scratch
+
+
 def word_sets(texts):
     out = []
     for t in texts:
