@@ -142,10 +142,9 @@ def lasso_path(c: np.ndarray, b: np.ndarray, grid: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def select_lasso(m: np.ndarray, k: int = 20, seed: int = 42, alphas: int = 30) -> np.ndarray:
-    """Standardised by all train rows; the alpha of a path with the least mean squared error over the inner folds
-    of a stack, or, for a single matrix, by an information criterion (BIC). Up to k non-zero coefficients are
-    all taken, k is a ceiling; more or none: the k largest."""
+def lasso_weights(m: np.ndarray, alphas: int = 30) -> np.ndarray:
+    """Coefficients standardised by all train rows, at the alpha of a path with the least mean squared error over the
+    inner folds of a stack, or, for a single matrix, by an information criterion (BIC)."""
     total = whole(m)
     every = np.arange(len(total) - 2)
     c, b, sd = scaled(total, every)
@@ -162,42 +161,81 @@ def select_lasso(m: np.ndarray, k: int = 20, seed: int = 42, alphas: int = 30) -
     else:
         error = np.maximum(syy / n - 2 * path @ b + np.einsum("ij,jk,ik->i", path, c, path), 1e-12)
         loss = n * np.log(error) + np.log(n) * (path != 0).sum(axis=1)
-    best = path[int(np.argmin(loss))]
+    return path[int(np.argmin(loss))]
+
+
+def lasso_choice(best: np.ndarray, k: int) -> np.ndarray:
+    """Up to k non-zero coefficients are all taken, k is a ceiling; more or none: the k largest."""
     chosen = np.flatnonzero(best)
     return chosen if 0 < len(chosen) <= k else top_k(np.abs(best), k)
 
 
-def searched_subsets(m_folds: np.ndarray, k: int = 20, seed: int = 42, population: int = 40, generations: int = 25, elite: int = 5, fit: Model = ridge) -> tuple[np.ndarray, list[tuple[int, float, float, int]]]:
-    """Genetic search over feature masks on the moments of inner folds: fitness is the mean R2 of `fit` over the
-    folds, at least 0, and 0 below five features or where it can't be fitted; tournaments of 3, uniform crossover,
-    bit flips, an elite that stays. Returns the best mask's positions and (generation, best, mean, size of best)."""
-    rng, p, total = np.random.default_rng(seed), m_folds.shape[1] - 2, m_folds.sum(axis=0)
-    known: dict[bytes, float] = {}
-    log = []
-
-    def fitness(mask: np.ndarray) -> float:
-        if (key := mask.tobytes()) not in known:
-            chosen = np.flatnonzero(mask)
-            try:
-                scores = [r2(*test_errors(m, *fit(total - m, chosen))[:2]) for m in m_folds] if len(chosen) >= 5 else [0.0]
-            except np.linalg.LinAlgError:
-                scores = [0.0]
-            known[key] = max(0.0, float(np.mean(scores)))
-        return known[key]
-
-    masks = rng.random((population, p)) < min(0.5, max(5, k) / p)
-    for generation in range(generations):
-        scores = np.array([fitness(x) for x in masks])
+def select_lasso(m: np.ndarray, k: int = 20, seed: int = 42, alphas: int = 30) -> np.ndarray:
+    return lasso_choice(lasso_weights(m, alphas), k)
+
+
+class Search:
+    """A genetic search over feature masks, one generation at a time, for whoever can score masks: tournaments of 3,
+    uniform crossover, bit flips, an elite that stays. What it does depends on the seed and the scores alone, not on
+    where they were computed."""
+
+    def __init__(self, p: int, k: int = 20, seed: int = 42, population: int = 40, elite: int = 5) -> None:
+        self.rng, self.p, self.elite = np.random.default_rng(seed), p, elite
+        self.known: dict[bytes, float] = {}
+        #: (generation, best, mean, size of the best)
+        self.log: list[tuple[int, float, float, int]] = []
+        self.masks = self.rng.random((population, p)) < min(0.5, max(5, k) / p)
+
+    def unknown(self) -> list[bytes]:
+        """Packed masks of the population that have no score yet, each once; under five features they have score 0."""
+        out = {}
+        for mask in self.masks:
+            key = np.packbits(mask).tobytes()
+            if key not in self.known:
+                if mask.sum() < 5:
+                    self.known[key] = 0.0
+                else:
+                    out[key] = None
+        return list(out)
+
+    def scores(self) -> np.ndarray:
+        return np.array([self.known[np.packbits(m).tobytes()] for m in self.masks])
+
+    def breed(self) -> None:
+        """The next generation from a population whose masks are all known."""
+        rng, scores, (population, p) = self.rng, self.scores(), self.masks.shape
         order = np.argsort(-scores, kind="stable")
-        log.append((generation, float(scores[order[0]]), float(scores.mean()), int(masks[order[0]].sum())))
+        self.log.append((len(self.log), float(scores[order[0]]), float(scores.mean()), int(self.masks[order[0]].sum())))
         picks = rng.integers(0, population, (population, 3))
-        parents = masks[picks[np.arange(population), scores[picks].argmax(axis=1)]]
+        parents = self.masks[picks[np.arange(population), scores[picks].argmax(axis=1)]]
         mates, swap = parents[rng.permutation(population)], rng.random((population, p)) < 0.5
         children = np.where(swap & (rng.random((population, 1)) < 0.7), mates, parents)
         children ^= (rng.random((population, p)) < 1 / p) & (rng.random((population, 1)) < 0.3)
-        children[:elite] = masks[order[:elite]]
-        masks = children
-    return np.flatnonzero(max(masks, key=fitness)), log
+        children[: self.elite] = self.masks[order[: self.elite]]
+        self.masks = children
+
+    def best(self) -> np.ndarray:
+        return np.flatnonzero(self.masks[int(np.argmax(self.scores()))])
+
+
+def mask_fitness(m_folds: np.ndarray, trains: np.ndarray, key: bytes, fit: Model = ridge) -> float:
+    """The mean R2 of `fit` over inner folds on the features of a packed mask, at least 0; 0 where it can't be fitted.
+    trains: for each inner fold the moments of all others."""
+    chosen = np.flatnonzero(np.unpackbits(np.frombuffer(key, np.uint8), count=m_folds.shape[1] - 2))
+    try:
+        return max(0.0, float(np.mean([r2(*test_errors(m, *fit(t, chosen))[:2]) for m, t in zip(m_folds, trains, strict=True)])))
+    except np.linalg.LinAlgError:
+        return 0.0
+
+
+def searched_subsets(m_folds: np.ndarray, k: int = 20, seed: int = 42, population: int = 40, generations: int = 25, elite: int = 5, fit: Model = ridge) -> tuple[np.ndarray, list[tuple[int, float, float, int]]]:
+    """A whole Search in this process on the moments of inner folds: the best mask's positions and the log."""
+    search, trains = Search(m_folds.shape[1] - 2, k, seed, population, elite), m_folds.sum(axis=0) - m_folds
+    for generation in range(generations + 1):
+        search.known |= {key: mask_fitness(m_folds, trains, key, fit) for key in search.unknown()}
+        if generation < generations:
+            search.breed()
+    return search.best(), search.log
 
 
 def subset_search(m_folds: np.ndarray, k: int = 20, seed: int = 42, population: int = 40, generations: int = 25, elite: int = 5, fit: Model = ridge) -> np.ndarray:
@@ -208,6 +246,9 @@ def subset_search(m_folds: np.ndarray, k: int = 20, seed: int = 42, population:
 MODELS: dict[str, Model] = {"ridge": ridge, "pls": pls, "elastic_net": elastic_net, "ols": least_squares}
 SELECTORS: dict[str, Selector] = {"correlation": select_correlation, "rfe": select_rfe, "lasso": select_lasso}
 
+#: Selectors whose costly part doesn't depend on k: what to compute once, and the choice of k from it.
+SHARED: dict[str, tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, int], np.ndarray]]] = {"lasso": (lasso_weights, lasso_choice)}
+
 #: Selectors that fit models on the inner folds of a stack: they also take the model, as `fit`.
 SEARCHES: dict[str, Selector] = {"search": subset_search}
 
@@ -247,7 +288,7 @@ def mutual_information(df: DataFrame, features: str, target: str, bins: int = 8,
     ex = exact_quantiles(long, [*by, "pos"], "x", grid).withColumnRenamed("quantiles", "ex")
     ey = exact_quantiles(df.select(*by, target), by, target, grid).withColumnRenamed("quantiles", "ey")
     edges = ex.join(ey, by) if by else ex.crossJoin(F.broadcast(ey))  # one row
-    cells = long.join(F.broadcast(edges), [*by, "pos"]).select(*by, "pos", F.size(F.filter("ex", lambda e: e <= F.col("x"))).alias("bx"), F.size(F.filter("ey", lambda e: e <= F.col("y"))).alias("by_"))  # one row a feature
+    cells = long.join(edges, [*by, "pos"]).select(*by, "pos", F.size(F.filter("ex", lambda e: e <= F.col("x"))).alias("bx"), F.size(F.filter("ey", lambda e: e <= F.col("y"))).alias("by_"))
     joint = cells.groupBy(*by, "pos", "bx", "by_").agg(F.count("*").alias("n"))
     one = Window.partitionBy(*by, "pos")  # at most bins x bins rows
     each = joint.withColumns({"nx": F.sum("n").over(Window.partitionBy(*by, "pos", "bx")), "ny": F.sum("n").over(Window.partitionBy(*by, "pos", "by_")), "total": F.sum("n").over(one)})

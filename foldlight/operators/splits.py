@@ -17,43 +17,47 @@ BUCKET_ROWS, SPAN = 4096, 1024
 
 
 def shuffle_key(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    """md5 of seed and key; a null key counts as an empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def ranked(df: DataFrame, order: Column, by: list[str] | None = None) -> DataFrame:
-    """Adds `rank` (from 0) in the order of an md5 text, inside each combination of `by` if given.
+def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal or equally missing values; without columns to join by, right is one row."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))  # one row
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
+    return left.alias("l").join(right.alias("r"), same, how).select("l.*", *(F.col(f"r.`{c}`") for c in right.columns if c not in on))
+
+
+def ranked(df: DataFrame, order: Column, by: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """Adds `name` (from 0) in the order of an md5 text, inside each combination of `by` if given.
 
     Rows are dealt to even buckets of the order, as many as the table needs; rows before a bucket come from two
     levels of bucket counts. So no window holds more than about a bucket or SPAN buckets' counts.
     """
     by = by or []
     buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    at = F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets)
-    dealt = df.withColumn("_order", order).withColumn("_bucket", at)
-    counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
-    sums = counts.groupBy(*by, "_span").agg(F.sum("_n").alias("_n"))
-    upto = lambda order_, *of: F.coalesce(F.sum("_n").over(Window.partitionBy(*by, *of).orderBy(order_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = sums.withColumn("_far", upto("_span")).drop("_n")
-
-    def met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
-        same = F.lit(True)
-        for c in (*by, *on):
-            same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-        return left.alias("l").join(right.alias("r"), same).select("l.*", *(F.col(f"r.{c}") for c in right.columns if c not in (*by, *on)))
-
-    before = met(counts.withColumn("_near", upto("_bucket", "_span")), spans, "_span").select(*by, "_bucket", (F.col("_far") + F.col("_near")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_order")) - 1
-    return met(dealt.withColumn("_inside", inside), before, "_bucket").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_order", "_bucket", "_inside", "_before")
+    at = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets)
+    dealt = df.withColumn("__order", order).withColumn("__bucket", at)
+    counts = dealt.groupBy(*by, "__bucket").agg(F.count("*").alias("__n")).withColumn("__span", F.floor(F.col("__bucket") / SPAN))
+    sums = counts.groupBy(*by, "__span").agg(F.sum("__n").alias("__n"))
+    upto = lambda order_, *of: F.coalesce(F.sum("__n").over(Window.partitionBy(*by, *of).orderBy(order_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.withColumn("__far", upto("__span")).drop("__n")
+    before = met(counts.withColumn("__near", upto("__bucket", "__span")), spans, [*by, "__span"]).select(*by, "__bucket", (F.col("__far") + F.col("__near")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy("__order")) - 1
+    return met(dealt.withColumn("__inside", inside), before, [*by, "__bucket"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__order", "__bucket", "__inside", "__before")
 
 
 def shuffled_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Adds `fold`: sizes differ by one at most."""
-    return ranked(df, shuffle_key(F.col(key), seed)).withColumn("fold", (F.col("rank") % folds).cast("int")).drop("rank")
+    return ranked(df, shuffle_key(F.col(key), seed), name="__rank").withColumn("fold", (F.col("__rank") % folds).cast("int")).drop("__rank")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Adds `fold`: balanced inside every class."""
-    return ranked(df, shuffle_key(F.col(key), seed), [label]).withColumn("fold", (F.col("rank") % folds).cast("int")).drop("rank")
+    return ranked(df, shuffle_key(F.col(key), seed), [label], "__rank").withColumn("fold", (F.col("__rank") % folds).cast("int")).drop("__rank")
 
 
 def dealt_sizes(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
@@ -150,16 +154,16 @@ def make_folds(df: DataFrame, key: str, folds: int = 5, task: str = "regression"
 
 
 def holdout(df: DataFrame, key: str, share: float = 0.2, group: str | None = None, label: str | None = None, seed: int = 42) -> DataFrame:
-    """Adds `is_test`: whole groups by shuffled order, or the first rows of each class, or of the table."""
+    """Adds `is_test`: whole groups by shuffled order, or the first rows of each class, or of the table. Rows without
+    a group are one group, rows without a label one class."""
     if group:
-        groups = ranked(df.select(group).distinct(), shuffle_key(F.col(group), seed))
+        groups = ranked(df.select(group).distinct(), shuffle_key(F.col(group), seed), name="__rank")
         n = groups.count()
-        return df.join(groups.select(group, (F.col("rank") < F.ceil(F.lit(n * share))).alias("is_test")), group)
+        return met(df, groups.select(group, (F.col("__rank") < F.ceil(F.lit(n * share))).alias("is_test")), [group])
     by = [label] if label else []
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    rows = ranked(df, shuffle_key(F.col(key), seed), by)
-    rows = rows.join(sizes, by) if by else rows.crossJoin(F.broadcast(sizes))  # one row
-    return rows.withColumn("is_test", F.col("rank") < F.round(F.col("_n") * share)).drop("rank", "_n")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__size"))
+    rows = met(ranked(df, shuffle_key(F.col(key), seed), by, "__rank"), sizes, by)
+    return rows.withColumn("is_test", F.col("__rank") < F.round(F.col("__size") * share)).drop("__rank", "__size")
 
 
 def grouped_holdout(df: DataFrame, group: str, label: str, share: float = 0.2) -> DataFrame:
@@ -176,7 +180,7 @@ def lock_holdout(df: DataFrame, key: str, share: float = 0.2, group: str | None
     """Adds `is_test` by the first way that the given columns allow: the best of `seeds` (group and label), whole
     stratified groups (group and label), whole groups, within classes (label), plain."""
     if group and label and seeds:
-        found = split_search(df, group, label, seeds, share).orderBy("kl", "seed").first()["seed"]
+        found = best_split(split_search(df, group, label, seeds, share))
         return holdout(df, key, share, group=group, seed=found)
     if group and label:
         return grouped_holdout(df, group, label, share)
@@ -188,22 +192,47 @@ def side_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy("is_test", label).agg(F.count("*").alias("n"))
 
 
+def seeded_tries(rows: DataFrame, seeds: list[int]) -> DataFrame:
+    return rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))  # the caller's seeds
+
+
+def divergence(shares: DataFrame) -> DataFrame:
+    """(seed, kl) from class counts (seed, c, test, train)."""
+    whole = Window.partitionBy("seed")  # one row a class
+    p = F.col("train") / F.sum("train").over(whole) + 1e-9
+    q = F.col("test") / F.sum("test").over(whole) + 1e-9
+    return shares.withColumn("part", p * F.ln(p / q)).groupBy("seed").agg(F.sum("part").alias("kl"))
+
+
 def split_search(df: DataFrame, group: str, label: str, seeds: list[int], share: float = 0.2) -> DataFrame:
     """(seed, kl, leaked): divergence of train from test class shares for each seed's group hold-out, and its groups
     on both sides. Works on group x class counts, not rows."""
-    spark = df.sparkSession
     counts = df.groupBy(F.col(group).alias("g"), F.col(label).alias("c")).agg(F.count("*").alias("n"))
     groups = counts.select("g").distinct()
-    tries = groups.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in seeds], "seed int")))  # the caller's seeds
-    key = F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.col("g").cast("string")))
+    key = F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.coalesce(F.col("g").cast("string"), F.lit(""))))
     first = math.ceil(groups.count() * share)
-    sides = ranked(tries, key, ["seed"]).select("seed", "g", (F.col("rank") < first).alias("is_test"))
-    shares = sides.join(counts, "g").groupBy("seed", "c").agg(F.sum(F.when(F.col("is_test"), F.col("n")).otherwise(0)).alias("test"), F.sum(F.when(~F.col("is_test"), F.col("n")).otherwise(0)).alias("train"))
-    whole = Window.partitionBy("seed")
-    p = F.col("train") / F.sum("train").over(whole) + 1e-9
-    q = F.col("test") / F.sum("test").over(whole) + 1e-9
+    sides = ranked(seeded_tries(groups, seeds), key, ["seed"]).select("seed", "g", (F.col("rank") < first).alias("is_test"))
+    shares = met(sides, counts, ["g"]).groupBy("seed", "c").agg(F.sum(F.when(F.col("is_test"), F.col("n")).otherwise(0)).alias("test"), F.sum(F.when(~F.col("is_test"), F.col("n")).otherwise(0)).alias("train"))
     both = sides.groupBy("seed", "g").agg(F.count_distinct("is_test").alias("sides")).groupBy("seed").agg(F.count_if(F.col("sides") > 1).alias("leaked"))
-    return shares.withColumn("part", p * F.ln(p / q)).groupBy("seed").agg(F.sum("part").alias("kl")).join(both, "seed")
+    return divergence(shares).join(both, "seed")
+
+
+def row_split_search(df: DataFrame, key: str, group: str, label: str, seeds: list[int], share: float = 0.2) -> DataFrame:
+    """(seed, kl, leaked, score) of each seed's hold-out by rows within classes, which may tear groups apart: a group's
+    sides are two bits, joined by OR; score is kl + 100 x the groups on both sides."""
+    slim = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(label).alias("c"))
+    sizes = slim.groupBy("c").agg(F.count("*").alias("n"))
+    order = F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.coalesce(F.col("k").cast("string"), F.lit(""))))
+    rows = met(ranked(seeded_tries(slim, seeds), order, ["seed", "c"]), sizes, ["c"]).select("seed", "g", "c", (F.col("rank") < F.round(F.col("n") * share)).alias("is_test"))
+    shares = rows.groupBy("seed", "c").agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train"))
+    sides = rows.groupBy("seed", "g").agg(F.bit_or(F.when(F.col("is_test"), 2).otherwise(1)).alias("sides")).groupBy("seed").agg(F.count_if(F.col("sides") == 3).alias("leaked"))
+    return divergence(shares).join(sides, "seed").withColumn("score", F.col("kl") + 100.0 * F.col("leaked"))
+
+
+def best_split(tries: DataFrame) -> int:
+    """The seed with the least divergence among those that tear no group apart; if all do, with the least
+    kl + 100 x leaked; the smaller seed on ties."""
+    return tries.orderBy(F.col("leaked") > 0, F.col("kl") + 100.0 * F.col("leaked"), "seed").first()["seed"]
 
 
 def group_leakage(df: DataFrame, group: str, side: str) -> DataFrame:

@@ -94,6 +94,23 @@ def task_grid(targets: DataFrame, selectors: list[str], models: list[str], seeds
     return grid if done is None else grid.join(done, ["dataset", "target", "selector", "model", "seed"], "left_anti")
 
 
+def default_tasks(targets: DataFrame, selectors: list[str], seeds: list[int], combos: list[tuple[str, str, str]] | None = None, excluded: list[str] | None = None, model: str = "pls", done: DataFrame | None = None, least: int = 20) -> DataFrame:
+    """(dataset, target, selector, model, seed) for targets (dataset, target, position, n_finite).
+
+    combos lists (dataset, target, model); a dataset that it doesn't name takes its first target by position with
+    `model`. Datasets in `excluded` (say, those with yes-or-no targets) are left out unless combos names them. Targets
+    that don't exist or have too few values are left out, and what is done already.
+    """
+    spark = targets.sparkSession
+    named = spark.createDataFrame(combos or [], "dataset string, target string, model string")
+    listed = targets.join(F.broadcast(named), ["dataset", "target"]).select("dataset", "target", "model", "n_finite")  # the caller's list
+    rest = targets.join(F.broadcast(named.select("dataset").distinct()), "dataset", "left_anti").where(~F.col("dataset").isin(excluded or []))
+    first = rest.groupBy("dataset").agg(F.min_by(F.struct("target", "n_finite"), "position").alias("t")).select("dataset", "t.target", F.lit(model).alias("model"), "t.n_finite")
+    axes = spark.createDataFrame([(s, x) for s in selectors for x in seeds], "selector string, seed int")
+    grid = listed.union(first).where(F.col("n_finite") >= least).crossJoin(F.broadcast(axes)).select("dataset", "target", "selector", "model", "seed")  # the caller's lists
+    return grid if done is None else grid.join(done, ["dataset", "target", "selector", "model", "seed"], "left_anti")
+
+
 def iqr_bounds(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """One row with low and high bounds of each column, of its non-null and non-NaN values."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("s")).select("s.*")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import trees
-from ..operators.models import MODELS, SEARCHES, get_selector, mutual_information, top_k
+from ..operators.information import nearest_information
+from ..operators.models import MODELS, SEARCHES, SHARED, Search, get_selector, mask_fitness, mutual_information, top_k
 from ..operators.moments import Moments, centred, r2, test_errors
 
 
@@ -39,29 +40,109 @@ def fold_scores(m: Moments, selector: str, model: str, k: int, seed: int = 42, c
 SCORES = "arm string, fold int, sse double, sst double, n double, mean_y double, r2 double, rmse double, chosen array<int>"
 
 
-def evaluate_grid(combos: DataFrame, moments: dict[str, Moments]) -> DataFrame:
-    """fold_scores() for every row (dataset, selector, model, k, seed) of combos, spread over tasks; models that
-    share a choice share its task, so that it is made once. Moments are sent whole: their size is
-    folds x (features + 2)^2 for each dataset, whatever the rows were."""
-    sent = combos.sparkSession.sparkContext.broadcast(moments)
-    names = ["dataset", "selector", "model", "k", "seed"]
+KEYS = ["dataset", "selector", "model", "k", "seed"]
+MOMENTS_KEYS = "dataset string, selector string, model string, k int, seed int"
+#: Masks in a population and generations of searches in a grid.
+POPULATION, GENERATIONS = 40, 25
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, list[np.ndarray]] = {}
-        for part in parts:
-            for row in part.itertuples():
-                m, args = sent.value[row.dataset], (row.selector, row.model, int(row.k), int(row.seed))
-                key = (row.dataset, row.selector, row.model if row.selector in SEARCHES else None, *args[2:])
-                if key not in known:
-                    known[key] = choices(m, *args)
-                scores = pd.DataFrame(fold_scores(m, *args, chosen_by=known[key]))
-                yield scores.assign(**{n: getattr(row, n) for n in names})[[*names, *scores.columns]]
 
-    return combos.select(*names).repartition("dataset", "selector", "k", "seed").mapInPandas(run, f"dataset string, selector string, model string, k int, seed int, {SCORES}")
+def spread(rows: DataFrame, n: int) -> DataFrame:
+    """Few rows with much work each: about as many partitions as rows, up to four a core."""
+    return rows.repartition(max(1, min(n, 4 * rows.sparkSession.sparkContext.defaultParallelism)))
 
 
-KEYS = ["dataset", "selector", "model", "k", "seed"]
-MOMENTS_KEYS = "dataset string, selector string, model string, k int, seed int"
+def scores_of(m: Moments, model: str, part: int, chosen: np.ndarray) -> list[dict[str, object]]:
+    """A choice's rows: of all rows (part -1) the apparent arm of every fold, of a fold's train rows the fold's nested one."""
+    out = []
+    for i in range(len(m.folds)) if part < 0 else [part]:
+        sse, sst, n = test_errors(m.by_fold[i], *MODELS[model](m.train(i), chosen))
+        out.append({"arm": "apparent" if part < 0 else "nested", "fold": int(m.folds[i]), "sse": sse, "sst": sst, "n": n, "mean_y": float(m.by_fold[i][0, -1] / n), "r2": r2(sse, sst), "rmse": float(np.sqrt(max(sse, 0) / n)), "chosen": chosen.tolist()})
+    return out
+
+
+def search_together(searches: list[tuple[str, str, int, int, int]], moments: dict[str, Moments], spark: SparkSession, population: int = POPULATION, generations: int = GENERATIONS) -> dict[tuple[str, str, int, int, int], Search]:
+    """Searches (dataset, model, k, seed, part) that go through their generations together.
+
+    In each, the masks of all searches that nobody has scored yet are one table, scored in tasks against the moments
+    that were sent once; searches of the same dataset, model and part share scores. The driver holds populations
+    (searches x population x features bits) and scores and breeds; it fits nothing.
+    """
+    sent = spark.sparkContext.broadcast(moments)  # folds x (features + 2)^2 values a dataset
+    running = {s: Search(moments[s[0]].p, s[2], s[3], population) for s in searches}
+    shared: dict[tuple[str, str, int], dict[bytes, float]] = {}
+    for s, search in running.items():
+        search.known = shared.setdefault((s[0], s[1], s[4]), search.known)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folds: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                key = (row.dataset, row.part)
+                if key not in folds:
+                    m = sent.value[row.dataset]
+                    inner = m.by_fold if row.part < 0 else m.train_folds(row.part)
+                    folds[key] = inner, inner.sum(axis=0) - inner
+                out.append(mask_fitness(*folds[key], row.mask, MODELS[row.model]))
+            yield part.assign(fitness=out)
+
+    schema = "dataset string, model string, part int, mask binary"
+    for generation in range(generations + 1):
+        wanted = {(s[0], s[1], s[4], mask): None for s, search in running.items() for mask in search.unknown()}
+        if wanted:
+            table = spread(spark.createDataFrame(pd.DataFrame(list(wanted), columns=["dataset", "model", "part", "mask"]), schema), len(wanted))
+            for r in table.mapInPandas(run, f"{schema}, fitness double").toPandas().itertuples():
+                shared[r.dataset, r.model, r.part][bytes(r.mask)] = r.fitness
+        if generation < generations:
+            for search in running.values():
+                search.breed()
+    return running
+
+
+def evaluate_grid(combos: DataFrame, moments: dict[str, Moments], population: int = POPULATION, generations: int = GENERATIONS) -> DataFrame:
+    """fold_scores() for every row (dataset, selector, model, k, seed) of combos.
+
+    A row of work is a selector on one part of a dataset (all rows, or a fold's train rows), for all k and models that
+    need it, so that a path that serves every k is made once and no task holds more than one part's; searches go
+    through search_together() first. Moments are sent whole: their size is folds x (features + 2)^2 for each dataset,
+    whatever the rows were.
+    """
+    spark = combos.sparkSession
+    sent = spark.sparkContext.broadcast(moments)
+    listed = [tuple(r) for r in combos.select(*KEYS).distinct().collect()]  # the caller's combinations
+    parts = {d: range(-1, len(m.folds)) for d, m in moments.items()}
+    found = [(d, s, f, k, x, part) for d, s, f, k, x in listed if s in SEARCHES for part in parts[d]]
+    searches = search_together([(d, f, k, x, part) for d, _, f, k, x, part in found], moments, spark, population, generations) if found else {}
+    work: dict[tuple, list] = {}
+    for d, s, f, k, x in listed:
+        for part in parts[d]:
+            if s in SEARCHES:
+                work[d, s, x, part, f, k] = [(k, f, searches[d, f, k, x, part].best().tolist())]
+            else:
+                # selectors without a shared part are chosen by k
+                work.setdefault((d, s, x, part, None, None if s in SHARED else k), []).append((k, f, None))
+    rows = [(*key[:4], uses) for key, uses in sorted(work.items(), key=str)]
+    table = spread(spark.createDataFrame(rows, "dataset string, selector string, seed int, part int, uses array<struct<k:int,model:string,chosen:array<int>>>"), len(rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                m = sent.value[row.dataset]
+                inner = m.by_fold if row.part < 0 else m.train_folds(row.part)
+                prepare, choose = SHARED.get(row.selector, (None, None))
+                ready = prepare(inner) if prepare else None
+                chosen: dict[int, np.ndarray] = {}
+                out = []
+                for use in row.uses:
+                    if use["chosen"] is not None:
+                        chosen[use["k"]] = np.array(use["chosen"], int)
+                    elif use["k"] not in chosen:
+                        chosen[use["k"]] = choose(ready, use["k"]) if prepare else get_selector(row.selector)(inner, use["k"], row.seed)
+                    for score in scores_of(m, use["model"], row.part, chosen[use["k"]]):
+                        out.append({"dataset": row.dataset, "selector": row.selector, "model": use["model"], "k": use["k"], "seed": row.seed, **score})
+                yield pd.DataFrame(out)[[*KEYS, "arm", "fold", "sse", "sst", "n", "mean_y", "r2", "rmse", "chosen"]]
+
+    return table.mapInPandas(run, f"{MOMENTS_KEYS}, {SCORES}")
 
 
 def informative_choices(df: DataFrame, features: str, target: str, fold: str, k: int, bins: int = 8) -> list[np.ndarray]:
@@ -76,28 +157,28 @@ def informative_choices(df: DataFrame, features: str, target: str, fold: str, k:
     return [top_k(np.array([found[i][j] for j in range(len(found[i]))]), k) for i in sorted(found)]
 
 
+def nearest_choices(df: DataFrame, key: str, features: str, target: str, fold: str, k: int) -> list[np.ndarray]:
+    """informative_choices() by distances to nearest neighbours: train sets and features are scored together."""
+    folds = [r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect()]  # one row a fold
+    member = F.array_compact(F.array(F.lit(0), *(F.when(F.col(fold) != f, F.lit(i)) for i, f in enumerate(folds, 1))))
+    found: dict[int, dict[int, float]] = {}
+    for r in nearest_information(df.withColumn("_set", F.explode(member)), features, target, key, "_set").collect():
+        found.setdefault(r["_set"], {})[r["pos"]] = round(r["mi"] or 0.0, 9)
+    return [top_k(np.array([found[i][j] for j in range(len(found[i]))]), k) for i in sorted(found)]
+
+
 def score_choices(spark: SparkSession, dataset: str, m: Moments, selector: str, chosen_by: list[np.ndarray], models: list[str], seed: int = 42) -> DataFrame:
     """fold_scores() of each model for choices made elsewhere, in the form of evaluate_grid()."""
     rows = [{"dataset": dataset, "selector": selector, "model": f, "k": len(chosen_by[0]), "seed": seed, **s} for f in models for s in fold_scores(m, selector, f, len(chosen_by[0]), seed, chosen_by)]
     return spark.createDataFrame(rows, f"dataset string, selector string, model string, k int, seed int, {SCORES}")
 
 
-def grid_choices(combos: DataFrame, moments: dict[str, Moments]) -> DataFrame:
+def grid_choices(combos: DataFrame, moments: dict[str, Moments], population: int = POPULATION, generations: int = GENERATIONS) -> DataFrame:
     """(dataset, selector, model, k, seed, arm, fold, chosen) for every row of combos: the features on which models
     that need rows are then fitted. Searches score their masks by ridge."""
-    sent = combos.sparkSession.sparkContext.broadcast(moments)  # folds x (features + 2)^2 values a dataset
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for row in part.itertuples():
-                m = sent.value[row.dataset]
-                outer, *inner = choices(m, row.selector, "ridge", int(row.k), int(row.seed))
-                for fold, own in zip(m.folds, inner, strict=True):
-                    rows += [(row.dataset, row.selector, row.model, row.k, row.seed, arm, fold, chosen.tolist()) for arm, chosen in (("apparent", outer), ("nested", own))]
-            yield pd.DataFrame(rows, columns=[*KEYS, "arm", "fold", "chosen"])
-
-    return combos.select(*KEYS).repartition(*KEYS).mapInPandas(run, f"{MOMENTS_KEYS}, arm string, fold int, chosen array<int>")
+    keys = ["dataset", "selector", "k", "seed"]
+    linear = evaluate_grid(combos.withColumn("model", F.lit("ridge")).distinct(), moments, population, generations)
+    return combos.select(*KEYS).join(linear.select(*keys, "arm", "fold", "chosen"), keys).select(*KEYS, "arm", "fold", "chosen")
 
 
 def tree_grid(df: DataFrame, key: str, features: str, target: str, fold: str, choices_: DataFrame, small: int = trees.SMALL) -> DataFrame:
@@ -163,11 +244,13 @@ def fold_mean_scores(by_fold: DataFrame, keys: list[str]) -> DataFrame:
 
 def three_pipelines(random: DataFrame, grouped: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """P1: apparent on random folds, P2: apparent on group folds, P3: nested on group folds (from fold scores of
-    both splits). group_leak = P1 - P2, sel_leak = P2 - P3."""
+    both splits). group_leak = P1 - P2, sel_leak = P2 - P3. With fewer groups than folds some folds have no group, so
+    their scores are missing among the grouped ones: P2 and both differences are null then."""
     keys = keys or KEYS
-    p1 = random.where(F.col("arm") == "apparent").groupBy(*keys).agg(F.avg("r2").alias("p1"))
-    rest = grouped.groupBy(*keys).agg(F.avg(F.when(F.col("arm") == "apparent", F.col("r2"))).alias("p2"), F.avg(F.when(F.col("arm") == "nested", F.col("r2"))).alias("p3"))
-    return p1.join(rest, keys, "left").withColumns({"group_leak": F.col("p1") - F.col("p2"), "sel_leak": F.col("p2") - F.col("p3")})
+    p1 = random.where(F.col("arm") == "apparent").groupBy(*keys).agg(F.avg("r2").alias("p1"), F.count_distinct("fold").alias("_folds"))
+    rest = grouped.groupBy(*keys).agg(F.avg(F.when(F.col("arm") == "apparent", F.col("r2"))).alias("p2"), F.avg(F.when(F.col("arm") == "nested", F.col("r2"))).alias("p3"), F.count_distinct("fold").alias("_grouped"))
+    both = p1.join(rest, keys, "left").withColumn("p2", F.when(F.col("_grouped") >= F.col("_folds"), F.col("p2"))).drop("_folds", "_grouped")
+    return both.withColumns({"group_leak": F.col("p1") - F.col("p2"), "sel_leak": F.col("p2") - F.col("p3")})
 
 
 def mask_overlap(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -23,6 +23,11 @@ def finite(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 
 
+def number(c: str) -> Column:
+    """The value, null for NaN."""
+    return F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+
+
 def usable_images(pixels: DataFrame, image: str, spectrum: str, mask: str) -> DataFrame:
     """(image, bands, inside, failure): `empty mask`, `other width` (not the number of bands most images have,
     the smaller on ties) or `mixed widths`; null for images that can be used."""
@@ -92,13 +97,13 @@ def overview(name: str, df: DataFrame, features: str, targets: list[str], group:
 
 
 def class_profile(df: DataFrame, features: str, label: str) -> DataFrame:
-    """(pos, label, mean, n): each band's mean in each class."""
-    return df.select(label, F.posexplode(features)).groupBy("pos", label).agg(F.avg("col").alias("mean"), F.count("*").alias("n"))
+    """(pos, label, mean, n): each band's mean in each class, of the values that are numbers; n counts rows."""
+    return df.select(label, F.posexplode(features)).groupBy("pos", label).agg(F.avg(number("col")).alias("mean"), F.count("*").alias("n"))
 
 
 def feature_profile(df: DataFrame, features: str) -> DataFrame:
-    """(pos, mean, std): over all rows, population deviation."""
-    return df.select(F.posexplode(features)).groupBy("pos").agg(F.avg("col").alias("mean"), F.stddev_pop("col").alias("std"))
+    """(pos, mean, std): over all rows' values that are numbers, population deviation."""
+    return df.select(F.posexplode(features)).groupBy("pos").agg(F.avg(number("col")).alias("mean"), F.stddev_pop(number("col")).alias("std"))
 
 
 def image_profile(pixels: DataFrame, image: str, spectrum: str, mask: str) -> DataFrame:
@@ -112,8 +117,9 @@ def group_structure(df: DataFrame, group: str) -> DataFrame:
 
 
 def target_histogram(df: DataFrame, target: str) -> DataFrame:
-    """(bin, n, mean): as many bins of equal width as a fifth of the rows, 5 to 30."""
-    y = F.col(target)
-    e = df.agg(F.min(y).alias("_low"), F.max(y).alias("_high"), F.least(F.lit(30), F.greatest(F.lit(5), F.floor(F.count("*") / 5))).alias("_bins"))
-    at = F.least(F.col("_bins") - 1, F.floor((y - F.col("_low")) * F.col("_bins") / (F.col("_high") - F.col("_low")))).cast("int")
-    return df.crossJoin(F.broadcast(e)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(y).alias("mean"))  # one row
+    """(bin, n, mean): as many bins of equal width as a fifth of the finite values, 5 to 30; other rows don't count.
+    Values that are all equal are in bin 0."""
+    rows = df.select(F.col(target).cast("double").alias("y")).where(F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") != float("inf")))
+    e = rows.agg(F.min("y").alias("_low"), F.max("y").alias("_high"), F.least(F.lit(30), F.greatest(F.lit(5), F.floor(F.count("*") / 5))).alias("_bins"))
+    at = F.least(F.col("_bins") - 1, F.floor(F.coalesce(F.try_divide((F.col("y") - F.col("_low")) * F.col("_bins"), F.col("_high") - F.col("_low")), F.lit(0.0)))).cast("int")
+    return rows.crossJoin(F.broadcast(e)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("y").alias("mean"))  # one row

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -12,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.permute import feistel, mix64
+from ..functions.permute import feistel
 from ..operators.moments import Moments, fold_moments
-from ..operators.splits import ranked, shuffle_key, shuffled_folds
+from ..operators.splits import ranked, shuffle_key
 from .evaluate import fold_scores
 
 
@@ -30,64 +31,109 @@ def bca_interval(point: float, draws: np.ndarray, squares: float, cubes: float,
     return float(low), float(high), method
 
 
-#: Chances of at most 0, 1, .. of a Poisson(1) number.
-POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(16)])
-#: Weights drawn at once.
-DRAWN = 1 << 21
+#: Rows of a bucket on average, and draws made at once.
+BUCKET_ROWS, DRAWN = 4096, 1 << 21
 
 
-def resampled_sums(rows: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
-    """(keys, b, n, s, ss, sse) over Poisson(1) weights, which a hash of the row's `id` and the replicate b gives;
-    each batch is summed up before the shuffle. rows: (keys, id, y, e2)."""
-    kinds = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+def bucket_paths(classes: DataFrame, bits: int) -> DataFrame:
+    """(by, bucket, rows, path): for each bucket of rows the nodes above it in a binary tree of buckets, from the root:
+    (level, node, n, left), the node's rows and those of its left half. Counts of buckets are summed, not rows."""
+    counts = classes.groupBy("by", "bucket").agg(F.sum("m").alias("rows"))
+    if not bits:
+        return counts.withColumn("path", F.array().cast("array<struct<level:int,node:long,n:long,left:long>>"))
+    each = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).withColumns({
+        "node": F.expr(f"shiftright(bucket, {bits} - level)"), "is_left": F.expr(f"(shiftright(bucket, {bits} - level - 1) & 1) = 0")})
+    nodes = each.groupBy("by", "level", "node").agg(F.sum("rows").alias("n"), F.sum(F.when(F.col("is_left"), F.col("rows")).otherwise(0)).alias("left"))
+    return each.join(nodes, ["by", "level", "node"]).groupBy("by", "bucket", "rows").agg(F.array_sort(F.collect_list(F.struct("level", "node", "n", "left"))).alias("path"))  # one entry a level
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replicate = mix64(np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        for part in parts:
-            for key, some in part.groupby(keys, dropna=False):
-                sums = np.zeros((n_boot, 4))
-                y, e2, ids = some["y"].to_numpy(float), some["e2"].to_numpy(float), mix64(some["id"].to_numpy(np.int64).view(np.uint64))
-                z = np.stack((np.ones(len(y)), y, y * y, e2), axis=1)
-                step = max(1, DRAWN // n_boot)
-                for at in range(0, len(y), step):
-                    u = (mix64(ids[at : at + step, None] ^ replicate[None, :]) >> np.uint64(11)).astype(float) / float(1 << 53)
-                    sums += np.searchsorted(POISSON, u, side="right").T.astype(float) @ z[at : at + step]
-                yield pd.DataFrame({k: [None if pd.isna(v) else v] * n_boot for k, v in zip(keys, key, strict=True)} | {"b": np.arange(1, n_boot + 1)} | dict(zip(("n", "s", "ss", "sse"), sums.T, strict=True)))
 
-    each = rows.select(*keys, "id", "y", "e2").mapInPandas(run, f"{kinds}, b int, n double, s double, ss double, sse double")
-    return each.groupBy(*keys, "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss", "sse")))
+def bucket_draws(by: str, path: list[dict], bucket: int, n_boot: int, seed: int) -> np.ndarray:
+    """How many of a key's draws fall on a bucket, in each replicate: binomial splits from the root down to it. Each
+    split is drawn from its node's own stream, so all buckets below agree on it wherever they are."""
+    many = np.full(n_boot, path[0]["n"] if path else -1)
+    for step, at in enumerate(path):
+        left = stream(by, seed, step, at["node"]).binomial(many, at["left"] / at["n"])
+        many = many - left if bucket >> (len(path) - step - 1) & 1 else left
+    return many
+
+
+def stream(by: str, seed: int, level: int, node: int) -> np.random.Generator:
+    return np.random.default_rng([seed, level + 1, node, *np.frombuffer(hashlib.md5(by.encode()).digest(), np.uint32).tolist()])
+
 
+def resampled_sums(rows: DataFrame, n_boot: int, seed: int, largest: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(by, b, n, s, ss, sse): for each key `by` (a text) and replicate b the sums over as many rows as the key has,
+    drawn with replacement. rows: (by, id, y, e2).
 
-def bootstrap_intervals(predictions: DataFrame, keys: list[str], row_key: list[str], n_boot: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    Rows that are equal are one class. Classes go to buckets by hash; how many draws a bucket gets follows from
+    binomial splits down a tree of buckets, which rows get them from a stream of the bucket's own. Every replicate so
+    has exactly n draws, no key's rows meet in one task, and the result doesn't depend on how the table is split.
+    """
+    bits = max(0, (max(1, largest) - 1) // bucket_rows).bit_length()
+    at = F.shiftrightunsigned(F.xxhash64("id", "y", "e2"), 64 - bits) if bits else F.lit(0).cast("long")
+    classes = rows.groupBy("by", "id", "y", "e2").agg(F.count("*").alias("m")).withColumn("bucket", at)
+    dealt = classes.join(bucket_paths(classes, bits), ["by", "bucket"])
+
+    def sums_of(by: str, bucket: int, path: list[dict], part: pd.DataFrame) -> np.ndarray:
+        upto = np.cumsum(part["m"].to_numpy(np.int64))
+        many = bucket_draws(by, path, bucket, n_boot, seed) if path else np.full(n_boot, upto[-1])
+        y, e2 = part["y"].to_numpy(float), part["e2"].to_numpy(float)
+        z, rng, out = np.stack((np.ones(len(y)), y, y * y, e2), axis=1), stream(by, seed, -1, bucket), np.zeros((n_boot, 4))
+        step = max(1, DRAWN // max(1, int(upto[-1])))
+        for low in range(0, n_boot, step):
+            now = many[low : low + step]
+            drawn = rng.integers(0, upto[-1], int(now.sum()))
+            place = drawn if upto[-1] == len(upto) else np.searchsorted(upto, drawn, side="right")
+            w = np.bincount(np.repeat(np.arange(len(now)), now) * len(y) + place, minlength=len(now) * len(y)).reshape(len(now), -1)
+            out[low : low + step] = w.astype(float) @ z
+        return out
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        held: list[pd.DataFrame] = []
+
+        def close() -> None:
+            part = pd.concat(held)
+            by, bucket = part["by"].iloc[0], int(part["bucket"].iloc[0])
+            total[by] = total.get(by, 0) + sums_of(by, bucket, list(part["path"].iloc[0]), part)
+
+        for part in parts:  # sorted by key and bucket: the rows of one bucket are held at a time
+            for _, some in part.groupby(["by", "bucket"], sort=False):
+                if held and (held[0]["by"].iloc[0], held[0]["bucket"].iloc[0]) != (some["by"].iloc[0], some["bucket"].iloc[0]):
+                    close()
+                    held = []
+                held.append(some)
+        if held:
+            close()
+        for by, sums in total.items():
+            yield pd.DataFrame({"by": by, "b": np.arange(1, n_boot + 1)} | dict(zip(("n", "s", "ss", "sse"), sums.T, strict=True)))
+
+    each = dealt.repartition("by", "bucket").sortWithinPartitions("by", "bucket", "id", "y", "e2").mapInPandas(run, "by string, b int, n double, s double, ss double, sse double")
+    return each.groupBy("by", "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss", "sse")))
+
+
+def bootstrap_intervals(predictions: DataFrame, keys: list[str], row_key: list[str], n_boot: int = 1000, seed: int = 42, alpha: float = 0.05, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(keys, r2, low, high, method, n_boot): R2 with BCa intervals for each key of (keys, row_key, y_true, y_pred).
 
-    Resamples are Poisson weights summed up in the tasks, left-out scores come from each row and the key's sums, so
-    no key's rows meet in one task. `degenerate` for a constant truth or fewer than two rows.
+    A replicate draws as many rows as the key has (see resampled_sums()); left-out scores come from each row and the
+    key's sums, so no key's rows meet in one task. `degenerate` for a constant truth or fewer than two rows.
     """
     kinds = ", ".join(f"`{k}` {dict(predictions.dtypes)[k]}" for k in keys)
-    rows = predictions.select(*keys, F.xxhash64(*row_key).alias("id"), F.col("y_true").cast("double").alias("y"), ((F.col("y_true") - F.col("y_pred")) ** 2).alias("e2"))
-    facts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.sum("e2").alias("sse"), (F.var_pop("y") * F.count("*")).alias("sst"), (F.min("y") == F.max("y")).alias("flat"))
+    by = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("by")
+    rows = predictions.select(*keys, by, F.xxhash64(*row_key).alias("id"), F.col("y_true").cast("double").alias("y"), ((F.col("y_true") - F.col("y_pred")) ** 2).alias("e2"))
+    facts = rows.groupBy(*keys, "by").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.sum("e2").alias("sse"), (F.var_pop("y") * F.count("*")).alias("sst"), (F.min("y") == F.max("y")).alias("flat"))
     facts = facts.withColumn("point", 1 - F.try_divide("sse", "sst"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}"))
-    near = rows.alias("r").join(facts.alias("f"), same).select(*(F.col(f"r.{k}").alias(k) for k in keys), "e2", "n", "sse", "sst", "point", "flat", (F.col("y") - F.col("mean")).alias("y"))
+    largest = facts.agg(F.max("n").alias("n")).first()["n"] or 0
+    met = rows.select("by", "id", F.col("y").alias("_y"), "e2").join(facts.drop(*keys), "by").withColumn("y", F.col("_y") - F.col("mean"))
     rest = F.col("sst") - F.col("y") ** 2 * F.col("n") / (F.col("n") - 1)  # squares about the mean of the others
     off = 1 - F.try_divide(F.col("sse") - F.col("e2"), rest) - F.col("point")
     d = [F.sum(F.col("off") ** k) for k in (1, 2, 3)]
-    left = near.where(~F.col("flat") & (F.col("n") > 1)).withColumn("off", off).groupBy(*keys).agg(F.count("off").alias("m"), *(x.alias(f"d{k}") for k, x in enumerate(d, 1)))
+    left = met.where(~F.col("flat") & (F.col("n") > 1)).withColumn("off", off).groupBy("by").agg(F.count("off").alias("m"), *(x.alias(f"d{k}") for k, x in enumerate(d, 1)))
     mean = F.col("d1") / F.col("m")
-    left = left.select(*keys, (F.col("d2") - F.col("m") * mean * mean).alias("squares"), (-(F.col("d3") - 3 * mean * F.col("d2") + 2 * F.col("m") * mean**3)).alias("cubes"))
-    centred = rows.alias("r").join(facts.alias("f"), same).select(*(F.col(f"r.{k}").alias(k) for k in keys), "id", (F.col("y") - F.col("mean")).alias("y"), "e2")
-    sums = resampled_sums(centred, keys, n_boot, seed)
+    left = left.select("by", (F.col("d2") - F.col("m") * mean * mean).alias("squares"), (-(F.col("d3") - 3 * mean * F.col("d2") + 2 * F.col("m") * mean**3)).alias("cubes"))
+    sums = resampled_sums(met.select("by", "id", "y", "e2"), n_boot, seed, largest, bucket_rows)
     draw = 1 - F.try_divide(F.col("sse"), F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
-    draws = sums.where(F.col("n") > 0).withColumn("r2", draw).where(F.col("r2").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list("r2")).alias("draws"))  # n_boot values a key
-
-    def both(a: DataFrame, b: DataFrame) -> DataFrame:
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-        return a.alias("a").join(b.alias("b"), on, "left").select("a.*", *(F.col(f"b.{c}") for c in b.columns if c not in keys))
+    draws = sums.withColumn("r2", draw).where(F.col("r2").isNotNull()).groupBy("by").agg(F.sort_array(F.collect_list("r2")).alias("draws"))  # n_boot values a key
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -100,7 +146,7 @@ def bootstrap_intervals(predictions: DataFrame, keys: list[str], row_key: list[s
                     out.append((r.point, *bca_interval(r.point, found, r.squares, r.cubes, alpha), len(found)))
             yield part[keys].assign(**{c: [o[i] for o in out] for i, c in enumerate(("r2", "low", "high", "method", "n_boot"))})
 
-    table = both(both(facts.select(*keys, "n", "flat", "point"), left), draws)
+    table = facts.select(*keys, "by", "n", "flat", "point").join(left, "by", "left").join(draws, "by", "left").drop("by")
     return table.mapInPandas(run, f"{kinds}, r2 double, low double, high double, method string, n_boot int")
 
 
@@ -209,14 +255,18 @@ def normal_numbers(n: int, *of: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(-2 * F.ln(unit(i, 0))) * F.cos(2 * np.pi * unit(i, 1)))
 
 
-def noise_rows(df: DataFrame, key: str, p: int, seed: int) -> DataFrame:
-    """(key, features, y, fold): for every row of df, independent standard normal features and target drawn from its
-    key; every row is its own group, folds are random."""
-    drawn = df.select(key, normal_numbers(p + 1, F.lit(seed), F.col(key).cast("string")).alias("_d"))
-    rows = drawn.select(key, F.slice("_d", 1, p).alias("features"), F.get("_d", F.lit(p)).alias("y"))
-    return shuffled_folds(rows, key, seed=seed)
+def noise_rows(df: DataFrame, key: str, p: int, seeds: list[int], folds: int = 5) -> DataFrame:
+    """(key, seed, features, y, fold): for every row of df and seed independent standard normal features and target
+    drawn from its key; every row is its own group, folds are random."""
+    tries = df.select(key).crossJoin(F.broadcast(df.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))  # the caller's seeds
+    placed = ranked(tries, F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.col(key).cast("string"))), ["seed"])
+    drawn = placed.withColumn("_d", normal_numbers(p + 1, F.col("seed"), F.col(key).cast("string")))
+    return drawn.select(key, "seed", F.slice("_d", 1, p).alias("features"), F.get("_d", F.lit(p)).alias("y"), (F.col("rank") % folds).cast("int").alias("fold"))
 
 
-def null_moments(df: DataFrame, key: str, p: int, seed: int) -> Moments:
-    """Moments of noise_rows()."""
-    return fold_moments(noise_rows(df, key, p, seed), "features", ["y"], "fold")
+def null_moments(df: DataFrame, key: str, p: int, seeds: list[int], folds: int = 5) -> dict[str, Moments]:
+    """Moments of noise_rows() by seed, in one pass over the rows for all of them."""
+    rows = noise_rows(df, key, p, seeds, folds).withColumn("_part", F.col("seed") * folds + F.col("fold"))
+    m = fold_moments(rows, "features", ["y"], "_part")
+    mine = {s: [i for i, part in enumerate(m.folds) if part // folds == s] for s in seeds}
+    return {str(s): Moments(m.by_fold[at], [m.folds[i] - s * folds for i in at], m.p, m.shift) for s, at in mine.items()}

@@ -9,23 +9,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import effect_label
+from ..operators.ordered import least_from, sums_before
+from ..operators.splits import met
 
+#: Pairs up to which the signed rank test counts all sign flips.
 EXACT = 50
 
 
-def signed_rank_p(ranks: list[float], negative: list[float]) -> float:
-    """Two-sided p of the smaller signed rank sum: all sign flips over midranks up to EXACT pairs, else the normal approximation with ties."""
-    doubled = [round(2 * r) for r in ranks]
-    total, least = sum(doubled), round(2 * min(sum(negative), sum(ranks) - sum(negative)))
-    if len(ranks) <= EXACT:
-        ways = [1] + [0] * total
+def signed_rank_p(ranks: list[float] | None, negative: float, total: float, squares: float) -> float:
+    """Two-sided p of the smaller signed rank sum: all sign flips over the midranks if they are given, else the normal
+    approximation with ties, from the sums of ranks and of their squares."""
+    least = min(negative, total - negative)
+    if ranks is not None:
+        doubled = [round(2 * r) for r in ranks]
+        ways = [1] + [0] * sum(doubled)
         for r in doubled:
-            for s in range(total, r - 1, -1):
+            for s in range(len(ways) - 1, r - 1, -1):
                 ways[s] += ways[s - r]
-        return min(1.0, 2 * sum(ways[: least + 1]) / 2 ** len(ranks))
-    variance = sum(r * r for r in ranks) / 4
-    z = (least / 2 - sum(ranks) / 2) / math.sqrt(variance)
-    return min(1.0, math.erfc(-z / math.sqrt(2)))
+        return min(1.0, 2 * sum(ways[: round(2 * least) + 1]) / 2 ** len(ranks))
+    return min(1.0, math.erfc(-(least - total / 2) / math.sqrt(squares / 4) / math.sqrt(2)))
 
 
 def paired_tests(results: DataFrame, keys: list[str], low_n: int = 6) -> DataFrame:
@@ -37,22 +39,26 @@ def paired_tests(results: DataFrame, keys: list[str], low_n: int = 6) -> DataFra
         F.count("*").alias("n"), F.count_distinct("d").alias("n_unique_diff"), F.avg("d").alias("mean_bias"), F.stddev_samp("d").alias("sd"),
         (F.max(F.abs(F.col("d") - F.col("first")) - 1e-12 - 1e-5 * F.abs("first")) <= 0).alias("degenerate"))
 
-    size = F.abs("d")
-    moved = diffs.where(F.col("d") != 0).withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(size)) + (F.count("*").over(Window.partitionBy(*keys, size)) - 1) / 2.0)
-    lists = moved.groupBy(*keys).agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.collect_list(F.when(F.col("d") < 0, F.col("rank"))).alias("negative"))
+    # differences by size: midranks follow from the rows of smaller ones
+    size = diffs.where(F.col("d") != 0).groupBy(*keys, F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col("d") < 0).alias("below"))
+    ranks = sums_before(size, keys, "size", ["c"]).withColumn("rank", F.col("c_before") + (F.col("c") + 1) / 2.0)
+    sums = ranks.groupBy(*keys).agg(F.sum("c").alias("m"), F.sum(F.col("rank") * F.col("below")).alias("negative"), F.sum(F.col("rank") * F.col("c")).alias("all"), F.sum(F.col("rank") * F.col("rank") * F.col("c")).alias("squares"))
+    # the ranks themselves are needed for exact tests only, so for EXACT pairs at most
+    few = met(ranks, sums.where(F.col("m") <= EXACT).select(*keys), keys) if keys else ranks.crossJoin(F.broadcast(sums.where(F.col("m") <= EXACT).select("m")))  # one row
+    lists = few.groupBy(*keys).agg(F.flatten(F.collect_list(F.array_repeat("rank", F.col("c").cast("int")))).alias("ranks"))
 
     @F.pandas_udf("double")
-    def p_value(ranks: pd.Series, negative: pd.Series) -> pd.Series:
-        return pd.Series([signed_rank_p(list(r), list(n)) for r, n in zip(ranks, negative, strict=True)])
+    def p_value(ranks: pd.Series, negative: pd.Series, total: pd.Series, squares: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(None if r is None else list(r), n, t, q) for r, n, t, q in zip(ranks, negative, total, squares, strict=True)])
 
-    tests = lists.select(*keys, F.least(F.aggregate("negative", F.lit(0.0), lambda a, x: a + x), F.aggregate("ranks", F.lit(0.0), lambda a, x: a + x) - F.aggregate("negative", F.lit(0.0), lambda a, x: a + x)).alias("wilcoxon_stat"), p_value("ranks", "negative").alias("p_value"))
+    tests = met(sums, lists, keys, "left").select(*keys, F.least(F.col("negative"), F.col("all") - F.col("negative")).alias("wilcoxon_stat"), p_value("ranks", "negative", "all", "squares").alias("p_value"))
 
-    both = results.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("apparent").alias("v")), F.struct(F.lit(0).alias("side"), F.col("nested").alias("v")))).alias("s")).select(*keys, "s.*")
-    other = F.sum(1 - F.col("side"))
-    below = both.withColumn("upto", other.over(Window.partitionBy(*keys).orderBy("v"))).withColumn("same", other.over(Window.partitionBy(*keys, "v"))).withColumn("all", other.over(w))
-    delta = below.where(F.col("side") == 1).groupBy(*keys).agg(F.avg((2.0 * F.col("upto") - F.col("same") - F.col("all")) / F.col("all")).alias("cliffs_delta"))
+    # each apparent value against the nested ones below and above it
+    both = results.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.col("apparent").alias("v")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b"), F.col("nested").alias("v")))).alias("s")).select(*keys, "s.*").where(F.col("v").isNotNull())
+    values = sums_before(both.groupBy(*keys, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), keys, "v", ["b"])
+    delta = values.groupBy(*keys).agg(F.sum(F.col("a") * (2.0 * F.col("b_before") + F.col("b"))).alias("won"), F.sum("a").alias("na"), F.sum("b").alias("nb")).select(*keys, (F.col("won") / F.col("na") / F.col("nb") - 1).alias("cliffs_delta"))
 
-    out = base.join(tests, keys, "left").join(delta, keys, "left")
+    out = met(met(base, tests, keys, "left"), delta, keys, "left")
     defined = ~F.col("degenerate")
     out = out.withColumns({
         "wilcoxon_stat": F.when(defined, F.col("wilcoxon_stat")), "p_value": F.when(defined, F.col("p_value")), "cliffs_delta": F.when(defined, F.col("cliffs_delta")),
@@ -61,14 +67,15 @@ def paired_tests(results: DataFrame, keys: list[str], low_n: int = 6) -> DataFra
 
 
 def false_discovery(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
-    """Adds p_value_fdr and significant_fdr (Benjamini and Hochberg) over the non-null p. One row for each test
-    goes through the window."""
-    m = df.where(F.col(p).isNotNull())
-    rank = m.withColumn("_rank", F.row_number().over(Window.orderBy(p))).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    running = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(Window.orderBy(F.desc(p), F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    done = rank.withColumn("p_value_fdr", F.least(F.lit(1.0), running)).drop("_rank", "_m")
-    rest = df.where(F.col(p).isNull()).withColumn("p_value_fdr", F.lit(None).cast("double"))
-    return done.unionByName(rest).withColumn("significant_fdr", F.coalesce(F.col("p_value_fdr") < alpha, F.lit(False)))
+    """Adds p_value_fdr and significant_fdr (Benjamini and Hochberg) over the non-null p: the least of p x tests / rank
+    over this p and larger ones. Equal p share the highest of their ranks. Works on counts of distinct p in parts (see
+    operators.ordered), so that no task sees all tests."""
+    each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    total = each.agg(F.sum("__n").alias("__m"))
+    ranks = sums_before(each, [], "__p", ["__n"]).crossJoin(F.broadcast(total))  # one row
+    rates = least_from(ranks, "__p", F.col("__p") * F.col("__m") / (F.col("__n_before") + F.col("__n")), "__rate").select("__p", F.least(F.lit(1.0), "__rate").alias("p_value_fdr"))
+    done = df.join(rates, F.col(p) == F.col("__p"), "left").drop("__p")
+    return done.withColumn("significant_fdr", F.coalesce(F.col("p_value_fdr") < alpha, F.lit(False)))
 
 
 def overall(stats: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -9,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import indices, labels, spectra
-from .operators import models, moments, pixels, quantiles, splits, truth
+from .operators import information, models, moments, pixels, quantiles, splits, truth
 from .plans import bands, evaluate, features, resample, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 WAVES = [400 + 600 * i / 63 for i in range(64)]
+MOMENTS_GRID = evaluate.MOMENTS_KEYS
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -172,6 +174,17 @@ def three_pipelines_of_one_feature(spark: SparkSession, sf_dir: str) -> DataFram
     return rounded(evaluate.three_pipelines(random, grouped, ["model"]))
 
 
+@query(f"""
+WITH {SAMPLES}, {one_by_split("pa", "(row_number() OVER (ORDER BY md5('42|' || vec_id)) - 1) % 5")}, {one_by_split("pb", "vec_id % 3")}
+SELECT 'ols' AS model, round((SELECT r2 FROM par WHERE arm = 'apparent'), 6) AS p1, CAST(NULL AS DOUBLE) AS p2, round((SELECT r2 FROM pbr WHERE arm = 'nested'), 6) AS p3, CAST(NULL AS DOUBLE) AS group_leak, CAST(NULL AS DOUBLE) AS sel_leak
+""")
+def three_pipelines_of_few_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups can't fill five folds, so the second pipeline and the differences from it are missing."""
+    df = samples(spark, sf_dir).drop("fold").withColumn("grp", F.col("vec_id") % 3)
+    random, grouped = (chosen_by_correlation(spark, f, ["ols"], 1) for f in (splits.shuffled_folds(df, "vec_id"), splits.group_folds(df, "grp")))
+    return rounded(evaluate.three_pipelines(random, grouped, ["model"]))
+
+
 def grid_scores(spark: SparkSession, sf_dir: str, fold: str | None = None) -> DataFrame:
     df = samples(spark, sf_dir)
     df = splits.group_folds(df.drop("fold"), "grp") if fold == "group" else splits.shuffled_folds(df.drop("fold"), "vec_id") if fold == "random" else df
@@ -197,14 +210,14 @@ def mask_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.permutation_summary(resample.permutation_test(samples(spark, sf_dir), "vec_id", "x", "y", "fold", n_perm=50)))
+    return rounded(resample.permutation_summary(resample.permutation_test(samples(spark, sf_dir), "vec_id", "x", "y", "fold", n_perm=200)))
 
 
 @query()
 def null_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal noise for every vector: what nested and apparent scores are when there is nothing to find."""
-    m = {str(i): resample.null_moments(table(spark, sf_dir, "embeddings"), "vec_id", 64, i) for i in range(3)}
-    combos = spark.createDataFrame([(d, "correlation", "ridge", 20, 42) for d in m], "dataset string, selector string, model string, k int, seed int")
+    m = resample.null_moments(table(spark, sf_dir, "embeddings"), "vec_id", 64, list(range(30)))
+    combos = spark.createDataFrame([(d, "correlation", "ridge", 20, 42) for d in m], MOMENTS_GRID)
     return rounded(evaluate.bias_table(evaluate.evaluate_grid(combos, m)))
 
 
@@ -219,34 +232,55 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.mutual_information(samples(spark, sf_dir), "x", "y"))
 
 
-MOMENTS_GRID = "dataset string, selector string, model string, k int, seed int"
-
-
 def seed_moments(spark: SparkSession, sf_dir: str, seeds: list[int]) -> dict[str, moments.Moments]:
     """Moments of random folds for each seed; the dataset's name is the seed."""
     df = samples(spark, sf_dir).drop("fold")
     return {str(s): moments.fold_moments(splits.shuffled_folds(df, "vec_id", seed=s), "x", ["y"], "fold") for s in seeds}
 
 
+@query(f"""
+WITH {SAMPLES}, l AS (SELECT vec_id, y, unnest(range(64)) AS pos, unnest(x) AS v FROM s),
+p AS (SELECT vec_id, pos, v / stddev_pop(v) OVER (PARTITION BY pos) AS v, y / stddev_pop(y) OVER (PARTITION BY pos) AS y FROM l),
+d AS (SELECT a.pos, a.vec_id, abs(a.v - b.v) AS dv, abs(a.y - b.y) AS dy, a.vec_id = b.vec_id AS own FROM p a JOIN p b USING (pos)),
+r AS (SELECT pos, vec_id, min(greatest(dv, dy), 3) FILTER (WHERE NOT own) AS near FROM d GROUP BY ALL),
+c AS (SELECT d.pos, d.vec_id, count(*) FILTER (WHERE dv < near[3]) AS nv, count(*) FILTER (WHERE dy < near[3]) AS ny FROM d JOIN r USING (pos, vec_id) GROUP BY ALL),
+h AS (SELECT i, sum(1 / i) OVER (ORDER BY i) - 1 / i - 0.5772156649015329 AS psi FROM (SELECT unnest(range(1, (SELECT count(*) FROM s) + 1)) AS i))
+SELECT CAST(c.pos AS INTEGER) AS pos, round(greatest(0, any_value(n.psi) + any_value(k.psi) - avg(a.psi) - avg(b.psi)), 6) + 0.0 AS mi
+FROM c JOIN h a ON a.i = c.nv JOIN h b ON b.i = c.ny, h n, h k WHERE n.i = (SELECT count(*) FROM s) AND k.i = 3 GROUP BY c.pos
+""")
+def information_by_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information of every feature with the target, from the distances to three nearest neighbours."""
+    return rounded(information.nearest_information(samples(spark, sf_dir), "x", "y"))
+
+
+@query()
+def inflation_by_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five features of the most information by nearest neighbours, chosen on all rows or inside each fold's train rows."""
+    df = samples(spark, sf_dir)
+    m, chosen = moments.fold_moments(df, "x", ["y"], "fold"), evaluate.nearest_choices(df, "vec_id", "x", "y", "fold", 5)
+    return rounded(evaluate.bias_table(evaluate.score_choices(spark, "e", m, "mutual_info", chosen, list(models.MODELS))))
+
+
 @query()
 def selection_bias_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The genetic search as the selector: chosen on all rows, or on each fold's train rows."""
     m = moments.fold_moments(splits.group_folds(samples(spark, sf_dir).drop("fold"), "grp"), "x", ["y"], "fold")
     combos = spark.createDataFrame([("e", "search", f, 20, s) for f in ("ridge", "pls") for s in (1, 2)], MOMENTS_GRID)
-    return rounded(evaluate.summary_table(evaluate.evaluate_grid(combos, {"e": m})))
+    return rounded(evaluate.summary_table(evaluate.evaluate_grid(combos, {"e": m}, population=150, generations=150)))
 
 
 @query()
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and mean fitness of each generation of a search on all rows; masks are scored in tasks."""
     m = moments.fold_moments(samples(spark, sf_dir), "x", ["y"], "fold")
-    _, log = models.searched_subsets(m.by_fold)
-    return rounded(spark.createDataFrame(log, "generation int, best double, mean double, n_features int"))
+    search = evaluate.search_together([("e", "ridge", 20, 42, -1)], {"e": m}, spark)["e", "ridge", 20, 42, -1]
+    return rounded(spark.createDataFrame(search.log, "generation int, best double, mean double, n_features int"))
 
 
 @query()
 def pipelines_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random folds differ by seed, group folds don't."""
-    seeds, keys = [1, 2, 3], ["selector", "model", "k"]
+    seeds, keys = list(range(1, 13)), ["selector", "model", "k"]
     by_seed, grouped = seed_moments(spark, sf_dir, seeds), moments.fold_moments(splits.group_folds(samples(spark, sf_dir).drop("fold"), "grp"), "x", ["y"], "fold")
     combos = spark.createDataFrame([(str(x), s, "pls", 20, x) for s in models.SELECTORS for x in seeds], MOMENTS_GRID)
     both = (evaluate.evaluate_grid(combos, m) for m in (by_seed, dict.fromkeys(by_seed, grouped)))
@@ -256,7 +290,7 @@ def pipelines_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def null_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The genetic search on normal noise: repeats summed up by arm."""
-    m = {str(i): resample.null_moments(table(spark, sf_dir, "embeddings"), "vec_id", 64, i) for i in range(3)}
+    m = resample.null_moments(table(spark, sf_dir, "embeddings"), "vec_id", 64, list(range(30)))
     combos = spark.createDataFrame([(d, "search", "ridge", 20, 42) for d in m], MOMENTS_GRID)
     table_ = evaluate.bias_table(evaluate.evaluate_grid(combos, m)).select("selector", F.col("apparent_r2").alias("apparent"), F.col("nested_r2").alias("nested"))
     return rounded(evaluate.experiment_summary(table_, ["selector"]))
@@ -265,7 +299,7 @@ def null_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permutation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     combos = [(s, f, 20) for s in ("correlation", "rfe") for f in ("ridge", "pls")]
-    return rounded(resample.permutation_grid(samples(spark, sf_dir), "vec_id", "x", "y", "fold", combos, n_perm=50))
+    return rounded(resample.permutation_grid(samples(spark, sf_dir), "vec_id", "x", "y", "fold", combos, n_perm=200))
 
 
 @query()
@@ -289,10 +323,22 @@ def out_of_fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = samples(spark, sf_dir).select("x", "y", "fold")
-    out = models.tree_predictions(df, "x", "y", "fold", trees=10).withColumn("y_true", F.col("y"))
+    out = models.tree_predictions(df, "x", "y", "fold", trees=100).withColumn("y_true", F.col("y"))
     return rounded(evaluate.score_predictions(out, ["fold"]))
 
 
+@query()
+def tree_bias_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree models in both arms: forests and boosted trees of 100 trees on features chosen on all rows, or inside each
+    fold's train rows, beside ridge on the same features."""
+    df = splits.group_folds(samples(spark, sf_dir).drop("fold"), "grp")
+    m = moments.fold_moments(df, "x", ["y"], "fold")
+    combos = spark.createDataFrame([("e", s, f, 20, 42) for s in ("correlation", "rfe") for f in ("random_forest", "boosted_trees")], MOMENTS_GRID)
+    chosen = evaluate.grid_choices(combos, {"e": m})
+    linear = evaluate.evaluate_grid(combos.withColumn("model", F.lit("ridge")), {"e": m})
+    return rounded(evaluate.bias_table(evaluate.tree_grid(df, "vec_id", "x", "y", "fold", chosen).unionByName(linear)), 4)
+
+
 @query()
 def band_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bands.selection_frequency(grid_scores(spark, sf_dir, "group"), ["selector", "model", "k"], 64))
@@ -402,6 +448,41 @@ def group_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.group_leakage(orders, "g", "side")
 
 
+@query("""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 11 <> 0 THEN o_custkey END AS g FROM orders), d AS (SELECT DISTINCT g FROM o),
+r AS (SELECT g, row_number() OVER (ORDER BY md5('42|' || coalesce(CAST(g AS VARCHAR), ''))) - 1 AS rank, count(*) OVER () AS n FROM d)
+SELECT o_orderkey, rank < ceil(n * 0.2) AS is_test FROM o JOIN r ON o.g IS NOT DISTINCT FROM r.g
+""")
+def holdout_with_missing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without a customer's group are one group of their own."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey")).alias("g"))
+    return splits.holdout(orders, "o_orderkey", group="g").select("o_orderkey", "is_test")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS c FROM orders),
+r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY c ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR))) - 1 AS rank, count(*) OVER (PARTITION BY c) AS n FROM o)
+SELECT o_orderkey, rank < round(n * 0.2) AS is_test FROM r
+""")
+def holdout_with_missing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("c"))
+    return splits.holdout(orders, "o_orderkey", label="c").select("o_orderkey", "is_test")
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, o_custkey AS g, o_orderpriority AS c, seed FROM orders, (VALUES (1), (2), (3), (4), (5)) v(seed)),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed, c ORDER BY md5(CAST(seed AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR))) <= round(count(*) OVER (PARTITION BY seed, c) * 0.2) AS is_test FROM t),
+s AS (SELECT seed, c, count(*) FILTER (WHERE is_test) AS test, count(*) FILTER (WHERE NOT is_test) AS train FROM r GROUP BY ALL),
+p AS (SELECT seed, train / sum(train) OVER (PARTITION BY seed) + 1e-9 AS p, test / sum(test) OVER (PARTITION BY seed) + 1e-9 AS q FROM s),
+k AS (SELECT seed, sum(p * ln(p / q)) AS kl FROM p GROUP BY seed),
+l AS (SELECT seed, count(*) AS leaked FROM (SELECT seed, g FROM r GROUP BY ALL HAVING count(DISTINCT is_test) > 1) GROUP BY seed)
+SELECT seed, round(kl, 9) AS kl, leaked, round(kl + 100 * leaked, 9) AS score FROM k JOIN l USING (seed)
+""")
+def row_splits_that_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hold-outs by order within priorities tear customers apart; divergence and torn customers by seed."""
+    return rounded(splits.row_split_search(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderpriority", [1, 2, 3, 4, 5]), 9)
+
+
 @query("""
 WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders)
 SELECT CAST(least(4, floor((o_totalprice - low) * 5 / (high - low))) AS INTEGER) AS bin, count(*) AS n FROM orders, e GROUP BY 1
@@ -795,6 +876,19 @@ def ndvi_mask_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("image").agg(F.count_if("in_mask").alias("inside"), F.count("*").alias("pixels"))
 
 
+@query(f"""
+WITH {PIXELS}, gp AS (SELECT CASE WHEN image % 13 <> 0 THEN image END AS image, CASE WHEN image % 17 <> 0 THEN nir ELSE 'nan'::DOUBLE END AS nir, red FROM px),
+w AS (SELECT coalesce(image, -1) AS image, CASE WHEN isnan(nir) THEN NULL WHEN nir + red > 0.02 THEN (nir - red) / (nir + red) ELSE 0 END AS v FROM gp), v AS (SELECT * FROM w WHERE v IS NOT NULL), {OTSU}
+SELECT nullif(w.image, -1) AS image, count(*) FILTER (WHERE v > greatest(threshold, 0.15)) AS inside, count(*) AS pixels FROM w LEFT JOIN ot USING (image) GROUP BY w.image
+""")
+def ndvi_mask_sizes_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some images have no number at all, some pixels no image: none is lost."""
+    px = pixel_table(spark, sf_dir)
+    gaps = px.withColumns({"image": F.when(F.col("image") % 13 != 0, F.col("image")), "nir": F.when(F.col("image") % 17 != 0, F.col("nir")).otherwise(float("nan"))})
+    out = pixels.ndvi_mask(gaps, "image", "red", "nir")
+    return out.groupBy("image").agg(F.count_if("in_mask").alias("inside"), F.count("*").alias("pixels"))
+
+
 @query(f"WITH {PIXELS} SELECT image, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std, round(quantile_cont({c}, 0.25), 6) AS {c}_p25, round(quantile_cont({c}, 0.75), 6) AS {c}_p75" for c in ("nir", "red", "green", "blue")) + " FROM px GROUP BY image")
 def layer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pixels.layer_statistics(pixel_table(spark, sf_dir), "image", ["nir", "red", "green", "blue"]))
@@ -895,6 +989,32 @@ def leaf_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_facts(pixels.leaf_masks(raster_table(spark, sf_dir), "image", "s", [450, 550, 670, 800], "ndvi"))
 
 
+DARK = RASTER.replace("SELECT image, nir, red, green, blue,", "SELECT image, " + ", ".join(f"{c} * CASE WHEN image % 3 = 0 THEN 0.04 ELSE 1 END AS {c}" for c in ("nir", "red", "green", "blue")) + ",")
+OTSU_N = re.sub(r"\b(sp|bn|gr|cu|bt|ot)\b", r"\1_n", OTSU).replace("FROM v ", "FROM vn ").replace("v.image", "vn.image")
+
+
+@query(f"""
+WITH RECURSIVE {DARK}, v AS (SELECT image, nir AS v FROM px), {OTSU},
+mk AS MATERIALIZED (SELECT image, r, c, CASE WHEN nir > greatest(0.05, least(0.30, threshold)) THEN 1 ELSE 0 END AS v FROM px JOIN ot USING (image)),
+wh AS MATERIALIZED (SELECT image, r, c, CASE WHEN (nir + red + green + blue) / 4 > 0.6 AND CASE WHEN nir + red > 0.01 THEN (nir - red) / (nir + red) ELSE 0 END < 0.4
+  AND sqrt(((nir - (nir + red + green + blue) / 4) ^ 2 + (red - (nir + red + green + blue) / 4) ^ 2 + (green - (nir + red + green + blue) / 4) ^ 2 + (blue - (nir + red + green + blue) / 4) ^ 2) / 4) / ((nir + red + green + blue) / 4) < 0.2 THEN 1 ELSE 0 END AS v FROM px),
+{grid_sql("w0", "wh")}, {moved_sql("w1", "w0", False)}, {moved_sql("w2", "w1", True)}, {filled_sql("w3", "w2")}, {moved_sql("w4", "w3", False)}, {moved_sql("w5", "w4", False)},
+{grid_sql("m0", "mk")}, m1 AS MATERIALIZED (SELECT m0.image, m0.mr, m0.r, m0.c, CASE WHEN w5.v = 1 THEN 0 ELSE m0.v END AS v FROM m0 JOIN w5 USING (image, r, c)),
+{cleaned_sql("m2", "m1")}, {large_sql("m3", "m2")}, {filled_sql("m4", "m3")},
+vn AS (SELECT image, CASE WHEN nir + red > 0.02 THEN (nir - red) / (nir + red) ELSE 0 END AS v FROM px), {OTSU_N},
+nk AS MATERIALIZED (SELECT image, r, c, CASE WHEN (CASE WHEN nir + red > 0.02 THEN (nir - red) / (nir + red) ELSE 0 END) > greatest(threshold, 0.15) THEN 1 ELSE 0 END AS v FROM px JOIN ot_n USING (image)),
+{grid_sql("n0", "nk")}, {cleaned_sql("n2", "n0")},
+h AS (SELECT image, count(*) FILTER (WHERE m4.v = 1) AS inside, CAST(coalesce(sum(r * 25 + c + 1) FILTER (WHERE m4.v = 1), 0) AS BIGINT) AS places FROM px JOIN m4 USING (image, r, c) GROUP BY image),
+n AS (SELECT image, count(*) FILTER (WHERE n2.v = 1) AS inside, CAST(coalesce(sum(r * 25 + c + 1) FILTER (WHERE n2.v = 1), 0) AS BIGINT) AS places FROM px JOIN n2 USING (image, r, c) GROUP BY image)
+SELECT image, CASE WHEN h.inside > 0 THEN h.inside ELSE n.inside END AS inside, CASE WHEN h.inside > 0 THEN h.places ELSE n.places END AS places FROM h JOIN n USING (image) WHERE h.inside > 0 OR n.inside > 0
+""")
+def leaf_masks_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-infrared masks; every third image is too dark for one and takes its NDVI mask."""
+    rows = raster_table(spark, sf_dir)
+    dim = F.when(F.col("image") % 3 == 0, 0.04).otherwise(1.0)
+    return mask_facts(pixels.leaf_masks(rows.withColumn("s", F.transform("s", lambda v: v * dim)), "image", "s", [450, 550, 670, 800]))
+
+
 def spectral_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as pixels of images of 20; those of label 0 are background."""
     return samples(spark, sf_dir).select(F.floor(F.col("vec_id") / 20).alias("image"), "vec_id", "x", F.coalesce(F.col("label") != 0, F.lit(False)).alias("in_mask"))
@@ -940,7 +1060,15 @@ def masked_mean_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of k-means and principal-score masks of the same images."""
     px = spectral_pixels(spark, sf_dir).drop("in_mask").withColumn("score", F.get("x", F.lit(42)))
-    sizes = (pixels.cluster_mask(px, "image", "x", "score", m).groupBy("image").agg(F.count_if("in_mask").alias("inside")).withColumn("method", F.lit(m)) for m in ("kmeans", "pca"))
+    sizes = (pixels.cluster_mask(px, "image", "x", "score", m, place=["vec_id"]).groupBy("image").agg(F.count_if("in_mask").alias("inside")).withColumn("method", F.lit(m)) for m in ("kmeans", "pca"))
+    return next(sizes).unionByName(next(sizes))
+
+
+@query()
+def cluster_masks_of_large_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as images of hundreds of vectors, none of which is gathered: sizes of k-means and principal-score masks."""
+    px = samples(spark, sf_dir).select(F.col("label").alias("image"), "vec_id", "x", F.get("x", F.lit(42)).alias("score"))
+    sizes = (pixels.cluster_mask_together(px, "image", "x", "score", m, place=["vec_id"]).groupBy("image").agg(F.count_if("in_mask").alias("inside")).withColumn("method", F.lit(m)) for m in ("kmeans", "pca"))
     return next(sizes).unionByName(next(sizes))
 
 
@@ -1006,6 +1134,35 @@ def feature_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.feature_profile(samples(spark, sf_dir), "x"))
 
 
+GAPS = "g AS (SELECT label, pos, CASE WHEN (vec_id + pos) % 13 <> 0 THEN v END AS v FROM (SELECT vec_id, label, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings))"
+
+
+def with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples() whose every thirteenth feature is NaN, and whose target is missing or NaN in some rows."""
+    df = samples(spark, sf_dir)
+    x = F.transform("x", lambda v, i: F.when((F.col("vec_id") + i) % 13 != 0, v).otherwise(float("nan")))
+    y = F.when(F.col("vec_id") % 19 == 0, float("nan")).when(F.col("vec_id") % 17 != 0, F.col("y"))
+    return df.withColumns({"x": x, "y": y})
+
+
+@query(f"WITH {GAPS} SELECT CAST(pos AS INTEGER) AS pos, label, round(avg(v), 6) AS mean, count(*) AS n FROM g GROUP BY ALL")
+def class_means_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.class_profile(with_gaps(spark, sf_dir), "x", "label"))
+
+
+@query(f"WITH {GAPS} SELECT CAST(pos AS INTEGER) AS pos, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM g GROUP BY pos")
+def feature_profile_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.feature_profile(with_gaps(spark, sf_dir), "x"))
+
+
+@query(f"""
+WITH {SAMPLES}, f AS (SELECT y FROM s WHERE vec_id % 19 <> 0 AND vec_id % 17 <> 0), e AS (SELECT min(y) AS low, max(y) AS high, least(30, greatest(5, count(*) // 5)) AS bins FROM f)
+SELECT CAST(least(bins - 1, floor((y - low) * bins / (high - low))) AS INTEGER) AS bin, count(*) AS n, round(avg(y), 4) + 0.0 AS mean FROM f, e GROUP BY 1
+""")
+def target_histogram_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.target_histogram(with_gaps(spark, sf_dir), "y"), 4)
+
+
 @query("""
 WITH e AS (SELECT vec_id // 20 AS image, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE label <> 0)
 SELECT image, CAST(pos AS INTEGER) AS pos, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n FROM e GROUP BY ALL

@@ -111,6 +111,42 @@ def remaining(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def run_grid(grid: DataFrame, evaluate: Callable[[DataFrame], DataFrame], path: str, tag: str, keys: list[str], seed: str = "seed", batch: int = 16) -> DataFrame:
+    """Evaluates the grid's combinations (keys, with the seed among them) in batches and returns all rows of the tag.
+
+    Each batch is what the grid has and the results under `path` don't; evaluate() gets it and returns rows with all
+    its keys. A combination's rows are a partition of their own (tag, seed, combination), and a batch replaces the
+    partitions that it writes, so a run that is stopped loses the batch it was at, and one that starts again repeats
+    none of those before and writes none twice.
+    """
+    spark = grid.sparkSession
+    other = [k for k in keys if k != seed]
+    combo = F.md5(F.to_json(F.struct(*other), {"ignoreNullFields": "false"}).cast("binary"))
+    table, left = f"{path}/cfg_tag={tag}", None
+    named = grid.select(*keys).distinct().withColumn("combo", combo)
+    while True:
+        todo = named
+        if stored(spark, table):
+            done = spark.read.parquet(table).select(F.col("combo").cast("string").alias("combo"), F.col("seed_part").cast("string").alias("seed_part")).distinct()
+            todo = named.join(done, (named["combo"] == done["combo"]) & named[seed].cast("string").eqNullSafe(done["seed_part"]), "left_anti")
+        many = todo.count()
+        if not many:
+            break
+        if left is not None and many >= left:
+            raise ValueError("evaluate() returned no rows for some combinations")
+        left = many
+        # bounded by `batch`; the order makes a batch the same whenever it is taken
+        now = spark.createDataFrame(todo.orderBy(seed, "combo").limit(batch).select(*keys).collect(), grid.select(*keys).schema)
+        rows = evaluate(now).withColumns({"combo": combo, "seed_part": F.col(seed).cast("string")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seed_part", "combo").parquet(table)
+    return spark.read.parquet(table).drop("seed_part", "combo")
+
+
 def write_summary(df: DataFrame, summary: DataFrame, path: str) -> None:
     """A table and its overall row, each as CSV with a header."""
     df.write.mode("overwrite").option("header", "true").csv(f"{path}/table")

@@ -1,11 +1,12 @@
 """The library against plain numpy on small data."""
 
 import hashlib
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from foldlight.functions import indices, labels, permute, spectra
-from foldlight.operators import models, moments, pixels, quantiles, splits, truth
+from foldlight.operators import models, moments, ordered, pixels, quantiles, splits, truth
 from foldlight.plans import evaluate, features, resample, stats
 from foldlight.sources import cubes, tables
 from pyspark.sql import functions as F
@@ -66,6 +67,30 @@ def test_selectors(data):
         models.get_selector("nothing")
 
 
+def test_searches_go_through_generations_together(data, spark):
+    """The best mask and log of every search are those of a whole search in one process; grids of searches agree."""
+    m = moments.fold_moments(data[2], "x", ["y"], "fold")
+    asked = [("e", f, 5, seed, part) for f in ("ridge", "pls") for seed in (1, 2) for part in (-1, 0, 3)]
+    found = evaluate.search_together(asked, {"e": m}, spark, 14, 6)
+    for key in asked:
+        _, f, k, seed, part = key
+        inner = m.by_fold if part < 0 else m.train_folds(part)
+        best, log = models.searched_subsets(inner, k, seed, 14, 6, fit=models.MODELS[f])
+        assert found[key].best().tolist() == best.tolist() and [x for r in found[key].log for x in r] == pytest.approx([x for r in log for x in r]) and len(log) == 6
+    grid = evaluate.evaluate_grid(spark.createDataFrame([("e", "search", "pls", 5, 2)], evaluate.MOMENTS_KEYS), {"e": m}, 14, 6).collect()
+    assert {(r["arm"], r["fold"]) for r in grid} == {(a, i) for a in ("apparent", "nested") for i in range(5)}
+    assert next(r["chosen"] for r in grid if r["arm"] == "nested" and r["fold"] == 3) == found["e", "pls", 5, 2, 3].best().tolist()
+
+
+def test_grid_equals_single_fits(data, spark):
+    """Work dealt out by part and shared over k gives the rows of fold_scores()."""
+    m = moments.fold_moments(data[2], "x", ["y"], "fold")
+    combos = [("e", s, f, k, 42) for s in models.SELECTORS for f in ("ridge", "ols") for k in (2, 5)]
+    got = {(r["selector"], r["model"], r["k"], r["arm"], r["fold"]): (r["r2"], r["chosen"]) for r in evaluate.evaluate_grid(spark.createDataFrame(combos, evaluate.MOMENTS_KEYS), {"e": m}).collect()}
+    want = {(s, f, k, r["arm"], r["fold"]): (r["r2"], r["chosen"]) for _, s, f, k, _ in combos for r in evaluate.fold_scores(m, s, f, k)}
+    assert got.keys() == want.keys() and all(got[x][1] == want[x][1] and got[x][0] == pytest.approx(want[x][0]) for x in want)
+
+
 def test_nested_choice_ignores_test_rows(data, spark):
     x, y, df = data
     changed = df.withColumn("y", F.when(F.col("fold") == 0, F.col("y") * -3).otherwise(F.col("y")))
@@ -107,12 +132,39 @@ def test_statistics(spark):
     sums = ranks @ signs
     least = min(ranks[np.array(d) < 0].sum(), ranks[np.array(d) > 0].sum())
     assert out["b"]["degenerate"] and out["b"]["p_value"] is None
-    assert stats.signed_rank_p(ranks.tolist(), ranks[np.array(d) < 0].tolist()) == pytest.approx(2 * (sums <= least).mean())
+    assert out["a"]["p_value"] == pytest.approx(2 * (sums <= least).mean())
+    assert stats.signed_rank_p(ranks.tolist(), ranks[np.array(d) < 0].sum(), ranks.sum(), (ranks**2).sum()) == pytest.approx(2 * (sums <= least).mean())
     p = spark.createDataFrame([(i, v) for i, v in enumerate([0.00048828125] * 7 + [0.00537109375, None])], "i int, p_value double")
     fdr = {r["i"]: r["p_value_fdr"] for r in stats.false_discovery(p).collect()}
     assert fdr[0] == pytest.approx(0.00055803571) and fdr[7] == pytest.approx(0.00537109375) and fdr[8] is None
 
 
+def test_statistics_in_parts(spark, monkeypatch):
+    """Many pairs with ties, a null key and small parts: ranks, effects and rates as from sorted lists."""
+    monkeypatch.setattr(ordered, "PARTS", 4)
+    rng = np.random.default_rng(12)
+    rows = [(k, float(a), float(b)) for k, n in (("a", 300), (None, 90), ("c", 20)) for a, b in zip(np.round(rng.normal(0.1, 1, n), 1), np.round(rng.normal(0, 1, n), 1), strict=True)]
+    out = {r["k"]: r for r in stats.paired_tests(spark.createDataFrame(rows, "k string, apparent double, nested double").repartition(5), ["k"]).collect()}
+    for key in ("a", None, "c"):
+        a, b = (np.array([r[i] for r in rows if r[0] == key]) for i in (1, 2))
+        d = a - b
+        size = np.abs(d[d != 0])
+        ranks = np.array([(size < s).sum() + ((size == s).sum() + 1) / 2 for s in size])
+        low = min(ranks[d[d != 0] < 0].sum(), ranks[d[d != 0] > 0].sum())
+        assert out[key]["wilcoxon_stat"] == pytest.approx(low) and out[key]["cliffs_delta"] == pytest.approx(np.sign(a[:, None] - b).mean())
+        if len(ranks) > stats.EXACT:
+            z = (low - ranks.sum() / 2) / np.sqrt((ranks**2).sum() / 4)
+            assert out[key]["p_value"] == pytest.approx(2 * NormalDist().cdf(z))
+        else:
+            assert 0 < out[key]["p_value"] <= 1
+    p = np.round(rng.random(400) ** 3, 3)
+    frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)] + [(1000, None)], "i int, p_value double")
+    got = {r["i"]: (r["p_value_fdr"], r["significant_fdr"]) for r in stats.false_discovery(frame).collect()}
+    order = np.argsort(p)
+    want = np.minimum(1, np.minimum.accumulate((p[order] * 400 / np.arange(1, 401))[::-1])[::-1])
+    assert [got[i][0] for i in order.tolist()] == pytest.approx(want.tolist()) and got[1000] == (None, False) and len(got) == 401
+
+
 def test_bootstrap(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal(200)
@@ -126,19 +178,37 @@ def test_bootstrap(spark):
     assert a["method"] == "BCa" and a["n_boot"] == 400 and 0.5 < a["low"] <= a["r2"] <= a["high"] <= 1
     again = {r["k"]: r for r in resample.bootstrap_intervals(df.repartition(5), ["k"], ["id"], 400).collect()}
     assert all(again[None][c] == pytest.approx(out[None][c], abs=1e-12) for c in ("r2", "low", "high"))
-    # the same weights and left-out scores, row by row
-    score = lambda t, p, w: 1 - (w * (t - p) ** 2).sum() / ((w * t * t).sum() - (w * t).sum() ** 2 / w.sum())
-    t, p = y - y.mean(), 3 * x - y.mean()
-    point = score(t, p, np.ones(200))
-    left = np.array([score(np.delete(t, i), np.delete(p, i), np.ones(199)) for i in range(200)])
-    ids = permute.mix64(np.array([r["h"] for r in df.where("k = 'a'").orderBy("id").select(F.xxhash64("id").alias("h")).collect()], np.int64).view(np.uint64))
-    keys = permute.mix64(np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(42))
-    weights = np.searchsorted(resample.POISSON, (permute.mix64(ids[:, None] ^ keys) >> np.uint64(11)).astype(float) / 2**53, side="right").astype(float)
-    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
-    draws = np.array([score(t, p, w) for w in weights.T])
+    # in small buckets: exact numbers of draws, and intervals as from a plain resampler
+    small = {r["k"]: r for r in resample.bootstrap_intervals(df, ["k"], ["id"], 2000, bucket_rows=7).collect()}
+    rng, t, p = np.random.default_rng(5), y, 3 * x
+    score = lambda t, p: 1 - ((t - p) ** 2).sum() / ((t - t.mean()) ** 2).sum()
+    plain = np.array([score(t[i], p[i]) for i in rng.integers(0, 200, (4000, 200))])
+    left = np.array([score(np.delete(t, i), np.delete(p, i)) for i in range(200)])
     away = left.mean() - left
-    low, high, method = resample.bca_interval(point, draws, (away**2).sum(), (away**3).sum())
-    assert (a["r2"], a["low"], a["high"]) == pytest.approx((point, low, high), abs=1e-9) and method == "BCa"
+    low, high, method = resample.bca_interval(score(t, p), plain, (away**2).sum(), (away**3).sum())
+    for got in (a, small["a"]):
+        assert got["method"] == method and got["r2"] == pytest.approx(score(t, p), abs=1e-9)
+        assert (got["low"], got["high"]) == pytest.approx((low, high), abs=0.25 * (high - low))
+
+
+def test_draws_of_resamples(spark):
+    """Every replicate draws as many rows as the key has; counts of rows and of their pairs are multinomial; equal rows
+    and hot row keys are drawn as often as their number says."""
+    rows = [("a", i, float(i), 0.0) for i in range(60)] + [("a", 1000, 500.0, 0.0)] * 40 + [("b", i, 1.0, 1.0) for i in range(13)] + [("c", 7, 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "by string, id long, y double, e2 double")
+    n, many = 3000, {"a": 100, "b": 13, "c": 1}
+    for bucket_rows in (4096, 5):
+        out = resample.resampled_sums(df.repartition(3), n, 9, 100, bucket_rows).collect()
+        assert len(out) == 3 * n and all(r["n"] == many[r["by"]] for r in out)
+        s = np.array([r["s"] for r in out if r["by"] == "a"])
+        values = np.array([r[2] for r in rows if r[0] == "a"])
+        assert abs(s.mean() - values.sum()) < 4 * values.std() * 10 / np.sqrt(n) and abs(s.std() / (values.std() * 10) - 1) < 0.06
+        again = resample.resampled_sums(df.orderBy(F.rand(1)).repartition(7), n, 9, 100, bucket_rows).collect()
+        assert sorted((r["by"], r["b"], round(r["s"], 6), round(r["ss"], 6)) for r in again) == sorted((r["by"], r["b"], round(r["s"], 6), round(r["ss"], 6)) for r in out)
+    path = [{"level": 0, "node": 0, "n": 100, "left": 30}, {"level": 1, "node": 1, "n": 70, "left": 0}]
+    assert (resample.bucket_draws("a", path, 2, 50, 1) == 0).all()
+    both = resample.bucket_draws("a", path[:1], 0, 50, 1) + resample.bucket_draws("a", path, 3, 50, 1)
+    assert (both == 100).all()
 
 
 def test_quantiles(spark):
@@ -185,6 +255,68 @@ def test_ranks(spark, monkeypatch):
     assert sorted((r["by"] or 0, r["rank"]) for r in inside) == [(b, i) for b in range(3) for i in range(100)]
 
 
+def test_missing_groups_labels_and_clashing_names(spark):
+    """Rows without a group or label stay; columns that the splits would use by themselves come back as they were."""
+    rows = [(i, None if i % 10 == 0 else i % 7, None if i % 9 == 0 else "ab"[i % 2], i, -i, 2 * i) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, g long, c string, rank long, _n long, _order long")
+    for out in (splits.holdout(df, "id", group="g"), splits.holdout(df, "id", label="c"), splits.holdout(df, "id"), splits.shuffled_folds(df, "id"), splits.stratified_folds(df, "id", "c"), splits.lock_holdout(df, "id", group="g", label="c", seeds=[1, 2, 3])):
+        assert out.columns[:6] == df.columns and sorted(tuple(r)[3:6] for r in out.collect()) == sorted(r[3:] for r in rows)
+    held = splits.holdout(df, "id", group="g")
+    assert held.groupBy("g").agg(F.count_distinct("is_test").alias("n")).where("n <> 1").count() == 0
+    assert splits.holdout(df, "id", label="c").where("is_test and c is null").count() == 2
+    tries = {r["seed"]: r for r in splits.split_search(df, "g", "c", [1, 2, 3]).collect()}
+    assert all(r["leaked"] == 0 for r in tries.values())
+
+
+def test_splits_by_row_leak(spark):
+    """Groups on both sides are counted, and the ranking prefers seeds that tear none apart."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(g), "xy"[int(c)]) for i, (g, c) in enumerate(zip(rng.integers(0, 40, 120), rng.integers(0, 2, 120), strict=True))] + [(500, None, None), (501, None, None)]
+    df = spark.createDataFrame(rows, "id long, g long, c string")
+    got = {r["seed"]: r for r in splits.row_split_search(df, "id", "g", "c", [1, 2, 3]).collect()}
+    for seed in (1, 2, 3):
+        test = set()
+        for c in ("x", "y", None):
+            mine = sorted((i for i, _, k in rows if k == c), key=lambda i: hashlib.md5(f"{seed}|{i}".encode()).hexdigest())
+            test |= set(mine[: int(np.floor(len(mine) * 0.2 + 0.5))])
+        torn = len({g for i, g, _ in rows if i in test} & {g for i, g, _ in rows if i not in test})
+        share = lambda side: np.array([sum(k == c and ((i in test) == side) for i, _, k in rows) for c in ("x", "y", None)])  # noqa: B023, E731
+        p, q = share(False) / share(False).sum() + 1e-9, share(True) / share(True).sum() + 1e-9
+        assert got[seed]["leaked"] == torn > 0 and got[seed]["kl"] == pytest.approx((p * np.log(p / q)).sum()) and got[seed]["score"] == pytest.approx(got[seed]["kl"] + 100 * torn)
+    assert splits.best_split(spark.createDataFrame([(1, 0.1, 2), (2, 0.9, 0), (3, 0.8, 0)], "seed int, kl double, leaked long")) == 3
+    assert splits.best_split(spark.createDataFrame([(1, 0.1, 2), (2, 0.9, 1), (3, 0.8, 1)], "seed int, kl double, leaked long")) == 3
+
+
+def test_profiles_of_odd_values(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", [1.0, nan]), ("a", [3.0, 5.0]), ("b", [nan, nan])], "c string, x array<double>")
+    assert {r["pos"]: (r["mean"], r["std"]) for r in features.feature_profile(df, "x").collect()} == {0: (2.0, 1.0), 1: (5.0, 0.0)}
+    assert {(r["pos"], r["label"]): (r["mean"], r["n"]) for r in features.class_profile(df.withColumnRenamed("c", "label"), "x", "label").collect()} == {(0, "a"): (2.0, 2), (1, "a"): (5.0, 2), (0, "b"): (None, 1), (1, "b"): (None, 1)}
+    y = spark.createDataFrame([(float(i),) for i in range(50)] + [(None,)] * 50 + [(nan,)] * 3 + [(float("inf"),)], "y double")
+    bins = {r["bin"]: r["n"] for r in features.target_histogram(y, "y").collect()}
+    assert bins == dict.fromkeys(range(10), 5)
+    assert [tuple(r) for r in features.target_histogram(y.where("y = 3"), "y").collect()] == [(0, 1, 3.0)]
+    # an image without a number, and pixels without an image, keep all their rows and have an empty mask
+    px = spark.createDataFrame([("a", 0.1, 0.1 + 0.02 * i) for i in range(20)] + [("none", nan, nan)] * 4 + [(None, 0.1, 0.9)] * 12 + [("few", None, 0.5)], "image string, red double, nir double")
+    got = pixels.ndvi_mask(px, "image", "red", "nir")
+    assert got.count() == 37 and got.where("image = 'none' and in_mask").count() == 0 and got.where("image is null").count() == 12
+    assert {r["image"] for r in pixels.otsu_thresholds(px, "image", "nir").collect()} == {"a", "none", None, "few"}
+    assert pixels.hybrid_mask(px, "image", F.col("nir"), F.lit(False)).count() == 37
+    assert pixels.layer_statistics(px, "image", ["nir"]).where("image = 'a'").first()["nir_p75"] == pytest.approx(np.quantile(0.1 + 0.02 * np.arange(20), 0.75))
+
+
+def test_pipelines_with_few_groups(spark, data):
+    """Three groups can't fill five folds: the second pipeline is missing."""
+    df = data[2].drop("fold").withColumn("grp", F.col("id") % 3)
+    combos = spark.createDataFrame([("e", "correlation", "ridge", 3, 1)], evaluate.MOMENTS_KEYS)
+    score = lambda d: evaluate.evaluate_grid(combos, {"e": moments.fold_moments(d, "x", ["y"], "fold")})
+    random = score(splits.shuffled_folds(df, "id"))
+    few = evaluate.three_pipelines(random, score(splits.group_folds(df, "grp"))).first()
+    assert few["p1"] is not None and few["p3"] is not None and few["p2"] is None and few["group_leak"] is None and few["sel_leak"] is None
+    many = evaluate.three_pipelines(random, score(splits.group_folds(df.withColumn("grp", F.col("id") % 8), "grp"))).first()
+    assert many["p2"] is not None
+
+
 def test_names_that_contain_each_other(spark):
     rng = np.random.default_rng(7)
     word = lambda n: "".join(rng.choice(list("abc"), n))
@@ -218,10 +350,12 @@ def test_outlier_report(spark):
 
 def test_noise(spark):
     df = spark.range(3000)
-    rows = np.array([[*r["features"], r["y"]] for r in resample.noise_rows(df, "id", 6, 3).collect()])
+    rows = np.array([[*r["features"], r["y"]] for r in resample.noise_rows(df, "id", 6, [3]).collect()])
     assert abs(rows.mean(0)).max() < 0.08 and abs(rows.std(0) - 1).max() < 0.05 and abs(np.corrcoef(rows.T) - np.eye(7)).max() < 0.08
-    one, two = (resample.null_moments(df.repartition(n), "id", 6, 3).by_fold for n in (2, 5))
-    assert np.allclose(one, two) and len(one) == 5
+    one, two = (resample.null_moments(df.repartition(n), "id", 6, [3, 8]) for n in (2, 5))
+    assert set(one) == {"3", "8"} and not np.allclose(one["3"].by_fold, one["8"].by_fold)
+    for s, m in one.items():
+        assert np.allclose(m.by_fold, two[s].by_fold) and m.folds == [0, 1, 2, 3, 4] and (m.by_fold[:, 0, 0] == 600).all()
 
 
 def test_spectra(spark):
@@ -314,6 +448,23 @@ def test_masks_by_name(spark):
         pixels.segment(px, "image", "s", waves, "nothing")
 
 
+@pytest.mark.parametrize("method", ["kmeans", "pca"])
+def test_clusters_of_all_images_together(spark, method):
+    """The same masks as image by image, with images of few, equal or unnamed pixels among them."""
+    rng, rows = np.random.default_rng(14), []
+    for image, n in (("a", 180), ("b", 90), (None, 60)):
+        middle = rng.standard_normal((3, 6)) * 2
+        rows += [(image, i, (middle[i % 3] + 0.5 * rng.standard_normal(6)).tolist()) for i in range(n)]
+    rows += [("two", 0, [0.0] * 6), ("two", 1, [1.0] + [0.0] * 5)] + [("same", i, [2.0] * 6) for i in range(9)]
+    df = spark.createDataFrame(rows, "image string, i long, s array<double>").withColumn("score", F.get("s", F.lit(1)))
+    one, all_ = ({(r["image"], r["i"]): r["in_mask"] for r in f(df.repartition(n), "image", "s", "score", method, place=["i"]).collect()} for f, n in ((pixels.cluster_mask, 2), (pixels.cluster_mask_together, 5)))
+    named = [k for k in one if k[0] not in ("two", "same")]
+    assert one.keys() == all_.keys() and len(one) == len(rows) and [one[k] for k in named] == [all_[k] for k in named]
+    assert 0 < sum(one[k] for k in named) < len(named)
+    again = {(r["image"], r["i"]): r["in_mask"] for r in pixels.cluster_mask(df.orderBy("score").repartition(3), "image", "s", "score", method, place=["i"]).collect()}
+    assert [again[k] for k in named] == [one[k] for k in named]
+
+
 def test_cubes(spark):
     cube = np.arange(3 * 4 * 5, dtype=np.float32).reshape(3, 4, 5)
     forms = {"bil": cube.transpose(0, 2, 1), "bsq": cube.transpose(2, 0, 1), "bip": cube}
@@ -348,15 +499,87 @@ def test_resume(spark, tmp_path):
     assert tables.remaining(grid, tables.read_results(spark, f"{tmp_path}/r", "k20"), keys).count() == 1
 
 
-def png(rows):
-    """A grey PNG file of 8-bit rows."""
+def test_default_tasks(spark):
+    targets = spark.createDataFrame([("a", "t1", 0, 30), ("a", "t2", 1, 30), ("b", "u2", 1, 50), ("b", "u1", 0, 40), ("few", "v", 0, 19), ("binary", "w", 0, 90)], "dataset string, target string, position int, n_finite int")
+    rows = lambda *a, **k: {tuple(r)[:2] + (r["model"],) for r in truth.default_tasks(targets, ["rfe"], [1, 2], *a, **k).collect()}
+    assert rows() == {("a", "t1", "pls"), ("b", "u1", "pls"), ("binary", "w", "pls")}
+    combos = [("a", "t2", "ridge"), ("a", "t1", "rf"), ("a", "none", "pls"), ("few", "v", "pls")]
+    assert rows(combos, ["binary"]) == {("a", "t2", "ridge"), ("a", "t1", "rf"), ("b", "u1", "pls")}
+    assert rows([*combos, ("binary", "w", "svm")], ["binary"]) == {("a", "t2", "ridge"), ("a", "t1", "rf"), ("b", "u1", "pls"), ("binary", "w", "svm")}
+    done = truth.default_tasks(targets, ["rfe"], [1])
+    assert truth.default_tasks(targets, ["rfe"], [1, 2], done=done).count() == 3 == done.count()
+
+
+def test_runs_resume(spark, tmp_path):
+    """A run that breaks off in its third batch and starts again evaluates every combination, none of the finished twice."""
+    grid = spark.createDataFrame([(d, s, x) for d in ("a", None) for s in ("rfe", "lasso") for x in (1, 2, 3)], "dataset string, selector string, seed int")
+    keys, seen, path = ["dataset", "selector", "seed"], [], f"{tmp_path}/runs"
+
+    def evaluate_(batch, broken=False):
+        rows = [tuple(r) for r in batch.collect()]
+        if broken and len(seen) >= 6:
+            raise RuntimeError("stopped")
+        seen.extend(rows)
+        return batch.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("r2", F.lit(0.5))
+
+    with pytest.raises(RuntimeError):
+        tables.run_grid(grid, lambda b: evaluate_(b, True), path, "k20", keys, batch=3)
+    assert len(seen) == 6
+    out = tables.run_grid(grid, evaluate_, path, "k20", keys, batch=3)
+    assert len(seen) == 12 and len(set(seen)) == 12
+    assert sorted(map(str, (tuple(r) for r in out.select(*keys, "fold").collect()))) == sorted(str((*r, f)) for r in set(seen) for f in (0, 1))
+    assert tables.run_grid(grid, evaluate_, path, "k20", keys).count() == 24 and len(seen) == 12
+    assert tables.run_grid(grid.limit(2), evaluate_, path, "other", keys).count() == 4 and len(seen) == 14
+    with pytest.raises(ValueError):
+        tables.run_grid(grid, lambda b: evaluate_(b).where("seed = 1"), f"{tmp_path}/lost", "k20", keys, batch=5)
+
+
+def test_cubes_in_ranges(spark, tmp_path):
+    """Each layout cut in three ranges of lines; a header whose sizes are wrong; a file that fits nothing."""
+    cube = np.random.default_rng(4).integers(0, 5000, (7, 4, 5)).astype(np.uint16)
+    forms = {"bil": cube.transpose(0, 2, 1), "bsq": cube.transpose(2, 0, 1), "bip": cube}
+    rows = []
+    for kind, data in forms.items():
+        (tmp_path / f"{kind}.dat").write_bytes(np.ascontiguousarray(data).tobytes())
+        rows.append((kind, f"file:{tmp_path}/{kind}.dat", 280, "uint16", kind, 7, 4, 5))
+    (tmp_path / "wrong.dat").write_bytes(np.zeros(9 * 5, np.uint16).tobytes())
+    rows += [("wrong", f"{tmp_path}/wrong.dat", 90, "uint16", "bip", 512, 512, 5), ("none", f"{tmp_path}/wrong.dat", 91 * 2, "uint16", "bip", 512, 512, 5)]
+    df = spark.createDataFrame(rows, "image string, path string, length long, dtype string, interleave string, lines int, samples int, bands int")
+    ranges = cubes.cube_ranges(df, 3 * 4 * 5 * 2)
+    assert sorted((r["first"], r["n"]) for r in ranges.where("image = 'bsq'").collect()) == [(0, 3), (3, 3), (6, 1)]
+    for task_bytes in (1, 120, 1 << 20):
+        got = cubes.read_cubes(df, task_bytes).collect()
+        assert len(got) == 3 * 28 + 9 and len({(r["image"], r["row"], r["col"]) for r in got}) == len(got)
+        assert all(r["spectrum"] == cube[r["row"], r["col"]].tolist() for r in got if r["image"] in forms)
+        assert {(r["row"], r["col"]) for r in got if r["image"] == "wrong"} == {(i, j) for i in range(3) for j in range(3)}
+
+
+def test_grey_pixels(spark, tmp_path):
+    """Colour images become grey by weight; the statistics of each band are those of the grey values."""
+    rng, want = np.random.default_rng(6), {}
+    (tmp_path / "set1").mkdir()
+    for b in range(1, 7):
+        rows = rng.integers(0, 256, (5, 4, 3)) if b % 2 else rng.integers(0, 256, (5, 4))
+        (tmp_path / "set1" / f"IMG_9_{b}.png").write_bytes(png(rows.reshape(5, -1).tolist(), 2 if b % 2 else 0, 4))
+        want[b] = ((rows[..., 0] * 19595 + rows[..., 1] * 38470 + rows[..., 2] * 7471 + 32768) // 65536 if b % 2 else rows).ravel().astype(float)
+    values = cubes.grey_pixels(cubes.read_band_images(spark, str(tmp_path / "set1")))
+    assert values.count() == 120
+    got = features.band_image_statistics(values, "image", "band", "value", [1, 2, 3, 4, 5, 6]).first()
+    for b, v in want.items():
+        for name, f in (("mean", np.mean), ("std", np.std), ("p25", lambda x: np.quantile(x, 0.25)), ("p75", lambda x: np.quantile(x, 0.75))):
+            assert got[f"b{b}_{name}"] == pytest.approx(f(v))
+    assert cubes.grey_values(bytes([10, 20, 30, 255]), 4).tolist() == [(30 * 19595 + 20 * 38470 + 10 * 7471 + 32768) // 65536]
+
+
+def png(rows, kind=0, width=None):
+    """A PNG file of 8-bit rows: grey, or colour (kind 2) of so many pixels a row."""
     import struct
     import zlib
 
     def part(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", width or len(rows[0]), len(rows), 8, kind, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + part(b"IEND", b"")
 
 
