@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .indices import INDICES
+
 #: Substrings of a normalised symptom and their class, in order: the first hit counts; any other is class 3.
 SYMPTOMS = [
     ("healthy", 0),
@@ -16,8 +18,8 @@ SYMPTOMS = [
     ("green leafhopper", 2), ("buffalo treehopper", 2), ("wood diseases", 2), ("mildew", 2),
     ("water stress", 3), ("senescence", 3), ("damaged", 3), ("deficiency", 3), ("chlorosis", 3), ("discoloration", 3),
 ]
-#: The names of indices at the start of a feature's name.
-INDEX_NAMES = "NDVI GNDVI ARI CRI PRI ZTM SIPI FLAVI RVSI REP BES WBI mARI FRI NDRE NBI".split()
+#: What a feature's name starts with that comes from an index: the indices' own names, and those of three layers.
+INDEX_NAMES = [*INDICES, "FRI", "NDRE", "NBI"]
 
 
 @F.pandas_udf(StringType())

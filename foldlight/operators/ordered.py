@@ -15,10 +15,10 @@ PARTS = 256
 
 
 def in_parts(rows: DataFrame, by: list[str], value: str, parts: int = PARTS) -> DataFrame:
-    """Adds `__part`, ascending with the value inside each combination of `by`."""
+    """Adds `__part`, ascending with the value inside each combination of `by`. Kept, as it is read more than once."""
     edges = rows.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("__edges"))
     at = F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    return met(rows, edges, by).withColumn("__part", at).drop("__edges")
+    return met(rows, edges, by).withColumn("__part", at).drop("__edges").persist()
 
 
 def sums_before(rows: DataFrame, by: list[str], value: str, sums: list[str], parts: int = PARTS) -> DataFrame:

@@ -92,14 +92,27 @@ def group_folds(df: DataFrame, group: str, folds: int = 5, seed: int = 42) -> Da
     return df.join(table, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
+#: Different class counts of groups that go through the driver.
+MOST_KINDS = 20_000
+
+
 def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Adds `fold`: groups stay whole; each goes where it leaves the class counts of folds most even, largest first.
 
     Groups with the same class counts are one kind: as many as make whole rounds go to all folds alike, the rest
-    one by one. The driver holds one row for each kind, groups take their fold by their rank in it."""
+    one by one. The driver holds one row for each kind, groups take their fold by their rank in it. Beyond MOST_KINDS
+    kinds, groups whose class counts are alike (within a factor of about 1.4, or whose sizes are) are one kind, with its
+    mean counts, so that what the driver holds doesn't grow with the groups; folds are then even on average."""
     counts = df.groupBy(group, label).agg(F.count("*").alias("n")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(label).cast("string").alias("c"), "n"))).alias("c"), F.sum("n").alias("n"))
-    groups = counts.withColumn("_kind", F.to_json("c"))
-    rows = groups.groupBy("_kind").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.count("*").alias("many")).orderBy(F.desc("n"), "_kind").collect()
+    alike = F.transform("c", lambda x: F.struct(x["c"].alias("c"), F.floor(2 * F.log2(x["n"])).alias("n")))
+    for kind in (F.to_json("c"), F.to_json(alike), F.floor(4 * F.log2("n")).cast("string")):
+        groups = counts.withColumn("_kind", kind)
+        if groups.select("_kind").distinct().count() <= MOST_KINDS:
+            break
+    each = groups.groupBy("_kind").agg(F.avg("n").alias("n"), F.count("*").alias("many"))
+    sums = groups.select("_kind", F.explode("c").alias("x")).groupBy("_kind", "x.c").agg(F.sum("x.n").alias("n"))
+    mean = sums.join(each.select("_kind", "many"), "_kind").groupBy("_kind").agg(F.array_sort(F.collect_list(F.struct("c", (F.col("n") / F.col("many")).alias("n")))).alias("c"))  # one entry a class
+    rows = each.join(mean, "_kind").orderBy(F.desc("n"), "_kind").collect()
     labels = sorted({x["c"] for r in rows for x in r["c"]}, key=str)
     total = {x: sum(y["n"] * r["many"] for r in rows for y in r["c"] if y["c"] == x) for x in labels}
     have, placed = [dict.fromkeys(labels, 0) for _ in range(folds)], []

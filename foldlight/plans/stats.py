@@ -70,7 +70,7 @@ def false_discovery(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> D
     """Adds p_value_fdr and significant_fdr (Benjamini and Hochberg) over the non-null p: the least of p x tests / rank
     over this p and larger ones. Equal p share the highest of their ranks. Works on counts of distinct p in parts (see
     operators.ordered), so that no task sees all tests."""
-    each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n")).persist()  # read more than once
     total = each.agg(F.sum("__n").alias("__m"))
     ranks = sums_before(each, [], "__p", ["__n"]).crossJoin(F.broadcast(total))  # one row
     rates = least_from(ranks, "__p", F.col("__p") * F.col("__m") / (F.col("__n_before") + F.col("__n")), "__rate").select("__p", F.least(F.lit(1.0), "__rate").alias("p_value_fdr"))

@@ -268,6 +268,21 @@ def test_missing_groups_labels_and_clashing_names(spark):
     assert all(r["leaked"] == 0 for r in tries.values())
 
 
+def test_many_kinds_of_groups(spark, monkeypatch):
+    """However few kinds the driver may hold, groups stay whole, no row is lost and classes are spread over the folds."""
+    rng = np.random.default_rng(17)
+    rows = [(g, "abc"[int(rng.integers(0, 3))]) for g in range(300) for _ in range(int(rng.integers(1, 9)))] + [(None, None), (None, "a")]
+    df = spark.createDataFrame(rows, "g long, c string")
+    for most in (20_000, 60, 10):
+        monkeypatch.setattr(splits, "MOST_KINDS", most)
+        out = splits.stratified_group_folds(df, "g", "c")
+        assert out.count() == len(rows) and out.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n <> 1").count() == 0
+        sizes = {(r["fold"], r["c"]): r["count"] for r in out.groupBy("fold", "c").count().collect()}
+        for c in "abc":
+            mine = [sizes[f, c] for f in range(5)]
+            assert max(mine) - min(mine) <= (4 if most == 20_000 else 0.5 * np.mean(mine)), (most, c, mine)
+
+
 def test_splits_by_row_leak(spark):
     """Groups on both sides are counted, and the ranking prefers seeds that tear none apart."""
     rng = np.random.default_rng(3)
