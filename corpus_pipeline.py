@@ -10,34 +10,62 @@ up to the last stage.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlight.llm import decontaminate, mixing, neardup, quality, tokens
-from foldlight.llm.common import discard, held_out, materialise, scratch_path
+from foldlight.llm.common import MADE, cleanup, discard, held_out, materialise, scratch_path
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the last stage that ran. Its result is written by the time that the next one starts.
+LEFT: set[str] = set()
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, which first deletes the scratch tables of the one before that its docs don't read."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        cleanup(spark, docs, only=LEFT)
+        before = set(MADE)
+        out = stage(spark, docs, sf_dir)
+        LEFT.clear()
+        LEFT.update(MADE - before)
+        return out
+
+    return run_stage
 
 
+@tidy
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier scores at the threshold or above."""
     model = quality.fit(docs.where(~held_out()), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
+@tidy
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: five-word shingles, similarity of 0.8 or more."""
     return neardup.deduplicate(docs)
 
 
+@tidy
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no benchmark item."""
     return decontaminate.clean_documents(docs, decontaminate.questions(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+@tidy
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does: never, once or twice."""
     return mixing.mixed_documents(docs)
 
 
+@tidy
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token sequences in training order as shards; the index says which document a slot holds."""
     return tokens.write_order(docs, scratch_path(spark))

@@ -81,11 +81,13 @@ def discard(df: DataFrame) -> None:
         deleted(df.sparkSession, path)
 
 
-def cleanup(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete the scratch tables that this process has made, but for those that the given frames still read. For use
-    after results are written; files that operators are asked to write, as shards, are no scratch tables."""
-    read = [f for df in keep for f in df.inputFiles()]
-    for path in list(MADE):
+def cleanup(spark: SparkSession, *keep: DataFrame, only: set[str] | None = None) -> None:
+    """Delete the scratch tables that this process has made (those of `only`, if given), but for those that the given
+    frames still read. For use after results are written; files that operators are asked to write, as shards, are no
+    scratch tables."""
+    paths = MADE if only is None else MADE & only
+    read = [f for df in keep for f in df.inputFiles()] if paths else []
+    for path in list(paths):
         name = path.rsplit("/", 1)[1]
         if not any(f"/{name}/" in f for f in read):
             deleted(spark, path)
