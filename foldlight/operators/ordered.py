@@ -1,7 +1,8 @@
 """Sums over smaller values and least values of larger ones, without one window for all rows or for a hot group.
 
 Rows are counts by distinct value. A sketch cuts each group into at most PARTS parts of about equal size; a window
-holds one part, and the parts' own totals, PARTS rows a group, are summed in another.
+holds one part, and the parts' own totals, PARTS rows a group, are summed in another. At most FEW rows in all need
+no parts: a window holds a group then.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .splits import met
 
-PARTS = 256
+PARTS, FEW = 256, 1 << 16
 
 
 def in_parts(rows: DataFrame, by: list[str], value: str, parts: int = PARTS) -> DataFrame:
@@ -23,8 +24,11 @@ def in_parts(rows: DataFrame, by: list[str], value: str, parts: int = PARTS) ->
 
 def sums_before(rows: DataFrame, by: list[str], value: str, sums: list[str], parts: int = PARTS) -> DataFrame:
     """Adds <c>_before for each of `sums`: the sum of c over the rows of smaller value. One row for each (by, value)."""
-    dealt = in_parts(rows, by, value, parts)
+    rows = rows.persist()  # read more than once
     earlier = lambda c, order, *of: F.coalesce(F.sum(c).over(Window.partitionBy(*by, *of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if rows.count() <= FEW:
+        return rows.withColumns({f"{c}_before": earlier(c, value) for c in sums})
+    dealt = in_parts(rows, by, value, parts)
     totals = dealt.groupBy(*by, "__part").agg(*(F.sum(c).alias(c) for c in sums))
     offsets = totals.select(*by, "__part", *(earlier(c, "__part").alias(f"__far_{c}") for c in sums))
     near = dealt.withColumns({f"__near_{c}": earlier(c, value, "__part") for c in sums})
@@ -34,7 +38,10 @@ def sums_before(rows: DataFrame, by: list[str], value: str, sums: list[str], par
 
 def least_from(rows: DataFrame, value: str, of: Column, name: str, parts: int = PARTS) -> DataFrame:
     """Adds `name`: the least `of` over the rows of this value or a larger one. One row for each value."""
-    dealt = in_parts(rows.withColumn("__of", of), [], value, parts)
+    rows = rows.withColumn("__of", of).persist()  # read more than once
+    if rows.count() <= FEW:
+        return rows.withColumn(name, F.min("__of").over(Window.orderBy(F.desc(value)))).drop("__of")  # at most FEW rows
+    dealt = in_parts(rows, [], value, parts)
     later = dealt.groupBy("__part").agg(F.min("__of").alias("__least")).select("__part", F.min("__least").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__far"))  # at most `parts` rows
     near = F.min("__of").over(Window.partitionBy("__part").orderBy(F.desc(value)))
     return met(dealt.withColumn("__near", near), later, ["__part"]).withColumn(name, F.least("__near", "__far")).drop("__part", "__of", "__near", "__far")

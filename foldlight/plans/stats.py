@@ -34,6 +34,7 @@ def paired_tests(results: DataFrame, keys: list[str], low_n: int = 6) -> DataFra
     """One row a key from (keys, apparent, nested): n, mean difference, whether all differences agree, signed
     rank statistic and p, Cliff's delta, Cohen's d. Tests are null where all differences agree."""
     w = Window.partitionBy(*keys)
+    results = results.select(*keys, "apparent", "nested").persist()  # read more than once
     diffs = results.withColumn("d", F.col("apparent") - F.col("nested"))
     base = diffs.withColumn("first", F.min("d").over(w)).groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_distinct("d").alias("n_unique_diff"), F.avg("d").alias("mean_bias"), F.stddev_samp("d").alias("sd"),
@@ -70,6 +71,7 @@ def false_discovery(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> D
     """Adds p_value_fdr and significant_fdr (Benjamini and Hochberg) over the non-null p: the least of p x tests / rank
     over this p and larger ones. Equal p share the highest of their ranks. Works on counts of distinct p in parts (see
     operators.ordered), so that no task sees all tests."""
+    df = df.persist()  # one row a test, read more than once
     each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n")).persist()  # read more than once
     total = each.agg(F.sum("__n").alias("__m"))
     ranks = sums_before(each, [], "__p", ["__n"]).crossJoin(F.broadcast(total))  # one row

@@ -139,9 +139,10 @@ def test_statistics(spark):
     assert fdr[0] == pytest.approx(0.00055803571) and fdr[7] == pytest.approx(0.00537109375) and fdr[8] is None
 
 
-def test_statistics_in_parts(spark, monkeypatch):
-    """Many pairs with ties, a null key and small parts: ranks, effects and rates as from sorted lists."""
-    monkeypatch.setattr(ordered, "PARTS", 4)
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_statistics_in_parts(spark, monkeypatch, few):
+    """Many pairs with ties, a null key, in small parts or whole: ranks, effects and rates as from sorted lists."""
+    monkeypatch.setattr(ordered, "FEW", few)
     rng = np.random.default_rng(12)
     rows = [(k, float(a), float(b)) for k, n in (("a", 300), (None, 90), ("c", 20)) for a, b in zip(np.round(rng.normal(0.1, 1, n), 1), np.round(rng.normal(0, 1, n), 1), strict=True)]
     out = {r["k"]: r for r in stats.paired_tests(spark.createDataFrame(rows, "k string, apparent double, nested double").repartition(5), ["k"]).collect()}
