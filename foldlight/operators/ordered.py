@@ -1,8 +1,8 @@
 """Sums over smaller values and least values of larger ones, without one window for all rows or for a hot group.
 
 Rows are counts by distinct value. A sketch cuts each group into at most PARTS parts of about equal size; a window
-holds one part, and the parts' own totals, PARTS rows a group, are summed in another. At most FEW rows in all need
-no parts: a window holds a group then.
+holds one part, and the parts' own totals, PARTS rows a group, are summed in another. Groups of at most FEW values
+need no parts: a window holds a group then.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def sums_before(rows: DataFrame, by: list[str], value: str, sums: list[str], par
     """Adds <c>_before for each of `sums`: the sum of c over the rows of smaller value. One row for each (by, value)."""
     rows = rows.persist()  # read more than once
     earlier = lambda c, order, *of: F.coalesce(F.sum(c).over(Window.partitionBy(*by, *of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if rows.count() <= FEW:
+    if (rows.groupBy(*by).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0) <= FEW:
         return rows.withColumns({f"{c}_before": earlier(c, value) for c in sums})
     dealt = in_parts(rows, by, value, parts)
     totals = dealt.groupBy(*by, "__part").agg(*(F.sum(c).alias(c) for c in sums))

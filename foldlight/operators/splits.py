@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import quantile_edges
+from .quantiles import exact_quantiles
 
 #: Rows of a bucket of ranked(), on average, and buckets that are summed up in one window.
 BUCKET_ROWS, SPAN = 4096, 1024
@@ -144,15 +144,22 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5
 
 
 def regression_strata(df: DataFrame, target: str, folds: int = 5, bins: int = 5) -> DataFrame:
-    """Adds `stratum`: quantile bins, fewer until each has a row for every fold; 0 throughout if two bins are too many."""
+    """Adds `stratum`: quantile bins, fewer until each has a row for every fold; 0 throughout if two bins are too many.
+    One pass finds the quantiles of all numbers of bins, another counts their rows. Rows without a value are bin -1."""
     from ..functions.labels import bin_index
 
-    for n in range(bins, 1, -1):
-        edges = quantile_edges(df, target, n)
-        out = df.crossJoin(F.broadcast(edges)).withColumn("stratum", bin_index(F.col(target), F.col("edges"))).drop("edges")  # one row
-        least = out.groupBy("stratum").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.count("*").alias("bins")).first()
-        if least["bins"] >= 2 and least["least"] >= folds:
-            return out
+    levels = range(bins, 1, -1)
+    at = sorted({i / n for n in levels for i in range(n + 1)})
+    found = exact_quantiles(df, [], target, at).first() if at else None  # one row
+    value = dict(zip(at, found["quantiles"], strict=True)) if found and found["quantiles"] else {}
+    edges = {n: sorted({value[i / n] for i in range(n + 1) if value.get(i / n) is not None}) for n in levels}
+    stratum = {n: bin_index(F.col(target), F.array(*map(F.lit, e)).cast("array<double>")) for n, e in edges.items()}
+    if stratum:
+        tried = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), s.alias("s")) for n, s in stratum.items()))).alias("t")).groupBy("t.n", "t.s").agg(F.count("*").alias("c"))
+        held = {r["n"]: r for r in tried.groupBy("n").agg(F.count("*").alias("bins"), F.min("c").alias("least")).collect()}  # one row for each number of bins
+        for n in levels:
+            if n in held and held[n]["bins"] >= 2 and held[n]["least"] >= folds:
+                return df.withColumn("stratum", stratum[n])
     return df.withColumn("stratum", F.lit(0))
 
 

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import trees
-from ..operators.information import nearest_information
-from ..operators.models import MODELS, SEARCHES, SHARED, Search, get_selector, mask_fitness, mutual_information, top_k
+from ..operators.models import MODELS, SEARCHES, SHARED, Search, get_selector, mask_fitness, top_k
 from ..operators.moments import Moments, centred, r2, test_errors
+from ..operators.rowselect import RowSelector, get_row_selector
 
 
 def choices(m: Moments, selector: str, model: str, k: int, seed: int = 42) -> list[np.ndarray]:
@@ -145,26 +145,28 @@ def evaluate_grid(combos: DataFrame, moments: dict[str, Moments], population: in
     return table.mapInPandas(run, f"{MOMENTS_KEYS}, {SCORES}")
 
 
-def informative_choices(df: DataFrame, features: str, target: str, fold: str, k: int, bins: int = 8) -> list[np.ndarray]:
-    """The k features with the most mutual information: on all rows, then on each fold's train rows. Needs rows,
-    which moments don't have; what comes back is one number a feature."""
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # one row a fold
+def choices_by_rows(df: DataFrame, key: str | None, features: str, target: str, fold: str, k: int, selector: str | RowSelector) -> list[np.ndarray]:
+    """The k features of the largest score by a row selector (a name or a function): on all rows, then on each fold's
+    train rows. All train sets are scored together; what comes back is one number a set and feature. Scores are compared
+    to nine digits, the lower position first on ties; a feature without a score has 0."""
+    score = get_row_selector(selector) if isinstance(selector, str) else selector
+    folds = [r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect()]  # one row a fold
     # the set of all rows and each fold's train rows, by number
     member = F.array_compact(F.array(F.lit(0), *(F.when(F.col(fold) != f, F.lit(i)) for i, f in enumerate(folds, 1))))
     found: dict[int, dict[int, float]] = {}
-    for r in mutual_information(df.withColumn("_set", F.explode(member)), features, target, bins, ["_set"]).collect():
-        found.setdefault(r["_set"], {})[r["pos"]] = round(r["mi"], 9)
+    for r in score(df.withColumn("_set", F.explode(member)), features, target, key, "_set").collect():
+        found.setdefault(r["_set"], {})[r["pos"]] = round(r["score"] or 0.0, 9)
     return [top_k(np.array([found[i][j] for j in range(len(found[i]))]), k) for i in sorted(found)]
 
 
+def informative_choices(df: DataFrame, features: str, target: str, fold: str, k: int) -> list[np.ndarray]:
+    """choices_by_rows() by mutual information over quantile bins."""
+    return choices_by_rows(df, None, features, target, fold, k, "mutual_info_binned")
+
+
 def nearest_choices(df: DataFrame, key: str, features: str, target: str, fold: str, k: int) -> list[np.ndarray]:
-    """informative_choices() by distances to nearest neighbours: train sets and features are scored together."""
-    folds = [r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect()]  # one row a fold
-    member = F.array_compact(F.array(F.lit(0), *(F.when(F.col(fold) != f, F.lit(i)) for i, f in enumerate(folds, 1))))
-    found: dict[int, dict[int, float]] = {}
-    for r in nearest_information(df.withColumn("_set", F.explode(member)), features, target, key, "_set").collect():
-        found.setdefault(r["_set"], {})[r["pos"]] = round(r["mi"] or 0.0, 9)
-    return [top_k(np.array([found[i][j] for j in range(len(found[i]))]), k) for i in sorted(found)]
+    """choices_by_rows() by mutual information from distances to nearest neighbours."""
+    return choices_by_rows(df, key, features, target, fold, k, "mutual_info")
 
 
 def score_choices(spark: SparkSession, dataset: str, m: Moments, selector: str, chosen_by: list[np.ndarray], models: list[str], seed: int = 42) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import indices, labels, spectra
-from .operators import information, models, moments, pixels, quantiles, splits, truth
+from .operators import information, models, moments, pixels, quantiles, rowselect, splits, truth
 from .plans import bands, evaluate, features, resample, stats
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,6 +134,45 @@ def inflation_by_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.select("arm", "fold", F.get("chosen", F.lit(0)).alias("pos"), "r2"))
 
 
+@query(f"""
+WITH {SAMPLES}, lg AS (SELECT vec_id, fold, y, unnest(range(64)) AS pos, unnest(x) AS v FROM s), pr AS (SELECT DISTINCT fold AS k FROM s UNION ALL SELECT -1),
+rk AS (SELECT k, pos, rank() OVER (PARTITION BY k, pos ORDER BY v) + (count(*) OVER (PARTITION BY k, pos, v) - 1) / 2 AS rx, rank() OVER (PARTITION BY k, pos ORDER BY y) + (count(*) OVER (PARTITION BY k, pos, y) - 1) / 2 AS ry FROM lg JOIN pr ON lg.fold <> k),
+sc AS (SELECT k, pos, abs(corr(rx, ry)) AS c FROM rk GROUP BY ALL), bs AS (SELECT k, arg_max(pos, (round(c, 9), -pos)) AS pos FROM sc GROUP BY k),
+ch AS (SELECT k, 'nested' AS arm, pos FROM bs WHERE k >= 0 UNION ALL SELECT k, 'apparent', (SELECT pos FROM bs WHERE k = -1) FROM bs WHERE k >= 0),
+ft AS (SELECT ch.*, regr_slope(y, v) AS b, regr_intercept(y, v) AS b0 FROM ch JOIN lg ON lg.pos = ch.pos AND lg.fold <> k GROUP BY ALL)
+SELECT ft.arm, CAST(ft.k AS INTEGER) AS fold, CAST(ft.pos AS INTEGER) AS pos, round(1 - sum((y - b0 - b * v) ^ 2) / (var_pop(y) * count(*)), 6) AS r2 FROM ft JOIN lg ON lg.pos = ft.pos AND lg.fold = ft.k GROUP BY ALL
+""")
+def inflation_by_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inflation_one_feature with a selector that needs rows: the feature of the largest rank correlation."""
+    df = samples(spark, sf_dir)
+    m, chosen = moments.fold_moments(df, "x", ["y"], "fold"), evaluate.choices_by_rows(df, "vec_id", "x", "y", "fold", 1, "rank_correlation")
+    scores = evaluate.score_choices(spark, "e", m, "rank_correlation", chosen, ["ols"])
+    return rounded(scores.select("arm", "fold", F.get("chosen", F.lit(0)).alias("pos"), "r2"))
+
+
+@query(f"""
+WITH {SAMPLES}, lg AS (SELECT vec_id, y, unnest(range(64)) AS pos, CASE WHEN vec_id % 3 > 0 THEN round(unnest(x), 1) END AS v FROM s),
+rk AS (SELECT pos, rank() OVER (PARTITION BY pos ORDER BY v) + (count(*) OVER (PARTITION BY pos, v) - 1) / 2 AS rx, rank() OVER (PARTITION BY pos ORDER BY y) + (count(*) OVER (PARTITION BY pos, y) - 1) / 2 AS ry FROM lg WHERE v IS NOT NULL)
+SELECT CAST(pos AS INTEGER) AS pos, round(coalesce(abs(corr(rx, ry)), 0), 6) AS score FROM rk GROUP BY pos
+""")
+def rank_correlations_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations of features that are rounded (ties) and missing in a third of the rows."""
+    coarse = F.transform("x", lambda v: F.when(F.col("vec_id") % 3 > 0, F.round(v, 1)))
+    df = samples(spark, sf_dir).select("y", coarse.alias("x"), F.lit(0).alias("part"))
+    return rounded(rowselect.rank_correlation(df, "x", "y", None, "part").select("pos", "score"))
+
+
+GAPS = SAMPLES.replace(" FROM embeddings)", " FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 13 <> 0)")
+
+
+@query(ORACLE["inflation_one_feature"].replace(SAMPLES, GAPS))
+def inflation_of_finite_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inflation_one_feature where some targets are NaN or missing: their rows don't count."""
+    y = F.when(F.col("vec_id") % 11 == 0, float("nan")).when(F.col("vec_id") % 13 != 0, F.col("y"))
+    scores = chosen_by_correlation(spark, samples(spark, sf_dir).withColumn("y", y), ["ols"], 1)
+    return rounded(scores.select("arm", "fold", F.get("chosen", F.lit(0)).alias("pos"), "r2"))
+
+
 FIVE = """pr AS (SELECT DISTINCT fold AS k FROM s), lg AS (SELECT vec_id, fold, y, unnest(range(64)) AS pos, unnest(x) AS v FROM s),
 nc AS (SELECT k, pos FROM (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY abs(corr(v, y)) DESC, pos) AS rk FROM lg JOIN pr ON lg.fold <> k GROUP BY k, pos) WHERE rk <= 5),
 ac AS (SELECT pos FROM (SELECT pos, row_number() OVER (ORDER BY abs(corr(v, y)) DESC, pos) AS rk FROM lg GROUP BY pos) WHERE rk <= 5)"""
@@ -483,6 +523,68 @@ def row_splits_that_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(splits.row_split_search(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderpriority", [1, 2, 3, 4, 5]), 9)
 
 
+def strata_sql(table_: str, key: str, value: str, folds: int, bins: int) -> str:
+    """Quantile bins, as many as leave a row for every fold, and folds inside them."""
+    low, high = "l[CAST(floor(place) AS INTEGER) + 1]", "l[CAST(ceil(place) AS INTEGER) + 1]"
+    return f"""
+WITH l AS (SELECT list({value} ORDER BY {value}) AS l, count(*) AS m FROM {table_}), n AS (SELECT unnest(range(2, {bins + 1})) AS n),
+q AS (SELECT n, (m - 1) * (i / n) AS place, l FROM (SELECT n, unnest(range(0, n + 1)) AS i FROM n), l),
+e AS (SELECT n, list_sort(list_distinct(list({low} + ({high} - {low}) * (place - floor(place))))) AS e FROM q GROUP BY n),
+s AS (SELECT n, {key}, CASE WHEN len(e) < 3 THEN 0 ELSE len(list_filter(e[2:len(e) - 1], lambda x: x <= {value})) END AS stratum FROM {table_}, e),
+c AS (SELECT n FROM (SELECT n, stratum, count(*) AS c FROM s GROUP BY ALL) GROUP BY n HAVING count(*) >= 2 AND min(c) >= {folds}),
+b AS (SELECT {key}, stratum FROM s WHERE n = (SELECT max(n) FROM c) UNION ALL SELECT {key}, 0 FROM {table_} WHERE NOT EXISTS (FROM c))
+SELECT {key}, CAST(stratum AS INTEGER) AS stratum, CAST(({RANK.format("PARTITION BY stratum ", key)}) % {folds} AS INTEGER) AS fold FROM b"""
+
+
+@query(strata_sql("supplier", "s_suppkey", "s_acctbal", 8, 14))
+def folds_by_strata_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen quantile bins of a numeric target, fewer where a bin has no row for each of eight folds."""
+    strata = splits.regression_strata(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", folds=8, bins=14)
+    return splits.stratified_folds(strata, "s_suppkey", "stratum", 8).select("s_suppkey", F.col("stratum").cast("int").alias("stratum"), "fold")
+
+
+@query(strata_sql("part", "p_partkey", "p_size", 5, 5))
+def folds_chosen_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splitter for regression with strata, on a target of many ties."""
+    out = splits.make_folds(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", target="p_size", stratify=True)
+    return out.select("p_partkey", F.col("stratum").cast("int").alias("stratum"), "fold")
+
+
+def greedy_sql(folds: int) -> str:
+    """Groups to folds by a running state: kinds by size, whole rounds to all folds, the rest each where class shares stay most even."""
+    shares = f"list_transform(range(1, {folds + 1}), lambda f: (have[f][x] + CASE WHEN f = k THEN v[x] ELSE 0 END) / total[x])"
+    spread = f"list_sum(list_transform(range(1, len(total) + 1), lambda x: {folds} * list_var_pop({shares})))"
+    best = f"list_sort(list_transform(range(1, {folds + 1}), lambda k: {{'s': round({spread}, 12), 'n': list_sum(have[k]), 'k': k}}))[1].k"
+    return f"""t AS (SELECT vec_id % 25 AS g, CAST(label AS VARCHAR) AS c, count(*) AS n FROM embeddings GROUP BY ALL),
+lb AS (SELECT c, sum(n) AS total FROM t GROUP BY c),
+gr AS (SELECT g, sum(n) AS n, '[' || string_agg('{{"c":"' || c || '","n":' || n || '}}', ',' ORDER BY c) || ']' AS kind FROM t GROUP BY g),
+vc AS (SELECT g, list(CAST(coalesce(t.n, 0) AS DOUBLE) ORDER BY c) AS v, list(CAST(total AS DOUBLE) ORDER BY c) AS total FROM (SELECT * FROM gr, lb) LEFT JOIN t USING (g, c) GROUP BY g),
+kd AS (SELECT kind, count(*) AS many, any_value(v) AS v, any_value(total) AS total, row_number() OVER (ORDER BY any_value(n) DESC, kind) AS place FROM gr JOIN vc USING (g) GROUP BY kind),
+it AS (SELECT row_number() OVER (ORDER BY place, j) AS i, kind, j, many // {folds} AS even, v, total FROM (SELECT *, unnest(range(0, many % {folds} + 1)) AS j FROM kd)),
+st AS (SELECT CAST(0 AS BIGINT) AS i, '' AS kind, CAST(0 AS BIGINT) AS j, list_transform(range({folds}), lambda f: list_transform(range(l), lambda x: CAST(0 AS DOUBLE))) AS have, CAST(0 AS BIGINT) AS pick FROM (SELECT count(*) AS l FROM lb)
+UNION ALL SELECT i, kind, j, CASE WHEN j = 0 THEN list_transform(have, lambda h: list_transform(range(1, len(h) + 1), lambda x: h[x] + even * v[x]))
+    ELSE list_transform(range(1, {folds + 1}), lambda f: CASE WHEN f = pick THEN list_transform(range(1, len(v) + 1), lambda x: have[f][x] + v[x]) ELSE have[f] END) END, pick
+  FROM (SELECT it.*, have, CASE WHEN it.j > 0 THEN {best} ELSE 0 END AS pick FROM st JOIN it ON it.i = st.i + 1)),
+pl AS (SELECT g, kind, row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || g)) - 1 AS r FROM gr),
+fd AS (SELECT g, CAST(CASE WHEN r < even * {folds} THEN r % {folds} ELSE pick - 1 END AS INTEGER) AS fold FROM pl JOIN (SELECT DISTINCT kind, even FROM it) USING (kind) LEFT JOIN st ON st.kind = pl.kind AND st.j = r - even * {folds} + 1)"""
+
+
+@query(f"WITH RECURSIVE {greedy_sql(5)} SELECT vec_id, fold FROM embeddings JOIN fd ON vec_id % 25 = g")
+def folds_of_stratified_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole groups to folds so that class shares stay even, row by row."""
+    return splits.stratified_group_folds(samples(spark, sf_dir).select("vec_id", "grp", "label"), "grp", "label").select("vec_id", "fold")
+
+
+@query(f"""
+WITH RECURSIVE {greedy_sql(4)}, r AS (SELECT vec_id, fold FROM embeddings JOIN fd ON vec_id % 25 = g), c AS (SELECT fold, count(*) AS n FROM r GROUP BY fold)
+SELECT vec_id, fold = (SELECT fold FROM c ORDER BY abs(n / (SELECT sum(n) FROM c) - 0.27), fold LIMIT 1) AS is_test FROM r
+""")
+def holdout_of_stratified_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four stratified group folds, the one nearest to 27 % is held out."""
+    df = samples(spark, sf_dir).select("vec_id", "grp", "label")
+    return splits.lock_holdout(df, "vec_id", 0.27, group="grp", label="label").select("vec_id", "is_test")
+
+
 @query("""
 WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders)
 SELECT CAST(least(4, floor((o_totalprice - low) * 5 / (high - low))) AS INTEGER) AS bin, count(*) AS n FROM orders, e GROUP BY 1
@@ -813,6 +915,29 @@ def continuum_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("vec_id", F.posexplode("x").alias("pos", "v")), 4)
 
 
+#: Local parabolas over eleven bands around `mid`: mean, slope and curvature (sums of j^2 and of (j^2 - 10)^2 are 110 and 858).
+PARABOLAS = """e AS (SELECT vec_id, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+w AS (SELECT pos, least(greatest(pos, 5), 58) AS mid FROM (SELECT unnest(range(64)) AS pos)),
+c AS (SELECT vec_id, pos, any_value(pos - mid) AS t, avg(v) AS m, sum(v * (j - mid)) / 110 AS b1, sum(v * ((j - mid) * (j - mid) - 10)) / 858 AS b2 FROM e JOIN w ON j BETWEEN mid - 5 AND mid + 5 GROUP BY vec_id, pos)"""
+
+
+@query(f"WITH {PARABOLAS} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(b1 + 2 * t * b2, 6) + 0.0 AS v FROM c")
+def smoothed_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First derivative of local parabolas."""
+    out = spectra.preprocess(samples(spark, sf_dir).select("vec_id", "x"), "x", ["sg_d1"])
+    return rounded(out.select("vec_id", F.posexplode("x").alias("pos", "v")))
+
+
+@query(f"""
+WITH {PARABOLAS}, g AS (SELECT vec_id, pos, m + b1 * t + b2 * (t * t - 10) AS v FROM c)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((v - avg(v) OVER p) / CASE WHEN stddev_pop(v) OVER p = 0 THEN 1 ELSE stddev_pop(v) OVER p END, 6) + 0.0 AS v FROM g WINDOW p AS (PARTITION BY vec_id)
+""")
+def dataset_preprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothing, then SNV, as datasets are loaded."""
+    out = spectra.preprocess_dataset(samples(spark, sf_dir).select("vec_id", "x"), "x", 64)
+    return rounded(out.select("vec_id", F.posexplode("x").alias("pos", "v")))
+
+
 def absorption_pair(rows: np.ndarray) -> np.ndarray:
     return np.stack(spectra.band_absorption(rows, WAVES), axis=1)
 
@@ -1247,3 +1372,45 @@ def symptom_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 3 WHEN o_totalprice / 100000 >= 2.5 THEN 0 WHEN o_totalprice / 100000 >= 1.5 THEN 2 ELSE 3 END AS class FROM orders")
 def flavonol_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", labels.flavonol_class(F.col("o_totalprice").cast("double") / 100000).alias("class"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, lower('Brand#' || s_suppkey % 60) AS n FROM supplier),
+p AS (SELECT lower(trim(p_brand)) AS t, p_partkey, CASE p_size % 4 WHEN 1 THEN 'Healthy ' || p_type WHEN 2 THEN p_type || '  WATER   stress' WHEN 3 THEN 'mildew' ELSE ' ' END AS text, p_retailprice / 500 AS v FROM part),
+r AS (SELECT t, max(p_partkey) AS p_partkey FROM p GROUP BY t),
+m AS (SELECT s_suppkey, arg_max(r.p_partkey, (t = n, r.p_partkey)) AS p_partkey, bool_or(t = n) AS same FROM s JOIN r ON contains(t, n) OR contains(n, t) GROUP BY s_suppkey)
+SELECT s_suppkey, CASE WHEN contains(text, 'Healthy') THEN 0 WHEN text = 'mildew' THEN 2 WHEN contains(text, 'WATER') THEN 3 WHEN v >= 2.5 THEN 0 WHEN v >= 1.5 THEN 2 ELSE 3 END AS class,
+  CASE WHEN same THEN 'exact' WHEN m.p_partkey IS NOT NULL THEN 'contains' END AS matched
+FROM s LEFT JOIN m USING (s_suppkey) LEFT JOIN p ON p.p_partkey = m.p_partkey
+""")
+def classes_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last truth row of a sample's name, exact or containing either way, gives its class by text, else by value."""
+    size = F.col("p_size") % 4
+    text = F.when(size == 1, F.concat(F.lit("Healthy "), "p_type")).when(size == 2, F.concat("p_type", F.lit("  WATER   stress"))).when(size == 3, "mildew").otherwise(" ")
+    known = table(spark, sf_dir, "part").select("p_brand", "p_partkey", text.alias("text"), (F.col("p_retailprice") / 500).alias("v"))
+    names = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), F.col("s_suppkey") % 60).alias("name"))
+    return truth.class_of(names, known, "name", "p_brand", "text", "p_partkey", "v").select("s_suppkey", "class", "matched")
+
+
+@query("""
+WITH t AS (SELECT o_orderpriority AS dataset, o_orderstatus AS target, count(*) AS n, min(o_orderkey) AS place FROM orders WHERE o_totalprice > 1000 GROUP BY ALL),
+c AS (SELECT dataset, target, model, n FROM t JOIN (VALUES ('1-URGENT', 'P', 'ridge'), ('1-URGENT', 'F', 'pls'), ('2-HIGH', 'none', 'pls')) v(dataset, target, model) USING (dataset, target)
+  UNION ALL SELECT dataset, arg_min(target, place), 'pls', arg_min(n, place) FROM t WHERE dataset NOT IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY dataset)
+SELECT dataset, target, s.selector, model, CAST(e.seed AS INTEGER) AS seed FROM c, (VALUES ('correlation'), ('lasso')) s(selector), (VALUES (1), (2), (3)) e(seed)
+WHERE n >= 20 AND NOT (seed = 1 AND selector = 'lasso' AND dataset IN (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'O'))
+""")
+def open_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default and named targets of each dataset by selector and seed, without the excluded set and what is done."""
+    orders = table(spark, sf_dir, "orders")
+    targets = orders.where("o_totalprice > 1000").groupBy(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("target")).agg(F.count("*").alias("n_finite"), F.min("o_orderkey").alias("position"))
+    grid = truth.default_tasks(targets, ["correlation", "lasso"], [1, 2, 3], [("1-URGENT", "P", "ridge"), ("1-URGENT", "F", "pls"), ("2-HIGH", "none", "pls")], ["5-LOW"])
+    done = orders.where("o_orderstatus = 'O'").select(F.col("o_orderpriority").alias("dataset"), F.lit("lasso").alias("selector"), F.lit(1).alias("seed"))
+    return tables.remaining(grid, done, ["dataset", "selector", "seed"])
+
+
+@query("SELECT count(*) AS n, CAST(min(len(x)) AS INTEGER) AS least_features, CAST(max(len(x)) AS INTEGER) AS most_features, count(*) FILTER (WHERE grp IS NULL) AS null_grp, count(*) - count(label) AS null_label FROM (SELECT label, CASE WHEN vec_id % 7 > 0 THEN vec_id % 25 END AS grp, CASE WHEN vec_id % 9 = 0 THEN embedding[1:60] ELSE embedding END AS x FROM embeddings)")
+def dataset_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, widths and missing keys of a dataset with gaps."""
+    x = F.when(F.col("vec_id") % 9 == 0, F.slice("x", 1, 60)).otherwise(F.col("x"))
+    df = samples(spark, sf_dir).select("label", F.when(F.col("vec_id") % 7 > 0, F.col("grp")).alias("grp"), x.alias("features"))
+    return tables.dataset_checks(df, keys=["grp", "label"])

@@ -691,3 +691,25 @@ def test_more_models_against_rows(data):
     assert np.allclose(slope[w != 0], 0.05 * np.sign(w[w != 0]), atol=1e-5) and (np.abs(slope[w == 0]) <= 0.05 + 1e-5).all()
     out = models.tree_predictions(df, "x", "y", "fold", "boosted_trees", trees=3)
     assert out.count() == 120 and out.where(F.col("y_pred").isNull()).count() == 0
+
+
+def test_strata_lower_their_number_in_two_passes(spark):
+    """Ties, missing values and empty tables: as many bins as leave a row for every fold, else one."""
+    rng = np.random.default_rng(3)
+    value = np.round(rng.exponential(2, 90), 1)
+    rows = [(i, None if i % 30 == 0 else float(v)) for i, v in enumerate(value)]
+    frame = spark.createDataFrame(rows, "id long, v double")
+    known = np.array([v for _, v in rows if v is not None])
+    for folds, bins in ((3, 6), (8, 12), (20, 5), (60, 4)):
+        got = {r["id"]: r["stratum"] for r in splits.regression_strata(frame, "v", folds, bins).collect()}
+        want = dict.fromkeys(range(90), 0)
+        for n in range(bins, 1, -1):
+            edges = np.unique(np.quantile(known, [i / n for i in range(n + 1)]))
+            tried = {i: -1 if v is None else int((edges[1:-1] <= v + 1e-12).sum()) for i, v in rows}
+            counts = np.unique(list(tried.values()), return_counts=True)[1]
+            if len(counts) > 1 and counts.min() >= folds:
+                want = tried
+                break
+        assert got == want
+    assert splits.regression_strata(frame.limit(0), "v").count() == 0
+    assert {r["stratum"] for r in splits.regression_strata(frame.withColumn("v", F.lit(None).cast("double")), "v").collect()} == {0}

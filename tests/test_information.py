@@ -1,8 +1,9 @@
 """Nearest-neighbour information against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
-from foldlight.operators import information
+from foldlight.operators import information, rowselect
 from foldlight.plans import evaluate
 from pyspark.sql import functions as F
 
@@ -64,3 +65,33 @@ def test_choices_by_nearest_information(spark, data):
         mi = [brute(x[rows, j] + 1e-10 * j, y[rows]) for j in range(6)]
         assert 0 in got and set(got.tolist()) <= set(np.argsort(mi)[-4:].tolist())
     assert frame.where(F.col("fold") == 1).count() > 0
+
+
+def test_row_selectors_by_name(spark, data):
+    """Rank correlations equal pandas' with ties and gaps; a selector of one's own takes part by its name."""
+    x, y = data
+    x = x.copy()
+    x[::7, 1] = np.nan
+    frame = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in x[i]], float(y[i]) if i % 9 else None, i % 2) for i in range(len(y))], "id long, x array<double>, y double, part int")
+    got = {(r["part"], r["pos"]): r["score"] for r in rowselect.rank_correlation(frame, "x", "y", None, "part").collect()}
+    keep = np.arange(len(y)) % 9 > 0
+    for s in (0, 1):
+        rows = keep & (np.arange(len(y)) % 2 == s)
+        for j in range(6):
+            want = pd.Series(x[rows, j]).where(pd.notna(x[rows, j])).rank()
+            both = pd.notna(want)
+            r = pd.Series(x[rows, j])[both].rank().corr(pd.Series(y[rows])[both].rank())
+            assert got[s, j] == pytest.approx(0.0 if np.isnan(r) else abs(r), abs=1e-12)
+    assert rowselect.rank_correlation(frame.limit(0), "x", "y", None, "part").count() == 0
+
+    def last_wins(rows, features, target, key, by):
+        return rows.select(by, F.posexplode(features).alias("pos", "v")).groupBy(by, "pos").agg(F.max(F.col("pos").cast("double")).alias("score"))
+
+    rowselect.ROW_SELECTORS["last_wins"] = last_wins
+    try:
+        chosen = evaluate.choices_by_rows(frame, "id", "x", "y", "part", 2, "last_wins")
+    finally:
+        del rowselect.ROW_SELECTORS["last_wins"]
+    assert [c.tolist() for c in chosen] == [[4, 5]] * 3
+    with pytest.raises(ValueError, match="unknown selector"):
+        evaluate.choices_by_rows(frame, "id", "x", "y", "part", 2, "no_such")
