@@ -569,6 +569,9 @@ pl AS (SELECT g, kind, row_number() OVER (PARTITION BY kind ORDER BY md5('42|' |
 fd AS (SELECT g, CAST(CASE WHEN r < even * {folds} THEN r % {folds} ELSE pick - 1 END AS INTEGER) AS fold FROM pl JOIN (SELECT DISTINCT kind, even FROM it) USING (kind) LEFT JOIN st ON st.kind = pl.kind AND st.j = r - even * {folds} + 1)"""
 
 
+ORACLE["folds_stratified_grouped"] = f"WITH RECURSIVE {greedy_sql(5)} SELECT fold, label, count(*) AS n FROM embeddings JOIN fd ON vec_id % 25 = g GROUP BY ALL"
+
+
 @query(f"WITH RECURSIVE {greedy_sql(5)} SELECT vec_id, fold FROM embeddings JOIN fd ON vec_id % 25 = g")
 def folds_of_stratified_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole groups to folds so that class shares stay even, row by row."""
@@ -1159,6 +1162,31 @@ def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long.where(F.col("name").isin(wanted)), 3)
 
 
+@query("""
+WITH px AS (SELECT vec_id // 20 AS image, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE label <> 0),
+ms AS (SELECT image, pos, 400 + 600 * pos / 63 AS wl, avg(v) AS v FROM px GROUP BY ALL),
+sn AS (SELECT image, pos, wl, (v - avg(v) OVER p) / CASE WHEN stddev_pop(v) OVER p = 0 THEN 1 ELSE stddev_pop(v) OVER p END AS v FROM ms WINDOW p AS (PARTITION BY image)),
+w AS (SELECT pos AS mid_of, least(greatest(pos, 5), 58) AS mid FROM (SELECT unnest(range(64)) AS pos)),
+d AS (SELECT image, mid_of AS pos, 400 + 600 * mid_of / 63 AS wl, sum(v * (pos - mid)) / 110 + 2 * any_value(mid_of - mid) * sum(v * ((pos - mid) * (pos - mid) - 10)) / 858 AS v FROM sn JOIN w ON pos BETWEEN mid - 5 AND mid + 5 GROUP BY image, mid_of),
+b AS (SELECT image, wl AS x, v, CASE WHEN first_value(v) OVER o > 0 THEN first_value(v) OVER o ELSE 1e-9 END AS a, CASE WHEN last_value(v) OVER o > 0 THEN last_value(v) OVER o ELSE 1e-9 END AS z, min(wl) OVER o AS x0, max(wl) OVER o AS x1 FROM ms WHERE wl BETWEEN 410 AND 510
+  WINDOW o AS (PARTITION BY image ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT image, x, v / (a + (z - a) * (x - x0) / (x1 - x0)) AS r FROM b),
+t AS (SELECT *, lag(x) OVER o AS px, lag(r) OVER o AS pr FROM r WINDOW o AS (PARTITION BY image ORDER BY x)),
+ab AS (SELECT image, 1 - min(r) AS depth, sum((greatest(1 - r, 0) + greatest(1 - pr, 0)) / 2 * (x - px)) AS area FROM t GROUP BY image),
+pk AS (SELECT image, name, arg_max(struct_pack(wl := wl, v := v), (abs(v), -pos)) AS b FROM d, (VALUES ('red', 680, 760), ('blue', 430, 510), ('all', 0, 9999)) q(name, low, high) WHERE wl BETWEEN low AND high GROUP BY ALL)
+SELECT image, 'snv_R' || CAST(round(wl) AS INTEGER) AS name, round(v, 4) + 0.0 AS value FROM sn UNION ALL SELECT image, 'd1snv_R' || CAST(round(wl) AS INTEGER), round(v, 4) + 0.0 FROM d
+UNION ALL SELECT image, 'cont_BandI_depth', round(depth, 1) + 0.0 FROM ab UNION ALL SELECT image, 'cont_BandI_area', round(area, 1) + 0.0 FROM ab
+UNION ALL SELECT image, 'd1_' || name || '_peak_wl', round(b.wl, 4) FROM pk UNION ALL SELECT image, 'd1_' || name || '_peak_value', round(b.v, 4) + 0.0 FROM pk
+""")
+def feature_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of feature_vectors that comes from each image's mean spectrum: SNV, slopes, absorption and peaks."""
+    rows, _ = features.build_dataset(spectral_pixels(spark, sf_dir), "image", "x", "in_mask", WAVES)
+    names = F.array(*map(F.lit, features.names(WAVES)))
+    long = rows.select("image", F.posexplode(F.arrays_zip(names.alias("name"), "features"))).select("image", F.col("col.name").alias("name"), F.col("col.features").alias("value"))
+    spectral = long.where(F.col("name").rlike("^(snv_R|d1snv_R|cont_|d1_)"))
+    return spectral.withColumn("value", F.when(F.startswith("name", F.lit("cont_")), F.round("value", 1)).otherwise(F.round("value", 4)) + F.lit(0.0))
+
+
 @query()
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = features.build_dataset(spectral_pixels(spark, sf_dir), "image", "x", "in_mask", WAVES)
