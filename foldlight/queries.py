@@ -747,6 +747,39 @@ def significance_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.overall(stats.false_discovery(stats.paired_tests(results(spark, sf_dir), ["event_type"])))
 
 
+def supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few pairs a nation, with ties; in every fifth nation all differences agree."""
+    a, u = F.floor(F.col("s_acctbal") / 1000) / 10, F.floor(unit_number(F.col("s_suppkey").cast("string")) * 10) / 10
+    return table(spark, sf_dir, "supplier").select("s_nationkey", a.alias("apparent"), F.when(F.col("s_nationkey") % 5 == 0, a - 0.25).otherwise(u).alias("nested"))
+
+
+PAIRED = """r AS (SELECT s_suppkey, s_nationkey, a AS apparent, CASE WHEN s_nationkey % 5 = 0 THEN a - CAST(0.25 AS DOUBLE) ELSE u END AS nested FROM (SELECT *, floor(s_acctbal / 1000) / 10 AS a, floor(CAST('0x' || substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * 10) / 10 AS u FROM supplier)),
+d AS (SELECT *, apparent - nested AS d FROM r),
+b AS (SELECT s_nationkey, count(*) AS n, count(DISTINCT d) AS n_unique_diff, avg(d) AS mean_bias, stddev_samp(d) AS sd, max(abs(d - f)) <= 1e-12 + 1e-5 * abs(any_value(f)) AS degenerate FROM (SELECT *, min(d) OVER (PARTITION BY s_nationkey) AS f FROM d) GROUP BY 1),
+k AS (SELECT s_nationkey, d, rank() OVER (PARTITION BY s_nationkey ORDER BY abs(d)) + (count(*) OVER (PARTITION BY s_nationkey, abs(d)) - 1) / 2 AS rk FROM d WHERE d <> 0),
+w AS (SELECT s_nationkey, list(CAST(2 * rk AS BIGINT)) AS rs, least(coalesce(sum(rk) FILTER (WHERE d < 0), 0), coalesce(sum(rk) FILTER (WHERE d > 0), 0)) AS stat FROM k GROUP BY 1),
+p AS (SELECT s_nationkey, stat, least(1.0, 2 * len(list_filter(range(CAST(2 ** len(rs) AS BIGINT)), lambda m: list_sum(list_transform(range(1, len(rs) + 1), lambda i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN rs[i] ELSE 0 END)) <= 2 * stat)) / 2 ** len(rs)) AS p FROM w),
+c AS (SELECT x.s_nationkey, avg(sign(x.apparent - y.nested)) AS delta FROM r x JOIN r y USING (s_nationkey) GROUP BY 1),
+z AS (SELECT b.s_nationkey, n, n_unique_diff, mean_bias, degenerate, CASE WHEN NOT degenerate THEN stat END AS wilcoxon_stat, CASE WHEN NOT degenerate THEN p END AS p_value, CASE WHEN NOT degenerate THEN delta END AS cliffs_delta,
+  CASE WHEN NOT degenerate AND n > 1 AND sd <> 0 THEN mean_bias / sd END AS cohens_d, n < 6 AS low_n_warning FROM b LEFT JOIN p USING (s_nationkey) LEFT JOIN c USING (s_nationkey)),
+q AS (SELECT s_nationkey, min(x) OVER (ORDER BY p_value DESC RANGE UNBOUNDED PRECEDING) AS fdr FROM (SELECT *, p_value * count(*) OVER () / count(*) OVER (ORDER BY p_value RANGE UNBOUNDED PRECEDING) AS x FROM z WHERE p_value IS NOT NULL)),
+t AS (SELECT z.*, CASE WHEN fdr IS NOT NULL THEN least(1.0, fdr) END AS p_value_fdr, coalesce(fdr < 0.05, false) AS significant_fdr FROM z LEFT JOIN q USING (s_nationkey))"""
+
+
+@query(f"""
+WITH {PAIRED} SELECT s_nationkey, n, n_unique_diff, round(mean_bias, 9) + 0.0 AS mean_bias, degenerate, round(wilcoxon_stat, 9) AS wilcoxon_stat, round(p_value, 9) AS p_value, round(cliffs_delta, 9) + 0.0 AS cliffs_delta, round(cohens_d, 9) + 0.0 AS cohens_d, low_n_warning,
+  CASE WHEN cliffs_delta IS NULL THEN 'n/a' WHEN abs(cliffs_delta) < 0.147 THEN 'negligible' WHEN abs(cliffs_delta) < 0.33 THEN 'small' WHEN abs(cliffs_delta) < 0.474 THEN 'medium' ELSE 'large' END AS cliffs_interpretation, round(p_value_fdr, 9) AS p_value_fdr, significant_fdr FROM t
+""")
+def exact_paired_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed rank tests over all sign flips, effect sizes and false-discovery rates of each nation's pairs."""
+    return rounded(stats.false_discovery(stats.paired_tests(supplier_pairs(spark, sf_dir), ["s_nationkey"])), 9)
+
+
+@query(f"WITH {PAIRED} SELECT count(*) AS n_combos, count(*) FILTER (WHERE mean_bias > 0) AS n_positive, count(*) FILTER (WHERE significant_fdr) AS n_significant, count(p_value) AS n_tested, count(*) FILTER (WHERE degenerate) AS n_degenerate FROM t")
+def exact_paired_tests_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.overall(stats.false_discovery(stats.paired_tests(supplier_pairs(spark, sf_dir), ["s_nationkey"])))
+
+
 @query(f"""
 WITH {RESULTS}, l AS (SELECT event_type, 'apparent' AS arm, apparent AS v FROM r UNION ALL SELECT event_type, 'nested', nested FROM r),
 e AS (SELECT event_type, min(v) AS low, max(v) AS high FROM l GROUP BY 1)
