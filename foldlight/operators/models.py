@@ -285,8 +285,8 @@ def mutual_information(df: DataFrame, features: str, target: str, bins: int = 8,
     by = by or []
     grid = [i / bins for i in range(1, bins)]
     long = df.select(*by, F.col(target).alias("y"), F.posexplode(features).alias("pos", "x"))
-    ex = exact_quantiles(long, [*by, "pos"], "x", grid).withColumnRenamed("quantiles", "ex")
-    ey = exact_quantiles(df.select(*by, target), by, target, grid).withColumnRenamed("quantiles", "ey")
+    ex = exact_quantiles(long, [*by, "pos"], "x", grid, weights=True).withColumnRenamed("quantiles", "ex")
+    ey = exact_quantiles(df.select(*by, target), by, target, grid, weights=True).withColumnRenamed("quantiles", "ey")
     edges = ex.join(ey, by) if by else ex.crossJoin(F.broadcast(ey))  # one row
     cells = long.join(edges, [*by, "pos"]).select(*by, "pos", F.size(F.filter("ex", lambda e: e <= F.col("x"))).alias("bx"), F.size(F.filter("ey", lambda e: e <= F.col("y"))).alias("by_"))
     joint = cells.groupBy(*by, "pos", "bx", "by_").agg(F.count("*").alias("n"))

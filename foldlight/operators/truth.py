@@ -114,7 +114,7 @@ def default_tasks(targets: DataFrame, selectors: list[str], seeds: list[int], co
 def iqr_bounds(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """One row with low and high bounds of each column, of its non-null and non-NaN values."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("s")).select("s.*")
-    quartiles = exact_quantiles(long, ["name"], "v", [0.25, 0.75])
+    quartiles = exact_quantiles(long, ["name"], "v", [0.25, 0.75], weights=True)
     aggs = []
     for c in columns:
         q1, q3 = (F.max(F.when(F.col("name") == c, F.get("quantiles", F.lit(i)))) for i in (0, 1))
