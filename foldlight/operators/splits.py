@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles
 
-#: Rows of a bucket of ranked(), on average, and buckets that are summed up in one window.
-BUCKET_ROWS, SPAN = 4096, 1024
+#: Rows of a bucket of ranked(), on average, buckets that are summed up in one window, rows that a task sorts, and
+#: counts of buckets that are sent to the rows.
+BUCKET_ROWS, SPAN, TASK_ROWS, SENT = 4096, 1024, 1 << 19, 1 << 17
 
 
 def shuffle_key(key: Column, seed: int) -> Column:
@@ -31,22 +32,30 @@ def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") ->
     return left.alias("l").join(right.alias("r"), same, how).select("l.*", *(F.col(f"r.`{c}`") for c in right.columns if c not in on))
 
 
-def ranked(df: DataFrame, order: Column, by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Adds `name` (from 0) in the order of an md5 text, inside each combination of `by` if given.
+def ranked(df: DataFrame, order: Column, by: list[str] | None = None, name: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds `name` (from 0) in the order of an md5 text, inside each combination of `by` if given, and with `size` the
+    rows of the combination under that name.
 
-    Rows are dealt to even buckets of the order, as many as the table needs; rows before a bucket come from two
-    levels of bucket counts. So no window holds more than about a bucket or SPAN buckets' counts.
+    Rows are dealt to even buckets of the order, as many as the largest combination needs, and to tasks of about
+    TASK_ROWS; rows before a bucket come from two levels of bucket counts. So no window holds more than about a bucket
+    or SPAN buckets' counts.
     """
     by = by or []
-    buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n")).agg(F.max("__n").alias("most"), F.sum("__n").alias("rows"), F.count("*").alias("groups")).first()
+    buckets = max(1, -(-(sizes["most"] or 0) // BUCKET_ROWS))
     at = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets)
-    dealt = df.withColumn("__order", order).withColumn("__bucket", at)
+    dealt = df.withColumn("__order", order).withColumn("__bucket", at).withColumn("__order", F.unhex("__order"))
     counts = dealt.groupBy(*by, "__bucket").agg(F.count("*").alias("__n")).withColumn("__span", F.floor(F.col("__bucket") / SPAN))
     sums = counts.groupBy(*by, "__span").agg(F.sum("__n").alias("__n"))
     upto = lambda order_, *of: F.coalesce(F.sum("__n").over(Window.partitionBy(*by, *of).orderBy(order_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = sums.withColumn("__far", upto("__span")).drop("__n")
-    before = met(counts.withColumn("__near", upto("__bucket", "__span")), spans, [*by, "__span"]).select(*by, "__bucket", (F.col("__far") + F.col("__near")).alias("__before"))
+    whole = F.sum("__n").over(Window.partitionBy(*by))  # one row a span
+    spans = sums.withColumns({"__far": upto("__span")} | ({size: whole} if size else {})).drop("__n")
+    extra = [size] if size else []
+    before = met(counts.withColumn("__near", upto("__bucket", "__span")), spans, [*by, "__span"]).select(*by, "__bucket", *extra, (F.col("__far") + F.col("__near")).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy("__order")) - 1
+    before = F.broadcast(before) if buckets * sizes["groups"] <= SENT else before
+    if (sizes["rows"] or 0) > TASK_ROWS:
+        dealt = dealt.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes["rows"] // TASK_ROWS)), *by, "__bucket")
     return met(dealt.withColumn("__inside", inside), before, [*by, "__bucket"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__order", "__bucket", "__inside", "__before")
 
 
@@ -180,9 +189,7 @@ def holdout(df: DataFrame, key: str, share: float = 0.2, group: str | None = Non
         groups = ranked(df.select(group).distinct(), shuffle_key(F.col(group), seed), name="__rank")
         n = groups.count()
         return met(df, groups.select(group, (F.col("__rank") < F.ceil(F.lit(n * share))).alias("is_test")), [group])
-    by = [label] if label else []
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__size"))
-    rows = met(ranked(df, shuffle_key(F.col(key), seed), by, "__rank"), sizes, by)
+    rows = ranked(df, shuffle_key(F.col(key), seed), [label] if label else [], "__rank", "__size")
     return rows.withColumn("is_test", F.col("__rank") < F.round(F.col("__size") * share)).drop("__rank", "__size")
 
 
@@ -241,9 +248,8 @@ def row_split_search(df: DataFrame, key: str, group: str, label: str, seeds: lis
     """(seed, kl, leaked, score) of each seed's hold-out by rows within classes, which may tear groups apart: a group's
     sides are two bits, joined by OR; score is kl + 100 x the groups on both sides."""
     slim = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(label).alias("c"))
-    sizes = slim.groupBy("c").agg(F.count("*").alias("n"))
     order = F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.coalesce(F.col("k").cast("string"), F.lit(""))))
-    rows = met(ranked(seeded_tries(slim, seeds), order, ["seed", "c"]), sizes, ["c"]).select("seed", "g", "c", (F.col("rank") < F.round(F.col("n") * share)).alias("is_test"))
+    rows = ranked(seeded_tries(slim, seeds), order, ["seed", "c"], size="n").select("seed", "g", "c", (F.col("rank") < F.round(F.col("n") * share)).alias("is_test"))
     shares = rows.groupBy("seed", "c").agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train"))
     sides = rows.groupBy("seed", "g").agg(F.bit_or(F.when(F.col("is_test"), 2).otherwise(1)).alias("sides")).groupBy("seed").agg(F.count_if(F.col("sides") == 3).alias("leaked"))
     return divergence(shares).join(sides, "seed").withColumn("score", F.col("kl") + 100.0 * F.col("leaked"))

@@ -1,7 +1,9 @@
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from foldlight.operators import quantiles, truth
+from foldlight.operators import quantiles, splits, truth
 
 
 def test_quantiles_of_copies_round_as_duckdb_does(spark):
@@ -27,3 +29,17 @@ def test_quantiles_leave_rows_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
     assert "BroadcastHashJoin" in plan
+
+
+def test_ranked_deals_large_tables_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "TASK_ROWS", 100)
+    monkeypatch.setattr(splits, "BUCKET_ROWS", 16)
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("c"))
+    out = splits.ranked(df, splits.shuffle_key(F.col("id"), 1), ["c"], size="n")
+    assert out.rdd.getNumPartitions() >= 20  # and not as few as spark.sql.shuffle.partitions
+    want = sorted((hashlib.md5(f"1|{i}".encode()).hexdigest(), i) for i in range(2000))
+    place, seen = {}, {0: 0, 1: 0, 2: 0}
+    for _, i in want:
+        place[i] = seen[i % 3]
+        seen[i % 3] += 1
+    assert all(r["rank"] == place[r["id"]] and r["n"] == seen[r["id"] % 3] for r in out.collect())
