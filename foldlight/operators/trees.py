@@ -8,7 +8,8 @@ out. A pass shuffles a histogram for each block and node, whatever the number of
 have a bound by depth, go through the driver and back to the tasks.
 
 A table of at most SMALL bytes is sent to the tasks instead and each fit grown whole in one of them: same
-histograms, same splits.
+histograms, same splits. A larger one of at most FIT_ROWS rows is dealt out by fit, as bins of a byte, so that a task
+holds the rows of one fit; only beyond that do fits grow in passes.
 
 Ties between splits go to the first feature and the lowest bin. Rows whose target or any feature is null or not
 finite don't count, nor do those with a null fold.
@@ -30,6 +31,8 @@ from .quantiles import exact_quantiles
 
 #: Bytes of rows that are sent to the tasks, rows of a block beyond that, and nodes of all trees of a lot.
 SMALL, BLOCK_ROWS, LOT_NODES = 32 << 20, 1 << 18, 1 << 22
+#: Rows of a fit that a task holds, of about 200 bytes while it grows.
+FIT_ROWS = 1 << 20
 #: A split must lower the squared error by this share of the node's.
 LEAST_GAIN = 1e-9
 
@@ -115,9 +118,12 @@ def histogram(bins: np.ndarray, node: np.ndarray, w: np.ndarray, wy: np.ndarray,
         return {}
     nodes, rank = np.unique(node, return_inverse=True)
     k = bins.shape[1]
-    cell = ((rank[:, None] * k + np.arange(k)) * n_bins + bins).ravel()
-    size = len(nodes) * k * n_bins
-    sums = np.stack([np.bincount(cell, np.repeat(v, k), size).reshape(len(nodes), k, n_bins) for v in (w, wy)], axis=1)
+    place, size = rank * n_bins, len(nodes) * n_bins
+    # a feature at a time, so that a cell's number is all that is made for a row
+    sums = np.empty((len(nodes), 2, k, n_bins))
+    for j in range(k):
+        cell = place + bins[:, j]
+        sums[:, 0, j], sums[:, 1, j] = (np.bincount(cell, v, size).reshape(-1, n_bins) for v in (w, wy))
     return dict(zip(nodes.tolist(), sums, strict=True))
 
 
@@ -213,10 +219,49 @@ def scores_of_small(rows: pd.DataFrame, fits: list[Fit], model: TreeModel, bases
     return tasks.mapInPandas(run, FIELDS)
 
 
-def train_edges(rows: DataFrame, folds: list[int], bins: int, width: int) -> dict[int, list[np.ndarray]]:
-    """For each fold and feature the distinct quantiles of the rows of all other folds: folds x features rows."""
+def scores_by_fit(rows: DataFrame, fits: list[Fit], model: TreeModel, edges: dict[int, list[np.ndarray]], bases: dict[int, float], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Test sums of each fit; its rows, as bins, meet in one task and it is grown there."""
+    sent = rows.sparkSession.sparkContext.broadcast((fits, edges, bases))
+    names = ["i", "bins", "y", "fold", "id"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, edges, _ = sent.value
+        for x, y, fold, ids in blocks(batches, min(block_rows, 1 << 14)):
+            for i, fit in enumerate(every):
+                bins = binned(x[:, list(fit.chosen)], [edges[fit.fold][j] for j in fit.chosen])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (bins, y, fold, ids))], names)
+
+    def grow(i: int, held: list[list[bytes]]) -> pa.RecordBatch:
+        every, _, bases = sent.value
+        fit = every[i]
+        bins, y, fold, ids = (np.concatenate([np.frombuffer(h[c], t) for h in held]) for c, t in enumerate((np.uint8, float, np.int64, np.int64)))
+        order = np.lexsort((y, ids))  # so that sums come out the same however the table is split
+        bins, y, ids, train = bins.reshape(len(y), -1)[order], y[order], ids[order], fold[order] != fit.fold
+        forest = grown(fit, model, bins, y, ids, train, bases[fit.fold])
+        sums = sums_of(y[~train], predicted(forest, bins[~train], model, bases[fit.fold]))
+        return pa.RecordBatch.from_arrays([pa.array([fit.number], pa.int32()), *(pa.array([float(v)]) for v in sums)], ["fit", "n", "s", "ss", "sse"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:  # sorted by fit: the rows of one fit are held at a time
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if held and row[0] != at:
+                    yield grow(at, held)
+                    held = []
+                at = row[0]
+                held.append(row[1:])
+        if held:
+            yield grow(at, held)
+
+    dealt = rows.mapInArrow(deal, "i int, bins binary, y binary, fold binary, id binary").repartitionById(len(fits), "i").sortWithinPartitions("i")
+    return dealt.mapInArrow(run, FIELDS)
+
+
+def train_edges(rows: DataFrame, folds: list[int], bins: int, width: int, used: list[int]) -> dict[int, list[np.ndarray]]:
+    """For each fold and used feature the distinct quantiles of the rows of all other folds: folds x features rows."""
     member = F.array_compact(F.array(*(F.when(F.col("fold") != k, F.lit(k)) for k in folds)))
-    long = rows.select(F.explode(member).alias("set"), "x").select("set", F.posexplode("x").alias("pos", "v"))
+    values = F.array(*(F.struct(F.lit(j).alias("pos"), F.get("x", F.lit(j)).alias("v")) for j in used))
+    long = rows.select(F.explode(member).alias("set"), values.alias("x")).select("set", F.explode("x").alias("p")).select("set", "p.*")
     out = {k: [np.zeros(0)] * width for k in folds}
     for r in exact_quantiles(long, ["set", "pos"], "v", quantile_steps(bins)).collect():
         out[r["set"]][r["pos"]] = np.unique(r["quantiles"])
@@ -322,7 +367,7 @@ def scores_by_level(rows: DataFrame, fits: list[Fit], model: TreeModel, edges: d
     return rows.mapInArrow(run, FIELDS).groupBy("fit").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss", "sse")))
 
 
-def tree_sums(df: DataFrame, key: str, features: str, target: str, fold: str, fits: list[Fit], model: TreeModel, small: int = SMALL, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def tree_sums(df: DataFrame, key: str, features: str, target: str, fold: str, fits: list[Fit], model: TreeModel, small: int = SMALL, block_rows: int = BLOCK_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(fit, n, s, ss, sse): rows, sums of the target (less its mean over all rows) and of its squares, and the squared
     error on each fit's test rows, those of its fold."""
     spark = df.sparkSession
@@ -338,7 +383,10 @@ def tree_sums(df: DataFrame, key: str, features: str, target: str, fold: str, fi
         # sorted, so that sums come out the same however the table is split
         return scores_of_small(rows.toPandas().sort_values(["id", "y"], kind="stable"), fits, model, bases, spark)
     rows, out = rows.persist(), None
-    edges = train_edges(rows, sorted(by_fold), model.bins, facts["p"])
+    used = sorted({j for f in fits for j in f.chosen})
+    edges = train_edges(rows, sorted(by_fold), model.bins, facts["p"], used) if used else {k: [np.zeros(0)] * facts["p"] for k in by_fold}
+    if facts["n"] <= fit_rows:
+        return scores_by_fit(rows, fits, model, edges, bases, block_rows)
     many = max(1, LOT_NODES // (model.trees << (model.depth + 1)))
     for at in range(0, len(fits), many):
         part = scores_by_level(rows, fits[at : at + many], model, edges, bases, block_rows)

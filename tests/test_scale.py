@@ -1,9 +1,10 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from foldlight.operators import pixels, quantiles, splits, truth
+from foldlight.operators import pixels, quantiles, splits, trees, truth
 
 
 def test_quantiles_of_copies_round_as_duckdb_does(spark):
@@ -57,3 +58,17 @@ def test_cluster_rounds_are_one_job_each(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert masks == {r["i"]: r["in_mask"] for r in pixels.cluster_mask(df, "image", "s", "score", place=["i"]).collect()}
     assert jobs < 75  # and not several a round
+
+
+@pytest.mark.parametrize("model", [trees.TreeModel(trees=4, depth=5, bins=8), trees.TreeModel(trees=4, depth=3, bins=8, rate=0.2, l2=1.0, rows=0.9, columns=0.9)])
+def test_trees_of_a_fit_grow_in_one_task_as_by_levels(spark, model, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 5)).round(2)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(x[i, 0] - x[i, 3] ** 2), i % 3) for i in range(300)], "id long, x array<double>, y double, fold int").repartition(3)
+    fits = [trees.Fit(0, 0, (0, 3), 1), trees.Fit(1, 1, (3, 1, 0), 1), trees.Fit(2, 2, (4,), 2)]
+    sums = lambda **ways: {r["fit"]: tuple(r)[1:] for r in trees.tree_sums(df, "id", "x", "y", "fold", fits, model, **ways).collect()}
+    levels, sent = sums(small=0, fit_rows=0), sums()
+    monkeypatch.setattr(trees, "level_splits", None)  # no pass over the rows for each level
+    dealt = sums(small=0)
+    for i in range(3):
+        assert dealt[i] == pytest.approx(levels[i], abs=1e-9) and dealt[i] == pytest.approx(sent[i], abs=1e-9)
