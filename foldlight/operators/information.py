@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .ordered import PARTS, sums_before
+from .ordered import PARTS, kept, released, sums_before
 
-#: Points of a tile on average, and points compared with all others of a tile at once.
-TILE, STRIPE = 2048, 512
+#: Points of a tile on average, points compared with all others of a tile at once, and points whose tables are on disk
+#: at a time (those of a feature at least).
+TILE, STRIPE, LOT = 2048, 512, 1 << 22
 EULER = 0.5772156649015329
 
 
@@ -121,10 +122,10 @@ def radii(points: DataFrame, k: int, tile: int, most: int) -> DataFrame:
     """(s, pos, x, y, m, r): each point's distance to its k-th neighbour; most: points of the largest (s, pos)."""
     parts = int(min(PARTS, max(1, np.ceil(np.sqrt(most / tile)))))
     placed, by_x, by_y = tiled(points, parts)
-    placed = placed.persist()
+    placed = kept(placed)
     own = tile_search(placed.withColumn("asks", F.lit(True)), k)
     if parts > 1:
-        own = own.persist()
+        own = kept(own)
         r = F.least(F.get("near", F.lit(k - 1)), F.lit(1e300))
         reach = placed.join(own, ["s", "pos", "x", "y"]).join(by_x, ["s", "pos"]).withColumn("r", r)
         wide = reach.withColumn("a2", F.explode(F.sequence(part_of(F.col("x") - F.col("r"), "ex"), part_of(F.col("x") + F.col("r"), "ex")))).drop("ex")
@@ -161,10 +162,12 @@ def nearer(points: DataFrame, axis: str) -> DataFrame:
     return asked.join(counts, ["s", "pos", "v"]).groupBy("s", "pos", "x", "y").agg(F.sum(upto).alias("n"))
 
 
-def nearest_information(df: DataFrame, features: str, target: str, key: str | None = None, by: str | None = None, k: int = 3, tile: int = TILE, jitter: float = 1e-10) -> DataFrame:
+def nearest_information(df: DataFrame, features: str, target: str, key: str | None = None, by: str | None = None, k: int = 3, tile: int = TILE, jitter: float = 1e-10, lot: int = LOT) -> DataFrame:
     """(by, pos, mi): each feature's mutual information with the target, for each train set (an integer column `by`) if
     given. Values that aren't finite don't count. With a key, values are moved by about `jitter` of their size, by a hash
-    of the key, so that equal values have an order; without one they stay as they are. Null for fewer than k + 1 rows."""
+    of the key, so that equal values have an order; without one they stay as they are. Null for fewer than k + 1 rows.
+    Features go in lots of about `lot` points, and what a lot left on disk goes before the next; a number for each set
+    and feature comes to the driver."""
     rows = df.select((F.col(by) if by else F.lit(0)).cast("int").alias("s"), F.col(target).cast("double").alias("y"), (F.xxhash64(key) if key else F.lit(0)).alias("h"), F.posexplode(features).alias("pos", "x"))
     good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     rows = rows.withColumn("x", F.col("x").cast("double")).where(good("x") & good("y"))
@@ -177,11 +180,21 @@ def nearest_information(df: DataFrame, features: str, target: str, key: str | No
         u = F.shiftrightunsigned(F.xxhash64("h", "pos" if c == "x" else F.lit(-1)), 11).cast("double") / float(1 << 53) - 0.5
         return F.col(c) / size + u * jitter * F.greatest(F.lit(1.0), F.col(f"m{c}") / size)
 
-    points = rows.join(scale, ["s", "pos"]).select("s", "pos", (scaled("x") + 0.0).alias("x"), (scaled("y") + 0.0).alias("y")).groupBy("s", "pos", "x", "y").agg(F.count("*").alias("m")).persist()
-    most = points.groupBy("s", "pos").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    found = radii(points, k, tile, most).where(F.col("r") != float("inf")).persist()
-    counted = found.join(nearer(found, "x").withColumnRenamed("n", "nx"), ["s", "pos", "x", "y"]).join(nearer(found, "y").withColumnRenamed("n", "ny"), ["s", "pos", "x", "y"])
-    sums = counted.groupBy("s", "pos").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (digamma(F.col("nx")) + digamma(F.col("ny")))).alias("psi"))
-    mi = F.when(F.col("n") > 0, F.greatest(F.lit(0.0), digamma(F.col("n")) + digamma(F.lit(k)) - F.col("psi") / F.col("n")))
-    out = scale.select("s", "pos").join(sums, ["s", "pos"], "left")
-    return out.select(*([F.col("s").alias(by)] if by else []), "pos", mi.alias("mi"))
+    def found(some: DataFrame) -> DataFrame:
+        points = kept(some.join(F.broadcast(scale), ["s", "pos"]).select("s", "pos", (scaled("x") + 0.0).alias("x"), (scaled("y") + 0.0).alias("y")).groupBy("s", "pos", "x", "y").agg(F.count("*").alias("m")))
+        most = points.groupBy("s", "pos").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+        far = kept(radii(points, k, tile, most).where(F.col("r") != float("inf")))
+        counted = far.join(nearer(far, "x").withColumnRenamed("n", "nx"), ["s", "pos", "x", "y"]).join(nearer(far, "y").withColumnRenamed("n", "ny"), ["s", "pos", "x", "y"])
+        sums = counted.groupBy("s", "pos").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (digamma(F.col("nx")) + digamma(F.col("ny")))).alias("psi"))
+        mi = F.when(F.col("n") > 0, F.greatest(F.lit(0.0), digamma(F.col("n")) + digamma(F.lit(k)) - F.col("psi") / F.col("n")))
+        return sums.select("s", "pos", mi.alias("mi"))
+
+    scale = kept(scale)  # sets x features rows
+    known = scale.agg(F.sum("n").alias("n"), F.count_distinct("pos").alias("p")).first()
+    lots = max(1, min(known["p"], -(-(known["n"] or 0) // lot)))
+    rows_found = []
+    for i in range(lots):
+        with released(df):
+            rows_found += [tuple(r) for r in found(rows.where(F.col("pos") % lots == i)).collect()]
+    out = scale.select("s", "pos").join(df.sparkSession.createDataFrame(rows_found, "s int, pos int, mi double"), ["s", "pos"], "left")
+    return out.select(*([F.col("s").alias(by)] if by else []), "pos", "mi")

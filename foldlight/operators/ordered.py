@@ -7,6 +7,10 @@ need no parts: a window holds a group then.
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +19,40 @@ from .splits import met
 PARTS, FEW = 256, 1 << 16
 
 
+KEPT: list[list[DataFrame]] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame, persisted until the innermost released() ends."""
+    df = df.persist()
+    if KEPT:
+        KEPT[-1].append(df)
+    return df
+
+
+@contextmanager
+def released(df: DataFrame) -> Iterator[None]:
+    """What is kept() inside goes at the end, and shuffle files that nothing refers to any more."""
+    KEPT.append([])
+    try:
+        yield
+    finally:
+        for frame in KEPT.pop():
+            frame.unpersist()
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of collected plans
+
+
 def in_parts(rows: DataFrame, by: list[str], value: str, parts: int = PARTS) -> DataFrame:
     """Adds `__part`, ascending with the value inside each combination of `by`. Kept, as it is read more than once."""
     edges = rows.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("__edges"))
     at = F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    return met(rows, edges, by).withColumn("__part", at).drop("__edges").persist()
+    return met(rows, edges, by).withColumn("__part", at).drop("__edges").transform(kept)
 
 
 def sums_before(rows: DataFrame, by: list[str], value: str, sums: list[str], parts: int = PARTS) -> DataFrame:
     """Adds <c>_before for each of `sums`: the sum of c over the rows of smaller value. One row for each (by, value)."""
-    rows = rows.persist()  # read more than once
+    rows = kept(rows)  # read more than once
     earlier = lambda c, order, *of: F.coalesce(F.sum(c).over(Window.partitionBy(*by, *of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if (rows.groupBy(*by).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0) <= FEW:
         return rows.withColumns({f"{c}_before": earlier(c, value) for c in sums})

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldlight.operators import pixels, quantiles, splits, trees, truth
+from foldlight.operators import information, pixels, quantiles, splits, trees, truth
 
 
 def test_quantiles_of_copies_round_as_duckdb_does(spark):
@@ -72,3 +72,13 @@ def test_trees_of_a_fit_grow_in_one_task_as_by_levels(spark, model, monkeypatch)
     dealt = sums(small=0)
     for i in range(3):
         assert dealt[i] == pytest.approx(levels[i], abs=1e-9) and dealt[i] == pytest.approx(sent[i], abs=1e-9)
+
+
+def test_information_in_lots_leaves_nothing_behind(spark):
+    df = spark.createDataFrame([(i, [float(i * 37 % 101), float(i * 53 % 97), float(i % 7)], float(i * 11 % 89), i % 2) for i in range(200)], "id long, x array<double>, y double, part int")
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    whole = {(r["part"], r["pos"]): r["mi"] for r in information.nearest_information(df, "x", "y", by="part", tile=40).collect()}
+    had = held()
+    lots = {(r["part"], r["pos"]): r["mi"] for r in information.nearest_information(df, "x", "y", by="part", tile=40, lot=200).collect()}
+    assert lots == pytest.approx(whole, abs=1e-12) and len(lots) == 6
+    assert held() <= had + 1  # scales of sets and features
