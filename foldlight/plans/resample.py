@@ -10,6 +10,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,13 +247,27 @@ def permutation_grid(df: DataFrame, key: str, features: str, target: str, fold:
         ((1 + F.count_if(F.col("apparent_r2") >= F.col("a"))) / (1 + F.count("*"))).alias("perm_p_value_apparent"))
 
 
-def normal_numbers(n: int, *of: Column) -> Column:
-    """n independent standard normal numbers from hashes of the given columns (Box and Muller)."""
+P1, P2, P3, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
-    def unit(i: Column, part: int) -> Column:
-        return (F.shiftrightunsigned(F.xxhash64(*of, i, F.lit(part)), 11) + 1).cast("double") / float(1 << 53)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(-2 * F.ln(unit(i, 0))) * F.cos(2 * np.pi * unit(i, 1)))
+def hashed(number: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """F.xxhash64(*of, number) for an int, where `before` is F.xxhash64(*of)."""
+    h = (before + P5 + np.uint64(4)) ^ (number * P1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * P2 + P3
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def normal_numbers(of: np.ndarray, n: int) -> np.ndarray:
+    """n independent standard normal numbers for each hash (Box and Muller)."""
+    each = hashed(np.arange(n, dtype=np.uint64), of.view(np.uint64)[:, None])
+    u, v = (((hashed(np.uint64(part), each) >> np.uint64(11)).astype(np.int64) + 1) / float(1 << 53) for part in (0, 1))
+    return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+
+
+#: Rows whose numbers are drawn at once.
+NOISE_ROWS = 1024
 
 
 def noise_rows(df: DataFrame, key: str, p: int, seeds: list[int], folds: int = 5) -> DataFrame:
@@ -260,8 +275,18 @@ def noise_rows(df: DataFrame, key: str, p: int, seeds: list[int], folds: int = 5
     drawn from its key; every row is its own group, folds are random."""
     tries = df.select(key).crossJoin(F.broadcast(df.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))  # the caller's seeds
     placed = ranked(tries, F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.col(key).cast("string"))), ["seed"])
-    drawn = placed.withColumn("_d", normal_numbers(p + 1, F.col("seed"), F.col(key).cast("string")))
-    return drawn.select(key, "seed", F.slice("_d", 1, p).alias("features"), F.get("_d", F.lit(p)).alias("y"), (F.col("rank") % folds).cast("int").alias("fold"))
+    slim = placed.select(key, "seed", (F.col("rank") % folds).cast("int").alias("fold"), F.xxhash64("seed", F.col(key).cast("string")).alias("_h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, NOISE_ROWS):
+                part = batch.slice(at, NOISE_ROWS)
+                drawn = normal_numbers(np.array(part.column("_h")), p + 1)
+                lists = pa.ListArray.from_arrays(np.arange(0, len(drawn) * p + 1, p, dtype=np.int32), pa.array(drawn[:, :p].ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("seed"), lists, pa.array(drawn[:, p]), part.column("fold")], [key, "seed", "features", "y", "fold"])
+
+    # one pass of Python: what follows reads the numbers and doesn't draw them again for each use
+    return slim.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, seed int, features array<double>, y double, fold int")
 
 
 def null_moments(df: DataFrame, key: str, p: int, seeds: list[int], folds: int = 5) -> dict[str, Moments]:

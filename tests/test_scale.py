@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldlight.plans import resample
 from foldlight.operators import information, pixels, quantiles, splits, trees, truth
 
 
@@ -82,3 +83,11 @@ def test_information_in_lots_leaves_nothing_behind(spark):
     lots = {(r["part"], r["pos"]): r["mi"] for r in information.nearest_information(df, "x", "y", by="part", tile=40, lot=200).collect()}
     assert lots == pytest.approx(whole, abs=1e-12) and len(lots) == 6
     assert held() <= had + 1  # scales of sets and features
+
+
+def test_noise_is_drawn_from_spark_hashes(spark):
+    rows = spark.range(50).withColumn("h", F.xxhash64(F.lit(7), F.col("id").cast("string")))
+    unit = lambda i, part: (F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("id").cast("string"), F.lit(i), F.lit(part)), 11) + 1).cast("double") / float(1 << 53)
+    want = rows.select("h", *(F.sqrt(-2 * F.ln(unit(i, 0))) * F.cos(2 * np.pi * unit(i, 1)) for i in range(3))).collect()
+    got = resample.normal_numbers(np.array([r["h"] for r in want]), 3)
+    assert got == pytest.approx(np.array([list(r)[1:] for r in want]), abs=1e-12)
