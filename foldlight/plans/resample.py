@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 from statistics import NormalDist
 
 import numpy as np
@@ -151,15 +149,138 @@ def bootstrap_intervals(predictions: DataFrame, keys: list[str], row_key: list[s
     return table.mapInPandas(run, f"{kinds}, r2 double, low double, high double, method string, n_boot int")
 
 
+#: Rows whose keys are hashed at once, and groups that a task adds up at a time.
+HASHED_ROWS, HELD_GROUPS = 1 << 13, 1 << 10
+MD5_TURN = np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], np.uint32)
+MD5_ADD = (np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint64).astype(np.uint32)
+MD5_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
+
+
+def md5_words(texts: list[bytes], room: int) -> list[np.ndarray]:
+    """The 16 words of an md5 block for each text behind `room` bytes that are still 0; room + text have at most 55 bytes."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    block = np.zeros((len(texts), 64), np.uint8)
+    row, end = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
+    block[row, room + np.arange(len(row)) - np.repeat(end - sizes, sizes)] = np.frombuffer(b"".join(texts), np.uint8)
+    block[np.arange(len(texts)), room + sizes] = 0x80
+    words = block.view("<u4").T.copy()
+    words[14] = 8 * (room + sizes)
+    return [w if w.any() else np.uint32(0) for w in words]
+
+
+def md5_first(words: list[np.ndarray]) -> np.ndarray:
+    """The first four bytes of the md5 of one block, as the number that their hex digits are."""
+    n = max(np.size(w) for w in words)
+    a, b, c, d = (np.full(n, v, np.uint32) for v in MD5_START)
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        turn = i // 16
+        if turn < 2:  # d ^ (b & (c ^ d)), then c ^ (d & (b ^ c))
+            x, y, z = (b, c, d) if turn == 0 else (d, b, c)
+            np.bitwise_xor(y, z, out=f)
+            f &= x
+            f ^= z
+        elif turn == 2:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.bitwise_not(d, out=f)
+            f |= b
+            f ^= c
+        word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16]
+        f += a
+        f += MD5_ADD[i]
+        if np.ndim(word):
+            f += word
+        elif word:
+            f += word
+        by = MD5_TURN[turn, i % 4]
+        np.right_shift(f, np.uint32(32) - by, out=t)
+        f <<= by
+        f |= t
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return (a + MD5_START[0]).byteswap()
+
+
+def key_hashes(texts: list[bytes], head: bytes) -> np.ndarray:
+    """The first 8 hex digits of md5(head + text) as numbers."""
+    out, short = np.empty(len(texts), np.uint32), np.fromiter((len(head) + len(t) <= 55 for t in texts), bool, len(texts))
+    for i in np.flatnonzero(~short):
+        out[i] = int(hashlib.md5(head + texts[i]).hexdigest()[:8], 16)
+    if short.any():
+        out[short] = md5_first(with_head(md5_words([t for t, s in zip(texts, short, strict=True) if s], len(head)), head))
+    return out
+
+
+def with_head(words: list[np.ndarray], head: bytes) -> list[np.ndarray]:
+    add = np.frombuffer(head.ljust(-(-len(head) // 4) * 4, b"\0"), "<u4")
+    return [words[i] | add[i] if i < len(add) else words[i] for i in range(16)]
+
+
 def poisson_intervals(predictions: DataFrame, keys: list[str], row_key: str, n_boot: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Percentile intervals with Poisson(1) weights for each row and replicate, combined before the shuffle."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "b", F.col(row_key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    steps = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(9)]).tolist()  # Poisson(1)
-    weight = reduce(add, ((F.col("u") >= s).cast("int") for s in steps))
-    y, e2 = F.col("y_true"), (F.col("y_true") - F.col("y_pred")) ** 2
-    rows = predictions.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("u", u).withColumn("w", weight)
-    sums = rows.groupBy(*keys, "b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * y).alias("s"), F.sum(F.col("w") * y * y).alias("ss"), F.sum(F.col("w") * e2).alias("sse"))
-    score = 1 - F.try_divide(F.col("sse"), F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
+    """Percentile intervals with Poisson(1) weights for each row and replicate, from md5 of seed, replicate and key. A task
+    hashes the keys of a batch for all replicates at once and sends sums by group; rows are never repeated."""
+    steps = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(9)])  # Poisson(1)
+    least = np.ceil(steps * 2.0**32).astype(np.uint32)
+    y, e2 = F.col("y_true").cast("double"), ((F.col("y_true") - F.col("y_pred")) ** 2).cast("double")
+    text = F.coalesce(F.concat(F.lit("|"), F.col(row_key).cast("string")), F.lit("")).cast("binary")
+    rows = predictions.select(*keys, text.alias("__k"), F.coalesce(y, F.lit(0.0)).alias("__y"), F.coalesce(e2, F.lit(0.0)).alias("__e"), e2.isNotNull().cast("double").alias("__known"))
+    heads = [f"{seed}|{b}".encode() for b in range(1, n_boot + 1)]
+    names = ["n", "s", "ss", "sse"]
+
+    def weights(texts: list[bytes]) -> Iterator[np.ndarray]:
+        """How often each row counts, replicate by replicate."""
+        room: dict[int, list[np.ndarray]] = {}
+        whole = max(map(len, texts)) + max(map(len, heads)) <= 55
+        for head in heads:
+            if whole and len(head) not in room:
+                room = {len(head): md5_words(texts, len(head))}
+            h = md5_first(with_head(room[len(head)], head)) if whole else key_hashes(texts, head)
+            w = np.zeros(len(h), np.uint8)
+            for v in least:
+                w += h >= v
+            yield w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, tuple[list[pa.Scalar], np.ndarray, float]] = {}
+
+        def packed() -> pa.RecordBatch:
+            held = list(total.values())
+            group = [pa.array([g[0][i].as_py() for g in held], g_type) for i, g_type in enumerate(kinds)]
+            lists = [pa.array([g[1][:, c].tolist() for g in held], pa.list_(pa.float64())) for c in range(4)]
+            total.clear()
+            return pa.RecordBatch.from_arrays([*group, pa.array([g[2] for g in held]), *lists], [*keys, "known", *names])
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            for at in range(0, batch.num_rows, HASHED_ROWS):
+                part = batch.slice(at, HASHED_ROWS)
+                code = np.zeros(part.num_rows, np.int64)
+                for k in keys:
+                    coded = part.column(k).dictionary_encode(null_encoding="encode")
+                    code = np.unique(code * (len(coded.dictionary) + 1) + coded.indices.to_numpy(), return_inverse=True)[1]
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+                part = part.take(pa.array(order))
+                v, e = np.array(part.column("__y")), np.array(part.column("__e"))
+                z, known = np.stack((np.ones(len(v)), v, v * v, e), axis=1), np.add.reduceat(np.array(part.column("__known")), starts)
+                w = np.stack(list(weights(part.column("__k").to_pylist())))
+                for i, (low, high) in enumerate(zip(starts, [*starts[1:], len(v)], strict=True)):
+                    group = [part.column(k)[int(low)] for k in keys]
+                    name = tuple(repr(g.as_py()) for g in group)
+                    _, sums, seen = total.get(name, (None, 0, 0.0))
+                    total[name] = group, sums + w[:, low:high].astype(float) @ z[low:high], seen + float(known[i])
+                if len(total) > HELD_GROUPS:
+                    yield packed()
+        if total:
+            yield packed()
+
+    typed = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys)
+    parts = rows.mapInArrow(run, f"{typed}, known double, " + ", ".join(f"{c} array<double>" for c in names))
+    each = parts.select(*keys, "known", F.posexplode(F.arrays_zip(*names)).alias("b", "v")).select(*keys, "known", "b", "v.*")
+    sums = each.groupBy(*keys, "b").agg(F.sum("known").alias("known"), *(F.sum(c).alias(c) for c in names))
+    score = F.when(F.col("known") > 0, 1 - F.try_divide(F.col("sse"), F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n"))))
     return sums.withColumn("r2", score).where(F.col("r2").isNotNull()).groupBy(*keys).agg(F.percentile("r2", F.lit(alpha / 2)).alias("low"), F.percentile("r2", F.lit(1 - alpha / 2)).alias("high"), F.count("*").alias("n_boot"))
 
 

@@ -91,3 +91,25 @@ def test_noise_is_drawn_from_spark_hashes(spark):
     want = rows.select("h", *(F.sqrt(-2 * F.ln(unit(i, 0))) * F.cos(2 * np.pi * unit(i, 1)) for i in range(3))).collect()
     got = resample.normal_numbers(np.array([r["h"] for r in want]), 3)
     assert got == pytest.approx(np.array([list(r)[1:] for r in want]), abs=1e-12)
+
+
+def test_md5_of_many_keys(spark, monkeypatch):
+    texts = [b"", *(b"|" + bytes([65 + i % 26]) * (i % 90) for i in range(150))]
+    for head in (b"42|7", b"42|199"):
+        assert resample.key_hashes(texts, head).tolist() == [int(hashlib.md5(head + t).hexdigest()[:8], 16) for t in texts]
+
+
+def test_poisson_intervals_repeat_no_rows(spark):
+    df = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("k"), F.sin("id").alias("y_true"), F.when(F.col("id") % 5 > 0, F.sin("id") * 0.9 + 0.1).alias("y_pred"))
+    out = resample.poisson_intervals(df, ["g"], "k", n_boot=20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "md5(" not in plan
+    rows, steps = df.collect(), np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(9)])
+    for r in out.collect():
+        mine, scores = [x for x in rows if x["g"] == r["g"]], []
+        for b in range(1, 21):
+            w = np.array([(int(hashlib.md5(f"42|{b}|{x['k']}".encode()).hexdigest()[:8], 16) / 2**32 >= steps).sum() for x in mine])
+            y = np.array([x["y_true"] for x in mine])
+            e = np.array([0.0 if x["y_pred"] is None else (x["y_true"] - x["y_pred"]) ** 2 for x in mine])
+            scores.append(1 - (w * e).sum() / ((w * y * y).sum() - (w * y).sum() ** 2 / w.sum()))
+        assert (r["low"], r["high"]) == pytest.approx(tuple(np.quantile(scores, [0.025, 0.975])), abs=1e-9) and r["n_boot"] == 20
