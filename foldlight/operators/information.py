@@ -5,27 +5,27 @@ For every train set and feature the rows are points (x, y), each scaled to unit
 included, the information is psi(n) + psi(k) - mean psi(n_x) - mean psi(n_y), at least 0.
 
 Points of a (set, feature) are dealt to square tiles: parts of about equal size by x, each cut likewise by y. A task
-holds one tile. Neighbours are first sought in a point's own tile; points whose square reaches beyond it are sent to
-the other tiles that it meets. n_x and n_y are differences of ranks, looked up in counts by value (see ordered). Equal
-points are one with a number, so neither they nor a feature of few values fill a tile.
+holds one tile, in cells of a few points, so that a point is compared with those of its own cell and of the cells that its
+square meets. Only points whose square reaches beyond their tile are sent to the other tiles that it meets. For n_x and
+n_y the values of an axis are dealt to parts, where points look up both ends of their interval; only those whose
+interval leaves their part are sent to others. Equal points are one with a number, so neither they nor a feature of few
+values fill a tile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from .ordered import PARTS, kept, released, sums_before
+from .ordered import PARTS, kept, released
 
-#: Points of a tile on average, points compared with all others of a tile at once, and points whose tables are on disk
-#: at a time (those of a feature at least).
-TILE, STRIPE, LOT = 2048, 512, 1 << 22
+#: Points of a tile on average, places of a cell, points and cells that are compared at once, and points whose tables are
+#: on disk at a time (those of a feature at least).
+TILE, CELL, PAIRS, LOT = 1 << 16, 32, 1 << 15, 1 << 24
 EULER = 0.5772156649015329
 
 
@@ -36,27 +36,78 @@ def digamma(n: Column) -> Column:
     return F.when(n < 12, small).otherwise(F.ln(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6))
 
 
-def nearest(of: np.ndarray, to: np.ndarray, many: np.ndarray, k: int, own: np.ndarray | None) -> np.ndarray:
-    """For each of the points `of` the k least distances to the points `to`, which count `many` times (the point itself,
-    at place own, once less); infinity where there are fewer."""
-    out = np.full((len(of), k), np.inf)
-    for at in range(0, len(of), STRIPE):
-        part = of[at : at + STRIPE]
-        far = np.maximum(np.abs(part[:, None, 0] - to[None, :, 0]), np.abs(part[:, None, 1] - to[None, :, 1]))
-        count = np.broadcast_to(many, far.shape)
-        if own is not None:
-            count = count.copy()
-            count[np.arange(len(part)), own[at : at + STRIPE]] -= 1
-        take = min(len(to), k + 1)
-        near = np.argpartition(far, take - 1, axis=1)[:, :take] if take < len(to) else np.broadcast_to(np.arange(len(to)), far.shape)
-        d, c = np.take_along_axis(far, near, 1), np.take_along_axis(count, near, 1)
-        order = np.argsort(d, axis=1, kind="stable")
-        d, c = np.take_along_axis(d, order, 1), np.take_along_axis(c, order, 1).cumsum(axis=1)
-        for j in range(k):  # the j-th neighbour is the first point with which the counts reach j + 1
-            found = c > j
-            some = found.any(axis=1)
-            out[at : at + len(part)][some, j] = d[some, found.argmax(axis=1)[some]]
-    return out
+def psi(n: np.ndarray) -> np.ndarray:
+    """digamma() of whole numbers from 1."""
+    x = np.maximum(n, 1).astype(float)
+    small = np.concatenate(([0.0], np.cumsum(1 / np.arange(1, 11)))) - EULER
+    return np.where(n < 12, small[np.minimum(n, 11) - 1], np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6))
+
+
+def wider(r: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """r and what rounding may hide of it around v."""
+    return r + 4e-15 * (np.abs(v) + r)
+
+
+class Cells:
+    """Points of a tile (which count m times) in cells: strips of equally many by x, each cut likewise by y. No more than
+    k + 1 copies of a point have a place."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, m: np.ndarray, k: int) -> None:
+        of = np.repeat(np.arange(len(x)), np.minimum(m, k + 1))
+        cells = -(-len(of) // (max(1, round(np.sqrt(len(of) / CELL))) * CELL))  # of a strip
+        strips = -(-len(of) // (cells * CELL))
+        of = of[np.argsort(x[of], kind="stable")]
+        of = of[np.lexsort((y[of], np.arange(len(of)) // (cells * CELL)))]
+        self.at = np.full(strips * cells * CELL, -1)
+        self.at[: len(of)] = of
+        held = self.at >= 0
+        self.x, self.y = (np.where(held, v[self.at], np.inf).reshape(-1, CELL) for v in (x, y))
+        low, high = (lambda v: v.min(axis=1)), (lambda v: np.where(np.isinf(v), -np.inf, v).max(axis=1))
+        self.strips = np.stack((low(self.x.reshape(strips, -1)), high(self.x.reshape(strips, -1))))
+        self.cells = np.stack((low(self.y), np.where(np.isinf(self.y[:, 0]), np.inf, high(self.y)))).reshape(2, strips, cells)
+
+    def own(self, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the n points the k + 1 least distances in its cell, its own 0 included, and its cell."""
+        place = np.empty(n, np.int64)
+        place[self.at[self.at >= 0]] = np.flatnonzero(self.at >= 0)
+        out, x, y = np.full((len(self.at), k + 1), np.inf), np.where(np.isinf(self.x), 0, self.x), np.where(np.isinf(self.y), 0, self.y)
+        for low in range(0, len(x), PAIRS // CELL):
+            high = low + PAIRS // CELL
+            far = np.maximum(np.abs(x[low:high, :, None] - self.x[low:high, None, :]), np.abs(y[low:high, :, None] - self.y[low:high, None, :])).reshape(-1, CELL)
+            take = min(k + 1, CELL)
+            out[low * CELL : low * CELL + len(far), :take] = np.sort(np.partition(far, take - 1, axis=1)[:, :take], axis=1)
+        return out[place], place // CELL
+
+    def search(self, x: np.ndarray, y: np.ndarray, within: np.ndarray, near: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """`near` (sorted distances of each asking point) with what other cells than `own` hold nearer than `within`."""
+        of, far, each = [], [], self.cells.shape[2]
+        wx, wy = wider(within, x), wider(within, y)
+        first, last = np.searchsorted(self.strips[1], x - wx), np.searchsorted(self.strips[0], x + wx, "right")
+        for strip in range(len(self.strips[0])):
+            asking = np.flatnonzero((first <= strip) & (strip < last))
+            low = np.searchsorted(self.cells[1, strip], y[asking] - wy[asking])
+            upto = np.cumsum(np.maximum(0, np.searchsorted(self.cells[0, strip], y[asking] + wy[asking], "right") - low))
+            for start in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+                pair = np.arange(start, min(start + PAIRS, int(upto[-1])))
+                which = np.searchsorted(upto, pair, "right")
+                cell = strip * each + low[which] + pair - np.where(which > 0, upto[which - 1], 0)
+                who = asking[which]
+                if own is not None:
+                    other = cell != own[who]
+                    who, cell = who[other], cell[other]
+                d = np.maximum(np.abs(x[who, None] - self.x[cell]), np.abs(y[who, None] - self.y[cell]))
+                row, col = np.nonzero(d < within[who, None])
+                of.append(who[row])
+                far.append(d[row, col])
+        if not of:
+            return near
+        of, far, k = np.concatenate(of), np.concatenate(far), near.shape[1]
+        some, of = np.unique(of, return_inverse=True)
+        of, far = np.concatenate((of, np.repeat(np.arange(len(some)), k))), np.concatenate((far, near[some].ravel()))
+        order = np.lexsort((far, of))
+        near = near.copy()
+        near[some] = far[order][np.searchsorted(of[order], np.arange(len(some)))[:, None] + np.arange(k)]
+        return near
 
 
 def edges_of(parts: int) -> list[float]:
@@ -67,99 +118,152 @@ def part_of(value: Column, edges: str) -> Column:
     return F.size(F.filter(edges, lambda e: e < value))
 
 
-def tiled(points: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(points with the tile (a, b), x edges by (s, pos), y edges by (s, pos, a))."""
-    cut = (lambda c: F.percentile_approx(c, edges_of(parts), 10 * parts)) if parts > 1 else (lambda c: F.array().cast("array<double>"))
-    by_x = points.groupBy("s", "pos").agg(cut("x").alias("ex"))
-    placed = points.join(by_x, ["s", "pos"]).withColumn("a", part_of(F.col("x"), "ex")).drop("ex")
-    by_y = placed.groupBy("s", "pos", "a").agg(cut("y").alias("ey"))
-    return placed.join(by_y, ["s", "pos", "a"]).withColumn("b", part_of(F.col("y"), "ey")).drop("ey"), by_x, by_y
-
-
-POINT = "s int, pos int, x double, y double"
-
-
-def tile_search(rows: DataFrame, k: int) -> DataFrame:
-    """(s, pos, x, y, near) for rows (s, pos, a, b, x, y, m, asks): points of a tile (m > 0) and points that ask there
-    (all points of the tile itself do, and rows with m = 0)."""
+def dealt(rows: DataFrame, by: list[str], tasks: int, run_one: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run_one() over the rows of each combination of the whole numbers `by`, which meet in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("s", "pos", "a", "b")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in by], axis=1)
             cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1 if len(keys) else []
             for low, high in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 if high == low:
                     continue
                 if held and (keys[low] != last).any():
-                    yield from tile(pa.concat_batches(held))
+                    yield from run_one(pa.concat_batches(held))
                     held = []
                 held.append(batch.slice(low, high - low))
                 last = keys[low]
         if held:
-            yield from tile(pa.concat_batches(held))
+            yield from run_one(pa.concat_batches(held))
+
+    return rows.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def listed(near: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), pa.array(near.ravel()))
+
+
+def arrays(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def tile_search(rows: DataFrame, k: int, tasks: int) -> DataFrame:
+    """(s, pos, a, b, x, y, m, near) for rows (s, pos, a, b, x, y, m, r): without a row of m = 0 in its tile, each point's
+    k least distances there; otherwise for the rows of m = 0, which ask with an r, the distances below it."""
 
     def tile(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, y, m, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "m", "asks"))
-        both, here = np.stack((x, y), axis=1), np.flatnonzero(m > 0)
-        if not len(here):
+        x, y, m, r = arrays(b, "x", "y", "m", "r")
+        here, asks = np.flatnonzero(m > 0), np.flatnonzero(m == 0)
+        cells = Cells(x[here], y[here], m[here], k) if len(here) else None
+        if cells is None or not (len(asks) or np.isnan(r).all()):
             return
-        place = np.full(len(m), -1)
-        place[here] = np.arange(len(here))
-        for mine in (np.flatnonzero((m > 0) & asks), np.flatnonzero(m == 0)):
-            if len(mine):
-                near = nearest(both[mine], both[here], m[here], k, place[mine] if m[mine[0]] > 0 else None)
-                at = pa.array(mine)
-                lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, k, dtype=np.int32), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("s", "pos", "x", "y")), lists], ["s", "pos", "x", "y", "near"])
+        if len(asks):
+            mine, near = asks, cells.search(x[asks], y[asks], r[asks], np.full((len(asks), k), np.inf))
+        elif np.isnan(r).all():
+            near, own = cells.own(len(here), k)
+            mine, near = here, cells.search(x[here], y[here], near[:, k], near, own)[:, 1:]
+        at = pa.array(mine)
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("s", "pos", "a", "b", "x", "y", "m")), listed(near)], ["s", "pos", "a", "b", "x", "y", "m", "near"])
+
+    return dealt(rows.select("s", "pos", "a", "b", "x", "y", "m", "r"), ["s", "pos", "a", "b"], tasks, tile, "s int, pos int, a int, b int, x double, y double, m long, near array<double>")
+
+
+def cut(points: DataFrame, by: list[str], value: str, parts: int, name: str) -> DataFrame:
+    """(by, name): values that cut the points of each combination in about equal parts. Kept: sketches may differ from
+    run to run, and all rows must be dealt by the same."""
+    return kept(points.groupBy(*by).agg((F.percentile_approx(value, edges_of(parts), 10 * parts) if parts > 1 else F.array().cast("array<double>")).alias(name)))
+
 
-    dealt = rows.select("s", "pos", "a", "b", "x", "y", "m", "asks").repartition("s", "pos", "a", "b").sortWithinPartitions("s", "pos", "a", "b", "x", "y")
-    return dealt.mapInArrow(run, f"{POINT}, near array<double>")
+def reach(v: str) -> Column:
+    """wider() of the column r around v."""
+    return F.col("r") + 4e-15 * (F.abs(v) + F.col("r"))
 
 
-def radii(points: DataFrame, k: int, tile: int, most: int) -> DataFrame:
-    """(s, pos, x, y, m, r): each point's distance to its k-th neighbour; most: points of the largest (s, pos)."""
+def tasks_for(df: DataFrame, rows: int, groups: int, size: int) -> int:
+    return max(1, min(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-rows // max(size, TILE)))
+
+
+def radii(points: DataFrame, k: int, tile: int, most: int, rows: int, groups: int) -> DataFrame:
+    """(s, pos, x, y, m, r): each point's distance to its k-th neighbour; of `rows` points in `groups` combinations (s, pos),
+    the largest of which has `most`."""
     parts = int(min(PARTS, max(1, np.ceil(np.sqrt(most / tile)))))
-    placed, by_x, by_y = tiled(points, parts)
-    placed = kept(placed)
-    own = tile_search(placed.withColumn("asks", F.lit(True)), k)
+    tasks = tasks_for(points, rows, groups * parts * parts, tile)
+    by_x = cut(points, ["s", "pos"], "x", parts, "ex")
+    placed = points.join(by_x, ["s", "pos"]).withColumn("a", part_of(F.col("x"), "ex")).drop("ex")
+    by_y = cut(placed, ["s", "pos", "a"], "y", parts, "ey")
+    placed = placed.join(by_y, ["s", "pos", "a"]).withColumn("b", part_of(F.col("y"), "ey")).drop("ey").withColumn("r", F.lit(float("nan")))
+    kth = F.get("near", F.lit(k - 1))
+    own = tile_search(placed, k, tasks)
+    if parts == 1:
+        return own.select("s", "pos", "x", "y", "m", kth.alias("r"))
+    own = kept(own).withColumn("r", F.least(kth, F.lit(1e300)))
+    wide = own.join(by_x, ["s", "pos"]).withColumns({"a0": part_of(F.col("x") - reach("x"), "ex"), "a1": part_of(F.col("x") + reach("x"), "ex")}).drop("ex")
+    tall = lambda df: df.withColumns({"b0": part_of(F.col("y") - reach("y"), "ey"), "b1": part_of(F.col("y") + reach("y"), "ey")}).drop("ey")
+    met = kept(tall(wide.join(by_y, ["s", "pos", "a"])).withColumn("settled", (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1"))).drop("b0", "b1"))
+    rest = met.where(~F.col("settled"))
+    asked = tall(rest.withColumn("a2", F.explode(F.sequence("a0", "a1"))).join(by_y.withColumnRenamed("a", "a2"), ["s", "pos", "a2"])).withColumn("b2", F.explode(F.sequence("b0", "b1")))
+    asking = asked.where((F.col("a2") != F.col("a")) | (F.col("b2") != F.col("b"))).select("s", "pos", F.col("a2").alias("a"), F.col("b2").alias("b"), "x", "y", F.lit(0).cast("long").alias("m"), "r")
+    answers = tile_search(placed.unionByName(asking), k, tasks).where(F.col("m") == 0)
+    both = rest.select("s", "pos", "x", "y", "m", "near").unionByName(answers.select("s", "pos", "x", "y", "m", "near"))
+    least = both.groupBy("s", "pos", "x", "y").agg(F.max("m").alias("m"), F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(k - 1)).alias("r"))  # k values for each tile that a point's square meets
+    return met.where("settled").select("s", "pos", "x", "y", "m", kth.alias("r")).unionByName(least)
+
+
+def nearer_than(values: np.ndarray, upto: np.ndarray, v: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How many rows have a value whose difference from v, as it is rounded, is below r (no more than 0 for r = 0).
+    values: ascending and distinct; upto: rows before each, and all."""
+    inside = lambda at: np.where(r > 0, np.abs(values[at] - v) < r, values[at] == v)
+    end = len(values)
+    low, high = np.searchsorted(values, v - r), np.searchsorted(values, v + r, "right")
+    while True:  # a rounded sum may be a few values off
+        more, less = (low > 0) & inside(np.maximum(low - 1, 0)), (low < end) & (values[np.minimum(low, end - 1)] <= v) & ~inside(np.minimum(low, end - 1))
+        if not (more | less).any():
+            break
+        low = low - more + (less & ~more)
+    while True:
+        more, less = (high < end) & inside(np.minimum(high, end - 1)), (high > 0) & (values[np.maximum(high - 1, 0)] >= v) & ~inside(np.maximum(high - 1, 0))
+        if not (more | less).any():
+            break
+        high = high + more - (less & ~more)
+    return np.maximum(upto[high] - upto[low], 0)
+
+
+def axis_sums(points: DataFrame, tile: int, most: int, rows: int, groups: int) -> DataFrame:
+    """(s, pos, psi): the sum of m (psi(n_x) + psi(n_y)) over the points (s, pos, x, y, m, r)."""
+    parts = int(min(PARTS, max(1, -(-most // tile))))
+    edges = cut(points, ["s", "pos"], "x", parts, "e0").join(cut(points, ["s", "pos"], "y", parts, "e1"), ["s", "pos"])
+    axes = F.array(*(F.struct(F.lit(i).alias("axis"), F.col(c).alias("v"), F.col(f"e{i}").alias("e")) for i, c in enumerate("xy")))
+    each = points.join(edges, ["s", "pos"]).select("s", "pos", "m", "r", F.explode(axes).alias("of")).select("s", "pos", "m", "r", "of.*")
     if parts > 1:
-        own = kept(own)
-        r = F.least(F.get("near", F.lit(k - 1)), F.lit(1e300))
-        reach = placed.join(own, ["s", "pos", "x", "y"]).join(by_x, ["s", "pos"]).withColumn("r", r)
-        wide = reach.withColumn("a2", F.explode(F.sequence(part_of(F.col("x") - F.col("r"), "ex"), part_of(F.col("x") + F.col("r"), "ex")))).drop("ex")
-        met = wide.join(by_y.withColumnRenamed("a", "a2"), ["s", "pos", "a2"])
-        tall = met.withColumn("b2", F.explode(F.sequence(part_of(F.col("y") - F.col("r"), "ey"), part_of(F.col("y") + F.col("r"), "ey"))))
-        asking = tall.where((F.col("a2") != F.col("a")) | (F.col("b2") != F.col("b"))).select("s", "pos", F.col("a2").alias("a"), F.col("b2").alias("b"), "x", "y", F.lit(0).cast("long").alias("m"), F.lit(True).alias("asks"))
-        own = own.unionByName(tile_search(placed.withColumn("asks", F.lit(False)).select(asking.columns).unionByName(asking), k))
-    least = own.groupBy("s", "pos", "x", "y").agg(F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(k - 1)).alias("r"))  # k values for each tile that a point's square meets
-    return points.join(least, ["s", "pos", "x", "y"])
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def open_ends(v: pd.Series, r: pd.Series) -> pd.Series:
-    """The nearest numbers below and above v that are at least r away as differences are rounded; next to v for r = 0."""
-    v, r = v.to_numpy(float), r.to_numpy(float)
-    ends = []
-    for sign in (-1.0, 1.0):
-        slack = 4 * np.spacing(np.maximum(np.abs(v), r))
-        near, far = v + sign * np.maximum(r - slack, 0), v + sign * (r + slack)
-        for _ in range(120):  # halves the gap between a number that is nearer than r and one that isn't
-            middle = near + (far - near) / 2
-            inside = np.abs(middle - v) < r
-            near, far = np.where(inside, middle, near), np.where(inside, far, middle)
-        ends.append(np.where(r > 0, far, np.nextafter(v, sign * np.inf)))
-    return pd.Series(list(np.stack(ends, axis=1)))
-
-
-def nearer(points: DataFrame, axis: str) -> DataFrame:
-    """(s, pos, x, y, n): rows whose `axis` is nearer than r, the point's own included."""
-    asked = points.select("s", "pos", "x", "y", F.posexplode(open_ends(axis, "r")).alias("end", "v"))
-    values = points.select("s", "pos", F.col(axis).alias("v"), F.col("m").alias("c")).unionByName(asked.select("s", "pos", "v", F.lit(0).cast("long").alias("c")))
-    counts = sums_before(values.groupBy("s", "pos", "v").agg(F.sum("c").alias("c")), ["s", "pos"], "v", ["c"])
-    upto = F.when(F.col("end") == 1, F.col("c_before")).otherwise(-F.col("c_before") - F.col("c"))
-    return asked.join(counts, ["s", "pos", "v"]).groupBy("s", "pos", "x", "y").agg(F.sum(upto).alias("n"))
+        ends = [part_of(F.col("v") + sign * reach("v"), "e") for sign in (-1, 1)]
+        each = each.withColumns({"home": part_of(F.col("v"), "e"), "low": ends[0], "high": ends[1]}).drop("e").withColumn("part", F.explode(F.sequence("low", "high")))
+        each = each.select("s", "pos", "axis", "part", "v", "r", F.when(F.col("part") == F.col("home"), F.col("m")).otherwise(0).alias("m"), (F.col("low") == F.col("high")).alias("whole"))
+    else:
+        each = each.select("s", "pos", "axis", F.lit(0).alias("part"), "v", "r", "m", F.lit(True).alias("whole"))
+
+    def part(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        v, r, m, whole = arrays(b, "v", "r", "m", "whole")
+        values, of = np.unique(v[m > 0], return_inverse=True)
+        upto = np.concatenate(([0], np.cumsum(np.bincount(of, m[m > 0], len(values))).astype(np.int64)))
+        n = nearer_than(values, upto, v, r) if len(values) else np.zeros(len(v), np.int64)
+        out = np.flatnonzero(~whole)
+        names = ["s", "pos", "axis", "part", "v", "r", "m", "n", "psi"]
+        if len(out):
+            at = pa.array(out)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names[:7]), pa.array(n[out]), pa.nulls(len(out), pa.float64())], names)
+        if whole.any():
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(0, 1) for c in names[:4]), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([float((m * psi(n))[whole].sum())])], names)
+
+    tasks = tasks_for(points, 2 * rows, 2 * groups * parts, tile)
+    found = dealt(each, ["s", "pos", "axis", "part"], tasks, part, "s int, pos int, axis int, part int, v double, r double, m long, n long, psi double")
+    if parts == 1:
+        return found.groupBy("s", "pos").agg(F.sum("psi").alias("psi"))
+    found = kept(found)
+    crossing = found.where(F.col("v").isNotNull()).groupBy("s", "pos", "axis", "v", "r", "part").agg(F.max("n").alias("n"), F.sum("m").alias("m")).groupBy("s", "pos", "axis", "v", "r").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    every = found.where(F.col("v").isNull()).select("s", "pos", "psi").unionByName(crossing.select("s", "pos", (F.col("m") * digamma(F.col("n"))).alias("psi")))
+    return every.groupBy("s", "pos").agg(F.sum("psi").alias("psi"))
 
 
 def nearest_information(df: DataFrame, features: str, target: str, key: str | None = None, by: str | None = None, k: int = 3, tile: int = TILE, jitter: float = 1e-10, lot: int = LOT) -> DataFrame:
@@ -168,9 +272,16 @@ def nearest_information(df: DataFrame, features: str, target: str, key: str | No
     of the key, so that equal values have an order; without one they stay as they are. Null for fewer than k + 1 rows.
     Features go in lots of about `lot` points, and what a lot left on disk goes before the next; a number for each set
     and feature comes to the driver."""
-    rows = df.select((F.col(by) if by else F.lit(0)).cast("int").alias("s"), F.col(target).cast("double").alias("y"), (F.xxhash64(key) if key else F.lit(0)).alias("h"), F.posexplode(features).alias("pos", "x"))
     good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    rows = rows.withColumn("x", F.col("x").cast("double")).where(good("x") & good("y"))
+
+    def every(lots: int, lot: int) -> DataFrame:
+        """A row for each feature of the lot; the others of a row are never spread out."""
+        places = F.when(F.size(features) > lot, F.sequence(F.lit(lot), F.size(features) - 1, F.lit(lots)))
+        some = F.explode(F.transform(places, lambda p: F.struct(p.alias("pos"), F.get(features, p).cast("double").alias("x"))))
+        rows = df.select((F.col(by) if by else F.lit(0)).cast("int").alias("s"), F.col(target).cast("double").alias("y"), (F.xxhash64(key) if key else F.lit(0)).alias("h"), some.alias("f"))
+        return rows.select("s", "y", "h", "f.*").where(good("x") & good("y"))
+
+    rows = every(1, 0)
     scale = rows.groupBy("s", "pos").agg(*(f(F.abs(c) if n == "m" else F.col(c)).alias(f"{n}{c}") for c in "xy" for n, f in (("d", F.stddev_pop), ("m", F.avg))), F.count("*").alias("n"))
 
     def scaled(c: str) -> Column:
@@ -182,10 +293,11 @@ def nearest_information(df: DataFrame, features: str, target: str, key: str | No
 
     def found(some: DataFrame) -> DataFrame:
         points = kept(some.join(F.broadcast(scale), ["s", "pos"]).select("s", "pos", (scaled("x") + 0.0).alias("x"), (scaled("y") + 0.0).alias("y")).groupBy("s", "pos", "x", "y").agg(F.count("*").alias("m")))
-        most = points.groupBy("s", "pos").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-        far = kept(radii(points, k, tile, most).where(F.col("r") != float("inf")))
-        counted = far.join(nearer(far, "x").withColumnRenamed("n", "nx"), ["s", "pos", "x", "y"]).join(nearer(far, "y").withColumnRenamed("n", "ny"), ["s", "pos", "x", "y"])
-        sums = counted.groupBy("s", "pos").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (digamma(F.col("nx")) + digamma(F.col("ny")))).alias("psi"))
+        sizes = points.groupBy("s", "pos").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.count("*").alias("groups")).first()
+        size = (tile, sizes["most"] or 1, sizes["rows"] or 1, sizes["groups"] or 1)
+        far = kept(radii(points, k, *size).where(F.col("r") < 1e300))
+        counted = far.groupBy("s", "pos").agg(F.sum("m").alias("n"))
+        sums = counted.join(axis_sums(far, *size), ["s", "pos"])
         mi = F.when(F.col("n") > 0, F.greatest(F.lit(0.0), digamma(F.col("n")) + digamma(F.lit(k)) - F.col("psi") / F.col("n")))
         return sums.select("s", "pos", mi.alias("mi"))
 
@@ -195,6 +307,6 @@ def nearest_information(df: DataFrame, features: str, target: str, key: str | No
     rows_found = []
     for i in range(lots):
         with released(df):
-            rows_found += [tuple(r) for r in found(rows.where(F.col("pos") % lots == i)).collect()]
+            rows_found += [tuple(r) for r in found(every(lots, i)).collect()]
     out = scale.select("s", "pos").join(df.sparkSession.createDataFrame(rows_found, "s int, pos int, mi double"), ["s", "pos"], "left")
     return out.select(*([F.col("s").alias(by)] if by else []), "pos", "mi")

@@ -113,3 +113,18 @@ def test_poisson_intervals_repeat_no_rows(spark):
             e = np.array([0.0 if x["y_pred"] is None else (x["y_true"] - x["y_pred"]) ** 2 for x in mine])
             scores.append(1 - (w * e).sum() / ((w * y * y).sum() - (w * y).sum() ** 2 / w.sum()))
         assert (r["low"], r["high"]) == pytest.approx(tuple(np.quantile(scores, [0.025, 0.975])), abs=1e-9) and r["n_boot"] == 20
+
+
+def test_points_meet_few_cells():
+    """Neighbours inside a tile equal brute force, copies included, and so do counts on an axis."""
+    rng = np.random.default_rng(4)
+    x, y, m = rng.standard_normal(3000).round(2), rng.standard_normal(3000), np.where(rng.random(3000) < 0.1, 3, 1)
+    cells = information.Cells(x, y, m, 3)
+    near, own = cells.own(len(x), 3)
+    near = cells.search(x, y, near[:, 3], near, own)[:, 1:]
+    far = np.maximum(np.abs(x[:, None] - np.repeat(x, m)), np.abs(y[:, None] - np.repeat(y, m)))
+    assert (np.sort(far, axis=1)[:, 1:4] == near).all()
+    values, of = np.unique(x, return_inverse=True)
+    upto = np.concatenate(([0], np.cumsum(np.bincount(of, m)).astype(int)))
+    r = near[:, 2]
+    assert information.nearer_than(values, upto, x, r).tolist() == [m[np.abs(x - a) < b].sum() if b > 0 else m[x == a].sum() for a, b in zip(x, r, strict=True)]
