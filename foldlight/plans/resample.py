@@ -30,14 +30,14 @@ def bca_interval(point: float, draws: np.ndarray, squares: float, cubes: float,
     return float(low), float(high), method
 
 
-#: Rows of a bucket on average, and draws made at once.
-BUCKET_ROWS, DRAWN = 4096, 1 << 21
+#: Rows of a bucket on average, draws made at once, and rows of the largest key that a task sorts.
+BUCKET_ROWS, DRAWN, TASK_ROWS = 4096, 1 << 21, 1 << 19
 
 
-def bucket_paths(classes: DataFrame, bits: int) -> DataFrame:
+def bucket_paths(rows: DataFrame, bits: int) -> DataFrame:
     """(by, bucket, rows, path): for each bucket of rows the nodes above it in a binary tree of buckets, from the root:
     (level, node, n, left), the node's rows and those of its left half. Counts of buckets are summed, not rows."""
-    counts = classes.groupBy("by", "bucket").agg(F.sum("m").alias("rows"))
+    counts = rows.groupBy("by", "bucket").agg(F.count("*").alias("rows"))
     if not bits:
         return counts.withColumn("path", F.array().cast("array<struct<level:int,node:long,n:long,left:long>>"))
     each = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).withColumns({
@@ -64,14 +64,16 @@ def resampled_sums(rows: DataFrame, n_boot: int, seed: int, largest: int, bucket
     """(by, b, n, s, ss, sse): for each key `by` (a text) and replicate b the sums over as many rows as the key has,
     drawn with replacement. rows: (by, id, y, e2).
 
-    Rows that are equal are one class. Classes go to buckets by hash; how many draws a bucket gets follows from
+    Rows that are equal are one class. Classes go to buckets by hash, whose path in the tree is a row ahead of theirs; how many draws a bucket gets follows from
     binomial splits down a tree of buckets, which rows get them from a stream of the bucket's own. Every replicate so
     has exactly n draws, no key's rows meet in one task, and the result doesn't depend on how the table is split.
     """
     bits = max(0, (max(1, largest) - 1) // bucket_rows).bit_length()
     at = F.shiftrightunsigned(F.xxhash64("id", "y", "e2"), 64 - bits) if bits else F.lit(0).cast("long")
-    classes = rows.groupBy("by", "id", "y", "e2").agg(F.count("*").alias("m")).withColumn("bucket", at)
-    dealt = classes.join(bucket_paths(classes, bits), ["by", "bucket"])
+    placed = rows.select("by", "id", "y", "e2").withColumn("bucket", at)
+    paths = bucket_paths(placed, bits)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-largest // TASK_ROWS))
+    dealt = paths.select("by", "bucket", F.lit(0).alias("kind"), "path").unionByName(placed.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
     def sums_of(by: str, bucket: int, path: list[dict], part: pd.DataFrame) -> np.ndarray:
         upto = np.cumsum(part["m"].to_numpy(np.int64))
@@ -87,27 +89,34 @@ def resampled_sums(rows: DataFrame, n_boot: int, seed: int, largest: int, bucket
             out[low : low + step] = w.astype(float) @ z
         return out
 
+    def as_classes(part: pd.DataFrame) -> pd.DataFrame:
+        return part.groupby(["id", "y", "e2"], sort=True, dropna=False, as_index=False)["m"].sum()
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         held: list[pd.DataFrame] = []
 
         def close() -> None:
-            part = pd.concat(held)
-            by, bucket = part["by"].iloc[0], int(part["bucket"].iloc[0])
-            total[by] = total.get(by, 0) + sums_of(by, bucket, list(part["path"].iloc[0]), part)
-
-        for part in parts:  # sorted by key and bucket: the rows of one bucket are held at a time
-            for _, some in part.groupby(["by", "bucket"], sort=False):
-                if held and (held[0]["by"].iloc[0], held[0]["bucket"].iloc[0]) != (some["by"].iloc[0], some["bucket"].iloc[0]):
-                    close()
-                    held = []
-                held.append(some)
+            classes = as_classes(pd.concat(held))
+            total[at[0]] = total.get(at[0], 0) + sums_of(at[0], at[1], path, classes)
+
+        at, path = None, []
+        for part in parts:  # sorted by key and bucket: the classes of one bucket are held at a time
+            for (by, bucket), some in part.groupby(["by", "bucket"], sort=False):
+                if at != (by, bucket):
+                    if held:
+                        close()
+                    held, at = [], (by, bucket)
+                if some["kind"].iloc[0] == 0:
+                    path, some = list(some["path"].iloc[0]), some.iloc[1:]
+                if len(some):
+                    held.append(as_classes(some.assign(m=1)))
         if held:
             close()
         for by, sums in total.items():
             yield pd.DataFrame({"by": by, "b": np.arange(1, n_boot + 1)} | dict(zip(("n", "s", "ss", "sse"), sums.T, strict=True)))
 
-    each = dealt.repartition("by", "bucket").sortWithinPartitions("by", "bucket", "id", "y", "e2").mapInPandas(run, "by string, b int, n double, s double, ss double, sse double")
+    each = dealt.repartition(tasks, "by", "bucket").sortWithinPartitions("by", "bucket", "kind", "id", "y", "e2").mapInPandas(run, "by string, b int, n double, s double, ss double, sse double")
     return each.groupBy("by", "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss", "sse")))
 
 

@@ -138,3 +138,13 @@ def test_leaf_masks_read_the_pixels_once_more_at_most(spark):
     assert out.where("in_mask").groupBy("image").count().collect() == [(1, 36)]
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("FlatMapGroupsInArrow") + plan.count("FlatMapGroupsInPandas") == 1
+
+
+def test_resampled_rows_carry_no_paths(spark, monkeypatch):
+    """The tree's path is one row a bucket, and larger keys are dealt to more tasks."""
+    monkeypatch.setattr(resample, "TASK_ROWS", 50)
+    df = spark.range(1000).select(F.lit("a").alias("by"), F.xxhash64("id").alias("id"), F.sin("id").alias("y"), F.cos("id").alias("e2"))
+    out = resample.resampled_sums(df, 5, 1, 1000, bucket_rows=64)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "RepartitionByExpression" in plan and ", 20" in plan
+    assert [r["n"] for r in out.collect()] == [1000] * 5
