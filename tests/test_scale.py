@@ -148,3 +148,15 @@ def test_resampled_rows_carry_no_paths(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "RepartitionByExpression" in plan and ", 20" in plan
     assert [r["n"] for r in out.collect()] == [1000] * 5
+
+
+def test_rank_correlations_in_parts(spark, monkeypatch):
+    """Ranks counted in parts equal those of whole sets, ties included; rows aren't joined with their ranks."""
+    from foldlight.operators import rowselect
+
+    df = spark.range(400).select((F.col("id") % 2).cast("int").alias("s"), F.round(F.sin("id"), 1).alias("y"), F.array(F.round(F.sin(F.col("id") + 1), 2), F.lit(0.0), F.col("id") * 1.0).alias("x"))
+    whole = {(r["s"], r["pos"]): r["score"] for r in rowselect.rank_correlation(df, "x", "y", None, "s").collect()}
+    monkeypatch.setattr(rowselect, "TILE", 30)
+    out = rowselect.rank_correlation(df, "x", "y", None, "s")
+    assert {(r["s"], r["pos"]): r["score"] for r in out.collect()} == pytest.approx(whole, abs=1e-12) and len(whole) == 6
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
