@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 
 ROUNDS = 6
@@ -14,17 +16,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def feistel(index: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
-    """A permutation of 0 .. size - 1: Feistel rounds over the next even number of bits, walked until inside."""
+def feistel(index: np.ndarray, size: int, key: int, rounds: int = ROUNDS, back: bool = False) -> np.ndarray:
+    """A permutation of 0 .. size - 1: Feistel rounds over the next even number of bits, walked until inside. back: its
+    inverse, the same rounds undone."""
     half = max(1, -(-max(1, size - 1).bit_length() // 2))
-    mask, bits = np.uint64((1 << half) - 1), np.uint64(half)
+    mask = np.uint64((1 << half) - 1)
     keys = mix64(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & (2**64 - 1)))
-    out = index.astype(np.uint64)
+    mixed = lambda half_word, k: (mix64(half_word.astype(np.uint64) + k) & mask).astype(np.int64)
+    if len(index) > 1 << half:  # fewer half words than places: each is mixed once
+        every = np.arange(1 << half)
+        steps = [mixed(every, k).take for k in keys]
+    else:
+        steps = [partial(mixed, k=k) for k in keys]
+    out = index.astype(np.int64)
     todo = np.arange(len(out))
     while len(todo):
-        left, right = out[todo] >> bits, out[todo] & mask
-        for k in keys:
-            left, right = right, left ^ (mix64(right + k) & mask)
-        out[todo] = (left << bits) | right
-        todo = todo[out[todo] >= size]
-    return out.astype(np.int64)
+        now = out if len(todo) == len(out) else out[todo]
+        left, right = now >> half, now & ((1 << half) - 1)
+        for step in steps[::-1] if back else steps:
+            left, right = (right ^ step(left), left) if back else (right, left ^ step(right))
+        now = (left << half) | right
+        out[todo] = now
+        todo = todo[now >= size]
+    return out

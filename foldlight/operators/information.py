@@ -118,25 +118,31 @@ def part_of(value: Column, edges: str) -> Column:
     return F.size(F.filter(edges, lambda e: e < value))
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch for each combination of the whole numbers `by`, by which the rows are sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in by], axis=1)
+        cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1 if len(keys) else []
+        for low, high in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if high == low:
+                continue
+            if held and (keys[low] != last).any():
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = keys[low]
+    if held:
+        yield pa.concat_batches(held)
+
+
 def dealt(rows: DataFrame, by: list[str], tasks: int, run_one: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """run_one() over the rows of each combination of the whole numbers `by`, which meet in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in by], axis=1)
-            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1 if len(keys) else []
-            for low, high in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if high == low:
-                    continue
-                if held and (keys[low] != last).any():
-                    yield from run_one(pa.concat_batches(held))
-                    held = []
-                held.append(batch.slice(low, high - low))
-                last = keys[low]
-        if held:
-            yield from run_one(pa.concat_batches(held))
+        for part in runs_of(batches, by):
+            yield from run_one(part)
 
     return rows.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, schema)
 

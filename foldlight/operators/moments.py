@@ -55,32 +55,53 @@ def column_means(df: DataFrame, features: str, targets: list[str]) -> tuple[np.n
     return np.array([r["m"] for r in rows]), np.array([y[t] for t in targets], float)
 
 
-def fold_moments(df: DataFrame, features: str, targets: list[str], fold: str) -> Moments:
-    """Moments of an array<double> column and target columns by an integer fold column; rows with a null or
-    non-finite value don't count."""
+def usable_rows(df: DataFrame, features: str, targets: list[str], fold: str) -> DataFrame:
+    """The rows without a null or non-finite value."""
     usable = df.where(F.col(fold).isNotNull() & F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     for t in targets:
         usable = usable.where(F.col(t).isNotNull() & ~F.isnan(t) & (F.abs(F.col(t)) != float("inf")))
+    return usable
+
+
+#: Columns of a task's arrays: fold, part (which adder) and the sums as bytes.
+SUMS = "fold long, part long, sums binary"
+
+
+def packed(sums: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([part] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["fold", "part", "sums"])
+
+
+def task_sums(parts: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], shift: np.ndarray, p: int) -> Iterator[pa.RecordBatch]:
+    """The arrays of a task, one for a fold, from (features, targets as columns of a matrix, folds) of its rows."""
+    sums, upper = {}, np.triu_indices(1 + p)
+    for features, targets, of in parts:
+        if not len(of):
+            continue
+        x, y = np.asarray(features.flatten(), float).reshape(len(of), -1) - shift[:p], targets - shift[p:]
+        z = np.concatenate((np.ones((len(x), 1)), x), axis=1)
+        for k in np.unique(of):
+            a, b = z[of == k], y[of == k]
+            sums[int(k)] = sums.get(int(k), 0) + np.concatenate(((a.T @ a)[upper], (a.T @ b).ravel(), (b * b).sum(axis=0)))
+    if sums:
+        yield packed(sums, TaskContext.get().partitionId() % ADDERS)
+
+
+def fold_moments(df: DataFrame, features: str, targets: list[str], fold: str) -> Moments:
+    """Moments of an array<double> column and target columns by an integer fold column; rows with a null or
+    non-finite value don't count."""
+    usable = usable_rows(df, features, targets, fold)
     mean_x, mean_y = column_means(usable, features, targets)
-    shift, width, p = np.concatenate((mean_x, mean_y)), 1 + len(mean_x) + len(mean_y), len(mean_x)
-    upper = np.triu_indices(1 + p)
+    shift, p = np.concatenate((mean_x, mean_y)), len(mean_x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1) - shift[:p]
-            y = np.stack([np.asarray(batch.column(1 + i), float) for i in range(len(targets))], axis=1) - shift[p:]
-            z, of = np.concatenate((np.ones((len(x), 1)), x), axis=1), np.asarray(batch.column(1 + len(targets)))
-            for k in np.unique(of):
-                a, b = z[of == k], y[of == k]
-                sums[int(k)] = sums.get(int(k), 0) + np.concatenate(((a.T @ a)[upper], (a.T @ b).ravel(), (b * b).sum(axis=0)))
-        if sums:
-            yield packed(sums, TaskContext.get().partitionId() % ADDERS)
+        columns = lambda b: np.stack([np.asarray(b.column(1 + i), float) for i in range(len(targets))], axis=1)
+        return task_sums(((b.column(0), columns(b), np.asarray(b.column(1 + len(targets)))) for b in batches), shift, p)
+
+    return added_up(usable.select(features, *targets, F.col(fold).cast("long")).mapInArrow(run, SUMS), shift, p)
+
 
-    def packed(sums: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([part] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["fold", "part", "sums"])
+def added_up(each: DataFrame, shift: np.ndarray, p: int) -> Moments:
+    """Moments from the arrays of all tasks."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -90,10 +111,9 @@ def fold_moments(df: DataFrame, features: str, targets: list[str], fold: str) ->
         if sums:
             yield packed(sums, 0)
 
-    schema = "fold long, part long, sums binary"
-    each = usable.select(features, *targets, F.col(fold).cast("long")).mapInArrow(run, schema)
-    rows = each.repartition(ADDERS, "part").sortWithinPartitions("fold", "part", "sums").mapInArrow(added, schema).collect()  # folds x ADDERS arrays
-    folds, (n, m) = sorted({r["fold"] for r in rows}), (len(upper[0]), (1 + p) * len(targets))
+    rows = each.repartition(ADDERS, "part").sortWithinPartitions("fold", "part", "sums").mapInArrow(added, SUMS).collect()  # folds x ADDERS arrays
+    upper, width = np.triu_indices(1 + p), 1 + len(shift)
+    folds, (n, m) = sorted({r["fold"] for r in rows}), (len(upper[0]), (1 + p) * (len(shift) - p))
     out = np.zeros((len(folds), width, width))
     for i, k in enumerate(folds):
         total = sum(np.frombuffer(v) for v in sorted(bytes(r["sums"]) for r in rows if r["fold"] == k))

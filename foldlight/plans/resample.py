@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.permute import feistel
-from ..operators.moments import Moments, fold_moments
+from ..operators.information import dealt, runs_of
+from ..operators.moments import SUMS, Moments, added_up, column_means, fold_moments, task_sums, usable_rows
 from ..operators.splits import ranked, shuffle_key
-from .evaluate import fold_scores
+from .evaluate import fold_scores, spread
 
 
 def bca_interval(point: float, draws: np.ndarray, squares: float, cubes: float, alpha: float = 0.05) -> tuple[float, float, str]:
@@ -293,32 +294,96 @@ def poisson_intervals(predictions: DataFrame, keys: list[str], row_key: str, n_b
     return sums.withColumn("r2", score).where(F.col("r2").isNotNull()).groupBy(*keys).agg(F.percentile("r2", F.lit(alpha / 2)).alias("low"), F.percentile("r2", F.lit(1 - alpha / 2)).alias("high"), F.count("*").alias("n_boot"))
 
 
-def permuted_targets(df: DataFrame, key: str, target: str, n_perm: int, seed: int = 42) -> tuple[DataFrame, list[str]]:
-    """Adds y_0 (observed) and y_1 .. y_n_perm (shuffled): each shuffle is a keyed permutation of the rows' ranks,
-    which any task computes by itself. Only ranks and values meet, one row for each row and shuffle; features
-    are never moved more than once."""
-    slim = ranked(df.select(key, target), shuffle_key(F.col(key), seed))
+#: Rows whose targets are shuffled together, values of them at most (rows x shuffles), and values that a task is sent.
+SHUFFLED_ROWS, SHUFFLED_VALUES, SENT_VALUES = 4096, 1 << 21, 1 << 24
+
+
+def shuffled_targets(df: DataFrame, key: str, target: str, n_perm: int, use: Callable[[Iterator[tuple[pa.RecordBatch, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str, seed: int = 42) -> DataFrame:
+    """use() over blocks of the rows of df, each with a matrix: for every row the target (a double; NaN if null) that it
+    gets in each of the n_perm shuffles.
+
+    Each shuffle is a keyed permutation of the rows' ranks, which any task computes by itself, in both directions. A block
+    of ranks packs its values by the block that gets them, in order of shuffle and place; the receiving block knows the same order.
+    So neither places nor keys are sent, features are moved once, and a row is there for each pair of blocks, not
+    for each row and shuffle.
+    """
     n = df.count()
+    size = min(SHUFFLED_ROWS, max(SHUFFLED_ROWS // 16, SHUFFLED_VALUES // max(1, n_perm)))
+    blocks = max(1, -(-n // size))
+    number = np.uint16 if blocks <= 1 << 16 else np.int64  # whose stable sort is by radix
+    tasks = min(blocks, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * n_perm // SENT_VALUES)))
+    placed = ranked(df, shuffle_key(F.col(key), seed), name="__rank").withColumn("__block", F.floor(F.col("__rank") / size).cast("int"))
+
+    def places(rank: np.ndarray, back: bool) -> np.ndarray:
+        out = np.empty((n_perm, len(rank)), np.int64)
+        for p in range(n_perm):
+            out[p] = feistel(rank, n, (seed << 20) + p + 1, back=back)
+        return out
+
+    def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rank, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__rank", "__value"))
+        to = places(rank, True)  # who gets these rows' values
+        order = np.argsort(to, axis=1)
+        block = np.take_along_axis(to, order, axis=1).ravel() // size
+        by = np.argsort(block.astype(number), kind="stable")
+        block, values = block[by], value[order].ravel()[by]
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = pa.py_buffer((np.append(cuts, len(block)) * 8).astype(np.int32))
+        texts = pa.Array.from_buffers(pa.binary(), len(cuts), [None, ends, pa.py_buffer(np.ascontiguousarray(values, float))])
+        yield pa.RecordBatch.from_arrays([pa.array(block[cuts].astype(np.int32)), pa.array(np.full(len(cuts), rank.min() // size)), texts], ["__block", "__from", "__packed"])
+
+    def received(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        came = batch.column("__from").is_valid().to_numpy(zero_copy_only=False)
+        mine, sent = np.flatnonzero(~came), np.flatnonzero(came)
+        rank, packed = batch.column("__rank").take(pa.array(mine)).to_numpy(), batch.column("__packed")
+        mine, rank = mine[np.argsort(rank)], np.sort(rank)
+        sent = sent[np.argsort(batch.column("__from").take(pa.array(sent)).to_numpy())]
+        at = places(rank, False).ravel() // size  # the blocks whose values these rows get
+        out = np.empty(len(at))
+        out[np.argsort(at.astype(number), kind="stable")] = np.frombuffer(b"".join(packed[int(i)].as_py() for i in sent))
+        return batch.take(pa.array(mine)), out.reshape(n_perm, -1).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return use(received(part) for part in runs_of(batches, ["__block"]))
 
-    @F.pandas_udf("array<long>")
-    def places(rank: pd.Series) -> pd.Series:
-        index = rank.to_numpy(np.int64)
-        return pd.Series(list(np.stack([feistel(index, n, (seed << 20) + p) for p in range(1, n_perm + 1)], axis=1)))
+    messages = dealt(placed.select("__block", "__rank", F.col(target).cast("double").alias("__value")), ["__block"], tasks, send, "__block int, __from long, __packed binary")
+    both = placed.unionByName(messages, allowMissingColumns=True)
+    return both.repartition(tasks, "__block").sortWithinPartitions("__block").mapInArrow(run, schema)
+
+
+def permuted_targets(df: DataFrame, key: str, target: str, n_perm: int, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """Adds y_0 (observed) and y_1 .. y_n_perm (shuffled, doubles), see shuffled_targets()."""
+
+    columns = df.columns
+
+    def use(parts: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for rows, drawn in parts:
+            lists = pa.ListArray.from_arrays(np.arange(0, drawn.size + 1, n_perm, dtype=np.int32), pa.array(drawn.ravel(), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), lists], [*columns, "drawn"])
 
-    values = slim.select(F.col("rank").alias("at"), F.col(target).alias("value"))
-    moved = slim.select(key, F.posexplode(places("rank")).alias("perm", "at")).join(values, "at")
-    drawn = moved.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("perm", "value"))).alias("drawn"))  # n_perm values a row
     names = [f"y_{i}" for i in range(n_perm + 1)]
-    wide = df.withColumn("y_0", F.col(target)).join(drawn, key)
-    return wide.withColumns({f"y_{i}": F.get("drawn", F.lit(i - 1))["value"] for i in range(1, n_perm + 1)}).drop("drawn"), names
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    wide = shuffled_targets(df, key, target, n_perm, use, f"{kinds}, drawn array<double>", seed)
+    return wide.withColumns({"y_0": F.col(target)} | {f"y_{i}": F.get("drawn", F.lit(i - 1)) for i in range(1, n_perm + 1)}).drop("drawn"), names
+
+
+def permuted_moments(df: DataFrame, key: str, features: str, target: str, fold: str, n_perm: int, seed: int = 42) -> Moments:
+    """fold_moments() of the observed target (0) and its shuffles (1 .. n_perm). Only rows that count are shuffled, so one
+    with a missing value takes no other with it."""
+    usable = usable_rows(df, features, [target], fold).select(key, F.col(features).alias("__x"), F.col(target).cast("double").alias("__y"), F.col(fold).cast("long").alias("__fold"))
+    mean_x, mean_y = column_means(usable, "__x", ["__y"])
+    shift, p = np.concatenate((mean_x, np.repeat(mean_y, 1 + n_perm))), len(mean_x)
+
+    def use(parts: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        return task_sums(((rows.column("__x"), np.column_stack((rows.column("__y").to_numpy(), drawn)), rows.column("__fold").to_numpy()) for rows, drawn in parts), shift, p)
+
+    return added_up(shuffled_targets(usable, key, "__y", n_perm, use, SUMS, seed), shift, p)
 
 
 def permutation_test(df: DataFrame, key: str, features: str, target: str, fold: str, selector: str = "correlation", model: str = "ridge", k: int = 20, n_perm: int = 50, seed: int = 42) -> DataFrame:
     """(perm, apparent_r2, nested_r2): perm 0 is observed. All shuffles are columns of one moment pass."""
-    wide, names = permuted_targets(df.select(key, features, target, fold), key, target, n_perm, seed)
-    moments = fold_moments(wide, features, names, fold)
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(moments)  # folds x (features + shuffles)^2 values
+    sent = spark.sparkContext.broadcast(permuted_moments(df, key, features, target, fold, n_perm, seed))  # folds x (features + shuffles)^2 values
 
     def run(parts):
         for part in parts:
@@ -329,7 +394,7 @@ def permutation_test(df: DataFrame, key: str, features: str, target: str, fold:
                 rows.append((int(perm), means["apparent"], means["nested"]))
             yield pd.DataFrame(rows, columns=["perm", "apparent_r2", "nested_r2"])
 
-    return spark.range(len(names)).select(F.col("id").cast("int").alias("perm")).mapInPandas(run, "perm int, apparent_r2 double, nested_r2 double")
+    return spark.range(n_perm + 1).select(F.col("id").cast("int").alias("perm")).mapInPandas(run, "perm int, apparent_r2 double, nested_r2 double")
 
 
 def permutation_summary(tests: DataFrame) -> DataFrame:
@@ -350,8 +415,7 @@ def permutation_grid(df: DataFrame, key: str, features: str, target: str, fold:
     grid = spark.createDataFrame(combos, "selector string, model string, k int")
     if done is not None:
         grid = grid.join(done, ["selector", "model", "k"], "left_anti")
-    wide, names = permuted_targets(df.select(key, features, target, fold), key, target, n_perm, seed)
-    sent = spark.sparkContext.broadcast(fold_moments(wide, features, names, fold))  # folds x (features + shuffles)^2 values
+    sent = spark.sparkContext.broadcast(permuted_moments(df, key, features, target, fold, n_perm, seed))  # folds x (features + shuffles)^2 values
 
     def run(parts):
         for part in parts:
@@ -362,8 +426,8 @@ def permutation_grid(df: DataFrame, key: str, features: str, target: str, fold:
                 rows.append((r.selector, r.model, int(r.k), int(r.perm), means["apparent"], means["nested"]))
             yield pd.DataFrame(rows, columns=["selector", "model", "k", "perm", "apparent_r2", "nested_r2"])
 
-    tasks = grid.crossJoin(spark.range(len(names)).select(F.col("id").cast("int").alias("perm")))  # the caller's lists
-    tests = tasks.repartition("selector", "model", "k", "perm").mapInPandas(run, "selector string, model string, k int, perm int, apparent_r2 double, nested_r2 double")
+    tasks = grid.crossJoin(spark.range(n_perm + 1).select(F.col("id").cast("int").alias("perm")))  # the caller's lists
+    tests = spread(tasks, len(combos) * (n_perm + 1)).mapInPandas(run, "selector string, model string, k int, perm int, apparent_r2 double, nested_r2 double")
     keys = ["selector", "model", "k"]
 
     def observed(arm: str) -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldlight.functions.permute import feistel
 from foldlight.plans import resample
 from foldlight.operators import information, pixels, quantiles, splits, trees, truth
 
@@ -160,3 +161,29 @@ def test_rank_correlations_in_parts(spark, monkeypatch):
     out = rowselect.rank_correlation(df, "x", "y", None, "s")
     assert {(r["s"], r["pos"]): r["score"] for r in out.collect()} == pytest.approx(whole, abs=1e-12) and len(whole) == 6
     assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shuffled_targets_meet_in_blocks(spark, monkeypatch):
+    """Each shuffle is the keyed permutation of ranks; no row is made for each row and shuffle, features move once."""
+    monkeypatch.setattr(resample, "SHUFFLED_ROWS", 16, raising=False)
+    df = spark.range(300).select("id", (F.col("id") * 7 % 301).alias("y"))
+    wide, names = resample.permuted_targets(df, "id", "y", 30, seed=5)
+    assert "Generate" not in wide._jdf.queryExecution().optimizedPlan().toString()
+    order = sorted(range(300), key=lambda i: hashlib.md5(f"5|{i}".encode()).hexdigest())
+    y, rows = np.array([i * 7 % 301 for i in order]), {r["id"]: r for r in wide.collect()}
+    assert len(rows) == 300 and all(rows[i]["y_0"] == i * 7 % 301 for i in rows)
+    for p in (1, 2, 30):
+        assert [rows[i][f"y_{p}"] for i in order] == y[feistel(np.arange(300), 300, (5 << 20) + p)].tolist()
+    for size in (1, 2, 300, 5000):
+        assert (feistel(feistel(np.arange(size), size, 9), size, 9, back=True) == np.arange(size)).all()
+
+
+def test_rows_that_do_not_count_are_not_shuffled(spark):
+    """A row without a target or with a NaN leaves the others as they are, observed and shuffled."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 4))
+    good = spark.createDataFrame([(i, x[i].tolist(), float(x[i, 1] + 0.5 * x[i, 3] + 0.1 * i % 1), i % 3) for i in range(60)], "id long, x array<double>, y double, fold int")
+    bad = spark.createDataFrame([(100, [1.0] * 4, None, 0), (101, [float("nan")] * 4, 1.0, 1), (102, None, 1.0, 1)], good.schema)
+    run = lambda df: resample.permutation_grid(df, "id", "x", "y", "fold", [("correlation", "ridge", 2)], 20).first().asDict()
+    alone = run(good)
+    assert run(good.unionByName(bad)) == pytest.approx(alone, abs=1e-9) and alone["observed_nested_r2"] > 0.5
