@@ -555,6 +555,16 @@ def test_tidy_shuffles(spark):
     assert spark.conf.get(name, None) == before
 
 
+def test_write_leaves_no_shuffle_file(spark):
+    """Looked at before anything is read again: a count leaves three files of its own (data, index, checksum)."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in manager.getAllFiles().mkString(chr(10)).split(chr(10)) if "shuffle_" in f}
+    rows = spark.range(5000).repartition(4, "id").groupBy((F.col("id") % 700).alias("k")).count()
+    had = shuffled()
+    written = common.materialise(rows)
+    assert shuffled() <= had and written.count() == 700
+
+
 @pytest.mark.parametrize("case", ["a  b", " a", "a \nb", "\n\n a\t b", "it's  the 12 3", "é  ü x y", "", "   "])
 def test_tokens_give_texts_back(case):
     encode = tokens.Encoder(tokens.VOCABULARY, tokens.PATTERN)
