@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import PARTS, kept, released
+from .ordered import PARTS, kept, released, written
 
 #: Points of a tile on average, places of a cell, points and cells that are compared at once, and points whose tables are
 #: on disk at a time (those of a feature at least).
@@ -177,9 +177,9 @@ def tile_search(rows: DataFrame, k: int, tasks: int) -> DataFrame:
 
 
 def cut(points: DataFrame, by: list[str], value: str, parts: int, name: str) -> DataFrame:
-    """(by, name): values that cut the points of each combination in about equal parts. Kept: sketches may differ from
-    run to run, and all rows must be dealt by the same."""
-    return kept(points.groupBy(*by).agg((F.percentile_approx(value, edges_of(parts), 10 * parts) if parts > 1 else F.array().cast("array<double>")).alias(name)))
+    """(by, name): values that cut the points of each combination in about equal parts. To be kept or written: sketches
+    may differ from run to run, and all rows must be dealt by the same."""
+    return points.groupBy(*by).agg((F.percentile_approx(value, edges_of(parts), 10 * parts) if parts > 1 else F.array().cast("array<double>")).alias(name))
 
 
 def reach(v: str) -> Column:
@@ -196,18 +196,18 @@ def radii(points: DataFrame, k: int, tile: int, most: int, rows: int, groups: in
     the largest of which has `most`."""
     parts = int(min(PARTS, max(1, np.ceil(np.sqrt(most / tile)))))
     tasks = tasks_for(points, rows, groups * parts * parts, tile)
-    by_x = cut(points, ["s", "pos"], "x", parts, "ex")
+    by_x = written(cut(points, ["s", "pos"], "x", parts, "ex"))
     placed = points.join(by_x, ["s", "pos"]).withColumn("a", part_of(F.col("x"), "ex")).drop("ex")
-    by_y = cut(placed, ["s", "pos", "a"], "y", parts, "ey")
+    by_y = written(cut(placed, ["s", "pos", "a"], "y", parts, "ey"))
     placed = placed.join(by_y, ["s", "pos", "a"]).withColumn("b", part_of(F.col("y"), "ey")).drop("ey").withColumn("r", F.lit(float("nan")))
     kth = F.get("near", F.lit(k - 1))
     own = tile_search(placed, k, tasks)
     if parts == 1:
         return own.select("s", "pos", "x", "y", "m", kth.alias("r"))
-    own = kept(own).withColumn("r", F.least(kth, F.lit(1e300)))
+    own = own.withColumn("r", F.least(kth, F.lit(1e300)))
     wide = own.join(by_x, ["s", "pos"]).withColumns({"a0": part_of(F.col("x") - reach("x"), "ex"), "a1": part_of(F.col("x") + reach("x"), "ex")}).drop("ex")
     tall = lambda df: df.withColumns({"b0": part_of(F.col("y") - reach("y"), "ey"), "b1": part_of(F.col("y") + reach("y"), "ey")}).drop("ey")
-    met = kept(tall(wide.join(by_y, ["s", "pos", "a"])).withColumn("settled", (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1"))).drop("b0", "b1"))
+    met = written(tall(wide.join(by_y, ["s", "pos", "a"])).withColumn("settled", (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1"))).drop("b0", "b1"))
     rest = met.where(~F.col("settled"))
     asked = tall(rest.withColumn("a2", F.explode(F.sequence("a0", "a1"))).join(by_y.withColumnRenamed("a", "a2"), ["s", "pos", "a2"])).withColumn("b2", F.explode(F.sequence("b0", "b1")))
     asking = asked.where((F.col("a2") != F.col("a")) | (F.col("b2") != F.col("b"))).select("s", "pos", F.col("a2").alias("a"), F.col("b2").alias("b"), "x", "y", F.lit(0).cast("long").alias("m"), "r")
@@ -239,7 +239,7 @@ def nearer_than(values: np.ndarray, upto: np.ndarray, v: np.ndarray, r: np.ndarr
 def axis_sums(points: DataFrame, tile: int, most: int, rows: int, groups: int) -> DataFrame:
     """(s, pos, psi): the sum of m (psi(n_x) + psi(n_y)) over the points (s, pos, x, y, m, r)."""
     parts = int(min(PARTS, max(1, -(-most // tile))))
-    edges = cut(points, ["s", "pos"], "x", parts, "e0").join(cut(points, ["s", "pos"], "y", parts, "e1"), ["s", "pos"])
+    edges = written(cut(points, ["s", "pos"], "x", parts, "e0").join(cut(points, ["s", "pos"], "y", parts, "e1"), ["s", "pos"]))
     axes = F.array(*(F.struct(F.lit(i).alias("axis"), F.col(c).alias("v"), F.col(f"e{i}").alias("e")) for i, c in enumerate("xy")))
     each = points.join(edges, ["s", "pos"]).select("s", "pos", "m", "r", F.explode(axes).alias("of")).select("s", "pos", "m", "r", "of.*")
     if parts > 1:
@@ -266,7 +266,7 @@ def axis_sums(points: DataFrame, tile: int, most: int, rows: int, groups: int) -
     found = dealt(each, ["s", "pos", "axis", "part"], tasks, part, "s int, pos int, axis int, part int, v double, r double, m long, n long, psi double")
     if parts == 1:
         return found.groupBy("s", "pos").agg(F.sum("psi").alias("psi"))
-    found = kept(found)
+    found = written(found)
     crossing = found.where(F.col("v").isNotNull()).groupBy("s", "pos", "axis", "v", "r", "part").agg(F.max("n").alias("n"), F.sum("m").alias("m")).groupBy("s", "pos", "axis", "v", "r").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     every = found.where(F.col("v").isNull()).select("s", "pos", "psi").unionByName(crossing.select("s", "pos", (F.col("m") * digamma(F.col("n"))).alias("psi")))
     return every.groupBy("s", "pos").agg(F.sum("psi").alias("psi"))
@@ -298,10 +298,10 @@ def nearest_information(df: DataFrame, features: str, target: str, key: str | No
         return F.col(c) / size + u * jitter * F.greatest(F.lit(1.0), F.col(f"m{c}") / size)
 
     def found(some: DataFrame) -> DataFrame:
-        points = kept(some.join(F.broadcast(scale), ["s", "pos"]).select("s", "pos", (scaled("x") + 0.0).alias("x"), (scaled("y") + 0.0).alias("y")).groupBy("s", "pos", "x", "y").agg(F.count("*").alias("m")))
+        points = written(some.join(F.broadcast(scale), ["s", "pos"]).select("s", "pos", (scaled("x") + 0.0).alias("x"), (scaled("y") + 0.0).alias("y")).groupBy("s", "pos", "x", "y").agg(F.count("*").alias("m")))
         sizes = points.groupBy("s", "pos").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.count("*").alias("groups")).first()
         size = (tile, sizes["most"] or 1, sizes["rows"] or 1, sizes["groups"] or 1)
-        far = kept(radii(points, k, *size).where(F.col("r") < 1e300))
+        far = written(radii(points, k, *size).where(F.col("r") < 1e300))
         counted = far.groupBy("s", "pos").agg(F.sum("m").alias("n"))
         sums = counted.join(axis_sums(far, *size), ["s", "pos"])
         mi = F.when(F.col("n") > 0, F.greatest(F.lit(0.0), digamma(F.col("n")) + digamma(F.lit(k)) - F.col("psi") / F.col("n")))

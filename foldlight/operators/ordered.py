@@ -8,6 +8,7 @@ need no parts: a window holds a group then.
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .splits import met
+from .sums import shared_folder
 
 PARTS, FEW = 256, 1 << 16
 
 
-KEPT: list[list[DataFrame]] = []
+#: What goes at the end of each released() that is open: frames, and paths of files.
+KEPT: list[list[DataFrame | str]] = []
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -30,17 +33,34 @@ def kept(df: DataFrame) -> DataFrame:
     return df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as files in the shared folder, deleted when the innermost released() ends. Plans of what reads it begin
+    at the files; those over a kept() frame name all that it was made of once for each reader, so that a chain of them
+    fills the driver."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/foldlight-{uuid.uuid4().hex}"
+    if KEPT:
+        KEPT[-1].append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def released(df: DataFrame) -> Iterator[None]:
-    """What is kept() inside goes at the end, and shuffle files that nothing refers to any more."""
+    """What is kept() or written() inside goes at the end, and shuffle files that nothing refers to any more."""
     KEPT.append([])
+    sc = df.sparkSession.sparkContext
     try:
         yield
     finally:
-        for frame in KEPT.pop():
-            frame.unpersist()
+        for of in KEPT.pop():
+            if isinstance(of, str):
+                at = sc._jvm.org.apache.hadoop.fs.Path(of)
+                at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            else:
+                of.unpersist()
         gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of collected plans
+        sc._jvm.System.gc()  # Spark deletes the shuffle files of collected plans
 
 
 def in_parts(rows: DataFrame, by: list[str], value: str, parts: int = PARTS) -> DataFrame:

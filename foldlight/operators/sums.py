@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def added_by_key(rows: DataFrame, key: str, packed: str) -> DataFrame:
@@ -36,12 +36,18 @@ def added_by_key(rows: DataFrame, key: str, packed: str) -> DataFrame:
     return rows.select(key, packed).repartition(key).sortWithinPartitions(key, packed).mapInArrow(run, f"{key} {kinds[key]}, {packed} binary")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame as files in the shared folder of spark.checkpoint.dir, so that rounds don't pile up plans. A local
-    session without the setting takes a temporary folder; elsewhere executors couldn't read it, so that is an error."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this session in that of spark.checkpoint.dir. A local session without the setting takes a temporary
+    one; elsewhere executors couldn't read it, so that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-foldlight-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame as files in the shared folder, so that rounds don't pile up plans."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

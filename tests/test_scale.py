@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldlight.functions.permute import feistel
 from foldlight.plans import resample
-from foldlight.operators import information, pixels, quantiles, splits, trees, truth
+from foldlight.operators import information, pixels, quantiles, splits, sums, trees, truth
 
 
 def test_quantiles_of_copies_round_as_duckdb_does(spark):
@@ -86,6 +87,25 @@ def test_information_in_lots_leaves_nothing_behind(spark):
     assert held() <= had + 1  # scales of sets and features
 
 
+def test_plans_of_many_tiles_stay_small(spark):
+    """The driver describes a plan at each of its stages: plans begin at files, which go with the lot."""
+    df = spark.createDataFrame([(i, [float(i * 37 % 101), float(i * 53 % 97)], float(i * 11 % 89)) for i in range(260)], "id long, x array<double>, y double")
+    whole = {r["pos"]: r["mi"] for r in information.nearest_information(df, "x", "y", "id").collect()}
+    folder, store = Path(sums.shared_folder(spark).removeprefix("file:")), spark._jsparkSession.sharedState().statusStore()
+
+    def described() -> dict[int, int]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        all_ = store.executionsList()
+        return {e.executionId(): len(e.physicalPlanDescription()) for e in map(all_.apply, range(all_.size()))}
+
+    had, files = described(), set(folder.iterdir())
+    tiles = {r["pos"]: r["mi"] for r in information.nearest_information(df, "x", "y", "id", tile=12).collect()}
+    assert tiles == pytest.approx(whole, abs=1e-12)
+    sizes = [n for i, n in described().items() if i not in had]
+    assert sizes and max(sizes) < 200_000  # and not 100 million
+    assert set(folder.iterdir()) == files
+
+
 def test_noise_is_drawn_from_spark_hashes(spark):
     rows = spark.range(50).withColumn("h", F.xxhash64(F.lit(7), F.col("id").cast("string")))
     unit = lambda i, part: (F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("id").cast("string"), F.lit(i), F.lit(part)), 11) + 1).cast("double") / float(1 << 53)
