@@ -26,6 +26,8 @@ from .ordered import PARTS, kept, released, written
 #: Points of a tile on average, places of a cell, points and cells that are compared at once, and points whose tables are
 #: on disk at a time (those of a feature at least).
 TILE, CELL, PAIRS, LOT = 1 << 16, 32, 1 << 15, 1 << 24
+#: Parts among which part_of() finds a value's by compiled code.
+COMPILED = 16
 EULER = 0.5772156649015329
 
 
@@ -114,8 +116,11 @@ def edges_of(parts: int) -> list[float]:
     return [i / parts for i in range(1, parts)]
 
 
-def part_of(value: Column, edges: str) -> Column:
-    return F.size(F.filter(edges, lambda e: e < value))
+def part_of(value: Column, edges: str, parts: int) -> Column:
+    """How many of the parts - 1 edges are below the value. Few are compared by compiled code, more would be too much of it."""
+    if parts > COMPILED:
+        return F.size(F.filter(edges, lambda e: e < value))
+    return sum((F.when(F.get(edges, F.lit(i)) < value, 1).otherwise(0) for i in range(parts - 1)), F.lit(0))
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
@@ -197,16 +202,16 @@ def radii(points: DataFrame, k: int, tile: int, most: int, rows: int, groups: in
     parts = int(min(PARTS, max(1, np.ceil(np.sqrt(most / tile)))))
     tasks = tasks_for(points, rows, groups * parts * parts, tile)
     by_x = written(cut(points, ["s", "pos"], "x", parts, "ex"))
-    placed = points.join(by_x, ["s", "pos"]).withColumn("a", part_of(F.col("x"), "ex")).drop("ex")
+    placed = points.join(by_x, ["s", "pos"]).withColumn("a", part_of(F.col("x"), "ex", parts)).drop("ex")
     by_y = written(cut(placed, ["s", "pos", "a"], "y", parts, "ey"))
-    placed = placed.join(by_y, ["s", "pos", "a"]).withColumn("b", part_of(F.col("y"), "ey")).drop("ey").withColumn("r", F.lit(float("nan")))
+    placed = placed.join(by_y, ["s", "pos", "a"]).withColumn("b", part_of(F.col("y"), "ey", parts)).drop("ey").withColumn("r", F.lit(float("nan")))
     kth = F.get("near", F.lit(k - 1))
     own = tile_search(placed, k, tasks)
     if parts == 1:
         return own.select("s", "pos", "x", "y", "m", kth.alias("r"))
     own = own.withColumn("r", F.least(kth, F.lit(1e300)))
-    wide = own.join(by_x, ["s", "pos"]).withColumns({"a0": part_of(F.col("x") - reach("x"), "ex"), "a1": part_of(F.col("x") + reach("x"), "ex")}).drop("ex")
-    tall = lambda df: df.withColumns({"b0": part_of(F.col("y") - reach("y"), "ey"), "b1": part_of(F.col("y") + reach("y"), "ey")}).drop("ey")
+    wide = own.join(by_x, ["s", "pos"]).withColumns({"a0": part_of(F.col("x") - reach("x"), "ex", parts), "a1": part_of(F.col("x") + reach("x"), "ex", parts)}).drop("ex")
+    tall = lambda df: df.withColumns({"b0": part_of(F.col("y") - reach("y"), "ey", parts), "b1": part_of(F.col("y") + reach("y"), "ey", parts)}).drop("ey")
     met = written(tall(wide.join(by_y, ["s", "pos", "a"])).withColumn("settled", (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1"))).drop("b0", "b1"))
     rest = met.where(~F.col("settled"))
     asked = tall(rest.withColumn("a2", F.explode(F.sequence("a0", "a1"))).join(by_y.withColumnRenamed("a", "a2"), ["s", "pos", "a2"])).withColumn("b2", F.explode(F.sequence("b0", "b1")))
@@ -243,8 +248,8 @@ def axis_sums(points: DataFrame, tile: int, most: int, rows: int, groups: int) -
     axes = F.array(*(F.struct(F.lit(i).alias("axis"), F.col(c).alias("v"), F.col(f"e{i}").alias("e")) for i, c in enumerate("xy")))
     each = points.join(edges, ["s", "pos"]).select("s", "pos", "m", "r", F.explode(axes).alias("of")).select("s", "pos", "m", "r", "of.*")
     if parts > 1:
-        ends = [part_of(F.col("v") + sign * reach("v"), "e") for sign in (-1, 1)]
-        each = each.withColumns({"home": part_of(F.col("v"), "e"), "low": ends[0], "high": ends[1]}).drop("e").withColumn("part", F.explode(F.sequence("low", "high")))
+        ends = [part_of(F.col("v") + sign * reach("v"), "e", parts) for sign in (-1, 1)]
+        each = each.withColumns({"home": part_of(F.col("v"), "e", parts), "low": ends[0], "high": ends[1]}).drop("e").withColumn("part", F.explode(F.sequence("low", "high")))
         each = each.select("s", "pos", "axis", "part", "v", "r", F.when(F.col("part") == F.col("home"), F.col("m")).otherwise(0).alias("m"), (F.col("low") == F.col("high")).alias("whole"))
     else:
         each = each.select("s", "pos", "axis", F.lit(0).alias("part"), "v", "r", "m", F.lit(True).alias("whole"))

@@ -38,7 +38,7 @@ def rank_correlation(rows: DataFrame, features: str, target: str, key: str | Non
 
     def placed(df: DataFrame, v: str) -> DataFrame:
         """Adds `part`, by v, and `before`, the rows of the set in lower parts. What is sent: sets x features x parts numbers."""
-        at = df.join(F.broadcast(kept(cut(df, ["s", "pos"], v, parts, "e"))), ["s", "pos"]).withColumn("part", part_of(F.col(v) + 0.0, "e")).drop("e")
+        at = df.join(F.broadcast(kept(cut(df, ["s", "pos"], v, parts, "e"))), ["s", "pos"]).withColumn("part", part_of(F.col(v) + 0.0, "e", parts)).drop("e")
         earlier = Window.partitionBy("s", "pos").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         counts = at.groupBy("s", "pos", "part").agg(F.count("*").alias("c"))
         return at.join(F.broadcast(counts.select("s", "pos", "part", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))), ["s", "pos", "part"])

@@ -43,6 +43,16 @@ def test_information_equals_brute_force(spark, data, tile):
         assert len(few) == 6 and all(r["mi"] is None for r in few)
 
 
+@pytest.mark.parametrize("parts", [1, 5, information.COMPILED, information.COMPILED + 1])
+def test_parts_of_values(spark, parts):
+    edges = [i / parts for i in range(1, parts)]
+    values = [-1.0, 0.0, *edges, *(e + 1e-9 for e in edges), 0.999, 2.0]
+    rows = spark.createDataFrame([(v, edges) for v in values], "v double, e array<double>")
+    got = rows.select("v", information.part_of(F.col("v"), "e", parts).alias("part"))
+    assert [r["part"] for r in got.orderBy("v").collect()] == [int(n) for n in np.searchsorted(edges, sorted(values))]
+    assert ("lambdafunction" in got._jdf.queryExecution().optimizedPlan().toString()) == (parts > information.COMPILED)
+
+
 def test_jitter_orders_equal_values(spark, data):
     """Values moved by a hash: repeatable, and near what any tiny noise gives."""
     x, y = data
